@@ -1,0 +1 @@
+"""The workload is batch only: no source, window or state to keep, so nothing is built here."""
