@@ -45,9 +45,11 @@ def page_links(pages: DataFrame, url: str, html: str) -> DataFrame:
     return links.withColumn("to_url", absolute)
 
 
-def follow_links(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """Links joined with the pages they lead to, as far as those are in the table."""
+def follow_links(links: DataFrame, targets: DataFrame, link: str, address: str, spread: list[str]) -> DataFrame:
+    """Links joined with the content they lead to, as far as it is in the table of targets.
+
+    ``targets`` has one row per address; ``spread`` names columns that tell the links of a popular address apart.
+    """
     from ..operators.joins import salted_join
 
-    targets = pages.select(F.col(url).alias("to_url"), F.col(html).alias("to_html"))
-    return salted_join(page_links(pages, url, html), targets, "to_url", spread=["from_url", "place"])
+    return salted_join(links, targets.withColumnRenamed(address, link), link, spread=spread)
