@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .joins import small_side
+from .joins import salted_join, small_side
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
@@ -83,6 +83,29 @@ def running_totals(df: DataFrame, order: Sequence[Column | str], totals: Mapping
     return out
 
 
+def group_places(counted: DataFrame, key: str, value: str, n: str) -> DataFrame:
+    """Add to each counted value of a group how many of the group's rows come before it, and the group's size.
+
+    ``counted`` has one row per (key, value) with its number of rows ``n``. Positions come from one global
+    running total, so even a group with most of the rows is spread over many tasks.
+    """
+    runs = running_totals(counted, [key, value], {"_cum": n})
+    groups = runs.groupBy(key).agg(F.min(F.col("_cum") - F.col(n)).alias("_first"), F.sum(n).alias("group_size"))
+    placed = salted_join(runs, groups, key, spread=[value])
+    return placed.withColumn("before", F.col("_cum") - F.col(n) - F.col("_first")).drop("_cum", "_first")
+
+
+def median_part(value: Column | str, n: Column | str) -> Column:
+    """Summed over the rows of ``group_places`` of a group, this is the group's exact (interpolating) median."""
+    value, n = (F.col(c) if isinstance(c, str) else c for c in (value, n))
+    before, size = F.col("before"), F.col("group_size")
+
+    def covers(place: Column) -> Column:
+        return ((before <= place) & (place < before + n)).cast("int")
+
+    return value * (covers(F.floor((size - 1) / 2)) + covers(F.floor(size / 2))) / 2
+
+
 def shuffle_key(row_id: Column | str, seed: int) -> Column:
     """Seeded pseudo-random sort key of an id; the same on every engine and every run."""
     return F.md5(F.concat(F.col(row_id).cast("string") if isinstance(row_id, str) else row_id, F.lit(f":{seed}")))

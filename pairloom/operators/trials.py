@@ -14,7 +14,7 @@ from ..functions import text as T
 from .columns import drop_invariant, first_columns, select_types, unnest
 from .filters import available
 from .joins import attach_map, left_join_or, look_up, salted_join, star_join
-from .ordering import keep_first
+from .ordering import group_places, keep_first, median_part, top_items
 
 
 def flatten_trials(trials: DataFrame, p_mode: str = "digits") -> DataFrame:
@@ -41,16 +41,17 @@ def flatten_trials(trials: DataFrame, p_mode: str = "digits") -> DataFrame:
 def outcomes_from_rows(measures: DataFrame, key: str, p: str) -> DataFrame:
     """Outcome per key when each p-value is a row of its own.
 
-    Equal values are counted before the shuffle, so a hot key costs one row per distinct value.
+    Equal values are counted first and the median is read off global positions, so neither a hot key nor a key
+    with very many different values meets in one task.
     """
     counted = measures.filter(F.col(p).isNotNull()).groupBy(key, p).agg(F.count("*").alias("_n"))
-    total = F.sum("_n")
-    stats = counted.groupBy(key).agg(
-        F.percentile(p, F.lit(0.5), F.col("_n")).alias("median"),
-        (F.sum(F.when(F.col(p) < O.SIGNIFICANT, F.col("_n")).otherwise(0)) / total).alias("below"),
-        (F.sum(F.when(F.col(p) > O.DOUBTFUL, F.col("_n")).otherwise(0)) / total).alias("above"),
+    n, size = F.col("_n"), F.max("group_size")
+    stats = group_places(counted, key, p, "_n").groupBy(key).agg(
+        F.sum(median_part(p, "_n")).alias("median"),
+        (F.sum(F.when(F.col(p) < O.SIGNIFICANT, n).otherwise(0)) / size).alias("below"),
+        (F.sum(F.when(F.col(p) > O.DOUBTFUL, n).otherwise(0)) / size).alias("above"),
         F.min(p).alias("lowest"),
-        total.alias("values"),
+        size.alias("values"),
     )
     outcome = O.outcome_from_stats(F.col("median"), F.col("below"), F.col("above"), F.col("lowest"))
     return stats.withColumn("outcome", outcome)
@@ -133,8 +134,6 @@ def flatten_drugs(drugs: DataFrame, mechanisms: DataFrame, drop: Sequence[str] =
 
 def flatten_diseases(diseases: DataFrame, top: int = 10, source: str = "uniprot_swissprot") -> DataFrame:
     """Right-entity records with the protein ids of their best-scored targets."""
-    from .ordering import top_items
-
     best = top_items(F.col("associatedTargets.rows"), top, "score")
     ids = A.nested_values(best, lambda r: r["target"]["proteinIds"], lambda p: p["source"] == source, lambda p: p["id"])
     return diseases.select(

@@ -1 +1,146 @@
-"""x"""
+"""Features, similarity and projections."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ...functions.arrays import norm
+from ...functions.text import joined
+from ...operators import features as X
+from ...operators.columns import numbered
+from ...operators.filters import beyond
+from ...operators.sets import stacked
+from ...operators.similarity import nearest
+from ..registry import query
+from .common import part_nations, r6, supplier_nations
+
+
+@query("multi_hot", "X3", "SELECT l_partkey, " + ", ".join(
+    f"CAST(count(*) FILTER (l_returnflag || l_linestatus = '{c}') > 0 AS INTEGER) AS cat_{c}" for c in ["AF", "AO", "NF", "NO", "RF", "RO"]) + " FROM lineitem GROUP BY 1")
+def multi_hot(t) -> DataFrame:
+    sets = t.lineitem.groupBy("l_partkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("cats"))
+    return X.multi_hot(sets, "cats")
+
+
+@query("one_hot_baseline", "X4", "SELECT p_partkey, " + ", ".join(
+    f"coalesce(CAST(ty = '{v}' AS INTEGER), 0) AS ty__{v}" for v in ["LARGE", "MEDIUM", "PROMO", "STANDARD"])
+    + ", CAST(ty IS NULL AS INTEGER) AS ty__nan FROM (SELECT p_partkey, nullif(p_type, 'SMALL') AS ty FROM part)")
+def one_hot_baseline(t) -> DataFrame:
+    return X.one_hot(t.part.select("p_partkey", F.nullif("p_type", F.lit("SMALL")).alias("ty")), "ty")
+
+
+@query("token_counts", "X5", """
+SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_-]+')) AS term FROM documents) GROUP BY 1, 2""")
+def token_counts(t) -> DataFrame:
+    return X.token_counts(t.documents, "doc_id", "text")
+
+
+@query("token_tfidf", "X5 X6 E5", """
+WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_-]+')) AS term FROM documents) GROUP BY 1, 2),
+d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+r AS (SELECT doc_id, term, tf, df, tf * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1) AS raw FROM c JOIN d USING (term))
+SELECT doc_id, term, tf, df, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM r""")
+def token_tfidf(t) -> DataFrame:
+    n = t.documents.agg(F.count("*")).scalar()
+    weights = X.tfidf(X.token_counts(t.documents, "doc_id", "text"), "doc_id", n)
+    return weights.withColumn("weight", r6("weight"))
+
+
+def entity_texts(t) -> DataFrame:
+    """Both sides of the pairs as one corpus of id lists written out as text."""
+    codes = lambda c: joined(F.transform(c, lambda n: F.concat(F.lit("N-"), n)))
+    left = part_nations(t).select(F.concat(F.lit("part-"), "l_partkey").alias("entity"), codes("part_nations").alias("text"))
+    right = supplier_nations(t).select(F.concat(F.lit("supplier-"), "l_suppkey").alias("entity"), codes("supplier_nations").alias("text"))
+    return stacked(left, right)
+
+
+@query("svd_scores", "X5 X6 X7 P10 U1")
+def svd_scores(t) -> DataFrame:
+    weights = X.tfidf(X.token_counts(entity_texts(t), "entity", "text"), "entity")
+    rows = X.sparse_rows(weights, "entity", X.term_index(weights))
+    scores, _, right = X.truncated_svd(rows, "entity", 10)
+    signs = F.array(*[F.lit(float(s)) for s in np.sign(right[np.abs(right).argmax(0), range(right.shape[1])])])
+    fixed = scores.withColumn("latent", F.zip_with("latent", signs, lambda x, s: F.round(x * s, 6) + F.lit(0.0)))
+    return numbered(fixed, "latent", "path_", right.shape[1])
+
+
+def vectors(t) -> DataFrame:
+    return t.embeddings.select("vec_id", "label", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
+
+
+@query("pca_scores", "X8 P10")
+def pca_scores(t) -> DataFrame:
+    scored, _, _ = X.principal_components(X.standardized(vectors(t)), 5, vector="scaled")
+    return numbered(scored.select("vec_id", "label", "components"), "components", "pc_", 5)
+
+
+@query("pca_outliers", "X16 F14")
+def pca_outliers(t) -> DataFrame:
+    scored, _, _ = X.principal_components(X.standardized(vectors(t)), 2, vector="scaled")
+    spread = scored.select("vec_id", "label", F.abs(F.get("components", F.lit(0))).alias("away"))
+    return beyond(spread, "away", 4.0, "vec_id")
+
+
+@query("standardize", "X9", """
+SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) + 0.0 AS balance,
+  round((c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER (), 6) + 0.0 AS nation FROM customer""")
+def standardize(t) -> DataFrame:
+    rows = X.assembled(t.customer.withColumn("n", F.col("c_nationkey").cast("double")), ["c_acctbal", "n"])
+    from pyspark.ml.functions import vector_to_array
+
+    scaled = X.standardized(rows.select("c_custkey", "features")).select("c_custkey", vector_to_array("scaled").alias("s"))
+    return scaled.select("c_custkey", r6(F.get("s", F.lit(0))).alias("balance"), r6(F.get("s", F.lit(1))).alias("nation"))
+
+
+def nearest_sql(distance: str, k: int) -> str:
+    return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS other_id, round({distance}, 6) + 0.0 AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, other_id) AS INTEGER) AS rank FROM d) WHERE rank <= {k}"""
+
+
+def neighbours(t, k: int, metric: str) -> DataFrame:
+    other = t.embeddings.withColumnRenamed("vec_id", "other_id")
+    return nearest(t.embeddings, other, "vec_id", "other_id", "embedding", "embedding", k, metric, exclude_same=True)
+
+
+@query("cosine_topk", "X10 J12 O4", nearest_sql("1 - list_cosine_similarity(a.v, b.v)", 5))
+def cosine_topk(t) -> DataFrame:
+    return neighbours(t, 5, "cosine")
+
+
+@query("nearest_euclidean", "X12", nearest_sql("list_distance(a.v, b.v)", 10))
+def nearest_euclidean(t) -> DataFrame:
+    return neighbours(t, 10, "euclidean")
+
+
+@query("nearest_manhattan", "X12 M9", nearest_sql("list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))", 7))
+def nearest_manhattan(t) -> DataFrame:
+    return neighbours(t, 7, "manhattan")
+
+
+@query("text_vectors", "X11", """
+SELECT doc_id, 256 AS size, CASE WHEN length(text) >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents""")
+def text_vectors(t) -> DataFrame:
+    made = X.text_vectors(t.documents.select("doc_id", "text"), "text")
+    return made.select("doc_id", F.size("vector").alias("size"), r6(norm("vector")).alias("length"))
+
+
+@query("fingerprint_components", "X13 X8 P10")
+def fingerprint_components(t) -> DataFrame:
+    texts = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    scored, _, _ = X.principal_components(X.fingerprints(texts, "text", bits=256), 10, vector="fingerprint")
+    return numbered(scored.select("p_partkey", "components"), "components", "FP_", 10, start=1)
+
+
+@query("lda_axis", "X14")
+def lda_axis(t) -> DataFrame:
+    two = vectors(t).withColumn("side", (F.col("label") >= 5).cast("int"))
+    return X.discriminant_axis(two, "features", "side")[0].select("vec_id", "side", "discriminant")
+
+
+@query("pls_axes", "X15")
+def pls_axes(t) -> DataFrame:
+    return X.pls_axes(vectors(t), "features", "label", 2)[0].select("vec_id", "label", "pls_0", "pls_1")

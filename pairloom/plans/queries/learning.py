@@ -1 +1,199 @@
-"""x"""
+"""Classifiers, evaluation and interpretation, on the labelled documents and the trade graph."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ...operators import evaluate as V
+from ...operators import graph as N
+from ...operators import models as M
+from ...operators.features import assembled, standardized
+from ...operators.ordering import stratified_folds, time_split
+from ..registry import query
+from .linking import trade_graph
+
+SCORED = """scored AS (SELECT l.doc_id, l.quality, l.toxic, n_chars, round(n_chars / (n_chars + 1500.0), 2) AS score,
+  CASE WHEN round(n_chars / (n_chars + 1500.0), 2) >= 0.4 THEN 1 ELSE 0 END AS predicted FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+
+def scored(t) -> DataFrame:
+    """Labelled documents with a closed-form score (many ties) and the class it predicts."""
+    score = F.round(F.col("n_chars") / (F.col("n_chars") + 1500.0), 2)
+    rows = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").withColumn("score", score)
+    return rows.withColumn("predicted", (F.col("score") >= 0.4).cast("int"))
+
+
+@query("confusion", "V1", f"WITH {SCORED} SELECT quality, predicted, count(*) AS n FROM scored GROUP BY 1, 2")
+def confusion(t) -> DataFrame:
+    return V.confusion(scored(t), "quality", "predicted")
+
+
+@query("classification_scores", "V2", f"""
+WITH {SCORED}, c AS (SELECT count(*) FILTER (quality = 1 AND predicted = 1) AS tp, count(*) FILTER (quality = 0 AND predicted = 1) AS fp,
+  count(*) FILTER (quality = 1 AND predicted = 0) AS fn, count(*) FILTER (quality = 0 AND predicted = 0) AS tn FROM scored)
+SELECT round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
+def classification_scores(t) -> DataFrame:
+    found = V.scores(scored(t), "quality", "predicted")
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+POINTS = f"""{SCORED}, g AS (SELECT score, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality = 0) AS n FROM scored GROUP BY 1),
+k AS (SELECT score, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS ap, sum(n) OVER () AS an FROM g WINDOW w AS (ORDER BY score DESC))"""
+
+
+@query("roc_curve", "V3", f"WITH {POINTS} SELECT score AS threshold, round(tp / ap, 6) AS tpr, round(fp / an, 6) AS fpr FROM k")
+def roc_curve(t) -> DataFrame:
+    return V.roc_curve(scored(t), "score", "quality").select("threshold", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+@query("pr_curve", "V4", f"""WITH {POINTS} SELECT score AS threshold, round(tp / (tp + fp), 6) AS "precision", round(tp / ap, 6) AS recall FROM k""")
+def pr_curve(t) -> DataFrame:
+    made = V.precision_recall_curve(scored(t), "score", "quality")
+    return made.select("threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("ranking_metrics", "V3 V4", f"""WITH {POINTS} SELECT round(sum(n * (tp - p / 2.0)) / (max(ap)::DOUBLE * max(an)), 6) AS roc_auc,
+  round(sum(p * (tp / (tp + fp))) / max(ap), 6) AS average_precision, round(max(ap) / (max(ap) + max(an)), 6) AS positive_rate FROM k""")
+def ranking_metrics(t) -> DataFrame:
+    found = V.ranking_metrics(scored(t), "score", "quality")
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query("case_table", "V8 E19", f"""
+WITH {SCORED}, c AS (SELECT *, CASE WHEN quality = predicted THEN 'T' ELSE 'F' END || CASE WHEN predicted = 1 THEN 'P' ELSE 'N' END AS cs FROM scored)
+SELECT doc_id, quality, predicted, cs AS "case", CASE WHEN cs IN ('TP', 'TN') THEN 1 ELSE 0 END AS correct, {', '.join(f"CASE WHEN cs = '{x}' THEN 1 ELSE 0 END AS {x}" for x in ('TP', 'TN', 'FP', 'FN'))} FROM c""")
+def case_table(t) -> DataFrame:
+    return V.case_table(scored(t).select("doc_id", "quality", "predicted"), "quality", "predicted")
+
+
+@query("case_correlations", "V9 A17", f"WITH {SCORED}, c AS (SELECT *, CAST(quality = predicted AS INTEGER) AS ok FROM scored) " + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, round(corr({f}, ok), 6) AS correct, round(corr({f}, quality * predicted), 6) AS \"TP\", round(corr({f}, (1 - quality) * (1 - predicted)), 6) AS \"TN\", "
+    f"round(corr({f}, (1 - quality) * predicted), 6) AS \"FP\", round(corr({f}, quality * (1 - predicted)), 6) AS \"FN\" FROM c" for f in ("n_chars", "toxic")))
+def case_correlations(t) -> DataFrame:
+    made = V.case_correlations(V.case_table(scored(t), "quality", "predicted"), ["n_chars", "toxic"])
+    return made.select("feature", *[F.round(c, 6).alias(c) for c in V.CASE_FLAGS])
+
+
+@query("case_distributions", "V10 A20", f"WITH {SCORED} " + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, CAST(quality = predicted AS INTEGER) AS correct, count(*) AS n, round(avg({f}), 5) AS mean, round(stddev_samp({f}), 5) AS deviation, "
+    f"CAST(min({f}) AS DOUBLE) AS low, CAST(max({f}) AS DOUBLE) AS high FROM scored GROUP BY 2" for f in ("n_chars", "toxic")))
+def case_distributions(t) -> DataFrame:
+    made = V.case_distributions(V.case_table(scored(t), "quality", "predicted"), ["n_chars", "toxic"])
+    return made.select("feature", "correct", "n", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"), "low", "high")
+
+
+FEATURES = ["n_chars", "n_words", "n_lines", "digit_share", "upper_share"]
+
+
+def document_features(t) -> DataFrame:
+    """Labelled documents with a few numbers about their whole text."""
+    size = F.greatest(F.length("text"), F.lit(1))
+    stats = t.documents.select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", r"\s+")).cast("double").alias("n_words"),
+        F.size(F.split("text", "\n")).cast("double").alias("n_lines"),
+        (F.length(F.regexp_replace("text", "[^0-9]", "")) / size).alias("digit_share"),
+        (F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) / size).alias("upper_share"),
+    )
+    labelled = t.labels.select("doc_id", F.col("quality").cast("double").alias("quality"))
+    return M.with_class_weight(labelled.join(stats, "doc_id"), "quality")
+
+
+def folded(t, folds: int = 3) -> DataFrame:
+    return stratified_folds(document_features(t), "quality", folds, "doc_id")
+
+
+def search_rows(t, searches: list[M.Search]) -> DataFrame:
+    return M.summary(t.spark, searches)
+
+
+@query("model_logreg", "M1 M2 M10 M11 O12 A18")
+def model_logreg(t) -> DataFrame:
+    train = folded(t).persist()
+    found = M.grid_search(train, "logreg", FEATURES, "quality", "fold", {"C": [0.1, 10], "l1_ratio": [0, 0.5]})
+    train.unpersist()
+    return search_rows(t, [found])
+
+
+@query("model_trees", "M3 M4 M5 M10 M11")
+def model_trees(t) -> DataFrame:
+    train = folded(t).persist()
+    found = [
+        M.grid_search(train, "rf", FEATURES, "quality", "fold", {"n_estimators": [20], "max_depth": [5], "min_samples_leaf": [1, 2]}),
+        M.grid_search(train, "gb", FEATURES, "quality", "fold", {"n_estimators": [5], "max_depth": [3], "learning_rate": [0.1]}),
+        M.grid_search(train, "xgb", FEATURES, "quality", "fold", {"n_estimators": [5], "max_depth": [3], "learning_rate": [0.1], "colsample_bytree": [0.8], "gamma": [0.0]}),
+    ]
+    train.unpersist()
+    return search_rows(t, found)
+
+
+@query("model_margins", "M6 M7 M8 M10")
+def model_margins(t) -> DataFrame:
+    train = folded(t).persist()
+    found = [
+        M.grid_search(train, "svm_linear", FEATURES, "quality", "fold", {"C": [1]}),
+        M.grid_search(train, "svm_poly", FEATURES, "quality", "fold", {"C": [1], "degree": [2], "components": [3]}),
+        M.grid_search(train, "svm_rbf", FEATURES, "quality", "fold", {"C": [1]}),
+    ]
+    train.unpersist()
+    return search_rows(t, found)
+
+
+@query("model_knn", "M9 M10 X12")
+def model_knn(t) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    rows = standardized(assembled(folded(t), FEATURES)).select("doc_id", "quality", "fold", vector_to_array("scaled").alias("v")).persist()
+    found = M.knn_search(rows, "doc_id", "v", "quality", "fold", {"n_neighbors": [5, 20], "weights": ["uniform", "distance"], "p": [2]})
+    rows.unpersist()
+    return search_rows(t, [found])
+
+
+def fitted(t):
+    """A logistic model fitted on the earlier 85% of the documents, and the later rest."""
+    parts = time_split(document_features(t), "doc_id").persist()
+    train, test = parts.filter(F.col("part") == "train"), parts.filter(F.col("part") == "test")
+    stages = [*M.preprocessing(FEATURES), *M.classifier("logreg", {"C": 1.0}, train.count(), "quality", "class_weight")]
+    return Pipeline(stages=stages).fit(train), test
+
+
+@query("score_table", "M13 O9 V2")
+def score_table(t) -> DataFrame:
+    model, test = fitted(t)
+    return M.score_table(model, test, ["doc_id", "quality"])
+
+
+@query("perm_importance", "V5")
+def perm_importance(t) -> DataFrame:
+    model, test = fitted(t)
+    return V.permutation_importance(model, test, FEATURES, "quality", "doc_id")
+
+
+@query("partial_dependence", "V6")
+def partial_dependence(t) -> DataFrame:
+    model, test = fitted(t)
+    return V.partial_dependence(model, test, "n_chars", V.dependence_grid(test, "n_chars"))
+
+
+@query("partial_dependence_2d", "V7")
+def partial_dependence_2d(t) -> DataFrame:
+    model, test = fitted(t)
+    names = ("n_chars", "upper_share")
+    return V.partial_dependence_2d(model, test, names, tuple(V.dependence_grid(test, n, points=10) for n in names))
+
+
+@query("model_importance", "V11")
+def model_importance(t) -> DataFrame:
+    model, _ = fitted(t)
+    return V.model_importance(t.spark, model, FEATURES)
+
+
+@query("link_classifier", "G10 G11 M13 V2")
+def link_classifier(t) -> DataFrame:
+    edges, nodes = trade_graph(t)
+    pairs = t.lineitem.groupBy("l_partkey", "l_suppkey").agg((F.max("l_quantity") > 30).cast("double").alias("success"))
+    weighted = M.with_class_weight(pairs, "success")
+    linked = N.link_features(weighted, "part", "l_partkey", "supplier", "l_suppkey", N.propagate(edges, nodes, 2))
+    model = Pipeline(stages=M.classifier("logreg", {"C": 1.0}, 1, "success", "class_weight")).fit(linked)
+    return V.scores(M.score_table(model, linked, ["success"]), "success", "prediction")
