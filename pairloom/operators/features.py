@@ -60,7 +60,7 @@ def tfidf(counts: DataFrame, doc_id: str, n_docs: int | Column | None = None) ->
         n_docs = counts.agg(F.count_distinct(doc_id)).scalar()
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = salted_join(counts, frequency, "term", spread=[doc_id], hot=hot_rows(frequency, "df", "term")).withColumn(
+    raw = salted_join(counts, frequency, "term", hot_rows(frequency, "df", "term"), [doc_id]).withColumn(
         "raw", F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
     )
     lengths = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_len"))
@@ -81,7 +81,8 @@ def term_index(weights: DataFrame, limit: int = 1 << 20) -> DataFrame:
 def sparse_rows(weights: DataFrame, doc_id: str, index: DataFrame) -> DataFrame:
     """One sparse vector per document; its length is that of the vocabulary, its entries those of one document."""
     size = index.count()
-    numbered = salted_join(weights, index, "term", spread=[doc_id])
+    terms = weights.groupBy("term").agg(F.count("*").alias("_n"))
+    numbered = salted_join(weights, index, "term", hot_rows(terms, "_n", "term"), [doc_id])
     entries = numbered.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("term_no", "weight"))).alias("_e"))
 
     return entries.select(doc_id, F.transform("_e", lambda e: e["term_no"].cast("int")).alias("indices"),
@@ -259,5 +260,5 @@ def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: st
         length = norm(vector)
         return table.select(key, F.transform(vector, lambda x: F.try_divide(x.cast("double"), length)).alias(name))
 
-    joined = salted_join(salted_join(pairs, unit(left, left_id, left_vector, "_a"), left_id), unit(right, right_id, right_vector, "_b"), right_id)
+    joined = pairs.join(unit(left, left_id, left_vector, "_a"), left_id).join(unit(right, right_id, right_vector, "_b"), right_id)
     return joined.select(*pairs.columns, dot("_a", "_b").alias(out))

@@ -9,7 +9,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import salted_join
 from .ordering import row_index, top_k
 from .sets import id_union, stacked
 
@@ -58,7 +57,7 @@ def indexed_edges(edges: DataFrame, node_table: DataFrame) -> DataFrame:
     numbers = node_table.select("kind", "id", "idx")
     starts = numbers.select(F.col("kind").alias("src_kind"), F.col("id").alias("src"), F.col("idx").alias("src_idx"))
     ends = numbers.select(F.col("kind").alias("dst_kind"), F.col("id").alias("dst"), F.col("idx").alias("dst_idx"))
-    return salted_join(salted_join(edges, starts, ["src_kind", "src"]), ends, ["dst_kind", "dst"])
+    return edges.join(starts, ["src_kind", "src"]).join(ends, ["dst_kind", "dst"])
 
 
 def with_reverse(edges: DataFrame, prefix: str = "rev_") -> DataFrame:
@@ -77,8 +76,8 @@ def metapath_support(pairs: DataFrame, src: str, dst: str, src_edges: DataFrame,
     """
     left = src_edges.select(F.col("src").alias(src), F.col("dst").alias("_t")).distinct()
     right = dst_edges.select(F.col("src").alias(dst), F.col("dst").alias("_t"), F.lit(1).alias("_hit")).distinct()
-    steps = salted_join(pairs.select(src, dst).distinct(), left, src)
-    hits = salted_join(steps, right, [dst, "_t"], "inner")
+    steps = pairs.select(src, dst).distinct().join(left, src)
+    hits = steps.join(right, [dst, "_t"])
     counts = hits.groupBy(src, dst).agg(F.count("*").alias(out))
     return pairs.join(counts, [src, dst], "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
@@ -99,12 +98,12 @@ def collapse(edges: DataFrame, priority: Column | str, *attributes: str) -> Data
 def hop(edges: DataFrame, features: DataFrame, width: int) -> DataFrame:
     """One round of typed neighbour aggregation: mean over the in-neighbours per edge type, summed over types.
 
-    Vectors narrower than ``width`` are padded with zeros. Means are built by partial aggregation, and a
-    neighbour that is the source of very many edges is salted.
+    Vectors narrower than ``width`` are padded with zeros. Means are built by partial aggregation, so a node
+    with very many in-edges costs one partial mean per task.
     """
     padded = F.slice(F.concat("features", F.array_repeat(F.lit(0.0), width)), 1, width)
     sources = features.select(F.col("kind").alias("src_kind"), F.col("id").alias("src"), array_to_vector(padded).alias("_v"))
-    messages = salted_join(edges.select(*ENDS), sources, ["src_kind", "src"])
+    messages = edges.select(*ENDS).join(sources, ["src_kind", "src"])
     per_type = messages.groupBy("dst_kind", "dst", "src_kind", "kind").agg(Summarizer.mean(F.col("_v")).alias("_m"))
     summed = per_type.groupBy("dst_kind", "dst").agg(Summarizer.sum(F.col("_m")).alias("_m"))
     return summed.select(F.col("dst_kind").alias("kind"), F.col("dst").alias("id"), vector_to_array("_m").alias("features"))
@@ -132,7 +131,7 @@ def link_features(pairs: DataFrame, src_kind: str, src: str, dst_kind: str, dst:
     a = embedded.filter(F.col("kind") == src_kind).select(F.col("id").alias("_sid"), F.col("features").alias("_a"))
     b = embedded.filter(F.col("kind") == dst_kind).select(F.col("id").alias("_did"), F.col("features").alias("_b"))
     keyed = pairs.withColumns({"_sid": F.col(src).cast("string"), "_did": F.col(dst).cast("string")})
-    joined = salted_join(salted_join(keyed, a, "_sid"), b, "_did")
+    joined = keyed.join(a, "_sid").join(b, "_did")
     return joined.withColumn(out, array_to_vector(F.concat("_a", "_b"))).drop("_sid", "_did", "_a", "_b")
 
 

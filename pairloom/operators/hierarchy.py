@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import distinct_prefixes
 from ..functions.text import first_part, path_depth
-from .joins import look_up, salted_join
+from .joins import look_up
 
 
 def descendant_counts(nodes: DataFrame, path: str, separator: str = ".", out: str = "descendants") -> DataFrame:
@@ -29,7 +29,7 @@ def root_members(nodes: DataFrame, roots: DataFrame, node_id: str, path: str, se
     """Distinct ids of all nodes under any of the given root paths, the roots included."""
     prefixes = nodes.select(node_id, F.explode(distinct_prefixes(path, separator)).alias("_root"))
     wanted = roots.select(F.col(path).alias("_root")).distinct()
-    return salted_join(prefixes, wanted, "_root", "left_semi", spread=[node_id]).select(node_id).distinct()
+    return prefixes.join(wanted, "_root", "left_semi").select(node_id).distinct()
 
 
 def all_paths(nodes: DataFrame, node_id: str, path: str, out: str = "paths", separator: str = ",") -> DataFrame:

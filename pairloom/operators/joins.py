@@ -15,28 +15,26 @@ SALTS = 64
 def hot_rows(counts: DataFrame, n: str, *keys: str, share: int = HOT_SHARE) -> DataFrame:
     """Keys of a count table that hold more than ``1/share`` of the total: fewer than ``share`` rows by construction."""
     total = counts.agg(F.sum(n)).scalar()
-    return counts.filter(F.col(n) * share > total).select(*keys, F.lit(True).alias("_hot"))
+    return counts.filter(F.col(n) * share > total).select(*keys)
 
 
 def salted_join(
-    many: DataFrame, one: DataFrame, on: str | Sequence[str], how: str = "inner", spread: Sequence[str] | None = None,
-    salts: int = SALTS, hot: DataFrame | None = None,
+    many: DataFrame, one: DataFrame, on: str | Sequence[str], hot: DataFrame, spread: Sequence[str], how: str = "inner", salts: int = SALTS
 ) -> DataFrame:
-    """Equi-join of a long table with a look-up table where single keys may hold a third of the long side.
+    """Equi-join of a long table with a look-up table whose hot keys are known (see ``hot_rows``).
 
-    Rows of a hot key are spread over ``salts`` partitions by a hash of their other columns (``spread``), and
-    only the look-up rows of those keys are repeated. The list of hot keys is bounded (see ``hot_rows``), so it
-    is the one thing broadcast. ``how`` may be inner, left, left_semi or left_anti.
+    Rows of a hot key are spread over ``salts`` partitions by a hash of the columns ``spread``, and only the
+    look-up rows of those keys are repeated. The list of hot keys is bounded, so it is the one thing broadcast.
+    Use it where key counts are at hand anyway. Other joins are written plainly and leave hot keys to the
+    adaptive skew join, which ``session.configure`` switches on: finding hot keys by an extra pass would
+    compute the long side twice.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    rest = list(spread) if spread else [c for c in many.columns if c not in keys]
-    if hot is None:
-        hot = hot_rows(many.groupBy(*keys).agg(F.count("*").alias("_n")), "_n", *keys)
-    hot = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int")
-    left = many.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+    marked = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    left = many.join(marked, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = one.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    right = one.join(marked, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -65,7 +63,7 @@ def bind_columns(a: DataFrame, b: DataFrame, key: str | Sequence[str]) -> DataFr
 
 
 def map_elements(
-    df: DataFrame, row_id: str, array: str, mapping: DataFrame, source: str, target: str, out: str, salts: int = SALTS
+    df: DataFrame, row_id: str, array: str, mapping: DataFrame, source: str, target: str, out: str
 ) -> DataFrame:
     """Replace every element of an id array by its mapped values (one or many), dropping unmapped ones.
 
@@ -73,7 +71,7 @@ def map_elements(
     """
     pairs = mapping.select(F.col(source).alias("_e"), F.col(target).alias("_v"))
     elements = df.select(row_id, F.posexplode(array).alias("_pos", "_e"))
-    found = salted_join(elements, pairs, "_e", spread=[row_id, "_pos"], salts=salts)
+    found = elements.join(pairs, "_e")
     lists = found.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("_pos", "_v"))).alias("_l"))
     mapped = lists.select(row_id, F.transform("_l", lambda x: x["_v"]).alias(out))
     empty = F.array().cast(mapped.schema[out].dataType)

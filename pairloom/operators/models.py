@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .aggregates import class_weights
 from .joins import small_side
+from .sets import stacked
 from .similarity import nearest, vote_of_neighbours
 
 # The parameter grids that are searched, by model. "None" depth means as deep as Spark allows (30).
@@ -111,20 +112,21 @@ def classifier(name: str, params: Mapping[str, object], rows: int, label: str, w
     if weight and name != "gb":
         common["weightCol"] = weight
     reg = 1.0 / (float(p.get("C", 1.0)) * max(rows, 1))
+    svc = {"regParam": reg, "maxIter": int(p.get("max_iter", 100)), "tol": 1e-3}
     if name == "logreg":
-        return [LogisticRegression(**common, regParam=reg, elasticNetParam=float(p.get("l1_ratio", 0)), maxIter=500)]
+        return [LogisticRegression(**common, regParam=reg, elasticNetParam=float(p.get("l1_ratio", 0)), maxIter=500, tol=1e-4)]
     if name == "svm_linear":
-        return [LinearSVC(**common, regParam=reg)]
+        return [LinearSVC(**common, **svc)]
     if name == "svm_poly":
         wide = {**common, "featuresCol": "_poly"}
         return [
             PCA(k=int(p.get("components", 8)), inputCol="features", outputCol="_pc"),
             PolynomialExpansion(degree=int(p.get("degree", 3)), inputCol="_pc", outputCol="_poly"),
-            LinearSVC(**wide, regParam=reg),
+            LinearSVC(**wide, **svc),
         ]
     if name == "svm_rbf":
         wide = {**common, "featuresCol": "_rbf"}
-        return [RandomFourier(inputCol="features", outputCol="_rbf", seed=seed), LinearSVC(**wide, regParam=reg)]
+        return [RandomFourier(inputCol="features", outputCol="_rbf", seed=seed), LinearSVC(**wide, **svc)]
     if name == "rf":
         return [RandomForestClassifier(
             **common, numTrees=int(p.get("n_estimators", 300)), maxDepth=int(p.get("max_depth") or DEEPEST),
@@ -210,10 +212,14 @@ def knn_search(
             metric="manhattan" if p == 1 else "euclidean",
         ).persist()
         truth = queries.select(F.col(row_id).alias("_q"), label)
-        for k, w in product(grid["n_neighbors"], grid.get("weights", ["uniform"])):
-            voted = vote_of_neighbours(near.filter(F.col("rank") <= k), points, "_q", row_id, label, w)
-            got = scores(truth.join(voted, "_q"), label, "prediction").first()["f1"]
-            found.setdefault((k, w, p), []).append(got)
+        votes = [
+            vote_of_neighbours(near.filter(F.col("rank") <= k), points, "_q", row_id, label, w).select(
+                F.lit(k).alias("_k"), F.lit(w).alias("_w"), "_q", "prediction"
+            )
+            for k, w in product(grid["n_neighbors"], grid.get("weights", ["uniform"]))
+        ]
+        for r in scores(stacked(*votes).join(truth, "_q"), label, "prediction", "_k", "_w").collect():  # one row per choice
+            found.setdefault((r["_k"], r["_w"], p), []).append(r["f1"])
         near.unpersist()
     rows = [
         {"model": "knn", "params": {"n_neighbors": k, "weights": w, "p": p}, "mean_score": float(np.mean(v)), "std_score": float(np.std(v))}

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .joins import salted_join, small_side
+from .joins import hot_rows, salted_join, small_side
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
@@ -90,8 +90,10 @@ def group_places(counted: DataFrame, key: str, value: str, n: str) -> DataFrame:
     running total, so even a group with most of the rows is spread over many tasks.
     """
     runs = running_totals(counted, [key, value], {"_cum": n})
-    groups = runs.groupBy(key).agg(F.min(F.col("_cum") - F.col(n)).alias("_first"), F.sum(n).alias("group_size"))
-    placed = salted_join(runs, groups, key, spread=[value])
+    groups = runs.groupBy(key).agg(
+        F.min(F.col("_cum") - F.col(n)).alias("_first"), F.sum(n).alias("group_size"), F.count("*").alias("_values")
+    )
+    placed = salted_join(runs, groups.drop("_values"), key, hot_rows(groups, "_values", key), [value])
     return placed.withColumn("before", F.col("_cum") - F.col(n) - F.col("_first")).drop("_cum", "_first")
 
 

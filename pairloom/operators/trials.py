@@ -13,7 +13,7 @@ from ..functions import outcomes as O
 from ..functions import text as T
 from .columns import drop_invariant, first_columns, select_types, unnest
 from .filters import available
-from .joins import attach_map, left_join_or, look_up, salted_join, star_join
+from .joins import attach_map, left_join_or, look_up, star_join
 from .ordering import group_places, keep_first, median_part, top_items
 
 
@@ -69,7 +69,7 @@ def pair_evidence(
     """
     linked = links.select(*pair, child).distinct()
     known = children.select(child, outcome, phase, first, last)
-    found = salted_join(linked, known, child, "left")
+    found = linked.join(known, child, "left")
     tags = found.groupBy(*pair, outcome, phase).agg(
         F.count("*").alias("_n"), F.min(first).alias("_f"), F.max(last).alias("_l")
     )

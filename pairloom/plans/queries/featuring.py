@@ -14,6 +14,7 @@ from ...operators.columns import numbered
 from ...operators.filters import beyond
 from ...operators.sets import stacked
 from ...operators.similarity import nearest
+from ...session import cut_lineage
 from ..registry import query
 from .common import part_nations, r6, supplier_nations
 
@@ -59,8 +60,8 @@ def entity_texts(t) -> DataFrame:
 
 @query("svd_scores", "X5 X6 X7 P10 U1")
 def svd_scores(t) -> DataFrame:
-    weights = X.tfidf(X.token_counts(entity_texts(t), "entity", "text"), "entity")
-    rows = X.sparse_rows(weights, "entity", X.term_index(weights))
+    weights = cut_lineage(X.tfidf(X.token_counts(entity_texts(t), "entity", "text"), "entity"))
+    rows = cut_lineage(X.sparse_rows(weights, "entity", X.term_index(weights)))
     scores, _, right = X.truncated_svd(rows, "entity", 10)
     signs = F.array(*[F.lit(float(s)) for s in np.sign(right[np.abs(right).argmax(0), range(right.shape[1])])])
     fixed = scores.withColumn("latent", F.zip_with("latent", signs, lambda x, s: F.round(x * s, 6) + F.lit(0.0)))
@@ -81,7 +82,7 @@ def pca_scores(t) -> DataFrame:
 def pca_outliers(t) -> DataFrame:
     scored, _, _ = X.principal_components(X.standardized(vectors(t)), 2, vector="scaled")
     spread = scored.select("vec_id", "label", F.abs(F.get("components", F.lit(0))).alias("away"))
-    return beyond(spread, "away", 4.0, "vec_id")
+    return beyond(spread, "away", 2.5, "vec_id")
 
 
 @query("standardize", "X9", """

@@ -111,7 +111,7 @@ def search_rows(t, searches: list[M.Search]) -> DataFrame:
 @query("model_logreg", "M1 M2 M10 M11 O12 A18")
 def model_logreg(t) -> DataFrame:
     train = folded(t).persist()
-    found = M.grid_search(train, "logreg", FEATURES, "quality", "fold", {"C": [0.1, 10], "l1_ratio": [0, 0.5]})
+    found = M.grid_search(train, "logreg", FEATURES, "quality", "fold", {"C": [1], "l1_ratio": [0, 0.5]})
     train.unpersist()
     return search_rows(t, [found])
 
@@ -132,9 +132,9 @@ def model_trees(t) -> DataFrame:
 def model_margins(t) -> DataFrame:
     train = folded(t).persist()
     found = [
-        M.grid_search(train, "svm_linear", FEATURES, "quality", "fold", {"C": [1]}),
-        M.grid_search(train, "svm_poly", FEATURES, "quality", "fold", {"C": [1], "degree": [2], "components": [3]}),
-        M.grid_search(train, "svm_rbf", FEATURES, "quality", "fold", {"C": [1]}),
+        M.grid_search(train, "svm_linear", FEATURES, "quality", "fold", {"C": [1], "max_iter": [15]}),
+        M.grid_search(train, "svm_poly", FEATURES, "quality", "fold", {"C": [1], "degree": [2], "components": [3], "max_iter": [15]}),
+        M.grid_search(train, "svm_rbf", FEATURES, "quality", "fold", {"C": [1], "max_iter": [15]}),
     ]
     train.unpersist()
     return search_rows(t, found)

@@ -96,16 +96,16 @@ def collapsed_edges(t) -> DataFrame:
 def trade_graph(t) -> tuple[DataFrame, DataFrame]:
     """Parts and suppliers with features, and the edges between them in both directions."""
     edges = N.with_reverse(N.pair_edges(pairs(t), "part", "l_partkey", "sold", "supplier", "l_suppkey"))
-    price, balance = F.col("p_retailprice") / 1000, F.col("s_acctbal") / 1000
+    size, price, balance = F.sqrt("p_size"), F.sqrt("p_retailprice"), F.sqrt(F.col("s_acctbal") + 2000)
     nodes = stacked(
-        t.part.select(F.lit("part").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.array(F.col("p_size").cast("double"), price).alias("features")),
+        t.part.select(F.lit("part").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.array(size, price).alias("features")),
         t.supplier.select(F.lit("supplier").alias("kind"), F.col("s_suppkey").cast("string").alias("id"), F.array(balance).alias("features")),
     )
     return edges, nodes
 
 
 @query("hop_mean", "G10 G6", f"""
-WITH {PAIRS}, p AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS a, p_retailprice / 1000 AS b FROM part), s AS (SELECT s_suppkey AS k, s_acctbal / 1000 AS a FROM supplier),
+WITH {PAIRS}, p AS (SELECT p_partkey AS k, sqrt(p_size) AS a, sqrt(p_retailprice) AS b FROM part), s AS (SELECT s_suppkey AS k, sqrt(s_acctbal + 2000) AS a FROM supplier),
 p1 AS (SELECT l_partkey AS k, avg(a) AS a, 0.0 AS b FROM pairs JOIN s ON l_suppkey = s.k GROUP BY 1),
 s1 AS (SELECT l_suppkey AS k, avg(a) AS a, avg(b) AS b FROM pairs JOIN p ON l_partkey = p.k GROUP BY 1),
 p2 AS (SELECT l_partkey AS k, avg(a) AS a, avg(b) AS b FROM pairs JOIN s1 ON l_suppkey = s1.k GROUP BY 1),

@@ -95,7 +95,7 @@ def page_link_join(t) -> DataFrame:
     heading = F.concat(F.lit("/"), first_part(markup.section("html", "h1"), " "))
     targets = keep_first(t.pages.select("page_id", "html", heading.alias("address")), ["address"], "page_id")
     sized = targets.select("address", F.col("page_id").alias("target"), F.length("html").cast("bigint").alias("target_size"))
-    followed = markup.follow_links(links, sized, "href", "address", ["from_url", "place"])
+    followed = markup.follow_links(links, sized, "href", "address")
     return followed.groupBy("href", "target", "target_size").agg(
         F.count("*").alias("n_links"), F.count_distinct("from_url").alias("n_pages")
     )

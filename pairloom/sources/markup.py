@@ -45,11 +45,6 @@ def page_links(pages: DataFrame, url: str, html: str) -> DataFrame:
     return links.withColumn("to_url", absolute)
 
 
-def follow_links(links: DataFrame, targets: DataFrame, link: str, address: str, spread: list[str]) -> DataFrame:
-    """Links joined with the content they lead to, as far as it is in the table of targets.
-
-    ``targets`` has one row per address; ``spread`` names columns that tell the links of a popular address apart.
-    """
-    from ..operators.joins import salted_join
-
-    return salted_join(links, targets.withColumnRenamed(address, link), link, spread=spread)
+def follow_links(links: DataFrame, targets: DataFrame, link: str, address: str) -> DataFrame:
+    """Links joined with the content they lead to, as far as it is in the table of targets (one row per address)."""
+    return links.join(targets.withColumnRenamed(address, link), link)
