@@ -23,12 +23,15 @@ def _filled(values: Column) -> Column:
     return F.when(F.size(values) > 0, values)
 
 
-def median_of(values: Column | str) -> Column:
-    ordered = F.array_sort(_filled(_col(values)))
+def middle_of(ordered: Column | str) -> Column:
+    """Median of an array that is already in order, null for an empty one."""
+    ordered = _col(ordered)
     n = F.size(ordered)
-    low = F.element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(ordered, F.floor((n + 2) / 2).cast("int"))
-    return (low + high) / 2
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+
+def median_of(values: Column | str) -> Column:
+    return middle_of(F.array_sort(_col(values)))
 
 
 def share_of(values: Column | str, test: Callable[[Column], Column]) -> Column:

@@ -53,10 +53,14 @@ def in_date_range(c: Column | str, low: str, high: str, keep_missing: bool = Fal
     return F.coalesce(inside, F.lit(False))
 
 
-def status_dates(status_json: Column | str) -> Column:
-    """All dates of an open JSON object: fields named like a date, plain or wrapped in ``{"date": ...}``."""
-    fields = F.from_json(_col(status_json), "map<string,string>")
-    dated = F.map_filter(fields, lambda k, v: F.contains(F.lower(k), F.lit("date")))
+def open_fields(status_json: Column | str) -> Column:
+    """The fields of an open JSON object as text; nested objects stay JSON."""
+    return F.from_json(_col(status_json), "map<string,string>")
+
+
+def dates_among(fields: Column | str) -> Column:
+    """All dates among open fields: those named like a date, plain or wrapped in ``{"date": ...}``."""
+    dated = F.map_filter(_col(fields), lambda k, v: F.contains(F.lower(k), F.lit("date")))
     return F.array_compact(
         F.transform(
             F.map_values(dated),
@@ -65,9 +69,9 @@ def status_dates(status_json: Column | str) -> Column:
     )
 
 
-def earliest_date(status_json: Column | str) -> Column:
-    return F.coalesce(F.array_min(status_dates(status_json)), F.lit(NO_FIRST))
+def earliest_date(dates: Column | str) -> Column:
+    return F.coalesce(F.array_min(_col(dates)), F.lit(NO_FIRST))
 
 
-def latest_date(status_json: Column | str) -> Column:
-    return F.coalesce(F.array_max(status_dates(status_json)), F.lit(NO_LAST))
+def latest_date(dates: Column | str) -> Column:
+    return F.coalesce(F.array_max(_col(dates)), F.lit(NO_LAST))

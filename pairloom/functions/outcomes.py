@@ -34,15 +34,15 @@ def outcome_from_stats(median: Column, below: Column, above: Column, lowest: Col
     )
 
 
-def outcome_from_values(p_values: Column | str) -> Column:
-    """Outcome of one trial from its own list of p-values."""
+def value_stats(p_values: Column | str) -> dict[str, Column]:
+    """The four statistics an outcome is decided on, of an ascending list of p-values; null for an empty list."""
     p = _col(p_values)
-    return outcome_from_stats(
-        A.median_of(p),
-        A.share_of(p, lambda x: x < SIGNIFICANT),
-        A.share_of(p, lambda x: x > DOUBTFUL),
-        A.smallest(p),
-    )
+    return {
+        "median": A.middle_of(p),
+        "below": A.share_of(p, lambda x: x < SIGNIFICANT),
+        "above": A.share_of(p, lambda x: x > DOUBTFUL),
+        "lowest": F.get(p, F.lit(0)),
+    }
 
 
 def pair_label(max_phase: Column | str, top_phase: Column, wins: Column, losses: Column, last_date: Column | str) -> Column:

@@ -12,8 +12,10 @@ from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg import Vectors as OldVectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import hot_rows, salted_join
 
 # Fixed value: what counts as a token of an id list or text.
@@ -54,8 +56,11 @@ def tfidf(counts: DataFrame, doc_id: str, n_docs: int | Column | None = None) ->
     """Smooth TF-IDF weights with unit-length documents, in long form (doc, term, tf, df, weight).
 
     idf is ``ln((1 + n) / (1 + df)) + 1``; ``n_docs`` counts documents without tokens too when given.
-    A term found in a large share of the documents is a hot join key and is salted.
+    Counts are read three times and therefore written once instead of tokenizing again. A term found in a large
+    share of the documents is a hot join key and is salted. The length of a document is taken over its own
+    distinct terms, which is no more than the document itself.
     """
+    counts = cut_lineage(counts)
     if n_docs is None:
         n_docs = counts.agg(F.count_distinct(doc_id)).scalar()
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
@@ -63,8 +68,8 @@ def tfidf(counts: DataFrame, doc_id: str, n_docs: int | Column | None = None) ->
     raw = salted_join(counts, frequency, "term", hot_rows(frequency, "df", "term"), [doc_id]).withColumn(
         "raw", F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
     )
-    lengths = raw.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_len"))
-    return raw.join(lengths, doc_id).select(doc_id, "term", "tf", "df", (F.col("raw") / F.col("_len")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(doc_id)))
+    return raw.select(doc_id, "term", "tf", "df", (F.col("raw") / length).alias("weight"))
 
 
 def term_index(weights: DataFrame, limit: int = 1 << 20) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import shared_count
 from .ordering import row_index, top_k
 from .sets import id_union, stacked
 
+FLAT_WIDTH = 32  # up to this width a vector is averaged as plain columns, which compiles to a hash aggregate
 ENDS = ["src_kind", "src", "kind", "dst_kind", "dst"]
 
 
@@ -72,14 +74,13 @@ def with_reverse(edges: DataFrame, prefix: str = "rev_") -> DataFrame:
 def metapath_support(pairs: DataFrame, src: str, dst: str, src_edges: DataFrame, dst_edges: DataFrame, out: str = "paths") -> DataFrame:
     """Number of entity-token-entity paths of each given pair.
 
-    Paths are counted for the pairs asked for; listing every pair under a common token would square its degree.
+    Paths are counted for the pairs asked for, from the token sets of both ends; listing every pair under a
+    common token would square the token's degree.
     """
-    left = src_edges.select(F.col("src").alias(src), F.col("dst").alias("_t")).distinct()
-    right = dst_edges.select(F.col("src").alias(dst), F.col("dst").alias("_t"), F.lit(1).alias("_hit")).distinct()
-    steps = pairs.select(src, dst).distinct().join(left, src)
-    hits = steps.join(right, [dst, "_t"])
-    counts = hits.groupBy(src, dst).agg(F.count("*").alias(out))
-    return pairs.join(counts, [src, dst], "left").withColumn(out, F.coalesce(out, F.lit(0)))
+    left = src_edges.groupBy(F.col("src").alias(src)).agg(F.collect_set("dst").alias("_l"))
+    right = dst_edges.groupBy(F.col("src").alias(dst)).agg(F.collect_set("dst").alias("_r"))
+    both = pairs.join(left, src, "left").join(right, dst, "left")
+    return both.withColumn(out, shared_count("_l", "_r").cast("bigint")).drop("_l", "_r")
 
 
 def similarity_edges(scored: DataFrame, src_kind: str, src: str, dst_kind: str, dst: str, score: str, k: int = 5, kind: str = "similar") -> DataFrame:
@@ -102,11 +103,17 @@ def hop(edges: DataFrame, features: DataFrame, width: int) -> DataFrame:
     with very many in-edges costs one partial mean per task.
     """
     padded = F.slice(F.concat("features", F.array_repeat(F.lit(0.0), width)), 1, width)
-    sources = features.select(F.col("kind").alias("src_kind"), F.col("id").alias("src"), array_to_vector(padded).alias("_v"))
+    sources = features.select(F.col("kind").alias("src_kind"), F.col("id").alias("src"), padded.alias("_v"))
     messages = edges.select(*ENDS).join(sources, ["src_kind", "src"])
-    per_type = messages.groupBy("dst_kind", "dst", "src_kind", "kind").agg(Summarizer.mean(F.col("_v")).alias("_m"))
-    summed = per_type.groupBy("dst_kind", "dst").agg(Summarizer.sum(F.col("_m")).alias("_m"))
-    return summed.select(F.col("dst_kind").alias("kind"), F.col("dst").alias("id"), vector_to_array("_m").alias("features"))
+    by_type = messages.groupBy("dst_kind", "dst", "src_kind", "kind")
+    if width <= FLAT_WIDTH:
+        means = by_type.agg(*[F.avg(F.get("_v", F.lit(i))).alias(f"_{i}") for i in range(width)])
+        sums = means.groupBy("dst_kind", "dst").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(width)])
+        summed = sums.withColumn("_m", F.array(*[F.col(f"_{i}") for i in range(width)]))
+    else:
+        means = by_type.agg(Summarizer.mean(array_to_vector("_v")).alias("_m"))
+        summed = means.groupBy("dst_kind", "dst").agg(Summarizer.sum(F.col("_m")).alias("_m")).withColumn("_m", vector_to_array("_m"))
+    return summed.select(F.col("dst_kind").alias("kind"), F.col("dst").alias("id"), F.col("_m").alias("features"))
 
 
 def propagate(edges: DataFrame, features: DataFrame, width: int, hops: int = 2) -> DataFrame:

@@ -11,31 +11,45 @@ from ..functions import arrays as A
 from ..functions import dates as D
 from ..functions import outcomes as O
 from ..functions import text as T
+from ..session import cut_lineage
 from .columns import drop_invariant, first_columns, select_types, unnest
 from .filters import available
 from .joins import attach_map, left_join_or, look_up, star_join
 from .ordering import group_places, keep_first, median_part, top_items
 
 
+def with_outcome(df: DataFrame, p_values: str, out: str = "success") -> DataFrame:
+    """Add median and outcome of each row's own list of p-values.
+
+    Each step is a projection of its own, so the list is sorted and every statistic computed once per row.
+    """
+    ordered = df.withColumn("_ordered", F.array_sort(p_values))
+    stats = ordered.withColumns({f"_{n}": c for n, c in O.value_stats("_ordered").items()})
+    outcome = O.outcome_from_stats(F.col("_median"), F.col("_below"), F.col("_above"), F.col("_lowest"))
+    decided = stats.withColumn(out, outcome).withColumnRenamed("_median", "median_p_value")
+    return decided.drop("_ordered", "_below", "_above", "_lowest")
+
+
 def flatten_trials(trials: DataFrame, p_mode: str = "digits") -> DataFrame:
     """Nested trial records to flat rows: id, status, phase, dates, p-values and outcome."""
-    status = F.col("protocolSection.statusModule")
     measures = F.col("resultsSection.outcomeMeasuresModule.outcomeMeasures")
-    first_analysis = F.transform(measures, lambda m: F.get(m["analyses"], F.lit(0))["pValue"])
-    values = F.array_compact(F.transform(first_analysis, lambda p: T.p_value(p, p_mode)))
-    flat = trials.select(
+    texts = F.transform(measures, lambda m: F.get(m["analyses"], F.lit(0))["pValue"])
+    parsed = trials.select(
         F.col("protocolSection.identificationModule.nctId").alias("nct_id"),
-        F.get_json_object(status, "$.overallStatus").alias("status"),
+        D.open_fields("protocolSection.statusModule").alias("_status"),
         A.highest_code("protocolSection.designModule.phases").alias("phase"),
-        D.earliest_date(status).alias("first_date"),
-        D.latest_date(status).alias("last_date"),
-        F.get_json_object(status, "$.startDateStruct.date").alias("start_date"),
-        F.get_json_object(status, "$.completionDateStruct.date").alias("end_date"),
-        F.get_json_object(status, "$.whyStopped").alias("why_stopped"),
         F.col("hasResults").alias("has_results"),
-        F.when(F.col("hasResults") & (F.size(values) > 0), values).alias("p_values"),
+        F.when(F.col("hasResults"), F.array_compact(F.transform(texts, lambda p: T.p_value(p, p_mode)))).alias("_values"),
+    ).withColumn("_dates", D.dates_among("_status"))
+    field = lambda name: F.col("_status")[name]
+    flat = parsed.select(
+        "nct_id", field("overallStatus").alias("status"), "phase",
+        D.earliest_date("_dates").alias("first_date"), D.latest_date("_dates").alias("last_date"),
+        F.get_json_object(field("startDateStruct"), "$.date").alias("start_date"),
+        F.get_json_object(field("completionDateStruct"), "$.date").alias("end_date"),
+        field("whyStopped").alias("why_stopped"), "has_results", F.when(A.has_items("_values"), F.col("_values")).alias("p_values"),
     )
-    return flat.withColumns({"median_p_value": A.median_of("p_values"), "success": O.outcome_from_values("p_values")})
+    return with_outcome(flat, "p_values")
 
 
 def outcomes_from_rows(measures: DataFrame, key: str, p: str) -> DataFrame:
@@ -90,23 +104,21 @@ def evidence_list(evidence: Column | str) -> Column:
                                  lambda e: F.array_repeat(e["tag"], e["n"])))
 
 
-def vote(evidence: Column | str) -> dict[str, Column]:
-    """Highest phase with evidence, and the wins and losses at that phase."""
-    entries = F.col(evidence) if isinstance(evidence, str) else evidence
-    top = F.array_max(F.transform(entries, lambda e: e["phase"]))
+def with_votes(df: DataFrame, evidence: str = "evidence") -> DataFrame:
+    """Add the highest phase with evidence, and the wins and losses at that phase."""
+    topped = df.withColumn("top_phase", F.array_max(F.transform(evidence, lambda e: e["phase"])))
 
     def votes(outcome: str) -> Column:
-        mine = F.filter(entries, lambda e: (e["phase"] == top) & (e["outcome"] == outcome))
+        mine = F.filter(evidence, lambda e: (e["phase"] == F.col("top_phase")) & (e["outcome"] == outcome))
         return F.aggregate(mine, F.lit(0), lambda s, e: s + e["n"])
 
-    return {"top_phase": top, "wins": votes("success"), "losses": votes("fail")}
+    return topped.withColumns({"wins": votes("success"), "losses": votes("fail")})
 
 
 def label_pairs(pairs: DataFrame, max_phase: str = "max_phase_for_ind", evidence: str = "evidence", last: str = "last_date") -> DataFrame:
     """Three-valued label of every pair (see ``outcomes.pair_label``)."""
-    counted = pairs.withColumns(vote(evidence))
     label = O.pair_label(max_phase, F.col("top_phase"), F.col("wins"), F.col("losses"), last)
-    return counted.withColumn("overall_success", label)
+    return with_votes(pairs, evidence).withColumn("overall_success", label)
 
 
 def first_dates(pairs: DataFrame, pair: Sequence[str], first: str, approvals: DataFrame, left: str, year: str) -> DataFrame:
@@ -166,7 +178,8 @@ def assemble_features(
     scored = wide.withColumn("path_similarity", A.jaccard(left_tokens, right_tokens))
     flat = select_types(scored, "number", "bool", keep=[left_id, right_id]).dropna()
     once = keep_first(flat, [left_id, right_id], *(order or [c for c in flat.columns if c not in (left_id, right_id)]))
-    return drop_invariant(once, keep=[left_id, right_id, label])
+    # Which columns are constant decides the schema, so the joins are run once and their result is read twice.
+    return drop_invariant(cut_lineage(once), keep=[left_id, right_id, label])
 
 
 def condensed_pairs(

@@ -14,7 +14,7 @@ from ...operators.columns import numbered
 from ...operators.filters import beyond
 from ...operators.sets import stacked
 from ...operators.similarity import nearest
-from ...session import cut_lineage
+from ...session import cut_lineage, spread
 from ..registry import query
 from .common import part_nations, r6, supplier_nations
 
@@ -36,7 +36,7 @@ def one_hot_baseline(t) -> DataFrame:
 @query("token_counts", "X5", """
 SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_-]+')) AS term FROM documents) GROUP BY 1, 2""")
 def token_counts(t) -> DataFrame:
-    return X.token_counts(t.documents, "doc_id", "text")
+    return X.token_counts(spread(t.documents.select("doc_id", "text")), "doc_id", "text")
 
 
 @query("token_tfidf", "X5 X6 E5", """
@@ -46,7 +46,7 @@ r AS (SELECT doc_id, term, tf, df, tf * (ln((1 + (SELECT count(*) FROM documents
 SELECT doc_id, term, tf, df, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM r""")
 def token_tfidf(t) -> DataFrame:
     n = t.documents.agg(F.count("*")).scalar()
-    weights = X.tfidf(X.token_counts(t.documents, "doc_id", "text"), "doc_id", n)
+    weights = X.tfidf(X.token_counts(spread(t.documents.select("doc_id", "text")), "doc_id", "text"), "doc_id", n)
     return weights.withColumn("weight", r6("weight"))
 
 
@@ -125,7 +125,7 @@ def nearest_manhattan(t) -> DataFrame:
 @query("text_vectors", "X11", """
 SELECT doc_id, 256 AS size, CASE WHEN length(text) >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents""")
 def text_vectors(t) -> DataFrame:
-    made = X.text_vectors(t.documents.select("doc_id", "text"), "text")
+    made = X.text_vectors(spread(t.documents.select("doc_id", "text")), "text")
     return made.select("doc_id", F.size("vector").alias("size"), r6(norm("vector")).alias("length"))
 
 

@@ -9,6 +9,7 @@ from ...operators import trials as R
 from ...operators.columns import first_columns
 from ...operators.joins import left_join_or
 from ...operators.ordering import keep_first
+from ...session import spread
 from ..registry import query
 from .common import PAIRS, PART_NATIONS, SUPPLIER_NATIONS, date_text, pairs, part_nations, r6, supplier_nations
 
@@ -69,7 +70,7 @@ def trial_records(t) -> DataFrame:
         measure(F.concat(F.lit("0."), text(F.col("o_orderkey") % 9, 1))),
         measure(F.lit("NS")),
     )
-    return t.orders.select(
+    return spread(t.orders).select(
         (F.col("o_custkey") % 4 != 0).alias("hasResults"),
         F.struct(
             F.struct(F.concat(F.lit("NCT"), "o_orderkey").alias("nctId")).alias("identificationModule"), status.alias("statusModule"), design.alias("designModule")

@@ -245,7 +245,8 @@ def status_dates(t) -> DataFrame:
     )
     plain = F.to_json(F.struct(F.col("o_orderstatus").alias("overallStatus"), F.lit("1900").alias("version")))
     status = F.when(F.col("o_orderstatus") == "P", plain).otherwise(F.to_json(dated))
-    return t.orders.select("o_orderkey", status.alias("s")).select("o_orderkey", D.earliest_date("s").alias("first_date"), D.latest_date("s").alias("last_date"))
+    dates = t.orders.select("o_orderkey", D.dates_among(D.open_fields(status)).alias("dates"))
+    return dates.select("o_orderkey", D.earliest_date("dates").alias("first_date"), D.latest_date("dates").alias("last_date"))
 
 
 @query("code_maps", "E13 E14 E19", """
