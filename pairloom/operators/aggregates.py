@@ -117,18 +117,24 @@ def feature_summary(df: DataFrame, features: Sequence[str], by: str, accuracy: i
     )
 
 
+NARROW_BLOCK = 64  # up to this many pairs of features are aggregated as plain columns
+
+
 def correlations(df: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of each row feature with each column feature, over the rows where both are known.
 
-    Constant features give null. One grouped pass for up to 400 pairs; wider blocks go through partial sums
-    of products per task, so the shuffle carries one small matrix per task.
+    Constant features give null. Small blocks are one grouped pass; wider ones go through partial sums of
+    products per task, so the shuffle carries one small matrix per task.
     """
-    spark = df.sparkSession
     names = list(dict.fromkeys([*rows, *columns]))
     cast = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    if len(rows) * len(columns) <= 400:
+    if len(rows) * len(columns) <= NARROW_BLOCK:
+        def spread(c: str, known: str) -> Column:
+            return F.stddev_pop(F.when(F.col(known).isNotNull(), F.col(c)))
+
+        # Not F.corr: under ANSI rules it raises on a constant column instead of giving null.
         cells = [
-            F.struct(F.lit(r).alias("feature"), F.lit(c).alias("other"), F.nanvl(F.corr(r, c), F.lit(None).cast("double")).alias("r"))
+            F.struct(F.lit(r).alias("feature"), F.lit(c).alias("other"), F.try_divide(F.covar_pop(r, c), spread(r, c) * spread(c, r)).alias("r"))
             for r in rows
             for c in columns
         ]
