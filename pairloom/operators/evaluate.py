@@ -53,8 +53,9 @@ def threshold_counts(df: DataFrame, score: str, label: str) -> DataFrame:
 
 
 def _with_totals(points: DataFrame) -> DataFrame:
-    total = points.agg(F.sum("positives").alias("all_pos"), F.sum("negatives").alias("all_neg"))
-    return points.join(F.broadcast(total))  # one row
+    return points.withColumns({
+        "all_pos": points.agg(F.sum("positives")).scalar(), "all_neg": points.agg(F.sum("negatives")).scalar(),
+    })
 
 
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -129,8 +130,8 @@ def permutation_importance(
         label, "repeat", "_which",
         *[F.when(F.col("_which") == i, F.col(f"_given.{c}")).otherwise(F.col(c)).alias(c) for i, c in enumerate(features)],
     )
-    base = scores(model.transform(rows), label, "prediction").select(F.col("f1").alias("_base"))
-    each = scores(model.transform(swapped), label, "prediction", "repeat", "_which").join(F.broadcast(base))  # one row
+    base = scores(model.transform(rows), label, "prediction").select("f1").scalar()
+    each = scores(model.transform(swapped), label, "prediction", "repeat", "_which").withColumn("_base", base)
     names = F.array(*[F.lit(c) for c in features])
     drops = each.select(F.get(names, F.col("_which")).alias("feature"), (F.col("_base") - F.col("f1")).alias("_d"))
     out = drops.groupBy("feature").agg(F.avg("_d").alias("importance"), F.stddev_pop("_d").alias("deviation"))

@@ -16,11 +16,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .joins import hot_rows, salted_join
+from .joins import hot_rows, is_small, salted_join
 
 # Fixed value: what counts as a token of an id list or text.
 TOKEN_PATTERN = "[A-Za-z0-9_-]+"
 
+BROADCAST_TERMS = 500_000  # a vocabulary up to this size is sent to every task
+
 
 def bounded_values(df: DataFrame, column: str, limit: int) -> list:
     """Sorted distinct non-null values, for making one column per value; more than ``limit`` is an error."""
@@ -56,18 +58,21 @@ def tfidf(counts: DataFrame, doc_id: str, n_docs: int | Column | None = None) ->
     """Smooth TF-IDF weights with unit-length documents, in long form (doc, term, tf, df, weight).
 
     idf is ``ln((1 + n) / (1 + df)) + 1``; ``n_docs`` counts documents without tokens too when given.
-    Counts are read three times and therefore written once instead of tokenizing again. A term found in a large
-    share of the documents is a hot join key and is salted. The length of a document is taken over its own
-    distinct terms, which is no more than the document itself.
+    Counts are read several times and therefore written once instead of tokenizing again. A vocabulary that fits
+    is broadcast; with a larger one the counts are shuffled by term, and a term found in a large share of the
+    documents is salted. The length of a document is taken over its own distinct terms, which is no more than
+    the document itself.
     """
     counts = cut_lineage(counts)
     if n_docs is None:
         n_docs = counts.agg(F.count_distinct(doc_id)).scalar()
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = salted_join(counts, frequency, "term", hot_rows(frequency, "df", "term"), [doc_id]).withColumn(
-        "raw", F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
-    )
+    frequency = cut_lineage(counts.groupBy("term").agg(F.count("*").alias("df")))
+    if is_small(frequency, BROADCAST_TERMS):
+        found = counts.join(F.broadcast(frequency), "term")
+    else:
+        found = salted_join(counts, frequency, "term", hot_rows(frequency, "df", "term"), [doc_id])
+    raw = found.withColumn("raw", F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(doc_id)))
     return raw.select(doc_id, "term", "tf", "df", (F.col("raw") / length).alias("weight"))
 
@@ -86,8 +91,7 @@ def term_index(weights: DataFrame, limit: int = 1 << 20) -> DataFrame:
 def sparse_rows(weights: DataFrame, doc_id: str, index: DataFrame) -> DataFrame:
     """One sparse vector per document; its length is that of the vocabulary, its entries those of one document."""
     size = index.count()
-    terms = weights.groupBy("term").agg(F.count("*").alias("_n"))
-    numbered = salted_join(weights, index, "term", hot_rows(terms, "_n", "term"), [doc_id])
+    numbered = weights.join(F.broadcast(index), "term")  # the vocabulary is bounded by term_index
     entries = numbered.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("term_no", "weight"))).alias("_e"))
 
     return entries.select(doc_id, F.transform("_e", lambda e: e["term_no"].cast("int")).alias("indices"),

@@ -38,9 +38,14 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def is_small(df: DataFrame, limit: int) -> bool:
+    """Whether a table has at most ``limit`` rows; no more than that are counted."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def small_side(df: DataFrame, limit: int = 10_000) -> DataFrame:
     """Mark a table for broadcast when it has at most ``limit`` rows; a larger one is left to a shuffled join."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).limit(limit + 1).collect()) <= limit else df
+    return F.broadcast(df) if is_small(df, limit) else df
 
 
 def left_join_or(left: DataFrame, right: DataFrame, on: str | Sequence[str], defaults: Mapping[str, object]) -> DataFrame:

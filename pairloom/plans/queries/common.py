@@ -22,7 +22,8 @@ PAIRS = "pairs AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)"
 def part_nations(t) -> DataFrame:
     """Per part the ascending set of the nations of its suppliers (at most one entry per nation)."""
     sides = pairs(t).join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    return sides.groupBy("l_partkey").agg(F.array_sort(F.collect_set("s_nationkey")).alias("part_nations"))
+    found = sides.select("l_partkey", "s_nationkey").distinct()
+    return found.groupBy("l_partkey").agg(F.array_sort(F.collect_list("s_nationkey")).alias("part_nations"))
 
 
 PART_NATIONS = """part_nations AS (
@@ -32,9 +33,9 @@ PART_NATIONS = """part_nations AS (
 def supplier_nations(t) -> DataFrame:
     """Per supplier the ascending set of the nations of the customers it served."""
     buyers = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    served = t.lineitem.select("l_suppkey", "l_orderkey").distinct().join(buyers, "l_orderkey").select("l_suppkey", "c_custkey").distinct()
-    nations = served.join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey")
-    return nations.groupBy("l_suppkey").agg(F.array_sort(F.collect_set("c_nationkey")).alias("supplier_nations"))
+    nations = buyers.join(t.customer.select("c_custkey", "c_nationkey"), "c_custkey").select("l_orderkey", "c_nationkey")
+    served = t.lineitem.select("l_suppkey", "l_orderkey").join(nations, "l_orderkey").select("l_suppkey", "c_nationkey").distinct()
+    return served.groupBy("l_suppkey").agg(F.array_sort(F.collect_list("c_nationkey")).alias("supplier_nations"))
 
 
 SUPPLIER_NATIONS = """supplier_nations AS (
