@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml import Model
+from pyspark.ml import Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,18 +109,21 @@ def case_distributions(cases: DataFrame, features: Sequence[str]) -> DataFrame:
     return feature_summary(cases, features, "correct")
 
 
+SHIFT_STEP = 104_729  # a large prime, so that the distances of successive repeats are spread over the table
+
+
 def permutation_importance(
-    model: Model, df: DataFrame, features: Sequence[str], label: str, row_id: str, repeats: int = 10, seed: int = 42
+    model: Transformer, df: DataFrame, features: Sequence[str], label: str, row_id: str, repeats: int = 10, seed: int = 42
 ) -> DataFrame:
     """Mean and deviation of the drop in F1 when one feature's values are dealt out to other rows.
 
-    Rows get a seeded random position once; each repeat hands every row the values of the row a random distance
+    Rows get a seeded random position once; each repeat hands every row the values of the row a certain distance
     further on, so permuting costs one equi-join instead of a sort per feature and repeat.
     """
     rows = row_index(df.select(row_id, label, *features), shuffle_key(row_id, seed), row_id, name="_i")
     n = rows.count()
-    shifts = np.random.default_rng(seed).integers(1, max(n, 2), size=repeats)
-    rounds = F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(int(s)).alias("shift")) for r, s in enumerate(shifts)]))
+    shifts = [1 + (r * SHIFT_STEP + seed) % max(n - 1, 1) for r in range(repeats)]
+    rounds = F.explode(F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(s).alias("shift")) for r, s in enumerate(shifts)]))
     donors = rows.select(F.struct(*features).alias("_given"), "_i", rounds.alias("_r")).select(
         F.pmod(F.col("_i") + F.col("_r.shift"), F.lit(n)).alias("_i"), F.col("_r.repeat").alias("repeat"), "_given"
     )
@@ -149,7 +152,10 @@ def dependence_grid(df: DataFrame, feature: str, points: int = 100, low: float =
 
 
 def _positive_chance(scored: DataFrame) -> Column:
+    """Score of class 1: from a vector of a fitted model, or as a rule gives it."""
     name = "probability" if "probability" in scored.columns else "rawPrediction"
+    if scored.schema[name].dataType.typeName() == "double":
+        return F.col(name)
     return F.get(vector_to_array(name), F.lit(1))
 
 
@@ -157,7 +163,7 @@ def _literals(values: Sequence[float]) -> Column:
     return F.explode(F.array(*[F.lit(float(v)) for v in values]))
 
 
-def partial_dependence(model: Model, df: DataFrame, feature: str, grid: Sequence[float], row_id: str | None = None) -> DataFrame:
+def partial_dependence(model: Transformer, df: DataFrame, feature: str, grid: Sequence[float], row_id: str | None = None) -> DataFrame:
     """Mean score when every row takes each grid value of one feature; with ``row_id``, the curve of every row instead."""
     scored = model.transform(df.withColumn(feature, _literals(grid)))
     values = scored.withColumn("score", _positive_chance(scored))
@@ -166,14 +172,14 @@ def partial_dependence(model: Model, df: DataFrame, feature: str, grid: Sequence
     return values.groupBy(F.col(feature).alias("value")).agg(F.avg("score").alias("score")).orderBy("value")
 
 
-def partial_dependence_2d(model: Model, df: DataFrame, features: tuple[str, str], grids: tuple[Sequence[float], Sequence[float]]) -> DataFrame:
+def partial_dependence_2d(model: Transformer, df: DataFrame, features: tuple[str, str], grids: tuple[Sequence[float], Sequence[float]]) -> DataFrame:
     a, b = features
     scored = model.transform(df.withColumn(a, _literals(grids[0])).withColumn(b, _literals(grids[1])))
     values = scored.withColumn("score", _positive_chance(scored))
     return values.groupBy(F.col(a).alias("value_a"), F.col(b).alias("value_b")).agg(F.avg("score").alias("score")).orderBy("value_a", "value_b")
 
 
-def model_importance(spark, model: Model, features: Sequence[str]) -> DataFrame:
+def model_importance(spark, model: Transformer, features: Sequence[str]) -> DataFrame:
     """Importance the model itself gives to its inputs: tree importances, or absolute coefficients."""
     last = model.stages[-1] if hasattr(model, "stages") else model
     if hasattr(last, "featureImportances"):

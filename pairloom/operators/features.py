@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, NGram, Normalizer, PCA, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import HashingTF, NGram, Normalizer, PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg import Vectors as OldVectors
@@ -124,20 +124,18 @@ def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> D
 
 def standardized(df: DataFrame, vector: str = "features", out: str = "scaled") -> DataFrame:
     """Zero mean and unit population variance per dimension; a constant dimension becomes 0."""
-    model = StandardScaler(inputCol=vector, outputCol=out, withMean=True, withStd=True).fit(df)
-    n = df.count()
-    scaled = model.transform(df)
-    if n < 2:
-        return scaled
-    # The scaler divides by the sample deviation; the population one differs by a constant factor.
-    factor = float(np.sqrt(n / (n - 1)))
-    values = F.transform(vector_to_array(out), lambda x: x * factor)
-    return scaled.withColumn(out, array_to_vector(values))
+    stats = df.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(vector)).alias("s")).first()["s"]
+    mean, n = stats["mean"].toArray(), stats["count"]
+    deviation = np.sqrt(stats["variance"].toArray() * (n - 1) / n)
+    factor = np.divide(1.0, deviation, out=np.zeros_like(deviation), where=deviation > 0)
+    centred = F.zip_with(vector_to_array(vector), F.lit(mean.tolist()), lambda x, m: x - m)
+    return df.withColumn(out, array_to_vector(F.zip_with(centred, F.lit(factor.tolist()), lambda x, f: x * f)))
 
 
 def principal_components(df: DataFrame, k: int, vector: str = "features", out: str = "components") -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """Centred PCA: scores as an array column, explained-variance ratios, and loadings (axis x sqrt of variance)."""
-    mean, var = df.select(Summarizer.mean(F.col(vector)).alias("m"), Summarizer.variance(F.col(vector)).alias("v")).first()
+    stats = df.select(Summarizer.metrics("mean", "variance").summary(F.col(vector)).alias("s")).first()["s"]
+    mean, var = stats["mean"], stats["variance"]
     model = PCA(k=k, inputCol=vector, outputCol="_raw").fit(df)
     axes = model.pc.toArray()
     ratios = np.array(model.explainedVariance)
@@ -195,7 +193,8 @@ def discriminant_axis(df: DataFrame, vector: str, label: str, out: str = "discri
     center = (n0 * m0 + n1 * m1) / n
     between = sum(c * np.outer(m - center, m - center) for m, c in ((m0, n0), (m1, n1)))
     within = (_gram(df, vector, center) - between) / (n - 2)
-    axis = np.linalg.pinv(within) @ (m1 - m0)
+    scale = np.sqrt(np.where(np.diag(within) > 0, np.diag(within), 1.0))  # solve on the correlation scale: features differ in size
+    axis = np.linalg.pinv(within / np.outer(scale, scale)) @ ((m1 - m0) / scale) / scale
     axis = axis / np.sqrt(axis @ within @ axis)
     return _projected(df, vector, center, axis, out), axis
 

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed, Param, Params, TypeConverters
 from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import class_weights
@@ -196,8 +196,15 @@ def grid_search(
     return Search(name, scored, search.bestModel, tried[winner])
 
 
+def _scaled_like(train: DataFrame, columns: Sequence[str]) -> Column:
+    """Array of the columns, missing values filled with the mean of ``train`` and scaled by its population deviation."""
+    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    parts = [(F.coalesce(F.col(c).cast("double"), F.lit(stats[f"m_{c}"])) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in columns]
+    return F.array(*parts)
+
+
 def knn_search(
-    train: DataFrame, row_id: str, vector: str, label: str, fold: str, grid: Mapping[str, Sequence] | None = None,
+    train: DataFrame, row_id: str, columns: Sequence[str], label: str, fold: str, grid: Mapping[str, Sequence] | None = None,
 ) -> Search:
     """Grid search of the nearest-neighbour classifier: neighbours are found once per fold and metric for the largest k."""
     from .evaluate import scores
@@ -205,25 +212,27 @@ def knn_search(
     grid = dict(GRIDS["knn"] if grid is None else grid)
     folds = train.agg(F.max(fold)).first()[0] + 1
     found: dict[tuple, list[float]] = {}
-    for f, p in product(range(folds), grid.get("p", [2])):
-        queries, points = train.filter(F.col(fold) == f), train.filter(F.col(fold) != f)
-        near = nearest(
-            queries.withColumnRenamed(row_id, "_q"), points, "_q", row_id, vector, vector, max(grid["n_neighbors"]),
-            metric="manhattan" if p == 1 else "euclidean",
-        ).persist()
-        truth = queries.select(F.col(row_id).alias("_q"), label)
-        votes = [
-            vote_of_neighbours(near.filter(F.col("rank") <= k), points, "_q", row_id, label, w).select(
-                F.lit(k).alias("_k"), F.lit(w).alias("_w"), "_q", "prediction"
-            )
-            for k, w in product(grid["n_neighbors"], grid.get("weights", ["uniform"]))
-        ]
-        for r in scores(stacked(*votes).join(truth, "_q"), label, "prediction", "_k", "_w").collect():  # one row per choice
-            found.setdefault((r["_k"], r["_w"], p), []).append(r["f1"])
-        near.unpersist()
+    for f in range(folds):
+        known = train.filter(F.col(fold) != f)
+        vector = _scaled_like(known, columns)
+        points = known.withColumn("_v", vector)
+        queries = train.filter(F.col(fold) == f).withColumn("_v", vector).withColumnRenamed(row_id, "_q")
+        for p in grid.get("p", [2]):
+            metric = "manhattan" if p == 1 else "euclidean"
+            near = nearest(queries, points, "_q", row_id, "_v", "_v", max(grid["n_neighbors"]), metric=metric).persist()
+            votes = [
+                vote_of_neighbours(near.filter(F.col("rank") <= k), points, "_q", row_id, label, w).select(
+                    F.lit(k).alias("_k"), F.lit(w).alias("_w"), "_q", "prediction"
+                )
+                for k, w in product(grid["n_neighbors"], grid.get("weights", ["uniform"]))
+            ]
+            truth = queries.select("_q", label)
+            for r in scores(stacked(*votes).join(truth, "_q"), label, "prediction", "_k", "_w").collect():  # one row per choice
+                found.setdefault((r["_k"], r["_w"], p), []).append(r["f1"])
+            near.unpersist()
     rows = [
         {"model": "knn", "params": {"n_neighbors": k, "weights": w, "p": p}, "mean_score": float(np.mean(v)), "std_score": float(np.std(v))}
-        for (k, w, p), v in found.items()
+        for (k, w, p), v in sorted(found.items())
     ]
     best = max(rows, key=lambda r: r["mean_score"])
     return Search("knn", rows, None, best["params"])

@@ -16,7 +16,7 @@ from ...operators.sets import stacked
 from ...operators.similarity import nearest
 from ...session import cut_lineage, spread
 from ..registry import query
-from .common import part_nations, r6, supplier_nations
+from .common import PAIRS, PART_NATIONS, SUPPLIER_NATIONS, pairs, part_nations, r6, supplier_nations
 
 
 @query("multi_hot", "X3", "SELECT l_partkey, " + ", ".join(
@@ -145,3 +145,74 @@ def lda_axis(t) -> DataFrame:
 @query("pls_axes", "X15")
 def pls_axes(t) -> DataFrame:
     return X.pls_axes(vectors(t), "features", "label", 2)[0].select("vec_id", "label", "pls_0", "pls_1")
+
+
+def weights_sql(corpus: str) -> str:
+    """TF-IDF weights of a corpus of (entity, nation) rows."""
+    return f"""c AS ({corpus}), d AS (SELECT nation, count(*) AS df FROM c GROUP BY 1),
+r AS (SELECT entity, nation, ln((1 + (SELECT count(DISTINCT entity) FROM c))::DOUBLE / (1 + df)) + 1 AS raw FROM c JOIN d USING (nation)),
+w AS (SELECT entity, nation, raw / sqrt(sum(raw * raw) OVER (PARTITION BY entity)) AS weight FROM r)"""
+
+
+CORPUS = "SELECT 'part-' || l_partkey AS entity, nation FROM part_nations UNION ALL SELECT 'supplier-' || l_suppkey, nation FROM supplier_nations"
+
+
+@query("latent_similarity", "X7 X6 X10 U1", f"""
+WITH {PAIRS}, {PART_NATIONS}, {SUPPLIER_NATIONS}, {weights_sql(CORPUS)},
+s AS (SELECT a.entity AS a, b.entity AS b, sum(a.weight * b.weight) AS v FROM w a JOIN w b USING (nation)
+  WHERE starts_with(a.entity, 'part-') AND starts_with(b.entity, 'supplier-') GROUP BY 1, 2)
+SELECT 'part-' || l_partkey AS "left", 'supplier-' || l_suppkey AS "right", round(coalesce(v, 0), 6) + 0.0 AS similarity
+FROM pairs LEFT JOIN s ON a = 'part-' || l_partkey AND b = 'supplier-' || l_suppkey""")
+def latent_similarity(t) -> DataFrame:
+    """With as many components as there are tokens, latent vectors keep every product of the TF-IDF rows."""
+    weights = cut_lineage(X.tfidf(X.token_counts(entity_texts(t), "entity", "text"), "entity"))
+    rows = cut_lineage(X.sparse_rows(weights, "entity", X.term_index(weights)))
+    scores = cut_lineage(X.truncated_svd(rows, "entity", rows.select("size").first()[0])[0])
+    asked = pairs(t).select(F.concat(F.lit("part-"), "l_partkey").alias("left"), F.concat(F.lit("supplier-"), "l_suppkey").alias("right"))
+    found = X.pair_cosine(asked, scores.withColumnRenamed("entity", "left"), scores.withColumnRenamed("entity", "right"), "left", "right", "latent", "latent")
+    return found.withColumn("similarity", r6("similarity"))
+
+
+@query("component_lengths", "X8 X9", """
+WITH e AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+z AS (SELECT vec_id, (x - avg(x) OVER (PARTITION BY i)) / stddev_pop(x) OVER (PARTITION BY i) AS z FROM e)
+SELECT vec_id, round(sqrt(sum(z * z)), 6) AS length FROM z GROUP BY 1""")
+def component_lengths(t) -> DataFrame:
+    """All components together keep the length of every standardized row."""
+    scored, _, _ = X.principal_components(X.standardized(vectors(t)), 64, vector="scaled")
+    return scored.select("vec_id", r6(norm("components")).alias("length"))
+
+
+def line_features(t, names: list[str], *more) -> DataFrame:
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return X.assembled(t.lineitem.select(*keys, *names, *more), names)
+
+
+@query("lda_plane", "X14", """
+WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS a, l_extendedprice AS b, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem),
+m AS (SELECT avg(a) AS a, avg(b) AS b, avg(a) FILTER (y = 1) - avg(a) FILTER (y = 0) AS da, avg(b) FILTER (y = 1) - avg(b) FILTER (y = 0) AS db, count(*) AS n FROM x),
+c AS (SELECT y, avg(a) AS a, avg(b) AS b FROM x GROUP BY 1),
+s AS (SELECT sum((x.a - c.a) ** 2) / (count(*) - 2) AS aa, sum((x.b - c.b) ** 2) / (count(*) - 2) AS bb, sum((x.a - c.a) * (x.b - c.b)) / (count(*) - 2) AS ab FROM x JOIN c USING (y)),
+w AS (SELECT (bb * da - ab * db) / (aa * bb - ab * ab) AS wa, (aa * db - ab * da) / (aa * bb - ab * ab) AS wb, m.a, m.b, aa, bb, ab FROM m, s),
+u AS (SELECT *, sqrt(wa * wa * aa + 2 * wa * wb * ab + wb * wb * bb) AS len FROM w)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(((x.a - u.a) * wa + (x.b - u.b) * wb) / len, 4) + 0.0 AS discriminant FROM x, u""")
+def lda_plane(t) -> DataFrame:
+    rows = line_features(t, ["l_quantity", "l_extendedprice"], (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    scored, _ = X.discriminant_axis(rows, "features", "y")
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.round("discriminant", 4) + F.lit(0.0)).alias("discriminant"))
+
+
+@query("pls_plane", "X15", """
+WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER () AS a,
+  (l_discount - avg(l_discount) OVER ()) / stddev_samp(l_discount) OVER () AS b, (l_linenumber - avg(l_linenumber) OVER ()) / stddev_samp(l_linenumber) OVER () AS c,
+  (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER () AS y FROM lineitem),
+w1 AS (SELECT sum(a * y) AS a, sum(b * y) AS b, sum(c * y) AS c FROM x), n1 AS (SELECT *, sqrt(a * a + b * b + c * c) AS l FROM w1),
+t1 AS (SELECT x.*, (x.a * n1.a + x.b * n1.b + x.c * n1.c) / l AS t FROM x, n1),
+p1 AS (SELECT sum(a * t) / sum(t * t) AS a, sum(b * t) / sum(t * t) AS b, sum(c * t) / sum(t * t) AS c, sum(y * t) / sum(t * t) AS y FROM t1),
+x2 AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, t, t1.a - t * p1.a AS a, t1.b - t * p1.b AS b, t1.c - t * p1.c AS c, t1.y - t * p1.y AS y FROM t1, p1),
+w2 AS (SELECT sum(a * y) AS a, sum(b * y) AS b, sum(c * y) AS c FROM x2), n2 AS (SELECT *, sqrt(a * a + b * b + c * c) AS l FROM w2)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(t, 4) + 0.0 AS pls_0, round((x2.a * n2.a + x2.b * n2.b + x2.c * n2.c) / l, 4) + 0.0 AS pls_1 FROM x2, n2""")
+def pls_plane(t) -> DataFrame:
+    rows = X.assembled(t.lineitem.withColumn("line", F.col("l_linenumber").cast("double")), ["l_quantity", "l_discount", "line"])
+    scored, _ = X.pls_axes(rows, "features", "l_extendedprice", 2)
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[(F.round(c, 4) + F.lit(0.0)).alias(c) for c in ("pls_0", "pls_1")])

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...operators import evaluate as V
 from ...operators import graph as N
 from ...operators import models as M
-from ...operators.features import assembled, standardized
 from ...operators.ordering import stratified_folds, time_split
+from ...operators.similarity import nearest, vote_of_neighbours
+from ...session import shared_dir
 from ..registry import query
+from .common import r6
 from .linking import trade_graph
 
 SCORED = """scored AS (SELECT l.doc_id, l.quality, l.toxic, n_chars, round(n_chars / (n_chars + 1500.0), 2) AS score,
@@ -142,10 +148,8 @@ def model_margins(t) -> DataFrame:
 
 @query("model_knn", "M9 M10 X12")
 def model_knn(t) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    rows = standardized(assembled(folded(t), FEATURES)).select("doc_id", "quality", "fold", vector_to_array("scaled").alias("v")).persist()
-    found = M.knn_search(rows, "doc_id", "v", "quality", "fold", {"n_neighbors": [5, 20], "weights": ["uniform", "distance"], "p": [2]})
+    rows = folded(t).persist()
+    found = M.knn_search(rows, "doc_id", FEATURES, "quality", "fold", {"n_neighbors": [5, 20], "weights": ["uniform", "distance"], "p": [2]})
     rows.unpersist()
     return search_rows(t, [found])
 
@@ -158,10 +162,12 @@ def fitted(t):
     return Pipeline(stages=stages).fit(train), test
 
 
-@query("score_table", "M13 O9 V2")
+@query("score_table", "M12 M13 O9 V2")
 def score_table(t) -> DataFrame:
     model, test = fitted(t)
-    return M.score_table(model, test, ["doc_id", "quality"])
+    path = f"{shared_dir(t.spark)}/model-{uuid.uuid4().hex}"
+    M.save_model(model, path)
+    return M.score_table(M.load_model(path), test, ["doc_id", "quality"])
 
 
 @query("perm_importance", "V5")
@@ -197,3 +203,101 @@ def link_classifier(t) -> DataFrame:
     linked = N.link_features(weighted, "part", "l_partkey", "supplier", "l_suppkey", N.propagate(edges, nodes, 2))
     model = Pipeline(stages=M.classifier("logreg", {"C": 1.0}, 1, "success", "class_weight")).fit(linked)
     return V.scores(M.score_table(model, linked, ["success"]), "success", "prediction")
+
+
+# A fixed scoring rule in the place of a fitted model, so that what is done with a model can be checked exactly.
+RULE_SCORE = "n_chars / (n_chars + 1500.0D) * (1.0D - 0.5D * toxic)"
+
+
+def rule() -> SQLTransformer:
+    return SQLTransformer(statement=f"SELECT *, {RULE_SCORE} AS probability, CAST({RULE_SCORE} >= 0.4D AS INT) AS prediction FROM __THIS__")
+
+
+def rule_rows(t) -> DataFrame:
+    sizes = t.documents.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
+    return t.labels.select("doc_id", "quality", F.col("toxic").cast("double").alias("toxic")).join(sizes, "doc_id")
+
+
+RULE_ROWS = """x AS (SELECT l.doc_id, quality, CAST(toxic AS DOUBLE) AS toxic, CAST(n_chars AS DOUBLE) AS n_chars FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+
+def rule_sql(chars: str = "n_chars", toxic: str = "toxic") -> str:
+    return f"({chars} / ({chars} + 1500.0::DOUBLE) * (1.0::DOUBLE - 0.5::DOUBLE * {toxic}))"
+
+
+@query("rule_scores", "M13", f"""
+WITH {RULE_ROWS} SELECT doc_id, quality, CAST({rule_sql()} >= 0.4 AS INTEGER) AS prediction, round({rule_sql()}, 6) AS score FROM x""")
+def rule_scores(t) -> DataFrame:
+    scored = rule().transform(rule_rows(t))
+    return scored.select("doc_id", "quality", "prediction", F.round("probability", 6).alias("score"))
+
+
+REPEATS = 10
+
+F1 = "coalesce(2.0 * count(*) FILTER (quality = 1 AND p = 1) / nullif(2 * count(*) FILTER (quality = 1 AND p = 1) + count(*) FILTER (quality <> p), 0), 0)"
+
+
+@query("rule_importance", "V5 V2 O6", f"""
+WITH {RULE_ROWS}, r AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) - 1 AS i, count(*) OVER () AS n FROM x),
+base AS (SELECT {F1} AS f FROM (SELECT quality, CAST({rule_sql()} >= 0.4 AS INTEGER) AS p FROM x)),
+g AS (SELECT k, (i + 1 + (k * 104729 + 42) % (n - 1)) % n AS i, n_chars AS dc, toxic AS dt FROM r, range({REPEATS}) s(k)),
+v AS (SELECT 'n_chars' AS feature, k, quality, CAST({rule_sql('dc', 'toxic')} >= 0.4 AS INTEGER) AS p FROM r JOIN g USING (i)
+  UNION ALL SELECT 'toxic', k, quality, CAST({rule_sql('n_chars', 'dt')} >= 0.4 AS INTEGER) FROM r JOIN g USING (i)),
+e AS (SELECT feature, k, (SELECT f FROM base) - {F1} AS d FROM v GROUP BY 1, 2)
+SELECT feature, round(avg(d), 6) AS importance, round(stddev_pop(d), 6) AS deviation FROM e GROUP BY 1""")
+def rule_importance(t) -> DataFrame:
+    found = V.permutation_importance(rule(), rule_rows(t), ["n_chars", "toxic"], "quality", "doc_id", repeats=REPEATS)
+    return found.select("feature", F.round("importance", 6).alias("importance"), F.round("deviation", 6).alias("deviation"))
+
+
+SIZES = [float(100 * i) for i in range(1, 41)]
+
+
+@query("rule_dependence", "V6", f"""
+WITH {RULE_ROWS}, g AS (SELECT unnest({SIZES}::DOUBLE[]) AS v) SELECT v AS "value", round(avg({rule_sql('v')}), 6) AS score FROM x, g GROUP BY 1""")
+def rule_dependence(t) -> DataFrame:
+    return V.partial_dependence(rule(), rule_rows(t), "n_chars", SIZES).withColumn("score", F.round("score", 6))
+
+
+@query("rule_dependence_each", "V6", f"""
+WITH {RULE_ROWS}, g AS (SELECT unnest([0.0, 1.0]::DOUBLE[]) AS v) SELECT doc_id, v AS "value", round({rule_sql('n_chars', 'v')}, 6) AS score FROM x, g""")
+def rule_dependence_each(t) -> DataFrame:
+    rows = rule_rows(t)
+    made = V.partial_dependence(rule(), rows, "toxic", V.dependence_grid(rows, "toxic"), "doc_id")
+    return made.withColumn("score", F.round("score", 6))
+
+
+@query("rule_dependence_2d", "V7", f"""
+WITH {RULE_ROWS}, g AS (SELECT unnest({SIZES}::DOUBLE[]) AS a), h AS (SELECT unnest([0.0, 1.0]::DOUBLE[]) AS b)
+SELECT a AS value_a, b AS value_b, round(avg({rule_sql('a', 'b')}), 6) AS score FROM x, g, h GROUP BY 1, 2""")
+def rule_dependence_2d(t) -> DataFrame:
+    made = V.partial_dependence_2d(rule(), rule_rows(t), ("n_chars", "toxic"), (SIZES, [0.0, 1.0]))
+    return made.withColumn("score", F.round("score", 6))
+
+
+@query("imputed_features", "M1 X9", """
+WITH h AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance, CAST(c_nationkey AS DOUBLE) AS nation, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer),
+m AS (SELECT c_custkey, coalesce(balance, (SELECT avg(balance) FROM h)) AS balance, nation, segment FROM h),
+top AS (SELECT segment FROM h WHERE segment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, segment LIMIT 1)
+SELECT c_custkey, round((balance - avg(balance) OVER ()) / stddev_samp(balance) OVER (), 6) + 0.0 AS balance, round((nation - avg(nation) OVER ()) / stddev_samp(nation) OVER (), 6) + 0.0 AS nation,
+  coalesce(segment, (SELECT segment FROM top)) AS segment FROM m""")
+def imputed_features(t) -> DataFrame:
+    holed = t.customer.select(
+        "c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").cast("double").alias("nation"),
+        F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"),
+    )
+    ready = Pipeline(stages=M.preprocessing(["balance", "nation"])).fit(holed).transform(M.fill_most_frequent(holed, ["segment"]))
+    scaled = ready.select("c_custkey", "segment", vector_to_array("features").alias("f"))
+    return scaled.select("c_custkey", r6(F.get("f", F.lit(0))).alias("balance"), r6(F.get("f", F.lit(1))).alias("nation"), "segment")
+
+
+@query("neighbour_votes", "M9 X12", """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label >= 5 AS INTEGER) AS side FROM embeddings),
+d AS (SELECT a.vec_id, b.vec_id AS other_id, b.side, round(list_distance(a.v, b.v), 6) AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, other_id) AS place FROM d) WHERE place <= 7)
+SELECT vec_id, CAST(sum(side / distance) > sum((1 - side) / distance) AS INTEGER) AS prediction, round(sum(side / distance) / sum(1 / distance), 6) AS probability FROM k GROUP BY 1""")
+def neighbour_votes(t) -> DataFrame:
+    points = t.embeddings.select(F.col("vec_id").alias("other_id"), "embedding", (F.col("label") >= 5).cast("int").alias("side"))
+    near = nearest(t.embeddings, points, "vec_id", "other_id", "embedding", "embedding", 7, "euclidean", exclude_same=True)
+    voted = vote_of_neighbours(near, points, "vec_id", "other_id", "side", "distance")
+    return voted.withColumn("probability", F.round("probability", 6))

@@ -46,8 +46,7 @@ def test_grid_search(table, name, grid):
 
 
 def test_knn_search_and_summary(spark, table):
-    rows = table.dropna().withColumn("v", F.array("a", "b"))
-    found = M.knn_search(rows, "id", "v", "y", "fold", {"n_neighbors": [3, 9], "weights": ["uniform", "distance"], "p": [1, 2]})
+    found = M.knn_search(table, "id", ["a", "b"], "y", "fold", {"n_neighbors": [3, 9], "weights": ["uniform", "distance"], "p": [1, 2]})
     assert len(found.rows) == 8 and max(r["mean_score"] for r in found.rows) > 0.7
     other = M.Search("rf", [{"model": "rf", "params": {"max_depth": 3}, "mean_score": 0.1, "std_score": 0.0}])
     assert [r["model"] for r in M.summary(spark, [other, found]).collect()] == ["knn", "rf"]
