@@ -117,7 +117,7 @@ def feature_summary(df: DataFrame, features: Sequence[str], by: str, accuracy: i
     )
 
 
-NARROW_BLOCK = 64  # up to this many pairs of features are aggregated as plain columns
+NARROW_BLOCK = 10  # up to this many pairs of features are aggregated as plain columns; more make the compiled code too long to be fast
 
 
 def correlations(df: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -128,16 +128,15 @@ def correlations(df: DataFrame, rows: Sequence[str], columns: Sequence[str]) ->
     """
     names = list(dict.fromkeys([*rows, *columns]))
     cast = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    if len(rows) * len(columns) <= NARROW_BLOCK:
-        def spread(c: str, known: str) -> Column:
-            return F.stddev_pop(F.when(F.col(known).isNotNull(), F.col(c)))
-
-        # Not F.corr: under ANSI rules it raises on a constant column instead of giving null.
-        cells = [
-            F.struct(F.lit(r).alias("feature"), F.lit(c).alias("other"), F.try_divide(F.covar_pop(r, c), spread(r, c) * spread(c, r)).alias("r"))
-            for r in rows
-            for c in columns
-        ]
+    if len({frozenset((r, c)) for r in rows for c in columns if r != c}) <= NARROW_BLOCK:
+        def together(r: str, c: str) -> Column:
+            """Not F.corr: under ANSI rules it raises on a constant column instead of giving null."""
+            if r == c:
+                return F.when(F.min(r) < F.max(r), 1.0)
+            x, y = sorted((r, c))  # both orders share their aggregates
+            return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+
+        cells = [F.struct(F.lit(r).alias("feature"), F.lit(c).alias("other"), together(r, c).alias("r")) for r in rows for c in columns]
         return cast.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")
     return _wide_correlations(cast, list(rows), list(columns))
 

@@ -97,8 +97,15 @@ def group_places(counted: DataFrame, key: str, value: str, n: str) -> DataFrame:
     return placed.withColumn("before", F.col("_cum") - F.col(n) - F.col("_first")).drop("_cum", "_first")
 
 
+def window_places(counted: DataFrame, key: str, value: str, n: str) -> DataFrame:
+    """The same as ``group_places`` for groups known to be small: one shuffle by key."""
+    whole = W.partitionBy(key)
+    ahead = whole.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return counted.withColumns({"before": F.coalesce(F.sum(n).over(ahead), F.lit(0)), "group_size": F.sum(n).over(whole)})
+
+
 def median_part(value: Column | str, n: Column | str) -> Column:
-    """Summed over the rows of ``group_places`` of a group, this is the group's exact (interpolating) median."""
+    """Summed over a group of ``group_places`` or ``window_places``, this is the group's exact (interpolating) median."""
     value, n = (F.col(c) if isinstance(c, str) else c for c in (value, n))
     before, size = F.col("before"), F.col("group_size")
 

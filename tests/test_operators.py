@@ -199,9 +199,10 @@ def test_pair_evidence_rules(spark):
     assert got == {"p": (["failNone", "success3", "success3"], "1999-05", "2020-01"), "q": ([], "9999", "0000"), "r": ([], "9999", "0000")}
 
 
-def test_outcomes_from_rows_with_a_hot_key(spark):
+@pytest.mark.parametrize("small_group", [100_000, 10])
+def test_outcomes_from_rows_with_a_hot_key(spark, small_group):
     data = [("hot", (i % 100) / 100) for i in range(3000)] + [("a", 0.01), ("a", 0.3), ("a", 0.4), ("b", None)]
-    got = {r["k"]: (round(r["median"], 6), r["outcome"], r["values"]) for r in R.outcomes_from_rows(spark.createDataFrame(data, "k string, p double"), "k", "p").collect()}
+    got = {r["k"]: (round(r["median"], 6), r["outcome"], r["values"]) for r in R.outcomes_from_rows(spark.createDataFrame(data, "k string, p double"), "k", "p", small_group).collect()}
     # Both have a significant value and more than half above 0.2: conflicting, hence unknown.
     assert got == {"hot": (0.495, "unknown", 3000), "a": (0.3, "unknown", 3)}
 

@@ -47,3 +47,29 @@ def test_scan_reads_only_what_is_needed(spark):
     assert "GreaterThanOrEqual(l_quantity,30.0)" in text and "LessThanOrEqual(l_extendedprice,30000.0)" in text
     assert "l_shipdate" not in text
     assert "p_name" not in plan(QUERIES["pair_evidence"].run(Tables(spark, FOLDER)))
+
+
+def test_hot_join_key_is_split(spark):
+    from pyspark.sql import functions as F
+
+    from pairloom.operators.joins import star_join
+    from pairloom.session import configure
+
+    configure(spark)
+    lowered = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    for k, v in lowered.items():
+        spark.conf.set(k, v)
+    try:
+        key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 1000)
+        many = spark.range(0, 400_000, 1, 8).select(key.alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
+        one = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("w"))
+        counted = star_join(many, (one, "k")).groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("v"))
+        assert counted.agg(F.sum("n")).collect()[0][0] == 400_000
+        counted.collect()
+        assert "skew=true" in counted._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in lowered:
+            spark.conf.unset(k)
