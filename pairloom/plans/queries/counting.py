@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ...functions import arrays as A
 from ...functions import dates as D
 from ...operators import aggregates as G
-from ...operators import joins as J
 from ..registry import query
 from .common import PART_NATIONS, part_nations, r6
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +21,18 @@ RUNTIME_CONF = {
 }
 
 
+ARCHIVE = "pairloom-package"
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to an existing session."""
+    """Apply the run-time settings to an existing session and send the package to its Python workers."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    context = spark.sparkContext
+    if not any(f.endswith(f"{ARCHIVE}.zip") for f in context.listFiles):
+        package = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='pairloom-')}/{ARCHIVE}", "zip", package.parent, package.name))
     return spark
 
 
