@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import hosts, preference, sharding
+from . import hosts, preference, rules, sharding, tokens
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -120,3 +120,31 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has single conversations, so the rejected side of each is made from its neighbour's last reply."""
     turns = table(spark, sf_dir, "conversations")
     return preference.preference_examples(turns, preference.swapped_replies(turns), "conv_id")
+
+
+MIN_WORDS = 50
+
+
+@query("op7_quality_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judged(table(spark, sf_dir, "documents"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"),
+        F.round("p_good", 6).alias("p_good"), *[r.name for r in rules.rules()],
+    )
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+TOKEN_LIMIT = 2048
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
