@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import hosts, preference, rules, sharding, tokens
+from . import hosts, language, pieces, preference, quality, rules, sharding, tokens
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -148,3 +148,44 @@ TOKEN_LIMIT = 2048
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def remainder(id_column: str, of: int):
+    """crc32 of the id as text, modulo ``of``; decides what is held out of training."""
+    return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % of
+
+
+PREDICT_FROM = 0.3
+
+
+def quality_classifier(docs: DataFrame, labels: DataFrame) -> quality.Classifier:
+    marks = labels.where(remainder("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    return quality.fit(docs, marks)
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = quality.scored(docs, quality_classifier(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
+
+
+#: Rows of each language that the context trees are fitted on.
+TRAIN_PER_LANGUAGE = 500
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    return language.fit(language.train_rows(docs.where(remainder("doc_id", 4) != 2), TRAIN_PER_LANGUAGE))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language_model(docs))
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")

@@ -33,17 +33,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+MOST_POWERS = 4 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; grows by doubling and is kept."""
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept by the process up to MOST_POWERS."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 2 * (0 if have is None else len(have)) if n < SLICE_BYTES else n)
+        size = max(n, 1 << 16) if n > MOST_POWERS // 2 else max(1 << 16, 2 * n)
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if size <= 2 * SLICE_BYTES:
+        if size <= MOST_POWERS:
             _POWERS[base] = have
     return have[:n]
 
