@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import hosts, language, pieces, preference, quality, rules, sharding, tokens
+from . import hosts, language, pieces, preference, quality, rules, sharding, simhash, tokens
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -189,3 +189,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
+
+
+RADIUS = 4
+
+
+@query("op1_simhash")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = simhash.fingerprints(table(spark, sf_dir, "documents"), 4)
+    return simhash.groups(marked, RADIUS).select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
