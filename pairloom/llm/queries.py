@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import hosts, language, pieces, preference, quality, rules, sharding, simhash, tokens
+from . import decontaminate, hosts, language, pieces, preference, quality, rules, sharding, simhash, tokens
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -198,3 +198,9 @@ RADIUS = 4
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash.fingerprints(table(spark, sf_dir, "documents"), 4)
     return simhash.groups(marked, RADIUS).select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op2_decontamination")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per leaked benchmark item and document."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import graybits
 from .components import components
-from .words import Texts, mix, slices
+from .words import Texts, mix, slices, texts_of
 
 XXH_SEED = 42
 #: Rows of one group in a task; larger groups are cut into parts that meet pair by pair.
@@ -199,3 +199,61 @@ def groups(marked: DataFrame, radius: int = 4, blocks: int | None = None, id_col
     found = components(links(rows, radius, blocks))
     named = different.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     return marked.join(named, "fingerprint")
+
+
+def _shingle_set(texts: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the different shingles of every row, keys differing between rows; all words of a shorter text are one shingle."""
+    texts = texts.lower()
+    first, found = texts.windows(texts.hashes, size)
+    row = texts.text_of_word[first]
+    short = np.flatnonzero((texts.n_words > 0) & (texts.n_words < size))
+    whole = np.array([int(np.bitwise_xor.reduce(mix(texts.hashes[a:b] + np.arange(b - a, dtype=np.uint64)))) for a, b in zip(texts.word_bounds[short], texts.word_bounds[short + 1])], np.uint64)
+    row, found = np.concatenate([row, short]), np.concatenate([found, whole])
+    key, at = np.unique(found ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
+    return key, row[at]
+
+
+def similarities(left: Texts, right: Texts, size: int) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of two texts, row by row; 0 where neither has a word."""
+    (a, row), (b, other) = _shingle_set(left, size), _shingle_set(right, size)
+    both = np.bincount(row[np.isin(a, b, assume_unique=True)], minlength=left.n)
+    all_ = np.bincount(row, minlength=left.n) + np.bincount(other, minlength=left.n) - both
+    return both / np.maximum(all_, 1)
+
+
+def verified(found: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """The links (a, b) whose texts (node, text) have shingle sets that are at least ``least`` similar.
+
+    Only texts with a link pass the shuffle; one that has very many links is a hot key, which the adaptive skew join splits.
+    """
+    linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    wanted = cut_lineage(texts.join(linked, "node", "left_semi"))
+    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sides = pairs.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(wanted.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "left"):
+            kept = pa.array(similarities(texts, texts_of(part.column("right")), size) >= least)
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(kept)
+
+    return sides.mapInArrow(compare, "a long, b long")
+
+
+def near_groups(
+    docs: DataFrame, tables: int = 4, radius: int = 4, size: int = 5, min_similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text",
+) -> DataFrame:
+    """id and ``component_id``, the smallest id reachable over near copies: texts whose sets of ``size`` lower-cased words are at least ``min_similarity`` similar.
+
+    Equal texts are taken together first (null as empty). The others get ``tables`` SimHashes of their word sets; candidates differ in at
+    most ``radius`` bits in one of them, and each is verified on the whole texts. Of two texts at similarity 0.8 the word sets differ
+    by about 4.4 of 64 bits, so one table finds over half of such pairs and four find about 96 in 100, more above 0.8. What is linked is
+    always verified. Texts without words are alike only if equal. Ids must be whole numbers.
+    """
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    copies = cut_lineage(docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")))
+    first = cut_lineage(copies.groupBy("h", "g").agg(F.min("id").alias("node")))
+    kept = docs.select(F.col(id_column).cast("long").alias("node"), text.alias("text")).join(first.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    marked = word_fingerprints(kept, tables, "node").withColumnRenamed("fingerprint", "value")
+    found = components(verified(cut_lineage(links(marked, radius, nearest=True)), kept, size, min_similarity))
+    named = first.join(found, "node", "left").select("h", "g", F.coalesce("component", "node").alias("component_id"))
+    return copies.join(named, ["h", "g"]).select(F.col("id").alias(id_column), "component_id")
