@@ -7,11 +7,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .simhash import majority
-from .words import Texts, slices, texts_of
+from .words import Texts, keep_rows, slices, texts_of
 
 SHINGLE = 5
 #: 64 bits in 8 blocks: within 23 differing bits some block has at most two.
@@ -174,6 +175,16 @@ def compiled(ids: np.ndarray, texts: Texts, size: int = SHINGLE, radius: int = R
     return found
 
 
+def _portions(docs: DataFrame, benchmark: DataFrame, size: int, radius: int, item_column: str, item_text: str) -> Iterator[Broadcast]:
+    """The compiled benchmark in portions of about ITEM_BYTES of text, each sent to the executors."""
+    items = benchmark.select(F.col(item_column).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("item IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = int(total // ITEM_BYTES) + 1
+    for k in range(passes):
+        portion = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).distinct().orderBy("item", "text").toArrow()
+        yield docs.sparkSession.sparkContext.broadcast(compiled(portion.column("item").to_numpy(), texts_of(portion.column("text").combine_chunks()), size, radius))
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.8, size: int = SHINGLE, radius: int = RADIUS,
     id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text",
@@ -190,16 +201,11 @@ def leaks(
     Texts pass no shuffle. The benchmark is read in portions of about ITEM_BYTES of text, each searched in a pass over the texts. Null and
     empty texts and items give no rows; item ids must be whole numbers; repeated rows give repeated results; of equal windows the first is returned.
     """
-    items = benchmark.select(F.col(item_column).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("item IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = int(total // ITEM_BYTES) + 1
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     schema = f"id {kind}, item long, similarity double, bits long, first_word long, n_words long"
-    context, found = docs.sparkSession.sparkContext, None
-    for k in range(passes):
-        portion = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).distinct().orderBy("item", "text").toArrow()
-        shared = context.broadcast(compiled(portion.column("item").to_numpy(), texts_of(portion.column("text").combine_chunks()), size, radius))
+    found = None
+    for shared in _portions(docs, benchmark, size, radius, item_column, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for part, texts in slices(batches, "text"):
@@ -219,3 +225,20 @@ def leaks(
         one = source.mapInArrow(run, schema)
         found = one if found is None else found.unionByName(one)
     return found.withColumnRenamed("id", id_column).withColumnRenamed("item", item_column)
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, min_similarity: float = 0.8, size: int = SHINGLE, radius: int = RADIUS,
+    text_column: str = "text", item_column: str = "item_id", item_text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, with all columns, that ``leaks`` has no row for."""
+    for shared in _portions(docs, benchmark, size, radius, item_column, item_text):
+
+        def free(texts: Texts, _, shared=shared) -> np.ndarray:
+            lower, bad = texts.lower(), np.zeros(texts.n, bool)
+            for own in shared.value:
+                bad[own.search(lower, min_similarity)[0].astype(np.int64)] = True
+            return ~bad
+
+        docs = keep_rows(docs, text_column, free)
+    return docs

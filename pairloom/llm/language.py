@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import Texts, slices
+from .words import Texts, keep_rows, slices
 
 ORDER = 4
 UNKNOWN = "und"
@@ -82,8 +82,6 @@ def train_rows(docs: DataFrame, per_language: int, id_column: str = "doc_id", la
 
     The choice is made on ids and languages alone; texts are fetched for the chosen ids, at most ``per_language`` per language.
     """
-    from pyspark.sql import Window
-
     known = docs.where(F.col(lang_column).isNotNull())
     ids = known.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang")).distinct()
     best = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
@@ -122,6 +120,30 @@ def from_counts(counted: pd.DataFrame, order: int = ORDER) -> Model:
     return Model(languages, trees, order)
 
 
+def _judged(model: Model, texts: Texts, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(language, score, bits per byte) of each text."""
+    size = np.diff(texts.bounds)
+    known = letters.astype(bool) & bool(model.languages)
+    if not model.languages:
+        return np.full(texts.n, UNKNOWN, object), np.zeros(texts.n), np.zeros(texts.n)
+    codes, different = pd.factorize(grams(texts, model.order))
+    cost = model.code_lengths(different)
+    bits = np.empty((texts.n, len(model.languages)))
+    for j in range(len(model.languages)):
+        sums = np.zeros(len(codes) + 1)
+        np.cumsum(cost[codes, j], out=sums[1:])
+        bits[:, j] = np.diff(sums[texts.bounds])
+    best = bits.argmin(1)
+    least = bits[np.arange(texts.n), best]
+    share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+    names = np.array(model.languages, object)[best]
+    return np.where(known, names, UNKNOWN), np.where(known, share, 0.0), least / np.maximum(size, 1)
+
+
+def has_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The language whose contexts code the whole text in the fewest bits: id, lang_pred, score, bits_per_byte.
 
@@ -132,33 +154,21 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for part, texts in slices(batches, "text"):
-            size = np.diff(texts.bounds)
-            if own.languages:
-                codes, different = pd.factorize(grams(texts, own.order))
-                cost = own.code_lengths(different)
-                bits = np.empty((texts.n, len(own.languages)))
-                for j in range(len(own.languages)):
-                    sums = np.zeros(len(codes) + 1)
-                    np.cumsum(cost[codes, j], out=sums[1:])
-                    bits[:, j] = np.diff(sums[texts.bounds])
-                best = bits.argmin(1)
-                least = bits[np.arange(texts.n), best]
-                share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-                names = np.array(own.languages, object)[best]
-            else:
-                least, share, names = np.zeros(texts.n), np.zeros(texts.n), np.full(texts.n, UNKNOWN, object)
-            known = part.column("letters").to_numpy(zero_copy_only=False).astype(bool) & bool(own.languages)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("id"), pa.array(np.where(known, names, UNKNOWN), pa.string()), pa.array(np.where(known, share, 0.0)),
-                    pa.array(np.where(size > 0, least / np.maximum(size, 1), 0.0)),
-                ],
-                names=["id", "lang_pred", "score", "bits_per_byte"],
-            )
-
-    letters = F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), letters.alias("letters"))
+            names, share, bits = _judged(shared.value, texts, part.column("letters").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(names, pa.string()), pa.array(share), pa.array(bits)], names=["id", "lang_pred", "score", "bits_per_byte"])
+
+    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), has_letter(F.col(text_column)).alias("letters"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(score, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_column)
+
+
+def kept(docs: DataFrame, model: Model, least_score: float, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language with at least ``least_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def sure(texts: Texts, letters: np.ndarray) -> np.ndarray:
+        names, share, _ = _judged(shared.value, texts, letters)
+        return (names != UNKNOWN) & (share >= least_score)
+
+    return keep_rows(docs, text_column, sure, has_letter(F.col(text_column)))

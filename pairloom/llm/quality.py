@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import BYTE_CODE, SPACE, Texts, mix, slices, span_hashes
+from .words import BYTE_CODE, SPACE, Texts, keep_rows, mix, slices, span_hashes
 
 DIMENSIONS = 1 << 20
 
@@ -149,3 +149,9 @@ def scored(docs: DataFrame, classifier: Classifier, id_column: str = "doc_id", t
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", id_column)
+
+
+def kept(docs: DataFrame, classifier: Classifier, least_score: float, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``least_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    return keep_rows(docs, text_column, lambda texts, _: shared.value.score(texts) >= least_score)

@@ -227,7 +227,7 @@ def verified(found: DataFrame, texts: DataFrame, size: int, least: float) -> Dat
     Only texts with a link pass the shuffle; one that has very many links is a hot key, which the adaptive skew join splits.
     """
     linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    wanted = cut_lineage(texts.join(linked, "node", "left_semi"))
+    wanted = cut_lineage(texts.join(linked, "node", "left_semi").dropDuplicates(["node"]))
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = pairs.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(wanted.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
 
@@ -247,13 +247,13 @@ def near_groups(
     Equal texts are taken together first (null as empty). The others get ``tables`` SimHashes of their word sets; candidates differ in at
     most ``radius`` bits in one of them, and each is verified on the whole texts. Of two texts at similarity 0.8 the word sets differ
     by about 4.4 of 64 bits, so one table finds over half of such pairs and four find about 96 in 100, more above 0.8. What is linked is
-    always verified. Texts without words are alike only if equal. Ids must be whole numbers.
+    always verified. Texts without words are alike only if equal. Ids must be whole numbers that name one text each.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    copies = cut_lineage(docs.select(F.col(id_column).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")))
-    first = cut_lineage(copies.groupBy("h", "g").agg(F.min("id").alias("node")))
-    kept = docs.select(F.col(id_column).cast("long").alias("node"), text.alias("text")).join(first.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    marked = word_fingerprints(kept, tables, "node").withColumnRenamed("fingerprint", "value")
-    found = components(verified(cut_lineage(links(marked, radius, nearest=True)), kept, size, min_similarity))
+    rows = docs.select(F.col(id_column).cast("long").alias("node"), text.alias("text"))
+    copies = cut_lineage(rows.select("node", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")))
+    first = cut_lineage(copies.groupBy("h", "g").agg(F.min("node").alias("node")))
+    marked = word_fingerprints(rows, tables, "node").withColumnRenamed("fingerprint", "value").join(first.select("node").distinct(), "node", "left_semi").distinct()
+    found = components(verified(cut_lineage(links(marked, radius, nearest=True)), rows, size, min_similarity))
     named = first.join(found, "node", "left").select("h", "g", F.coalesce("component", "node").alias("component_id"))
-    return copies.join(named, ["h", "g"]).select(F.col("id").alias(id_column), "component_id")
+    return copies.join(named, ["h", "g"]).select(F.col("node").alias(id_column), "component_id")

@@ -6,13 +6,14 @@ Everything works on the UTF-8 bytes of a slice of an Arrow batch. Slices hold wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 
 SLICE_BYTES = 2 << 20
 #: White space between words: space and 9 to 13.
@@ -151,3 +152,24 @@ def slices(batches: Iterator[pa.RecordBatch], text_column: str, limit: int = SLI
             part = batch.slice(at, stop - at)
             yield part, texts_of(part.column(text_column))
             at = stop
+
+
+def keep_rows(docs: DataFrame, text_column: str, keep: Callable[[Texts, np.ndarray | None], np.ndarray], extra: Column | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, for which ``keep`` says so from their texts (and the values of ``extra``).
+
+    Nothing is shuffled. Columns keep their names and types, whatever they are called.
+    """
+    name, plain = "extra", extra is None
+    while name in docs.columns:
+        name += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, text_column):
+            if plain:
+                yield part.filter(pa.array(keep(texts, None)))
+            else:
+                values = part.column(name).to_numpy(zero_copy_only=False)
+                yield part.drop_columns([name]).filter(pa.array(keep(texts, values)))
+
+    source = docs if plain else docs.withColumn(name, extra)
+    return source.mapInArrow(run, docs.schema)
