@@ -98,9 +98,6 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine(a: Column | str, b: Column | str) -> Column:
-    return F.try_divide(dot(a, b), norm(a) * norm(b))
-
 
 def distinct_prefixes(path: Column | str, separator: str = ".") -> Column:
     """Every ancestor path of a separated path, itself included."""

@@ -63,9 +63,6 @@ def last_word(c: Column | str) -> Column:
     return F.try_element_at(F.split(F.trim(_col(c)), r"\s+"), F.lit(-1))
 
 
-def split_ids(c: Column | str, separator: str = ",") -> Column:
-    return F.split(_col(c), separator)
-
 
 def path_depth(c: Column | str) -> Column:
     return F.size(F.split(_col(c), r"\."))
@@ -142,9 +139,6 @@ def present_flag(c: Column | str) -> Column:
     return _col(c).isNotNull().cast("int")
 
 
-def missing_flag(c: Column | str) -> Column:
-    return _col(c).isNull().cast("int")
-
 
 # Handedness codes of a molecule record; -1 and any other code mean "not known" (null).
 CHIRALITY_NAMES = {2: "achiral", 1: "single_enantiomer", 0: "mixture"}

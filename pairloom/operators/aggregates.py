@@ -67,21 +67,18 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def shape_report(tables: Mapping[str, DataFrame], label: tuple[str, str] | None = None) -> DataFrame:
-    """Rows and columns of each table; ``label=(table, column)`` adds the value counts of one column as text."""
+    """Rows and columns of each table; ``label=(table, column)`` adds a row per value of one column with its count."""
     rows = [
         df.agg(F.count("*").alias("rows")).select(
-            F.lit(name).alias("table"), "rows", F.lit(len(df.columns)).cast("bigint").alias("columns")
+            F.lit(name).alias("table"), F.lit(None).cast("string").alias("label"), "rows", F.lit(len(df.columns)).cast("bigint").alias("columns")
         )
         for name, df in tables.items()
     ]
-    report = reduce(lambda a, b: a.unionByName(b), rows)
-    if label is None:
-        return report
-    table, column = label
-    counts = tables[table].groupBy(F.col(column).cast("string").alias("v")).agg(F.count("*").alias("n"))
-    items = F.array_sort(F.collect_list(F.concat_ws("=", F.coalesce("v", F.lit("null")), F.col("n").cast("string"))))
-    text = counts.agg(F.array_join(items, ", ").alias("labels")).select(F.lit(table).alias("table"), "labels")
-    return report.join(text, "table", "left")
+    if label is not None:
+        table, column = label
+        counts = tables[table].groupBy(F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("label")).agg(F.count("*").alias("rows"))
+        rows.append(counts.select(F.lit(table).alias("table"), "label", "rows", F.lit(None).cast("bigint").alias("columns")))
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
@@ -117,44 +114,24 @@ def feature_summary(df: DataFrame, features: Sequence[str], by: str, accuracy: i
     )
 
 
-NARROW_BLOCK = 10  # up to this many pairs of features are aggregated as plain columns; more make the compiled code too long to be fast
+MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+CONSTANT = 1e-12  # a spread below this share of the sum of squares is rounding
 
 
 def correlations(df: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of each row feature with each column feature, over the rows where both are known.
 
-    Constant features give null. Small blocks are one grouped pass; wider ones go through partial sums of
-    products per task, so the shuffle carries one small matrix per task.
+    Null and NaN are unknown. A feature that is constant over the shared rows gives null. Sums of products are matrix products
+    inside each task, added up per pair, so the shuffle carries one small matrix per task; values are shifted by the column
+    means first to keep the sums of squares accurate.
     """
     names = list(dict.fromkeys([*rows, *columns]))
-    cast = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    if len({frozenset((r, c)) for r in rows for c in columns if r != c}) <= NARROW_BLOCK:
-        def together(r: str, c: str) -> Column:
-            """Not F.corr: under ANSI rules it raises on a constant column instead of giving null."""
-            if r == c:
-                return F.when(F.min(r) < F.max(r), 1.0)
-            x, y = sorted((r, c))  # both orders share their aggregates
-            return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
-
-        cells = [F.struct(F.lit(r).alias("feature"), F.lit(c).alias("other"), together(r, c).alias("r")) for r in rows for c in columns]
-        return cast.agg(F.array(*cells).alias("_c")).select(F.explode("_c").alias("_c")).select("_c.*")
-    return _wide_correlations(cast, list(rows), list(columns))
-
-
-MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-
-def _wide_correlations(df: DataFrame, rows: list[str], columns: list[str]) -> DataFrame:
-    """Pairwise sums by matrix products inside each task, added up per pair.
-
-    Values are shifted by the column means first to keep the sums of squares accurate.
-    """
-    names = df.columns
-    means = df.agg(*[F.avg(c).alias(c) for c in names]).first()
+    cast = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in names])
+    means = cast.agg(*[F.avg(c).alias(c) for c in names]).first()
     shift = np.array([means[c] or 0.0 for c in names])
     at = {c: i for i, c in enumerate(names)}
     ri, ci = [at[r] for r in rows], [at[c] for c in columns]
-    grid_r, grid_c = np.repeat(rows, len(columns)), np.tile(columns, len(rows))
+    grid_r, grid_c = np.repeat(list(rows), len(columns)), np.tile(list(columns), len(rows))
 
     def partial_sums(batches):
         total = None
@@ -169,10 +146,12 @@ def _wide_correlations(df: DataFrame, rows: list[str], columns: list[str]) -> Da
             yield pd.DataFrame({"feature": grid_r, "other": grid_c, **{m: total[i].ravel() for i, m in enumerate(MOMENTS)}})
 
     schema = "feature string, other string, " + ", ".join(f"{m} double" for m in MOMENTS)
-    sums = df.mapInPandas(partial_sums, schema).groupBy("feature", "other").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    sums = cast.mapInPandas(partial_sums, schema).groupBy("feature", "other").agg(*[F.sum(m).alias(m) for m in MOMENTS])
     n, sx, sy, sxx, syy, sxy = [F.col(m) for m in MOMENTS]
-    spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
-    return sums.select("feature", "other", F.when(spread > 0, (n * sxy - sx * sy) / F.sqrt(spread)).alias("r"))
+    spread_x, spread_y = n * sxx - sx * sx, n * syy - sy * sy
+    varies = (spread_x > CONSTANT * n * sxx) & (spread_y > CONSTANT * n * syy)
+    value = F.when(F.col("feature") == F.col("other"), 1.0).otherwise((n * sxy - sx * sy) / F.sqrt(spread_x * spread_y))
+    return sums.select("feature", "other", F.when(varies, value).alias("r"))
 
 
 def missingness_correlations(df: DataFrame, missing: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -186,10 +165,8 @@ def yearly_stability(df: DataFrame, date_year: Column, flag: str, values: Sequen
     from .ordering import rolling_mean
 
     counts = crosstab(df.select(date_year.alias("year"), flag), "year", flag, values, names)
-    as_shares = shares(counts, names).select("year", *[F.col(n).alias(f"{n}_share") for n in names])
-    both = counts.withColumn("_y", F.coalesce("year", F.lit(-1))).join(
-        as_shares.withColumn("_y", F.coalesce("year", F.lit(-1))).drop("year"), "_y"
-    ).drop("_y")
+    total = reduce(lambda a, b: a + b, [F.col(n) for n in names])
+    both = counts.withColumns({f"{n}_share": F.try_divide(F.col(n).cast("double"), total) for n in names})
     measured = [*names, *[f"{n}_share" for n in names]]
     rolled = rolling_mean(both.withColumns({f"{m}_mean": F.col(m) for m in measured}), "year", [f"{m}_mean" for m in measured], rows)
     return rolled

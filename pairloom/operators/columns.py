@@ -70,7 +70,7 @@ def shared_columns(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
 def invariant_columns(df: DataFrame, keep: Sequence[str] = ()) -> list[str]:
     """Columns with exactly one distinct non-null value, found in one pass by comparing min and max."""
     tested = [f.name for f in df.schema.fields
-              if f.name not in keep and isinstance(f.dataType, (*NUMERIC, T.BooleanType, T.StringType))]
+              if f.name not in keep and isinstance(f.dataType, (*NUMERIC, T.BooleanType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType))]
     if not tested:
         return []
     row = df.agg(*[(F.min(c) == F.max(c)).alias(c) for c in tested]).first()

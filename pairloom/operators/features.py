@@ -6,48 +6,57 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, NGram, Normalizer, PCA, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .joins import hot_rows, is_small, salted_join
+from .joins import hot_rows, salted_join
 
 # Fixed value: what counts as a token of an id list or text.
 TOKEN_PATTERN = "[A-Za-z0-9_-]+"
 
-BROADCAST_TERMS = 500_000  # a vocabulary up to this size is sent to every task
-
-
-def bounded_values(df: DataFrame, column: str, limit: int) -> list:
-    """Sorted distinct non-null values, for making one column per value; more than ``limit`` is an error."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; too many to make columns of")
-    return sorted(r[0] for r in rows)
-
-
-def multi_hot(df: DataFrame, array: str, prefix: str = "cat_", classes: Sequence[str] | None = None, limit: int = 1000) -> DataFrame:
-    """One 0/1 column per class of an array column."""
-    if classes is None:
-        classes = bounded_values(df.select(F.explode(array).alias("class")), "class", limit)
+def multi_hot(df: DataFrame, array: str, classes: Sequence[str], prefix: str = "cat_") -> DataFrame:
+    """One 0/1 column per given class of an array column; for any number of classes see ``multi_hot_rows``."""
     flags = [F.coalesce(F.array_contains(array, F.lit(c)).cast("int"), F.lit(0)).alias(f"{prefix}{c}") for c in classes]
     return df.select(*[c for c in df.columns if c != array], *flags)
 
 
-def one_hot(df: DataFrame, column: str, values: Sequence[str] | None = None, limit: int = 1000) -> DataFrame:
-    """One 0/1 column per value but the first in sorted order (the baseline), and one for "missing"."""
-    values = bounded_values(df, column, limit) if values is None else sorted(values)
-    flags = [F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}__{v}") for v in values[1:]]
+def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
+    """One 0/1 column per given value but the first in sorted order (the baseline), and one for "missing"."""
+    flags = [F.coalesce((F.col(column) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}__{v}") for v in sorted(values)[1:]]
     missing = F.col(column).isNull().cast("int").alias(f"{column}__nan")
     return df.select(*[c for c in df.columns if c != column], *flags, missing)
 
 
+def class_index(df: DataFrame, column: str) -> DataFrame:
+    """(class, index): the distinct non-null values of a column, numbered in their order; there may be any number."""
+    from .ordering import row_index
+
+    return row_index(df.select(F.col(column).alias("class")).where("class IS NOT NULL").distinct(), "class", name="index")
+
+
+def multi_hot_rows(df: DataFrame, row_id: str, array: str) -> tuple[DataFrame, DataFrame]:
+    """Sparse 0/1 rows (row_id, indices) over all classes of an array column, and the classes by index.
+
+    Every row of ``df`` appears; without classes its list of indices is empty. ``row_id`` must be unique.
+    """
+    items = df.select(row_id, F.explode(F.array_distinct(array)).alias("class"))
+    index = class_index(items, "class")
+    found = items.join(index, "class").groupBy(row_id).agg(F.array_sort(F.collect_list("index")).alias("indices"))
+    rows = df.select(row_id).join(found, row_id, "left")
+    return rows.withColumn("indices", F.coalesce("indices", F.array().cast("array<bigint>"))), index
+
+
+def one_hot_rows(df: DataFrame, row_id: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """(row_id, index) with the class number of each row, 0 for the baseline and null for "missing", and the classes by index."""
+    index = class_index(df, column)
+    return df.select(row_id, F.col(column).alias("class")).join(index, "class", "left").select(row_id, "index"), index
+
+
 def token_counts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Lower-cased tokens of each text with their number of occurrences."""
     tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN_PATTERN), F.lit(0))
@@ -58,9 +67,8 @@ def tfidf(counts: DataFrame, doc_id: str, n_docs: int | Column | None = None) ->
     """Smooth TF-IDF weights with unit-length documents, in long form (doc, term, tf, df, weight).
 
     idf is ``ln((1 + n) / (1 + df)) + 1``; ``n_docs`` counts documents without tokens too when given.
-    Counts are read several times and therefore written once instead of tokenizing again. A vocabulary that fits
-    is broadcast; with a larger one the counts are shuffled by term, and a term found in a large share of the
-    documents is salted. The length of a document is taken over its own distinct terms, which is no more than
+    Counts are read several times and therefore written once instead of tokenizing again. A term found in a large share of
+    the documents is salted. The length of a document is taken over its own distinct terms, which is no more than
     the document itself.
     """
     counts = cut_lineage(counts)
@@ -68,54 +76,77 @@ def tfidf(counts: DataFrame, doc_id: str, n_docs: int | Column | None = None) ->
         n_docs = counts.agg(F.count_distinct(doc_id)).scalar()
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
     frequency = cut_lineage(counts.groupBy("term").agg(F.count("*").alias("df")))
-    if is_small(frequency, BROADCAST_TERMS):
-        found = counts.join(F.broadcast(frequency), "term")
-    else:
-        found = salted_join(counts, frequency, "term", hot_rows(frequency, "df", "term"), [doc_id])
+    found = salted_join(counts, frequency, "term", hot_rows(frequency, "df", "term"), [doc_id])
     raw = found.withColumn("raw", F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0))
     length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(doc_id)))
     return raw.select(doc_id, "term", "tf", "df", (F.col("raw") / length).alias("weight"))
 
 
-def term_index(weights: DataFrame, limit: int = 1 << 20) -> DataFrame:
-    """Dense number per term; a vocabulary above ``limit`` is an error, since models hold it in memory."""
-    from .ordering import row_index
+def _weighted_sums(entries: DataFrame, by: str, key: str, vectors: DataFrame) -> DataFrame:
+    """Per ``by``: the sum of weight times the vector of ``key``, as (by, v)."""
+    scaled = F.transform("v", lambda x: x * F.col("weight"))
+    joined = entries.join(vectors, key).select(by, array_to_vector(scaled).alias("_x"))
+    return joined.groupBy(by).agg(vector_to_array(Summarizer.sum(F.col("_x"))).alias("v"))
 
-    terms = weights.select("term").distinct()
-    indexed = row_index(terms, "term", name="term_no")
-    if indexed.count() > limit:
-        raise ValueError(f"vocabulary exceeds {limit} terms")
-    return indexed
 
+def _gram_of(vectors: DataFrame, k: int) -> np.ndarray:
+    """Sum of v v' over all rows: k x k numbers."""
+    return _gram(vectors.select(array_to_vector("v").alias("x")), "x", np.zeros(k))
 
-def sparse_rows(weights: DataFrame, doc_id: str, index: DataFrame) -> DataFrame:
-    """One sparse vector per document; its length is that of the vocabulary, its entries those of one document."""
-    size = index.count()
-    numbered = weights.join(F.broadcast(index), "term")  # the vocabulary is bounded by term_index
-    entries = numbered.groupBy(doc_id).agg(F.array_sort(F.collect_list(F.struct("term_no", "weight"))).alias("_e"))
 
-    return entries.select(doc_id, F.transform("_e", lambda e: e["term_no"].cast("int")).alias("indices"),
-                          F.transform("_e", lambda e: e["weight"]).alias("values"), F.lit(size).alias("size"))
+def _times(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """Every row's vector times a small matrix."""
 
+    @F.pandas_udf("array<double>")
+    def product(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(v.to_numpy()) @ matrix)) if len(v) else pd.Series([], dtype=object)
 
-def truncated_svd(rows: DataFrame, row_id: str, k: int, out: str = "latent") -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Uncentred SVD of sparse rows (indices, values, size): scores per row, singular values, right vectors.
+    return vectors.withColumn("v", product("v"))
 
-    Only the right vectors (vocabulary x k, bounded by ``term_index``) reach the driver; scores are the rows
-    times those vectors, computed where the rows are. The sign of a component is arbitrary.
-    """
-    size = rows.select("size").first()[0]
-    sparse = rows.select("indices", "values").rdd.map(lambda r: OldVectors.sparse(size, r[0], r[1]))
-    svd = RowMatrix(sparse).computeSVD(min(k, size), computeU=False)
-    right = svd.V.toArray()
-    held = rows.sparkSession.sparkContext.broadcast(right)
 
-    @F.pandas_udf("array<double>")
-    def project(indices: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([held.value[i].T @ v for i, v in zip(indices, values)])
+def truncated_svd(
+    entries: DataFrame, row_id: str, column: str, k: int, rounds: int = 30, extra: int = 8, out: str = "latent",
+) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """Uncentred SVD of a sparse matrix in long form (row_id, column, weight): scores per row, singular values, right vectors per column.
 
-    scores = rows.select(row_id, project("indices", "values").alias(out))
-    return scores, np.array(svd.s), right
+    Subspace iteration on k + ``extra`` vectors: rows times vectors and back are joins and sums, so neither side of the matrix
+    has to fit in memory; only k x k matrices reach the driver. It ends when the values no longer change, after ``rounds``
+    at most; up to k + extra columns the result is exact. Fewer components come back where the matrix has a smaller rank. The
+    sign of a component is such that its largest sum over the columns is positive.
+    """
+    entries = cut_lineage(entries.select(row_id, column, F.col("weight").cast("double").alias("weight")))
+    names = cut_lineage(entries.select(column).distinct())
+    n = names.count()
+    size = min(k + extra, max(n, 1))
+    if n <= size:
+        rounds = 0  # any basis spans the whole space
+    start = F.array(*[F.xxhash64(F.col(column), F.lit(j)) / F.lit(2.0**63) for j in range(size)])
+    right = cut_lineage(names.withColumn("v", start))
+    before = None
+    for _ in range(rounds):
+        values, axes = np.linalg.eigh(_gram_of(right, size))
+        largest = np.sort(values)[-k:]
+        if before is not None and len(before) == len(largest) and np.allclose(before, largest, rtol=1e-10, atol=0):
+            break
+        before = largest
+        used = values > values.max() * 1e-13 if len(values) and values.max() > 0 else np.zeros(len(values), bool)
+        if not used.any():
+            break
+        basis = _times(right, axes[:, used] / np.sqrt(values[used]))  # orthonormal columns
+        size = int(used.sum())
+        left = _weighted_sums(entries, row_id, column, basis)
+        right = cut_lineage(_weighted_sums(entries, column, row_id, left))
+    values, axes = np.linalg.eigh(_gram_of(right, size))
+    used = values > max(values.max(), 0) * 1e-13
+    right = cut_lineage(_times(right, axes[:, used] / np.sqrt(values[used])))
+    left = _weighted_sums(entries, row_id, column, right)
+    values, axes = np.linalg.eigh(_gram_of(left, int(used.sum())))
+    order = np.argsort(-values)[: min(k, len(values))]
+    turned = axes[:, order]
+    sums = right.select(Summarizer.sum(array_to_vector("v")).alias("s")).first()["s"]
+    if sums is not None:
+        turned = turned * np.where(sums.toArray() @ turned < 0, -1.0, 1.0)
+    return _times(left, turned).withColumnRenamed("v", out), np.sqrt(np.maximum(values[order], 0)), _times(right, turned)
 
 
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -166,14 +197,13 @@ def _gram(df: DataFrame, vector: str, center: np.ndarray, label: str | None = No
         for batch in batches:
             x = np.stack(batch["x"].to_numpy()) - center if len(batch) else np.zeros((0, p))
             total += x.T @ x
-        i, j = np.meshgrid(np.arange(p), np.arange(p), indexing="ij")
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+        yield pd.DataFrame({"i": np.arange(p), "row": list(total)})
 
-    cells = df.select(vector_to_array(vector).alias("x")).mapInPandas(partial, "i int, j int, v double")
-    summed = cells.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # p x p numbers
+    rows = df.select(vector_to_array(vector).alias("x")).mapInPandas(partial, "i int, row array<double>")
+    summed = rows.groupBy("i").agg(Summarizer.sum(array_to_vector("row")).alias("row")).collect()  # p rows
     out = np.zeros((p, p))
     for r in summed:
-        out[r["i"], r["j"]] = r["v"]
+        out[r["i"]] = r["row"].toArray()
     return out
 
 
@@ -228,24 +258,38 @@ def pls_axes(df: DataFrame, vector: str, target: str, k: int = 2, out: str = "pl
     return scored, np.stack(rotations, axis=1)
 
 
-def fingerprints(df: DataFrame, text: str, bits: int = 2048, n: int = 3, out: str = "fingerprint") -> DataFrame:
-    """Binary fingerprint of a structure string: hashed character n-grams of the whole text."""
-    chars = df.withColumn("_chars", F.filter(F.split(F.col(text), ""), lambda c: c != ""))
-    grams = NGram(n=n, inputCol="_chars", outputCol="_grams").transform(chars)
-    return HashingTF(numFeatures=bits, binary=True, inputCol="_grams", outputCol=out).transform(grams).drop("_chars", "_grams")
+# Weights of the three characters of a trigram in its bucket number.
+TRIGRAM_WEIGHTS = (961, 31, 1)
+
+
+def _buckets(text: Column | str, size: int) -> Column:
+    """Bucket number (as text) of every character trigram: a weighted sum of its code points modulo ``size``."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    a, b, c = TRIGRAM_WEIGHTS
+    n = F.greatest(F.size(codes) - 2, F.lit(0))
+    first, second, third = (F.slice(codes, i, n) for i in (1, 2, 3))
+    pairs = F.zip_with(first, second, lambda x, y: x * a + y * b)
+    return F.zip_with(pairs, third, lambda x, z: F.pmod(x + z * c, F.lit(size)).cast("string"))
+
+
+def _counted(df: DataFrame, buckets: Column, size: int, binary: bool, out: str) -> DataFrame:
+    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="_buckets", outputCol=out).setBinary(binary)
+    return model.transform(df.withColumn("_buckets", buckets)).drop("_buckets")
+
+
+def fingerprints(df: DataFrame, text: str, bits: int = 2048, out: str = "fingerprint") -> DataFrame:
+    """Binary fingerprint of a structure string: a bit per bucket of its character trigrams."""
+    return _counted(df, _buckets(F.coalesce(F.col(text), F.lit("")), bits), bits, True, out)
 
 
 def text_vectors(df: DataFrame, text: str, encoder: Callable[[Sequence[str]], np.ndarray] | None = None, out: str = "vector",
                  size: int = 256) -> DataFrame:
-    """Text to unit vector (array<double>). ``encoder`` takes a batch of texts and returns a matrix; the default
-    hashes character trigrams of the lower-cased text on the JVM."""
+    """Text to unit vector (array<double>). ``encoder`` takes a batch of texts and returns a matrix; the default counts
+    the buckets of the character trigrams of the lower-cased text, on the JVM."""
     if encoder is None:
-        lowered = df.withColumn("_text", F.lower(F.col(text)))
-        chars = lowered.withColumn("_chars", F.filter(F.split("_text", ""), lambda c: c != ""))
-        grams = NGram(n=3, inputCol="_chars", outputCol="_grams").transform(chars)
-        hashed = HashingTF(numFeatures=size, inputCol="_grams", outputCol="_tf").transform(grams)
-        unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(hashed)
-        return unit.withColumn(out, vector_to_array("_unit")).drop("_text", "_chars", "_grams", "_tf", "_unit")
+        counted = _counted(df, _buckets(F.lower(F.coalesce(F.col(text), F.lit(""))), size), size, False, "_tf")
+        unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counted)
+        return unit.withColumn(out, vector_to_array("_unit")).drop("_tf", "_unit")
 
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def where_true(df: DataFrame, condition: Column) -> DataFrame:
-    """Keep rows whose condition is true; unknown counts as false."""
-    return df.filter(F.coalesce(condition, F.lit(False)))
-
 
 def known_and(condition: Column) -> Column:
     """A condition that reads unknown as false, for use under ``~`` and ``|``."""

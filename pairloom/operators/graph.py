@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import shared_count
 from .ordering import row_index, top_k
 from .sets import id_union, stacked
 
-FLAT_WIDTH = 32  # up to this width a vector is averaged as plain columns, which compiles to a hash aggregate
 ENDS = ["src_kind", "src", "kind", "dst_kind", "dst"]
 
 
@@ -54,12 +52,20 @@ def map_edges(df: DataFrame, src_kind: str, src: str, mapping: str, kind: str, d
     return _edges(flat, src_kind, F.col("_s"), kind, dst_kind, F.col("_d"), F.col("_k").alias(attribute))
 
 
-def indexed_edges(edges: DataFrame, node_table: DataFrame) -> DataFrame:
-    """Add the node numbers of both ends; edges to unknown nodes are dropped."""
-    numbers = node_table.select("kind", "id", "idx")
-    starts = numbers.select(F.col("kind").alias("src_kind"), F.col("id").alias("src"), F.col("idx").alias("src_idx"))
-    ends = numbers.select(F.col("kind").alias("dst_kind"), F.col("id").alias("dst"), F.col("idx").alias("dst_idx"))
-    return edges.join(starts, ["src_kind", "src"]).join(ends, ["dst_kind", "dst"])
+def indexed_edges(edges: DataFrame, node_tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Add the node numbers of both ends; edges to unknown nodes are dropped.
+
+    Each kind of node is joined from a table of its own, so a kind with few nodes (tokens, to which many edges lead) is planned
+    by its own size.
+    """
+    def numbered(part: DataFrame, end: str) -> DataFrame:
+        found = [
+            part.where(F.col(f"{end}_kind") == kind).join(nodes.select(F.col("id").alias(end), F.col("idx").alias(f"{end}_idx")), end)
+            for kind, nodes in node_tables.items()
+        ]
+        return stacked(*found)
+
+    return numbered(numbered(edges, "src"), "dst").select(*edges.columns, "src_idx", "dst_idx")
 
 
 def with_reverse(edges: DataFrame, prefix: str = "rev_") -> DataFrame:
@@ -74,13 +80,14 @@ def with_reverse(edges: DataFrame, prefix: str = "rev_") -> DataFrame:
 def metapath_support(pairs: DataFrame, src: str, dst: str, src_edges: DataFrame, dst_edges: DataFrame, out: str = "paths") -> DataFrame:
     """Number of entity-token-entity paths of each given pair.
 
-    Paths are counted for the pairs asked for, from the token sets of both ends; listing every pair under a
-    common token would square the token's degree.
+    Paths are counted for the pairs asked for: the tokens of the one end are kept where the other end has them too. Listing every
+    pair under a common token would square the token's degree.
     """
-    left = src_edges.groupBy(F.col("src").alias(src)).agg(F.collect_set("dst").alias("_l"))
-    right = dst_edges.groupBy(F.col("src").alias(dst)).agg(F.collect_set("dst").alias("_r"))
-    both = pairs.join(left, src, "left").join(right, dst, "left")
-    return both.withColumn(out, shared_count("_l", "_r").cast("bigint")).drop("_l", "_r")
+    left = src_edges.select(F.col("src").alias(src), F.col("dst").alias("_t")).distinct()
+    right = dst_edges.select(F.col("src").alias(dst), F.col("dst").alias("_t")).distinct()
+    asked = pairs.select(src, dst).distinct()
+    counted = asked.join(left, src).join(right, [dst, "_t"]).groupBy(src, dst).agg(F.count("*").alias(out))
+    return pairs.join(counted, [src, dst], "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint"))
 
 
 def similarity_edges(scored: DataFrame, src_kind: str, src: str, dst_kind: str, dst: str, score: str, k: int = 5, kind: str = "similar") -> DataFrame:
@@ -90,29 +97,29 @@ def similarity_edges(scored: DataFrame, src_kind: str, src: str, dst_kind: str,
 
 
 def collapse(edges: DataFrame, priority: Column | str, *attributes: str) -> DataFrame:
-    """One edge per (src, dst): attributes of the edge written last."""
-    order = priority if isinstance(priority, Column) else F.col(priority)
-    kept = F.max_by(F.struct("kind", *attributes), order).alias("_a")
-    return edges.groupBy("src_kind", "src", "dst_kind", "dst").agg(kept).select("src_kind", "src", "dst_kind", "dst", "_a.*")
+    """One edge per (src, dst): attributes of the edge written last; of equals the smallest attributes."""
+    order = (priority if isinstance(priority, Column) else F.col(priority)).alias("_o")
+    ends = ["src_kind", "src", "dst_kind", "dst"]
+    ties = edges.select(*ends, order, F.struct("kind", *attributes).alias("_a")).groupBy(*ends, "_o").agg(F.min("_a").alias("_a"))
+    return ties.groupBy(*ends).agg(F.max_by("_a", "_o").alias("_a")).select("src_kind", "src", "dst_kind", "dst", "_a.*")
 
 
 def hop(edges: DataFrame, features: DataFrame, width: int) -> DataFrame:
     """One round of typed neighbour aggregation: mean over the in-neighbours per edge type, summed over types.
 
-    Vectors narrower than ``width`` are padded with zeros. Means are built by partial aggregation, so a node
-    with very many in-edges costs one partial mean per task.
+    Vectors narrower than ``width`` are padded with zeros; a null element does not count in its mean, and a mean over
+    none is zero. Sums are built by partial aggregation, so a node with very many in-edges costs one partial sum per task.
     """
     padded = F.slice(F.concat("features", F.array_repeat(F.lit(0.0), width)), 1, width)
     sources = features.select(F.col("kind").alias("src_kind"), F.col("id").alias("src"), padded.alias("_v"))
     messages = edges.select(*ENDS).join(sources, ["src_kind", "src"])
     by_type = messages.groupBy("dst_kind", "dst", "src_kind", "kind")
-    if width <= FLAT_WIDTH:
-        means = by_type.agg(*[F.avg(F.get("_v", F.lit(i))).alias(f"_{i}") for i in range(width)])
-        sums = means.groupBy("dst_kind", "dst").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(width)])
-        summed = sums.withColumn("_m", F.array(*[F.col(f"_{i}") for i in range(width)]))
-    else:
-        means = by_type.agg(Summarizer.mean(array_to_vector("_v")).alias("_m"))
-        summed = means.groupBy("dst_kind", "dst").agg(Summarizer.sum(F.col("_m")).alias("_m")).withColumn("_m", vector_to_array("_m"))
+    known = array_to_vector(F.transform("_v", lambda x: x.isNotNull().cast("double")))
+    totals = by_type.agg(
+        Summarizer.sum(array_to_vector(F.transform("_v", lambda x: F.coalesce(x, F.lit(0.0))))).alias("_t"), Summarizer.sum(known).alias("_n"),
+    )
+    means = totals.withColumn("_m", array_to_vector(F.zip_with(vector_to_array("_t"), vector_to_array("_n"), lambda t, n: F.when(n > 0, t / n).otherwise(0.0))))
+    summed = means.groupBy("dst_kind", "dst").agg(Summarizer.sum(F.col("_m")).alias("_m")).withColumn("_m", vector_to_array("_m"))
     return summed.select(F.col("dst_kind").alias("kind"), F.col("dst").alias("id"), F.col("_m").alias("features"))
 
 

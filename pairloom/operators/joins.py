@@ -38,16 +38,6 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def is_small(df: DataFrame, limit: int) -> bool:
-    """Whether a table has at most ``limit`` rows; no more than that are counted."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def small_side(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Mark a table for broadcast when it has at most ``limit`` rows; a larger one is left to a shuffled join."""
-    return F.broadcast(df) if is_small(df, limit) else df
-
-
 def left_join_or(left: DataFrame, right: DataFrame, on: str | Sequence[str], defaults: Mapping[str, object]) -> DataFrame:
     """Left outer join; the columns of ``right`` named in ``defaults`` never stay null."""
     joined = left.join(right, on, "left")
@@ -72,15 +62,18 @@ def map_elements(
 ) -> DataFrame:
     """Replace every element of an id array by its mapped values (one or many), dropping unmapped ones.
 
-    Order and duplicates of the array are kept; several values of one id come in ascending order.
+    Order and duplicates of the array are kept; several values of one id come in ascending order. Rows that share an
+    id are mapped apart: lists are regrouped by id and content, so only rows with equal lists share a result.
     """
     pairs = mapping.select(F.col(source).alias("_e"), F.col(target).alias("_v"))
-    elements = df.select(row_id, F.posexplode(array).alias("_pos", "_e"))
+    rows = df.select(F.col(row_id).alias("_id"), F.col(array).alias("_a")).distinct()
+    elements = rows.select("_id", "_a", F.posexplode("_a").alias("_pos", "_e"))
     found = elements.join(pairs, "_e")
-    lists = found.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("_pos", "_v"))).alias("_l"))
-    mapped = lists.select(row_id, F.transform("_l", lambda x: x["_v"]).alias(out))
+    lists = found.groupBy("_id", "_a").agg(F.array_sort(F.collect_list(F.struct("_pos", "_v"))).alias("_l"))
+    mapped = lists.select("_id", "_a", F.transform("_l", lambda x: x["_v"]).alias(out))
     empty = F.array().cast(mapped.schema[out].dataType)
-    return df.join(mapped, row_id, "left").withColumn(out, F.coalesce(F.col(out), empty))
+    same = F.col(row_id).eqNullSafe(F.col("_id")) & F.col(array).eqNullSafe(F.col("_a"))
+    return df.join(mapped, same, "left").drop("_id", "_a").withColumn(out, F.coalesce(F.col(out), empty))
 
 
 def keep_members(df: DataFrame, row_id: str, array: str, ids: DataFrame, id_column: str, out: str) -> DataFrame:
@@ -95,8 +88,10 @@ def multi_map(df: DataFrame, key: str, value: str, out: str = "members") -> Data
 
 
 def last_wins(df: DataFrame, key: str, value: str, order: Column | str) -> DataFrame:
-    """One value per key: that of the last row in ``order`` (a dictionary that is overwritten)."""
-    return df.groupBy(key).agg(F.max_by(value, order).alias(value))
+    """One value per key: that of the last row in ``order`` (a dictionary that is overwritten); of equals the smallest value."""
+    last = F.col(order) if isinstance(order, str) else order
+    ties = df.select(key, value, last.alias("_o")).groupBy(key, "_o").agg(F.min(value).alias(value))
+    return ties.groupBy(key).agg(F.max_by(value, "_o").alias(value))
 
 
 def look_up(df: DataFrame, key: str, mapping: DataFrame, value: str, default: object) -> DataFrame:
@@ -110,13 +105,23 @@ def attach_map(
     """Attach to each parent a map from a child attribute to the items of those children.
 
     Children are counted per (parent, key, item) before anything is gathered, so what is shuffled per parent
-    is its distinct items. Items come in ascending order, repeated as often as they occur unless
-    ``repeats`` is off. A missing key becomes ``no_key``; a parent without children gets null.
+    is its distinct items. Items come in ascending order as (item, n), n being how often they occur, or as plain items with
+    ``repeats`` off; ``repeated_items`` writes a counted list out. A missing key becomes ``no_key``; a parent without children gets null.
     """
     flat = children.select(parent, F.coalesce(F.col(key), F.lit(no_key)).alias("_k"), F.explode(items).alias("_i"))
     counted = flat.groupBy(parent, "_k", "_i").agg(F.count("*").cast("int").alias("_n"))
     listed = counted.groupBy(parent, "_k").agg(F.array_sort(F.collect_list(F.struct("_i", "_n"))).alias("_l"))
-    times = (lambda x: F.array_repeat(x["_i"], x["_n"])) if repeats else (lambda x: F.array(x["_i"]))
-    entries = listed.select(parent, F.struct(F.col("_k").alias("key"), F.flatten(F.transform("_l", times)).alias("value")).alias("_s"))
+    shown = (lambda x: F.struct(x["_i"].alias("item"), x["_n"].alias("n"))) if repeats else (lambda x: x["_i"])
+    entries = listed.select(parent, F.struct(F.col("_k").alias("key"), F.transform("_l", shown).alias("value")).alias("_s"))
     maps = entries.groupBy(parent).agg(F.map_from_entries(F.array_sort(F.collect_list("_s"))).alias(out))
     return parents.join(maps, parent, "left")
+
+
+def repeated_items(counted: Column) -> Column:
+    """A list of (item, n) written out, each item n times."""
+    return F.flatten(F.transform(counted, lambda x: F.array_repeat(x["item"], x["n"])))
+
+
+def plain_items(mapping: Column | str) -> Column:
+    """A map of counted lists as a map of the items alone."""
+    return F.transform_values(mapping, lambda _, counted: F.transform(counted, lambda x: x["item"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
@@ -12,16 +13,17 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PCA, Imputer, PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, HasSeed, Param, Params, TypeConverters
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .aggregates import class_weights
-from .joins import small_side
 from .sets import stacked
 from .similarity import nearest, vote_of_neighbours
 
@@ -30,9 +32,9 @@ GRIDS: dict[str, dict[str, list]] = {
     "knn": {"n_neighbors": [5, 10, 20, 30], "weights": ["uniform", "distance"], "p": [1, 2]},
     "logreg": {"C": [0.01, 0.1, 1, 10, 100], "l1_ratio": [0, 0.25, 0.5, 0.75, 1]},
     "svm_linear": {"C": [0.01, 0.1, 1, 10]},
-    "svm_poly": {"C": [0.1, 1, 10], "degree": [2, 3, 4]},
-    "svm_rbf": {"C": [0.1, 1, 10]},
-    "rf": {"n_estimators": [100, 300, 500], "max_depth": [None, 10, 20], "min_samples_leaf": [1, 2]},
+    "svm_poly": {"C": [0.1, 1, 10], "degree": [2, 3, 4], "gamma": ["scale", "auto"]},
+    "svm_rbf": {"C": [0.1, 1, 10], "gamma": ["scale", "auto"]},
+    "rf": {"n_estimators": [100, 300, 500], "max_depth": [None, 10, 20], "min_samples_split": [2, 5], "min_samples_leaf": [1, 2]},
     "gb": {"n_estimators": [100, 300], "max_depth": [3, 5], "learning_rate": [0.01, 0.05, 0.1], "subsample": [0.8, 1.0]},
     "xgb": {
         "n_estimators": [100, 300], "max_depth": [3, 5], "learning_rate": [0.01, 0.05, 0.1], "subsample": [0.8, 1.0],
@@ -50,52 +52,129 @@ FULL_NAMES = {
 DEEPEST = 30
 
 
-class RandomFourier(Transformer, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
-    """Random cosine features of a vector column: a linear model on them acts like one with an RBF kernel."""
+class KernelFeatures(Estimator, HasInputCol, HasOutputCol, HasSeed):
+    """Random features of a vector column on which a linear model acts like one with a kernel, RBF or polynomial.
+
+    ``width`` is "auto" (1 / dimensions) or "scale" (1 / (dimensions * variance of all values)), as fitted on the training rows. All
+    dimensions enter every feature, whatever their number.
+    """
+
+    def __init__(self, inputCol: str, outputCol: str, kernel: str, degree: int = 3, width: str = "scale", size: int = 256, seed: int = 42):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol, seed=seed)
+        self.kernel, self.degree, self.width, self.size = kernel, degree, width, size
+
+    def _fit(self, dataset: DataFrame) -> RandomFeatures:
+        s = dataset.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(self.getInputCol())).alias("s")).first()["s"]
+        mean, variance, n = s["mean"].toArray(), s["variance"].toArray(), s["count"]
+        spread = float(np.mean(variance * (n - 1) / max(n, 1) + mean**2) - np.mean(mean) ** 2)
+        gamma = 1.0 / len(mean) if self.width == "auto" or spread <= 0 else 1.0 / (len(mean) * spread)
+        return RandomFeatures(
+            inputCol=self.getInputCol(), outputCol=self.getOutputCol(), kernel=self.kernel, degree=self.degree, gamma=gamma, size=self.size, seed=self.getSeed(),
+        )
+
+
+class RandomFeatures(Model, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
+    """Random cosine features (RBF kernel), or products of ``degree`` random sign sums (polynomial kernel (gamma x.y)^degree)."""
 
     size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
-    gamma = Param(Params._dummy(), "gamma", "kernel width, 0 for 1/dimension", TypeConverters.toFloat)
+    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
+    degree = Param(Params._dummy(), "degree", "degree of the polynomial kernel", TypeConverters.toInt)
+    kernel = Param(Params._dummy(), "kernel", "rbf or poly", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, inputCol=None, outputCol=None, size=256, gamma=0.0, seed=42):
+    def __init__(self, inputCol=None, outputCol=None, kernel="rbf", degree=3, gamma=1.0, size=256, seed=42):
         super().__init__()
-        self._setDefault(size=256, gamma=0.0, seed=42)
+        self._setDefault(kernel="rbf", degree=3, gamma=1.0, size=256, seed=42)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        size, gamma, seed = self.getOrDefault("size"), self.getOrDefault("gamma"), self.getSeed()
+        size, gamma, degree, kernel, seed = (self.getOrDefault(p) for p in ("size", "gamma", "degree", "kernel", "seed"))
 
-        @F.pandas_udf("array<double>")
-        def cosines(vectors: pd.Series) -> pd.Series:
-            x = np.stack(vectors.to_numpy())
+        def features(x: np.ndarray) -> np.ndarray:
             rng = np.random.default_rng(seed)
-            width = gamma or 1.0 / x.shape[1]
-            w = rng.normal(0.0, np.sqrt(2 * width), (x.shape[1], size))
-            return pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ w + rng.uniform(0, 2 * np.pi, size))))
+            if kernel == "rbf":
+                w = rng.normal(0.0, np.sqrt(2 * gamma), (x.shape[1], size))
+                return np.sqrt(2.0 / size) * np.cos(x @ w + rng.uniform(0, 2 * np.pi, size))
+            out = np.full((len(x), size), np.sqrt(gamma**degree / size))
+            for _ in range(degree):
+                out *= x @ rng.choice([-1.0, 1.0], (x.shape[1], size))
+            return out
+
+        @F.pandas_udf("array<double>")
+        def mapped(vectors: pd.Series) -> pd.Series:
+            return pd.Series(list(features(np.stack(vectors.to_numpy()))))
+
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped(vector_to_array(self.getInputCol()))))
 
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(cosines(vector_to_array(self.getInputCol()))))
 
+class MostFrequent(Estimator):
+    """Most-frequent imputation of text columns; of several values the smallest. Fitted on the training rows in one pass."""
 
-def fill_most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace nulls of each column by its most frequent value (the smallest of several)."""
-    fills = {}
-    for c in columns:
-        top = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
-        if top:
-            fills[c] = top[c]
-    return df.fillna(fills)
+    def __init__(self, columns: Sequence[str]):
+        super().__init__()
+        self.columns = list(columns)
 
+    def _fit(self, dataset: DataFrame) -> FilledText:
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in self.columns])).alias("x")
+        counted = dataset.select(cells).select("x.*").where("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+        best = counted.groupBy("c").agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("v")).collect()  # one row per column
+        return FilledText(columns=[r["c"] for r in best], fills=[r["v"] for r in best])
 
-def with_class_weight(df: DataFrame, label: str, out: str = "class_weight") -> DataFrame:
-    """Balanced weight of each row's class."""
-    weights = class_weights(df, label).select(label, F.col("weight").alias(out))
-    return df.join(small_side(weights), label)
 
+class FilledText(Model, DefaultParamsReadable, DefaultParamsWritable):
+    columns = Param(Params._dummy(), "columns", "columns to fill", TypeConverters.toListString)
+    fills = Param(Params._dummy(), "fills", "value of each column", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, columns=None, fills=None):
+        super().__init__()
+        self._setDefault(columns=[], fills=[])
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        pairs = zip(self.getOrDefault("columns"), self.getOrDefault("fills"))
+        return dataset.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(dataset.schema[c].dataType)) for c, v in pairs})
+
+
+class BalancedWeight(Estimator):
+    """Adds the balanced weight of each row's class, with classes counted on the rows the pipeline is fitted on."""
+
+    def __init__(self, label: str, out: str = "class_weight"):
+        super().__init__()
+        self.label, self.out = label, out
+
+    def _fit(self, dataset: DataFrame) -> ClassWeights:
+        rows = class_weights(dataset, self.label).collect()  # one row per class
+        return ClassWeights(label=self.label, out=self.out, classes=[float(r[self.label]) for r in rows], weights=[float(r["weight"]) for r in rows])
 
-def preprocessing(columns: Sequence[str], out: str = "features") -> list:
-    """Mean imputation and standardization of numeric columns, fitted with the model on training rows only."""
+
+class ClassWeights(Model, DefaultParamsReadable, DefaultParamsWritable):
+    label = Param(Params._dummy(), "label", "label column", TypeConverters.toString)
+    out = Param(Params._dummy(), "out", "weight column", TypeConverters.toString)
+    classes = Param(Params._dummy(), "classes", "labels", TypeConverters.toListFloat)
+    weights = Param(Params._dummy(), "weights", "weight of each label", TypeConverters.toListFloat)
+
+    @keyword_only
+    def __init__(self, label=None, out=None, classes=None, weights=None):
+        super().__init__()
+        self._setDefault(classes=[], weights=[])
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        label, weight = self.getOrDefault("label"), F.lit(1.0)  # rows without a known label count once
+        if label in dataset.columns:
+            for c, w in zip(self.getOrDefault("classes"), self.getOrDefault("weights")):
+                weight = F.when(F.col(label).cast("double") == c, w).otherwise(weight)
+        return dataset.withColumn(self.getOrDefault("out"), weight)
+
+
+def preprocessing(columns: Sequence[str], out: str = "features", text: Sequence[str] = ()) -> list:
+    """Mean imputation and standardization of numeric columns and most-frequent imputation of ``text`` columns, fitted
+    with the model on training rows only."""
     filled = [f"{c}__filled" for c in columns]
     return [
+        *([MostFrequent(text)] if text else []),
         Imputer(strategy="mean", inputCols=list(columns), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="_assembled"),
         StandardScaler(inputCol="_assembled", outputCol=out, withMean=True, withStd=True),
@@ -105,35 +184,33 @@ def preprocessing(columns: Sequence[str], out: str = "features") -> list:
 def classifier(name: str, params: Mapping[str, object], rows: int, label: str, weight: str | None, seed: int = 42) -> list:
     """Pipeline stages of one model with one choice of parameters, on the column ``features``.
 
-    The strength ``C`` of a penalized model is turned into Spark's per-row ``regParam`` with the number of rows.
+    The strength ``C`` of a penalized model is turned into Spark's per-row ``regParam`` with the number of rows. Spark's trees
+    have no least size of a node to be split; a node of fewer than ``min_samples_split`` rows is kept whole by asking for half as
+    many in each part, which is a little stricter. With ``weight`` a first stage adds balanced class weights under that name.
     """
     p = dict(params)
     common = {"labelCol": label, "featuresCol": "features"}
+    first = []
     if weight and name != "gb":
         common["weightCol"] = weight
+        first = [BalancedWeight(label, weight)]
     reg = 1.0 / (float(p.get("C", 1.0)) * max(rows, 1))
     svc = {"regParam": reg, "maxIter": int(p.get("max_iter", 100)), "tol": 1e-3}
     if name == "logreg":
-        return [LogisticRegression(**common, regParam=reg, elasticNetParam=float(p.get("l1_ratio", 0)), maxIter=500, tol=1e-4)]
+        return [*first, LogisticRegression(**common, regParam=reg, elasticNetParam=float(p.get("l1_ratio", 0)), maxIter=500, tol=1e-4)]
     if name == "svm_linear":
-        return [LinearSVC(**common, **svc)]
-    if name == "svm_poly":
-        wide = {**common, "featuresCol": "_poly"}
-        return [
-            PCA(k=int(p.get("components", 8)), inputCol="features", outputCol="_pc"),
-            PolynomialExpansion(degree=int(p.get("degree", 3)), inputCol="_pc", outputCol="_poly"),
-            LinearSVC(**wide, **svc),
-        ]
-    if name == "svm_rbf":
-        wide = {**common, "featuresCol": "_rbf"}
-        return [RandomFourier(inputCol="features", outputCol="_rbf", seed=seed), LinearSVC(**wide, **svc)]
+        return [*first, LinearSVC(**common, **svc)]
+    if name in ("svm_poly", "svm_rbf"):
+        mapped = KernelFeatures("features", "_kernel", "poly" if name == "svm_poly" else "rbf", int(p.get("degree", 3)), str(p.get("gamma", "scale")), seed=seed)
+        return [*first, mapped, LinearSVC(**{**common, "featuresCol": "_kernel"}, **svc)]
     if name == "rf":
-        return [RandomForestClassifier(
+        least = max(int(p.get("min_samples_leaf", 1)), -(-int(p.get("min_samples_split", 2)) // 2))
+        return [*first, RandomForestClassifier(
             **common, numTrees=int(p.get("n_estimators", 300)), maxDepth=int(p.get("max_depth") or DEEPEST),
-            minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=seed,
+            minInstancesPerNode=least, seed=seed,
         )]
     if name in ("gb", "xgb"):
-        return [GBTClassifier(
+        return [*first, GBTClassifier(
             **common, maxIter=int(p.get("n_estimators", 300)), maxDepth=int(p.get("max_depth", 3)),
             stepSize=float(p.get("learning_rate", 0.05)), subsamplingRate=float(p.get("subsample", 1.0)),
             featureSubsetStrategy=str(p.get("colsample_bytree", "all")) if name == "xgb" and p.get("colsample_bytree", 1.0) != 1.0 else "all",
@@ -196,46 +273,82 @@ def grid_search(
     return Search(name, scored, search.bestModel, tried[winner])
 
 
-def _scaled_like(train: DataFrame, columns: Sequence[str]) -> Column:
-    """Array of the columns, missing values filled with the mean of ``train`` and scaled by its population deviation."""
-    stats = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    parts = [(F.coalesce(F.col(c).cast("double"), F.lit(stats[f"m_{c}"])) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in columns]
-    return F.array(*parts)
+class NearestModel(Model):
+    """A fitted nearest-neighbour classifier: the training points, how columns are scaled, and how neighbours vote."""
+
+    def __init__(self, points: DataFrame, columns: Sequence[str], label: str, stats: Mapping[str, Sequence[float]], k: int, weights: str, p: int):
+        super().__init__()
+        self.points, self.columns, self.label = points, list(columns), label
+        self.stats, self.k, self.weights, self.p = {c: tuple(v) for c, v in stats.items()}, k, weights, p
+
+    @classmethod
+    def fit_on(cls, train: DataFrame, row_id: str, columns: Sequence[str], label: str, k: int = 5, weights: str = "uniform", p: int = 2) -> NearestModel:
+        """Missing values get the column's mean; columns are scaled by their population deviation."""
+        row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+        stats = {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in columns}
+        model = cls(train, columns, label, stats, k, weights, p)
+        model.points = cut_lineage(train.select(F.col(row_id).alias("_point"), F.col(label).cast("int").alias(label), model.vector().alias("_v")))
+        return model
+
+    def vector(self) -> Column:
+        return F.array(*[(F.coalesce(F.col(c).cast("double"), F.lit(m)) - m) / d for c, (m, d) in self.stats.items()])
+
+    def neighbours(self, queries: DataFrame, k: int) -> DataFrame:
+        """The ``k`` nearest training points of rows (_query, _v)."""
+        return nearest(queries, self.points, "_query", "_point", "_v", "_v", k, metric="manhattan" if self.p == 1 else "euclidean")
+
+    def votes(self, near: DataFrame) -> DataFrame:
+        return vote_of_neighbours(near, self.points, "_query", "_point", self.label, self.weights)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        """Adds ``prediction`` and ``probability`` (of class 1); rows may repeat."""
+        rows = cut_lineage(dataset.withColumn("_query", F.monotonically_increasing_id()))
+        found = self.votes(self.neighbours(rows.select("_query", self.vector().alias("_v")), self.k))
+        return rows.join(found.select("_query", "prediction", "probability"), "_query", "left").drop("_query")
+
+    def store(self, path: str) -> None:
+        spark = self.points.sparkSession
+        self.points.write.mode("overwrite").parquet(f"{path}/points")
+        kept = {"columns": self.columns, "label": self.label, "stats": self.stats, "k": self.k, "weights": self.weights, "p": self.p}
+        spark.createDataFrame([(json.dumps(kept),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/nearest")
+
+    @classmethod
+    def read_from(cls, spark, path: str) -> NearestModel:
+        kept = json.loads(spark.read.text(f"{path}/nearest").first()[0])
+        return cls(spark.read.parquet(f"{path}/points"), kept["columns"], kept["label"], kept["stats"], kept["k"], kept["weights"], kept["p"])
 
 
 def knn_search(
     train: DataFrame, row_id: str, columns: Sequence[str], label: str, fold: str, grid: Mapping[str, Sequence] | None = None,
 ) -> Search:
-    """Grid search of the nearest-neighbour classifier: neighbours are found once per fold and metric for the largest k."""
+    """Grid search of the nearest-neighbour classifier: neighbours are found once per fold and metric for the largest k.
+
+    The best choice is refitted on all of ``train``.
+    """
     from .evaluate import scores
 
     grid = dict(GRIDS["knn"] if grid is None else grid)
     folds = train.agg(F.max(fold)).first()[0] + 1
     found: dict[tuple, list[float]] = {}
     for f in range(folds):
-        known = train.filter(F.col(fold) != f)
-        vector = _scaled_like(known, columns)
-        points = known.withColumn("_v", vector)
-        queries = train.filter(F.col(fold) == f).withColumn("_v", vector).withColumnRenamed(row_id, "_q")
+        held = train.filter(F.col(fold) == f)
         for p in grid.get("p", [2]):
-            metric = "manhattan" if p == 1 else "euclidean"
-            near = nearest(queries, points, "_q", row_id, "_v", "_v", max(grid["n_neighbors"]), metric=metric).persist()
-            votes = [
-                vote_of_neighbours(near.filter(F.col("rank") <= k), points, "_q", row_id, label, w).select(
-                    F.lit(k).alias("_k"), F.lit(w).alias("_w"), "_q", "prediction"
-                )
-                for k, w in product(grid["n_neighbors"], grid.get("weights", ["uniform"]))
-            ]
-            truth = queries.select("_q", label)
-            for r in scores(stacked(*votes).join(truth, "_q"), label, "prediction", "_k", "_w").collect():  # one row per choice
+            model = NearestModel.fit_on(train.filter(F.col(fold) != f), row_id, columns, label, max(grid["n_neighbors"]), p=p)
+            queries = cut_lineage(held.select(F.col(row_id).alias("_query"), label, model.vector().alias("_v")))
+            near = cut_lineage(model.neighbours(queries.select("_query", "_v"), model.k))
+            votes = []
+            for k, w in product(grid["n_neighbors"], grid.get("weights", ["uniform"])):
+                model.weights = w
+                votes.append(model.votes(near.filter(F.col("rank") <= k)).select(F.lit(k).alias("_k"), F.lit(w).alias("_w"), "_query", "prediction"))
+            truth = queries.select("_query", label)
+            for r in scores(stacked(*votes).join(truth, "_query"), label, "prediction", "_k", "_w").collect():  # one row per choice
                 found.setdefault((r["_k"], r["_w"], p), []).append(r["f1"])
-            near.unpersist()
     rows = [
         {"model": "knn", "params": {"n_neighbors": k, "weights": w, "p": p}, "mean_score": float(np.mean(v)), "std_score": float(np.std(v))}
         for (k, w, p), v in sorted(found.items())
     ]
-    best = max(rows, key=lambda r: r["mean_score"])
-    return Search("knn", rows, None, best["params"])
+    best = max(rows, key=lambda r: r["mean_score"])["params"]
+    return Search("knn", rows, NearestModel.fit_on(train, row_id, columns, label, best["n_neighbors"], best["weights"], best["p"]), best)
 
 
 def summary(spark, searches: Sequence[Search]) -> DataFrame:
@@ -250,19 +363,30 @@ def summary(spark, searches: Sequence[Search]) -> DataFrame:
 
 
 def save_model(model: Model, path: str) -> None:
-    model.write().overwrite().save(path)
+    if isinstance(model, NearestModel):
+        model.store(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str, spark: SparkSession | None = None) -> Model:
+    """A saved pipeline or nearest-neighbour model."""
+    spark = spark or SparkSession.active()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/nearest")
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return NearestModel.read_from(spark, path)
     return PipelineModel.load(path)
 
 
-def score_table(model: Model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Predicted class and, where the model gives one, the probability of class 1."""
+def score_table(model: Transformer, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Predicted class and, where the model gives one, the probability of class 1 (a vector by class, or the number itself)."""
     scored = model.transform(df)
-    if "probability" in scored.columns:
+    kinds = dict(scored.dtypes)
+    if kinds.get("probability") in ("double", "float"):
+        chance = F.col("probability").cast("double")
+    elif "probability" in kinds:
         chance = F.get(vector_to_array("probability"), F.lit(1))
-    elif "rawPrediction" in scored.columns:
+    elif "rawPrediction" in kinds:
         chance = F.get(vector_to_array("rawPrediction"), F.lit(1))
     else:
         chance = F.lit(None).cast("double")

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .joins import hot_rows, salted_join, small_side
+from .joins import hot_rows, salted_join
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
@@ -32,8 +32,8 @@ def top_k(df: DataFrame, keys: Sequence[str], k: int, *order: Column | str, rank
     window = W.partitionBy(*keys).orderBy(*order)
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
     if k > limit:
-        # Too many rows for the built-in group limit: thin out each of several parts of a key first.
-        parts = F.pmod(F.xxhash64(*df.columns), F.lit(64))
+        # Too many rows for the built-in group limit: thin out each of several parts of a key first. Any parts will do.
+        parts = F.pmod(F.monotonically_increasing_id(), F.lit(64))
         df = (
             df.withColumn("_part", parts)
             .withColumn("_rank", F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order)))
@@ -97,15 +97,8 @@ def group_places(counted: DataFrame, key: str, value: str, n: str) -> DataFrame:
     return placed.withColumn("before", F.col("_cum") - F.col(n) - F.col("_first")).drop("_cum", "_first")
 
 
-def window_places(counted: DataFrame, key: str, value: str, n: str) -> DataFrame:
-    """The same as ``group_places`` for groups known to be small: one shuffle by key."""
-    whole = W.partitionBy(key)
-    ahead = whole.orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return counted.withColumns({"before": F.coalesce(F.sum(n).over(ahead), F.lit(0)), "group_size": F.sum(n).over(whole)})
-
-
 def median_part(value: Column | str, n: Column | str) -> Column:
-    """Summed over a group of ``group_places`` or ``window_places``, this is the group's exact (interpolating) median."""
+    """Summed over a group of ``group_places``, this is the group's exact (interpolating) median."""
     value, n = (F.col(c) if isinstance(c, str) else c for c in (value, n))
     before, size = F.col("before"), F.col("group_size")
 
@@ -143,11 +136,11 @@ def value_at(df: DataFrame, column: str, fraction: float, *order: Column | str)
 def _class_index(df: DataFrame, label: str, order: Sequence[Column | str]) -> DataFrame:
     """Position of every row inside its class, with the class size; a class may hold any share of the rows.
 
-    The few classes there usually are get broadcast; with very many of them the join shuffles instead.
+    The join is planned from the size of the class table, which is small however many rows a class has.
     """
     placed = row_index(df, F.col(label), *order, name="_i")
     classes = placed.groupBy(label).agg(F.min("_i").alias("_first"), F.count("*").alias("_size"))
-    return placed.join(small_side(classes), label).withColumn("_k", F.col("_i") - F.col("_first")).drop("_i", "_first")
+    return placed.join(classes, label).withColumn("_k", F.col("_i") - F.col("_first")).drop("_i", "_first")
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, train: float = 0.85, seed: int = 42) -> DataFrame:

@@ -15,7 +15,7 @@ from ..session import cut_lineage
 from .columns import drop_invariant, first_columns, select_types, unnest
 from .filters import available
 from .joins import attach_map, left_join_or, look_up, star_join
-from .ordering import group_places, keep_first, median_part, top_items, window_places
+from .ordering import group_places, keep_first, median_part, top_items
 
 
 def with_outcome(df: DataFrame, p_values: str, out: str = "success") -> DataFrame:
@@ -52,19 +52,14 @@ def flatten_trials(trials: DataFrame, p_mode: str = "digits") -> DataFrame:
     return with_outcome(flat, "p_values")
 
 
-SMALL_GROUP = 100_000  # different values of one key that may meet in one task
-
-
-def outcomes_from_rows(measures: DataFrame, key: str, p: str, small_group: int = SMALL_GROUP) -> DataFrame:
+def outcomes_from_rows(measures: DataFrame, key: str, p: str) -> DataFrame:
     """Outcome per key when each p-value is a row of its own.
 
-    Equal values are counted first, so a hot key costs one row per different value. Where no key has more than
-    ``small_group`` of those the median comes from a window per key; beyond that it is read off global positions,
-    and no key meets in one task.
+    Equal values are counted first, so a hot key costs one row per different value; the median is read off global
+    positions, so no key meets in one task.
     """
-    counted = cut_lineage(measures.filter(F.col(p).isNotNull()).groupBy(key, p).agg(F.count("*").alias("_n")))
-    widest = counted.groupBy(key).agg(F.count("*").alias("_v")).agg(F.max("_v")).first()[0] or 0
-    rows = (window_places if widest <= small_group else group_places)(counted, key, p, "_n")
+    counted = measures.filter(F.col(p).isNotNull()).groupBy(key, p).agg(F.count("*").alias("_n"))
+    rows = group_places(counted, key, p, "_n")
     n, size = F.col("_n"), F.sum("_n")
     stats = rows.groupBy(key).agg(
         F.sum(median_part(p, "_n")).alias("median"),
@@ -87,7 +82,7 @@ def pair_evidence(
     tag (at most one entry per outcome and phase, however many children a pair has) and the earliest and latest
     date with sentinels when there is none. A child that is not in ``children`` adds nothing.
     """
-    linked = links.select(*pair, child).distinct()
+    linked = links.select(*pair, child).repartition(child).distinct()  # one shuffle serves this and the join
     known = children.select(child, outcome, phase, first, last)
     found = linked.join(known, child, "left")
     tags = found.groupBy(*pair, outcome, phase).agg(

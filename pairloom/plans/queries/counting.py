@@ -99,11 +99,12 @@ def corr_matrix(t) -> DataFrame:
     return G.correlations(t.lineitem, CORR, CORR).withColumn("r", r6("r"))
 
 
-WIDE = [f"e{i}" for i in range(24)]
+WIDE = [f"e{i}" for i in range(64)]
 
 
-@query("corr_wide", "A17 P10", "WITH w AS (SELECT " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(24)) + " FROM embeddings) " + " UNION ALL ".join(
-    f"SELECT '{a}' AS feature, '{b}' AS other, round(corr({a}, {b}), 6) + 0.0 AS r FROM w" for a in WIDE for b in WIDE))
+@query("corr_wide", "A17 P10", """
+WITH w AS (SELECT vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+SELECT 'e' || a.i AS feature, 'e' || b.i AS other, round(corr(a.x, b.x), 6) + 0.0 AS r FROM w a JOIN w b USING (vec_id) GROUP BY a.i, b.i""")
 def corr_wide(t) -> DataFrame:
     wide = t.embeddings.select(*[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(WIDE)])
     return G.correlations(wide, WIDE, WIDE).withColumn("r", r6("r"))
@@ -128,13 +129,13 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
 @query("feature_distribution", "A20", " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, l_returnflag, count({f}) AS n, round(avg({f}), 5) AS mean, round(stddev_samp({f}), 5) AS deviation, min({f}) + 0.0 AS low, max({f}) + 0.0 AS high "
-    f"FROM lineitem GROUP BY l_returnflag" for f in FEATURES))
+    f"SELECT '{f}' AS feature, l_returnflag, count({f}) AS n, round(avg({f}), 5) AS mean, round(stddev_samp({f}), 5) AS deviation, min({f}) + 0.0 AS low, max({f}) + 0.0 AS high, "
+    f"quantile_disc({f}, 0.25) + 0.0 AS q1, quantile_disc({f}, 0.5) + 0.0 AS q2, quantile_disc({f}, 0.75) + 0.0 AS q3 FROM lineitem GROUP BY l_returnflag" for f in FEATURES))
 def feature_distribution(t) -> DataFrame:
-    made = G.feature_summary(t.lineitem, FEATURES, "l_returnflag")
+    made = G.feature_summary(t.lineitem, FEATURES, "l_returnflag", accuracy=10_000_000)
     return made.select(
         "feature", "l_returnflag", "n", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"),
-        (F.col("low") + 0.0).alias("low"), (F.col("high") + 0.0).alias("high"),
+        (F.col("low") + 0.0).alias("low"), (F.col("high") + 0.0).alias("high"), *[(F.get("quartiles", F.lit(i)) + 0.0).alias(f"q{i + 1}") for i in range(3)],
     )
 
 

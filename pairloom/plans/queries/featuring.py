@@ -14,7 +14,7 @@ from ...operators.columns import numbered
 from ...operators.filters import beyond
 from ...operators.sets import stacked
 from ...operators.similarity import nearest
-from ...session import cut_lineage, spread
+from ...session import cut_lineage
 from ..registry import query
 from .common import PAIRS, PART_NATIONS, SUPPLIER_NATIONS, pairs, part_nations, r6, supplier_nations
 
@@ -23,20 +23,39 @@ from .common import PAIRS, PART_NATIONS, SUPPLIER_NATIONS, pairs, part_nations,
     f"CAST(count(*) FILTER (l_returnflag || l_linestatus = '{c}') > 0 AS INTEGER) AS cat_{c}" for c in ["AF", "AO", "NF", "NO", "RF", "RO"]) + " FROM lineitem GROUP BY 1")
 def multi_hot(t) -> DataFrame:
     sets = t.lineitem.groupBy("l_partkey").agg(F.collect_set(F.concat("l_returnflag", "l_linestatus")).alias("cats"))
-    return X.multi_hot(sets, "cats")
+    return X.multi_hot(sets, "cats", ["AF", "AO", "NF", "NO", "RF", "RO"])
+
+
+@query("multi_hot_rows", "X3", """
+WITH o AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity > 30), i AS (SELECT l_suppkey, row_number() OVER (ORDER BY l_suppkey) - 1 AS place FROM (SELECT DISTINCT l_suppkey FROM o))
+SELECT p_partkey, coalesce(string_agg(place, ',' ORDER BY place), '') AS indices FROM part LEFT JOIN (SELECT * FROM o JOIN i USING (l_suppkey)) ON p_partkey = l_partkey GROUP BY 1""")
+def multi_hot_rows(t) -> DataFrame:
+    """As many classes as there are suppliers, so rows are lists of indices instead of columns."""
+    sold = t.lineitem.where("l_quantity > 30").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_set("l_suppkey").alias("ids"))
+    rows, _ = X.multi_hot_rows(t.part.select("p_partkey").join(sold, "p_partkey", "left"), "p_partkey", "ids")
+    return rows.select("p_partkey", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("indices"))
+
+
+@query("one_hot_rows", "X4", """
+WITH n AS (SELECT p_partkey, nullif(p_name, (SELECT min(p_name) FROM part)) AS name FROM part), i AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS place FROM (SELECT DISTINCT name FROM n WHERE name IS NOT NULL))
+SELECT p_partkey, place AS "index" FROM n LEFT JOIN i USING (name)""")
+def one_hot_rows(t) -> DataFrame:
+    least = t.part.agg(F.min("p_name")).scalar()
+    rows, _ = X.one_hot_rows(t.part.select("p_partkey", F.nullif(F.col("p_name"), least).alias("name")), "p_partkey", "name")
+    return rows
 
 
 @query("one_hot_baseline", "X4", "SELECT p_partkey, " + ", ".join(
     f"coalesce(CAST(ty = '{v}' AS INTEGER), 0) AS ty__{v}" for v in ["LARGE", "MEDIUM", "PROMO", "STANDARD"])
     + ", CAST(ty IS NULL AS INTEGER) AS ty__nan FROM (SELECT p_partkey, nullif(p_type, 'SMALL') AS ty FROM part)")
 def one_hot_baseline(t) -> DataFrame:
-    return X.one_hot(t.part.select("p_partkey", F.nullif("p_type", F.lit("SMALL")).alias("ty")), "ty")
+    return X.one_hot(t.part.select("p_partkey", F.nullif("p_type", F.lit("SMALL")).alias("ty")), "ty", ["LARGE", "MEDIUM", "PROMO", "STANDARD", "ECONOMY"])
 
 
 @query("token_counts", "X5", """
 SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_-]+')) AS term FROM documents) GROUP BY 1, 2""")
 def token_counts(t) -> DataFrame:
-    return X.token_counts(spread(t.documents.select("doc_id", "text")), "doc_id", "text")
+    return X.token_counts(t.documents.select("doc_id", "text"), "doc_id", "text")
 
 
 @query("token_tfidf", "X5 X6 E5", """
@@ -46,7 +65,7 @@ r AS (SELECT doc_id, term, tf, df, tf * (ln((1 + (SELECT count(*) FROM documents
 SELECT doc_id, term, tf, df, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM r""")
 def token_tfidf(t) -> DataFrame:
     n = t.documents.agg(F.count("*")).scalar()
-    weights = X.tfidf(X.token_counts(spread(t.documents.select("doc_id", "text")), "doc_id", "text"), "doc_id", n)
+    weights = X.tfidf(X.token_counts(t.documents.select("doc_id", "text"), "doc_id", "text"), "doc_id", n)
     return weights.withColumn("weight", r6("weight"))
 
 
@@ -60,12 +79,39 @@ def entity_texts(t) -> DataFrame:
 
 @query("svd_scores", "X5 X6 X7 P10 U1")
 def svd_scores(t) -> DataFrame:
-    weights = cut_lineage(X.tfidf(X.token_counts(entity_texts(t), "entity", "text"), "entity"))
-    rows = cut_lineage(X.sparse_rows(weights, "entity", X.term_index(weights)))
-    scores, _, right = X.truncated_svd(rows, "entity", 10)
-    signs = F.array(*[F.lit(float(s)) for s in np.sign(right[np.abs(right).argmax(0), range(right.shape[1])])])
-    fixed = scores.withColumn("latent", F.zip_with("latent", signs, lambda x, s: F.round(x * s, 6) + F.lit(0.0)))
-    return numbered(fixed, "latent", "path_", right.shape[1])
+    weights = X.tfidf(X.token_counts(entity_texts(t), "entity", "text"), "entity")
+    scores, values, _ = X.truncated_svd(weights, "entity", "term", 50)
+    return numbered(scores.withColumn("latent", F.transform("latent", lambda x: r6(x))), "latent", "path_", len(values))
+
+
+@query("svd_plane", "X7", """
+WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, max(l_quantity / 50) AS a, max(l_extendedprice / 100000) AS b FROM lineitem GROUP BY 1, 2, 3, 4),
+g AS (SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab FROM x),
+e AS (SELECT *, (aa + bb) / 2 + sqrt(((aa - bb) / 2) ** 2 + ab * ab) AS v FROM g),
+w AS (SELECT ab / sqrt(ab * ab + (v - aa) ** 2) AS p, (v - aa) / sqrt(ab * ab + (v - aa) ** 2) AS q FROM e)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(a * p + b * q, 5) + 0.0 AS first, round(abs(b * p - a * q), 5) + 0.0 AS second FROM x, w""")
+def svd_plane(t) -> DataFrame:
+    """A matrix of two columns, whose components have a closed form."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    cells = F.array(*[F.struct(F.lit(n).alias("term"), c.alias("weight")) for n, c in (("a", F.col("l_quantity") / 50), ("b", F.col("l_extendedprice") / 100000))])
+    entries = t.lineitem.select(F.concat_ws("-", *keys).alias("row"), F.explode(cells).alias("c")).groupBy("row", "c.term").agg(F.max("c.weight").alias("weight"))
+    scores, _, _ = X.truncated_svd(entries, "row", "term", 2)
+    named = t.lineitem.select(*keys, F.concat_ws("-", *keys).alias("row")).distinct().join(scores, "row")
+    return named.select(*keys, (F.round(F.get("latent", F.lit(0)), 5) + F.lit(0.0)).alias("first"), (F.round(F.abs(F.get("latent", F.lit(1))), 5) + F.lit(0.0)).alias("second"))
+
+
+@query("explained_variance", "X8", """
+WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r, count(*) / (count(*) - 1.0::DOUBLE) AS f FROM lineitem)
+SELECT 1 AS component, round((1 + r) / 2, 6) AS ratio, round(sqrt(f * (1 + r) / 2), 6) AS loading, true AS strong FROM r
+UNION ALL SELECT 2, round((1 - r) / 2, 6), round(sqrt(f * (1 - r) / 2), 6), true FROM r""")
+def explained_variance(t) -> DataFrame:
+    """Two standardized columns: the ratios are (1 +- r) / 2, the loadings of both columns on an axis the root of its ratio."""
+    rows = X.standardized(line_features(t, ["l_quantity", "l_extendedprice"]))
+    _, ratios, loadings = X.principal_components(rows, 2, vector="scaled")
+    strong = X.strong_loadings(loadings, ["l_quantity", "l_extendedprice"])
+    found = [(i + 1, float(ratios[i]), float(np.abs(loadings[0, i])), len(strong) == 2) for i in range(2)]
+    made = t.spark.createDataFrame(found, "component int, ratio double, loading double, strong boolean")
+    return made.select("component", F.round("ratio", 6).alias("ratio"), F.round("loading", 6).alias("loading"), "strong")
 
 
 def vectors(t) -> DataFrame:
@@ -123,17 +169,33 @@ def nearest_manhattan(t) -> DataFrame:
 
 
 @query("text_vectors", "X11", """
-SELECT doc_id, 256 AS size, CASE WHEN length(text) >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents""")
+WITH c AS (SELECT doc_id, list_transform(string_split(lower(text), ''), lambda x: unicode(x)) AS c FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 256)) AS place FROM c WHERE len(c) >= 3),
+n AS (SELECT doc_id, place, count(*) AS n FROM g GROUP BY ALL)
+SELECT doc_id, CAST(place AS INTEGER) AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM n""")
 def text_vectors(t) -> DataFrame:
-    made = X.text_vectors(spread(t.documents.select("doc_id", "text")), "text")
-    return made.select("doc_id", F.size("vector").alias("size"), r6(norm("vector")).alias("length"))
+    made = X.text_vectors(t.documents.select("doc_id", "text"), "text")
+    return made.select("doc_id", F.posexplode("vector").alias("place", "weight")).where("weight > 0").select("doc_id", "place", r6("weight").alias("weight"))
+
+
+def structures(t) -> DataFrame:
+    return t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+
+
+@query("structure_bits", "X13", """
+WITH c AS (SELECT p_partkey, list_transform(string_split(concat_ws(' ', p_name, p_type, p_brand), ''), lambda x: unicode(x)) AS c FROM part)
+SELECT DISTINCT p_partkey, CAST(unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 2048)) AS INTEGER) AS bit FROM c WHERE len(c) >= 3""")
+def structure_bits(t) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    made = X.fingerprints(structures(t), "text").select("p_partkey", F.posexplode(vector_to_array("fingerprint")).alias("bit", "set"))
+    return made.where("set > 0").select("p_partkey", "bit")
 
 
 @query("fingerprint_components", "X13 X8 P10")
 def fingerprint_components(t) -> DataFrame:
-    texts = t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
-    scored, _, _ = X.principal_components(X.fingerprints(texts, "text", bits=256), 10, vector="fingerprint")
-    return numbered(scored.select("p_partkey", "components"), "components", "FP_", 10, start=1)
+    scored, _, _ = X.principal_components(X.fingerprints(structures(t), "text"), 100, vector="fingerprint")
+    return numbered(scored.select("p_partkey", "components"), "components", "FP_", 100, start=1)
 
 
 @query("lda_axis", "X14")
@@ -164,10 +226,9 @@ s AS (SELECT a.entity AS a, b.entity AS b, sum(a.weight * b.weight) AS v FROM w
 SELECT 'part-' || l_partkey AS "left", 'supplier-' || l_suppkey AS "right", round(coalesce(v, 0), 6) + 0.0 AS similarity
 FROM pairs LEFT JOIN s ON a = 'part-' || l_partkey AND b = 'supplier-' || l_suppkey""")
 def latent_similarity(t) -> DataFrame:
-    """With as many components as there are tokens, latent vectors keep every product of the TF-IDF rows."""
-    weights = cut_lineage(X.tfidf(X.token_counts(entity_texts(t), "entity", "text"), "entity"))
-    rows = cut_lineage(X.sparse_rows(weights, "entity", X.term_index(weights)))
-    scores = cut_lineage(X.truncated_svd(rows, "entity", rows.select("size").first()[0])[0])
+    """With 50 components for the 25 nations, latent vectors keep every product of the TF-IDF rows."""
+    weights = X.tfidf(X.token_counts(entity_texts(t), "entity", "text"), "entity")
+    scores = cut_lineage(X.truncated_svd(weights, "entity", "term", 50)[0])
     asked = pairs(t).select(F.concat(F.lit("part-"), "l_partkey").alias("left"), F.concat(F.lit("supplier-"), "l_suppkey").alias("right"))
     found = X.pair_cosine(asked, scores.withColumnRenamed("entity", "left"), scores.withColumnRenamed("entity", "right"), "left", "right", "latent", "latent")
     return found.withColumn("similarity", r6("similarity"))

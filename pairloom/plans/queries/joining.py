@@ -190,8 +190,8 @@ def map_attach(t) -> DataFrame:
     children = sold.select("p_partkey", "l_returnflag", F.array("s_nationkey").alias("items"))
     parents = J.attach_map(t.part.select("p_partkey"), children, "p_partkey", "l_returnflag", "items", "targets")
     text = F.array_join(F.transform(F.array_sort(F.map_entries("targets")), lambda e: F.concat(
-        e["key"], F.lit("="), F.array_join(F.transform(e["value"], lambda v: F.concat(v, F.lit(" "))), ""))), ";")
-    return parents.select("p_partkey", text.alias("targets"), F.size(A.map_members("targets")).cast("bigint").alias("members"))
+        e["key"], F.lit("="), F.array_join(F.transform(J.repeated_items(e["value"]), lambda v: F.concat(v, F.lit(" "))), ""))), ";")
+    return parents.select("p_partkey", text.alias("targets"), F.size(A.map_members(J.plain_items("targets"))).cast("bigint").alias("members"))
 
 
 @query("bind_columns", "J15", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ...operators import trials as R
 from ...operators.ordering import keep_first
-from ...session import spread
+from ...operators.joins import repeated_items
 from ..registry import query
 from .common import PAIRS, PART_NATIONS, SUPPLIER_NATIONS, pairs, part_nations, r6, supplier_nations
 
@@ -68,7 +68,7 @@ def trial_records(t) -> DataFrame:
         measure(F.concat(F.lit("0."), text(F.col("o_orderkey") % 9, 1))),
         measure(F.lit("NS")),
     )
-    return spread(t.orders).select(
+    return t.orders.select(
         (F.col("o_custkey") % 4 != 0).alias("hasResults"),
         F.struct(
             F.struct(F.concat(F.lit("NCT"), "o_orderkey").alias("nctId")).alias("identificationModule"), status.alias("statusModule"), design.alias("designModule")
@@ -158,7 +158,7 @@ def drug_flatten(t) -> DataFrame:
     )
     flat = R.flatten_drugs(drugs, mechanisms, drop=["helm_notation"])
     text = F.array_join(F.transform(F.array_sort(F.map_entries("targets")), lambda e: F.concat(
-        e["key"], F.lit(":"), F.array_join(F.transform(e["value"], lambda v: F.concat(v, F.lit(" "))), ""))), ";")
+        e["key"], F.lit(":"), F.array_join(F.transform(repeated_items(e["value"]), lambda v: F.concat(v, F.lit(" "))), ""))), ";")
     return flat.withColumn("targets", text)
 
 

@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from ...operators import evaluate as V
 from ...operators import graph as N
 from ...operators import models as M
-from ...operators.ordering import stratified_folds, time_split
+from ...operators.ordering import stratified_folds, stratified_split, time_split
 from ...operators.similarity import nearest, vote_of_neighbours
-from ...session import shared_dir
+from ...operators.sets import stacked
+from ...session import cut_lineage, shared_dir
 from ..registry import query
-from .common import r6
-from .linking import trade_graph
+from .common import PART_NATIONS, SUPPLIER_NATIONS, r6
+from .linking import token_edges, trade_graph
 
 SCORED = """scored AS (SELECT l.doc_id, l.quality, l.toxic, n_chars, round(n_chars / (n_chars + 1500.0), 2) AS score,
   CASE WHEN round(n_chars / (n_chars + 1500.0), 2) >= 0.4 THEN 1 ELSE 0 END AS predicted FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
@@ -84,10 +85,10 @@ def case_correlations(t) -> DataFrame:
 
 @query("case_distributions", "V10 A20", f"WITH {SCORED} " + " UNION ALL ".join(
     f"SELECT '{f}' AS feature, CAST(quality = predicted AS INTEGER) AS correct, count(*) AS n, round(avg({f}), 5) AS mean, round(stddev_samp({f}), 5) AS deviation, "
-    f"CAST(min({f}) AS DOUBLE) AS low, CAST(max({f}) AS DOUBLE) AS high FROM scored GROUP BY 2" for f in ("n_chars", "toxic")))
+    f"CAST(min({f}) AS DOUBLE) AS low, CAST(max({f}) AS DOUBLE) AS high, CAST(quantile_disc({f}, 0.25) AS DOUBLE) AS q1, CAST(quantile_disc({f}, 0.5) AS DOUBLE) AS q2, CAST(quantile_disc({f}, 0.75) AS DOUBLE) AS q3 FROM scored GROUP BY 2" for f in ("n_chars", "toxic")))
 def case_distributions(t) -> DataFrame:
     made = V.case_distributions(V.case_table(scored(t), "quality", "predicted"), ["n_chars", "toxic"])
-    return made.select("feature", "correct", "n", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"), "low", "high")
+    return made.select("feature", "correct", "n", F.round("mean", 5).alias("mean"), F.round("deviation", 5).alias("deviation"), "low", "high", *[F.get("quartiles", F.lit(i)).alias(f"q{i + 1}") for i in range(3)])
 
 
 FEATURES = ["n_chars", "n_words", "n_lines", "digit_share", "upper_share"]
@@ -102,61 +103,55 @@ def document_features(t) -> DataFrame:
         (F.length(F.regexp_replace("text", "[^0-9]", "")) / size).alias("digit_share"),
         (F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")) / size).alias("upper_share"),
     )
-    labelled = t.labels.select("doc_id", F.col("quality").cast("double").alias("quality"))
-    return M.with_class_weight(labelled.join(stats, "doc_id"), "quality")
+    return t.labels.select("doc_id", F.col("quality").cast("double").alias("quality")).join(stats, "doc_id")
 
 
-def folded(t, folds: int = 3) -> DataFrame:
-    return stratified_folds(document_features(t), "quality", folds, "doc_id")
+FOLDS = 5
 
 
-def search_rows(t, searches: list[M.Search]) -> DataFrame:
-    return M.summary(t.spark, searches)
+def folded(t) -> DataFrame:
+    """Labelled documents with a fold each, written once, as every fit reads them."""
+    return cut_lineage(stratified_folds(document_features(t), "quality", FOLDS, "doc_id"))
 
 
 @query("model_logreg", "M1 M2 M10 M11 O12 A18")
 def model_logreg(t) -> DataFrame:
-    train = folded(t).persist()
-    found = M.grid_search(train, "logreg", FEATURES, "quality", "fold", {"C": [1], "l1_ratio": [0, 0.5]})
-    train.unpersist()
-    return search_rows(t, [found])
+    """The whole grid of one model."""
+    return M.summary(t.spark, [M.grid_search(folded(t), "logreg", FEATURES, "quality", "fold")])
 
 
 @query("model_trees", "M3 M4 M5 M10 M11")
 def model_trees(t) -> DataFrame:
-    train = folded(t).persist()
-    found = [
-        M.grid_search(train, "rf", FEATURES, "quality", "fold", {"n_estimators": [20], "max_depth": [5], "min_samples_leaf": [1, 2]}),
-        M.grid_search(train, "gb", FEATURES, "quality", "fold", {"n_estimators": [5], "max_depth": [3], "learning_rate": [0.1]}),
-        M.grid_search(train, "xgb", FEATURES, "quality", "fold", {"n_estimators": [5], "max_depth": [3], "learning_rate": [0.1], "colsample_bytree": [0.8], "gamma": [0.0]}),
-    ]
-    train.unpersist()
-    return search_rows(t, found)
+    """A small grid of each kind of trees; the published ones are ``models.GRIDS``."""
+    train = folded(t)
+    return M.summary(t.spark, [
+        M.grid_search(train, "rf", FEATURES, "quality", "fold", {"n_estimators": [20], "max_depth": [5], "min_samples_split": [2, 5], "min_samples_leaf": [1, 2]}),
+        M.grid_search(train, "gb", FEATURES, "quality", "fold", {"n_estimators": [10], "max_depth": [3], "learning_rate": [0.1]}),
+        M.grid_search(train, "xgb", FEATURES, "quality", "fold", {"n_estimators": [10], "max_depth": [3], "learning_rate": [0.1], "colsample_bytree": [0.8], "gamma": [0.0]}),
+    ])
 
 
 @query("model_margins", "M6 M7 M8 M10")
 def model_margins(t) -> DataFrame:
-    train = folded(t).persist()
-    found = [
-        M.grid_search(train, "svm_linear", FEATURES, "quality", "fold", {"C": [1], "max_iter": [15]}),
-        M.grid_search(train, "svm_poly", FEATURES, "quality", "fold", {"C": [1], "degree": [2], "components": [3], "max_iter": [15]}),
-        M.grid_search(train, "svm_rbf", FEATURES, "quality", "fold", {"C": [1], "max_iter": [15]}),
-    ]
-    train.unpersist()
-    return search_rows(t, found)
+    """A small grid of each kind of margin classifier; the published ones are ``models.GRIDS``."""
+    train = folded(t)
+    return M.summary(t.spark, [
+        M.grid_search(train, "svm_linear", FEATURES, "quality", "fold", {"C": [1], "max_iter": [30]}),
+        M.grid_search(train, "svm_poly", FEATURES, "quality", "fold", {"C": [1], "degree": [2], "gamma": ["scale"], "max_iter": [30]}),
+        M.grid_search(train, "svm_rbf", FEATURES, "quality", "fold", {"C": [1], "gamma": ["auto"], "max_iter": [30]}),
+    ])
 
 
 @query("model_knn", "M9 M10 X12")
 def model_knn(t) -> DataFrame:
-    rows = folded(t).persist()
-    found = M.knn_search(rows, "doc_id", FEATURES, "quality", "fold", {"n_neighbors": [5, 20], "weights": ["uniform", "distance"], "p": [2]})
-    rows.unpersist()
-    return search_rows(t, [found])
+    """A small grid of nearest neighbours; the published one is in ``models.GRIDS``."""
+    grid = {"n_neighbors": [5, 20], "weights": ["uniform", "distance"], "p": [2]}
+    return M.summary(t.spark, [M.knn_search(folded(t), "doc_id", FEATURES, "quality", "fold", grid)])
 
 
 def fitted(t):
-    """A logistic model fitted on the earlier 85% of the documents, and the later rest."""
-    parts = time_split(document_features(t), "doc_id").persist()
+    """A logistic model fitted on the first 85% of the documents by id, and the rest."""
+    parts = cut_lineage(time_split(document_features(t), "doc_id"))
     train, test = parts.filter(F.col("part") == "train"), parts.filter(F.col("part") == "test")
     stages = [*M.preprocessing(FEATURES), *M.classifier("logreg", {"C": 1.0}, train.count(), "quality", "class_weight")]
     return Pipeline(stages=stages).fit(train), test
@@ -170,6 +165,23 @@ def score_table(t) -> DataFrame:
     return M.score_table(M.load_model(path), test, ["doc_id", "quality"])
 
 
+@query("nearest_scores", "M9 M12 M13", """
+WITH e AS (SELECT vec_id, CAST(label >= 5 AS INTEGER) AS side, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
+tr AS (SELECT * FROM e WHERE vec_id % 4 <> 0), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc FROM tr),
+z AS (SELECT vec_id, side, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c FROM e, s),
+d AS (SELECT q.vec_id, p.vec_id AS other, p.side, round(abs(q.a - p.a) + abs(q.b - p.b) + abs(q.c - p.c), 6) AS d FROM z q JOIN z p ON q.vec_id % 4 = 0 AND p.vec_id % 4 <> 0),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS place FROM d) WHERE place <= 5)
+SELECT vec_id, CAST(sum(side) >= 3 AS INTEGER) AS prediction, round(sum(side) / 5, 6) AS score FROM k GROUP BY 1""")
+def nearest_scores(t) -> DataFrame:
+    """A nearest-neighbour model fitted, saved, loaded and applied to other rows."""
+    rows = t.embeddings.select("vec_id", (F.col("label") >= 5).cast("int").alias("side"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("abc")])
+    model = M.NearestModel.fit_on(rows.where("vec_id % 4 <> 0"), "vec_id", list("abc"), "side", 5, "uniform", 1)
+    path = f"{shared_dir(t.spark)}/nearest-{uuid.uuid4().hex}"
+    M.save_model(model, path)
+    found = M.score_table(M.load_model(path, t.spark), rows.where("vec_id % 4 = 0"), ["vec_id"])
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("perm_importance", "V5")
 def perm_importance(t) -> DataFrame:
     model, test = fitted(t)
@@ -186,7 +198,7 @@ def partial_dependence(t) -> DataFrame:
 def partial_dependence_2d(t) -> DataFrame:
     model, test = fitted(t)
     names = ("n_chars", "upper_share")
-    return V.partial_dependence_2d(model, test, names, tuple(V.dependence_grid(test, n, points=10) for n in names))
+    return V.partial_dependence_2d(model, test, names, tuple(V.dependence_grid(test, n, points=30) for n in names))
 
 
 @query("model_importance", "V11")
@@ -195,14 +207,35 @@ def model_importance(t) -> DataFrame:
     return V.model_importance(t.spark, model, FEATURES)
 
 
+def token_hops(t) -> DataFrame:
+    """Part and supplier vectors from two rounds over token edges only: what is to be predicted is not in them."""
+    edges = N.with_reverse(token_edges(t))
+    _, sides = trade_graph(t)
+    tokens = edges.where(F.col("dst_kind") == "nation").select(F.lit("nation").alias("kind"), F.col("dst").alias("id"), F.array(F.lit(1.0)).alias("features")).distinct()
+    return N.propagate(edges, stacked(sides, tokens), 2)
+
+
+@query("token_hops", "G10 G11", f"""
+WITH {PART_NATIONS}, {SUPPLIER_NATIONS}, p AS (SELECT p_partkey AS k, sqrt(p_size) AS a FROM part), s AS (SELECT s_suppkey AS k, sqrt(s_acctbal + 2000) AS a FROM supplier),
+n1 AS (SELECT nation, avg(a) AS a FROM part_nations JOIN p ON l_partkey = p.k GROUP BY 1), m1 AS (SELECT nation, avg(a) AS a FROM supplier_nations JOIN s ON l_suppkey = s.k GROUP BY 1),
+n AS (SELECT nation, coalesce(n1.a, 0) + coalesce(m1.a, 0) AS a FROM n1 FULL JOIN m1 USING (nation))
+SELECT 'part' AS kind, CAST(l_partkey AS VARCHAR) AS id, round(avg(a), 6) AS second FROM part_nations JOIN n USING (nation) GROUP BY l_partkey
+UNION ALL SELECT 'supplier', CAST(l_suppkey AS VARCHAR), round(avg(a), 6) FROM supplier_nations JOIN n USING (nation) GROUP BY l_suppkey""")
+def token_hop_means(t) -> DataFrame:
+    reached = token_hops(t).where("kind <> 'nation'").select("kind", "id", F.get("features", F.lit(4)).alias("second"))
+    linked = token_edges(t).select(F.col("src_kind").alias("kind"), F.col("src").alias("id")).distinct()
+    return reached.join(linked, ["kind", "id"], "left_semi").withColumn("second", r6("second"))
+
+
 @query("link_classifier", "G10 G11 M13 V2")
 def link_classifier(t) -> DataFrame:
-    edges, nodes = trade_graph(t)
+    """Pairs are split first; weights, penalty and coefficients come from the training part, scores from the other."""
     pairs = t.lineitem.groupBy("l_partkey", "l_suppkey").agg((F.max("l_quantity") > 30).cast("double").alias("success"))
-    weighted = M.with_class_weight(pairs, "success")
-    linked = N.link_features(weighted, "part", "l_partkey", "supplier", "l_suppkey", N.propagate(edges, nodes, 2))
-    model = Pipeline(stages=M.classifier("logreg", {"C": 1.0}, 1, "success", "class_weight")).fit(linked)
-    return V.scores(M.score_table(model, linked, ["success"]), "success", "prediction")
+    named = pairs.withColumn("pair", F.concat_ws("-", "l_partkey", "l_suppkey"))
+    linked = cut_lineage(N.link_features(stratified_split(named, "success", "pair"), "part", "l_partkey", "supplier", "l_suppkey", token_hops(t)))
+    train, test = linked.where("part = 'train'"), linked.where("part = 'test'")
+    model = Pipeline(stages=M.classifier("logreg", {"C": 1.0}, train.count(), "success", "class_weight")).fit(train)
+    return V.scores(M.score_table(model, test, ["success"]), "success", "prediction")
 
 
 # A fixed scoring rule in the place of a fitted model, so that what is done with a model can be checked exactly.
@@ -228,8 +261,7 @@ def rule_sql(chars: str = "n_chars", toxic: str = "toxic") -> str:
 @query("rule_scores", "M13", f"""
 WITH {RULE_ROWS} SELECT doc_id, quality, CAST({rule_sql()} >= 0.4 AS INTEGER) AS prediction, round({rule_sql()}, 6) AS score FROM x""")
 def rule_scores(t) -> DataFrame:
-    scored = rule().transform(rule_rows(t))
-    return scored.select("doc_id", "quality", "prediction", F.round("probability", 6).alias("score"))
+    return M.score_table(rule(), rule_rows(t), ["doc_id", "quality"]).withColumn("score", F.round("score", 6))
 
 
 REPEATS = 10
@@ -286,7 +318,7 @@ def imputed_features(t) -> DataFrame:
         "c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").cast("double").alias("nation"),
         F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"),
     )
-    ready = Pipeline(stages=M.preprocessing(["balance", "nation"])).fit(holed).transform(M.fill_most_frequent(holed, ["segment"]))
+    ready = Pipeline(stages=M.preprocessing(["balance", "nation"], text=["segment"])).fit(holed).transform(holed)
     scaled = ready.select("c_custkey", "segment", vector_to_array("features").alias("f"))
     return scaled.select("c_custkey", r6(F.get("f", F.lit(0))).alias("balance"), r6(F.get("f", F.lit(1))).alias("nation"), "segment")
 

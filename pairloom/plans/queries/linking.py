@@ -13,12 +13,16 @@ from .common import PAIRS, PART_NATIONS, SUPPLIER_NATIONS, pairs, part_nations,
 from .joining import SET_SCORES, set_scores
 
 
-def graph_nodes(t) -> DataFrame:
+def graph_node_tables(t) -> dict[str, DataFrame]:
     left = t.part.withColumn("price", F.col("p_retailprice") / 1000)
-    return stacked(
-        N.nodes(left, "part", "p_partkey", ["p_size", "price"]), N.nodes(t.supplier, "supplier", "s_suppkey", ["s_acctbal"]),
-        N.token_nodes("nation", (part_nations(t), "part_nations"), (supplier_nations(t), "supplier_nations")),
-    )
+    return {
+        "part": N.nodes(left, "part", "p_partkey", ["p_size", "price"]), "supplier": N.nodes(t.supplier, "supplier", "s_suppkey", ["s_acctbal"]),
+        "nation": N.token_nodes("nation", (part_nations(t), "part_nations"), (supplier_nations(t), "supplier_nations")),
+    }
+
+
+def graph_nodes(t) -> DataFrame:
+    return stacked(*graph_node_tables(t).values())
 
 
 NODES = f"""{PART_NATIONS}, {SUPPLIER_NATIONS}, nodes AS (
@@ -48,7 +52,7 @@ UNION ALL SELECT 'supplier', CAST(l_suppkey AS VARCHAR), 'serves', 'nation', CAS
 WITH {NODES}, {TOKEN_EDGES} SELECT e.*, a.idx AS src_idx, b.idx AS dst_idx FROM token_edges e
 JOIN nodes a ON a.kind = e.src_kind AND a.id = e.src JOIN nodes b ON b.kind = e.dst_kind AND b.id = e.dst""")
 def edges_tokens(t) -> DataFrame:
-    return N.indexed_edges(token_edges(t), graph_nodes(t))
+    return N.indexed_edges(token_edges(t), graph_node_tables(t))
 
 
 @query("edges_labelled", "G4 G6", """

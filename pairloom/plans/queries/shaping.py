@@ -164,11 +164,12 @@ def membership(t) -> DataFrame:
 
 @query("overlap_members", "F15", """
 SELECT doc_id FROM (SELECT doc_id, string_split(lower(text), ' ') AS words FROM documents)
-WHERE list_has_any(words, (SELECT list(DISTINCT split_part(p_name, ' ', 1)) || list(DISTINCT split_part(p_name, ' ', 2)) || ['the', 'und', 'dans'] FROM part))""")
+WHERE list_has_any(words, (SELECT list(DISTINCT w) FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part UNION ALL SELECT unnest(string_split(lower(text), ' ')) FROM benchmark WHERE item_id % 10 = 3) WHERE len(w) > 6))""")
 def overlap_members(t) -> DataFrame:
     docs = t.documents.select("doc_id", F.split(F.lower("text"), " ").alias("words"))
-    names = t.part.select(F.explode(F.concat(F.slice(F.split("p_name", " "), 1, 2), F.array(F.lit("the"), F.lit("und"), F.lit("dans")))).alias("w"))
-    return L.overlapping(docs, "doc_id", "words", names.distinct(), "w").select("doc_id")
+    names = t.part.select(F.lower("p_name").alias("n")).union(t.benchmark.where("item_id % 10 = 3").select(F.lower("text")))
+    words = names.select(F.explode(F.split("n", " ")).alias("w")).where(F.length("w") > 6).distinct()
+    return L.overlapping(docs, "doc_id", "words", words, "w").select("doc_id")
 
 
 @query("score_outliers", "F14", """

@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,13 +70,8 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to all cores when it has fewer splits than that.
-
-    For tables with costly work per row. Large tables have many splits and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+# Folders of cut tables, by application, in the order they were written.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -82,8 +79,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Nothing upstream runs again, whatever executors are lost; and unlike a raw checkpoint the stored table is
     columnar and has a known size, so later steps read only what they need and joins can be planned on it.
+    The table stays until ``release`` or the ``lineage_scope`` around it deletes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pairloom-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Delete the cut tables of this application but the ``keep`` oldest; results that still read them must have been stored."""
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    gone = written[keep:]
+    for name in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del written[keep:]
+    return len(gone)
+
+
+@contextmanager
+def lineage_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what ``cut_lineage`` wrote inside; store or collect results before leaving."""
+    before = len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)

@@ -53,11 +53,18 @@ def test_nearest_is_exact(spark, metric, pivots, block):
     assert sorted(r[:2] for r in rows) == sorted(w[:2] for w in want)
 
 
-def test_nearest_skips_far_cells(spark):
-    x = np.concatenate([rng(1).normal(size=(50, 3)) * 0.01, 100 + rng(2).normal(size=(50, 3)) * 0.01])
-    q, p = S._vectors(vector_table(spark, x), "id", "v", "euclidean", "l"), S._vectors(vector_table(spark, x), "id", "v", "euclidean", "r")
-    _, routed, count, asked = S._cells(q, p, 8, 3, "euclidean", 6)
-    assert sum(count) == 100 and routed.count() == sum(asked) <= 100 * 7
+def test_nearest_skips_far_rings(spark):
+    """On clustered vectors both rounds together compare a small share of all pairs, and no group holds more than two blocks."""
+    centres = rng(1).normal(size=(20, 8)) * 10
+    x = centres[rng(2).integers(0, 20, 600)] + rng(3).normal(size=(600, 8)) * 0.1
+    q = S._vectors(vector_table(spark, x), "id", "v", "euclidean", "l")
+    placed, rings = S._placed(S._vectors(vector_table(spark, x), "id", "v", "euclidean", "r"), 20, "euclidean", 6)
+    assert rings.count.sum() == 600 == placed.count() and len(rings.count) > 100
+    kth = {i: d for i, _, d, r in brute(x, x, 3, "euclidean", False) if r == 3}
+    reach = q.join(spark.createDataFrame(list(kth.items()), "lid long, reach double"), "lid")
+    rows = [*S._routed(q, rings, 3, False).collect(), *S._routed(reach, rings, 3, True).collect()]
+    share = sum(int(rings.count[r["ring"]]) for r in rows) / 600**2
+    assert share < 0.15, share
 
 
 def test_nearest_with_few_or_no_points(spark):
@@ -92,15 +99,14 @@ def test_tfidf_and_svd(spark):
     x[:, 0] += 0.1
     cells = [(i, f"t{j}", float(x[i, j])) for i in range(30) for j in range(8) if x[i, j]]
     long = spark.createDataFrame(cells, "id int, term string, weight double").repartition(3)
-    scores, sigma, right = X.truncated_svd(X.sparse_rows(long, "id", X.term_index(long)), "id", 4)
     u, s, vt = np.linalg.svd(x, full_matrices=False)
-    assert sigma == pytest.approx(s[:4])
-    assert np.abs(column(scores, "latent")) == pytest.approx(np.abs(u[:, :4] * s[:4]), abs=1e-8)
-
-
-def test_term_index_refuses_too_many_terms(spark):
-    with pytest.raises(ValueError):
-        X.term_index(spark.createDataFrame([("a",), ("b",)], "term string"), limit=1)
+    for extra, rounds, near in ((8, 3, 1e-6), (2, 40, 1e-4)):  # the whole space at once, and a part of it
+        scores, sigma, right = X.truncated_svd(long, "id", "term", 4, rounds=rounds, extra=extra)
+        assert sigma == pytest.approx(s[:4])
+        assert np.abs(column(scores, "latent")) == pytest.approx(np.abs(u[:, :4] * s[:4]), abs=near)
+        assert np.abs(np.array([r["v"] for r in right.orderBy("term").collect()])) == pytest.approx(np.abs(vt[:4].T), abs=near)
+    none = X.truncated_svd(long.limit(0), "id", "term", 4)
+    assert none[0].count() == 0 and len(none[1]) == 0
 
 
 def test_standardize_and_pca(spark):
@@ -149,15 +155,22 @@ def test_pls(spark):
 
 def test_hot_columns(spark):
     df = spark.createDataFrame([(1, "achiral"), (2, "mixture"), (3, "single_enantiomer"), (4, None)], "id int, chirality string")
-    wide = X.one_hot(df, "chirality")
+    wide = X.one_hot(df, "chirality", ["mixture", "achiral", "single_enantiomer"])
     assert wide.columns == ["id", "chirality__mixture", "chirality__single_enantiomer", "chirality__nan"]
     assert sorted(tuple(r) for r in wide.collect()) == [(1, 0, 0, 0), (2, 1, 0, 0), (3, 0, 1, 0), (4, 0, 0, 1)]
     sets = spark.createDataFrame([(1, ["b", "a"]), (2, []), (3, None)], "id int, cats array<string>")
-    multi = X.multi_hot(sets, "cats")
+    multi = X.multi_hot(sets, "cats", ["a", "b"])
     assert multi.columns == ["id", "cat_a", "cat_b"]
     assert sorted(tuple(r) for r in multi.collect()) == [(1, 1, 1), (2, 0, 0), (3, 0, 0)]
-    with pytest.raises(ValueError):
-        X.multi_hot(sets, "cats", limit=1)
+
+
+def test_hot_rows_of_many_classes(spark):
+    many = spark.range(5000).select("id", F.format_string("c%05d", "id").alias("c"))
+    rows, index = X.one_hot_rows(many.union(spark.createDataFrame([(5000, None)], "id long, c string")), "id", "c")
+    assert index.count() == 5000 and rows.where("id = index").count() == 5000 and rows.where("index IS NULL").count() == 1
+    sets = many.select("id", F.array("c", F.lit("c00007"), "c").alias("cs")).union(spark.createDataFrame([(5000, None)], "id long, cs array<string>"))
+    got = {r["id"]: r["indices"] for r in X.multi_hot_rows(sets, "id", "cs")[0].collect()}
+    assert got[3] == [3, 7] and got[4999] == [7, 4999] and got[5000] == [] and len(got) == 5001
 
 
 def test_text_vectors_and_fingerprints(spark):

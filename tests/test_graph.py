@@ -45,10 +45,11 @@ def test_reverse_support_collapse(spark, edges):
 
 def test_nodes_edges_summary(spark):
     left = spark.createDataFrame([("b", ["x", "y"], 2), ("a", ["x"], 1)], "id string, toks array<string>, f int")
-    nodes = N.nodes(left, "d", "id", ["f"]).unionByName(N.token_nodes("p", (left, "toks")))
+    tables = {"d": N.nodes(left, "d", "id", ["f"]), "p": N.token_nodes("p", (left, "toks"))}
+    nodes = tables["d"].unionByName(tables["p"])
     assert {(r["kind"], r["id"], r["idx"], r["features"][0]) for r in nodes.collect()} == {("d", "a", 0, 1.0), ("d", "b", 1, 2.0), ("p", "x", 0, 1.0), ("p", "y", 1, 1.0)}
     made = N.list_edges(left, "d", "id", "toks", "in", "p")
-    assert {(r["src_idx"], r["dst_idx"]) for r in N.indexed_edges(made, nodes).collect()} == {(0, 0), (1, 0), (1, 1)}
+    assert {(r["src_idx"], r["dst_idx"]) for r in N.indexed_edges(made, tables).collect()} == {(0, 0), (1, 0), (1, 1)}
     report = {(r["part"], r["name"]): (r["n"], r["median_degree"]) for r in N.graph_summary(nodes, made).collect()}
     assert report == {("node", "d"): (2, None), ("node", "p"): (2, None), ("edge", "d-in-p"): (3, 1.5)}
 
@@ -57,3 +58,15 @@ def test_map_edges(spark):
     df = spark.createDataFrame([("d1", {"INHIBITOR": ["u1", "u2"], "": ["u3"]}), ("d2", None)], "id string, m map<string,array<string>>")
     got = {(r["dst"], r["action"]) for r in N.map_edges(df, "d", "id", "m", "targets", "t", "action").collect()}
     assert got == {("u1", "INHIBITOR"), ("u2", "INHIBITOR"), ("u3", "")}
+
+
+@pytest.mark.parametrize("width", [2, 40])
+def test_null_elements_do_not_count(spark, edges, width):
+    holes = spark.createDataFrame([("d", "d1", [1.0, None]), ("d", "d2", [3.0, 4.0]), ("s", "s1", [None, None])], "kind string, id string, features array<double>")
+    got = {r["id"]: r["features"][:2] for r in N.hop(edges, holes, width).collect()}
+    assert got == {"p1": [1.0, 0.0], "p2": [2.0, 4.0]}
+
+
+def test_collapse_breaks_ties(spark):
+    rows = spark.createDataFrame([("a", "1", "z", "b", "2", 5, 9), ("a", "1", "y", "b", "2", 5, 1)], "src_kind string, src string, kind string, dst_kind string, dst string, at int, w int")
+    assert [(r["kind"], r["w"]) for r in N.collapse(rows, "at", "w").collect()] == [("y", 1)]

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from pairloom.operators import evaluate as V
@@ -20,7 +21,7 @@ def table(spark):
     rows = [(i, *map(float, x[i]), float(y[i])) for i in range(120)]
     rows[5] = (5, None, *rows[5][2:])
     df = spark.createDataFrame(rows, "id bigint, a double, b double, noise double, y double").coalesce(1)
-    return stratified_folds(M.with_class_weight(df, "y"), "y", 3, "id").coalesce(1).persist()
+    return stratified_folds(df, "y", 3, "id").coalesce(1).persist()
 
 
 @pytest.fixture(scope="module")
@@ -28,14 +29,35 @@ def model(table):
     return Pipeline(stages=[*M.preprocessing(NAMES), *M.classifier("logreg", {"C": 1.0}, 120, "y", "class_weight")]).fit(table)
 
 
-def test_class_weights(table):
-    totals = {r["y"]: r["s"] for r in table.groupBy("y").agg(F.sum("class_weight").alias("s")).collect()}
-    assert totals[0.0] == pytest.approx(60) and totals[1.0] == pytest.approx(60)
+def test_class_weights_come_from_the_training_rows(spark, table):
+    fitted = M.BalancedWeight("y").fit(table.where("id < 60"))
+    totals = {r["y"]: r["s"] for r in fitted.transform(table.where("id < 60")).groupBy("y").agg(F.sum("class_weight").alias("s")).collect()}
+    assert totals[0.0] == pytest.approx(30) and totals[1.0] == pytest.approx(30)
+    other = {r["y"]: r["class_weight"] for r in fitted.transform(table).select("y", "class_weight").distinct().collect()}
+    assert len(other) == 2 and fitted.transform(table.drop("y")).select("class_weight").distinct().first()[0] == 1.0
+
+
+def test_grids_have_the_published_sizes():
+    sizes = {name: len(M.combinations(grid)) for name, grid in M.GRIDS.items()}
+    assert sizes == {"knn": 16, "logreg": 25, "svm_linear": 4, "svm_poly": 18, "svm_rbf": 6, "rf": 36, "gb": 24, "xgb": 96}
+
+
+@pytest.mark.parametrize("width", [2, 5, 50])
+@pytest.mark.parametrize("kernel", ["poly", "rbf"])
+def test_kernel_features_use_all_columns(spark, kernel, width):
+    x = np.random.default_rng(width).normal(size=(30, width))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(30)], "id int, v array<double>").withColumn("features", array_to_vector("v"))
+    fitted = M.KernelFeatures("features", "k", kernel, degree=2, width="auto", size=20_000).fit(df)
+    z = np.array([r["k"] for r in fitted.transform(df).orderBy("id").select(vector_to_array("k").alias("k")).collect()])
+    inner = x @ x.T
+    want = (inner / width) ** 2 if kernel == "poly" else np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / width)
+    assert np.abs(z @ z.T - want).max() < 0.1 * max(want.max(), 1)
+    assert M.KernelFeatures("features", "k", kernel, width="scale").fit(df).getOrDefault("gamma") == pytest.approx(1 / (width * x.var()))
 
 
 @pytest.mark.parametrize("name, grid", [
-    ("logreg", {"C": [0.1, 10]}), ("svm_linear", {"C": [1], "max_iter": [10]}), ("svm_poly", {"C": [1], "degree": [2], "components": [3], "max_iter": [10]}),
-    ("svm_rbf", {"C": [1], "max_iter": [10]}), ("rf", {"n_estimators": [5], "max_depth": [4]}), ("gb", {"n_estimators": [3], "max_depth": [3]}),
+    ("logreg", {"C": [0.1, 10]}), ("svm_linear", {"C": [1], "max_iter": [10]}), ("svm_poly", {"C": [1], "degree": [3], "max_iter": [30]}),
+    ("svm_rbf", {"C": [1], "gamma": ["auto"], "max_iter": [10]}), ("rf", {"n_estimators": [5], "max_depth": [4], "min_samples_split": [5]}), ("gb", {"n_estimators": [3], "max_depth": [3]}),
     ("xgb", {"n_estimators": [3], "max_depth": [3], "colsample_bytree": [0.8], "gamma": [0.1]}),
 ])
 def test_grid_search(table, name, grid):
@@ -45,9 +67,14 @@ def test_grid_search(table, name, grid):
     assert V.scores(scored, "y", "prediction").first()["f1"] > 0.7
 
 
-def test_knn_search_and_summary(spark, table):
+def test_knn_search_and_summary(spark, table, tmp_path):
     found = M.knn_search(table, "id", ["a", "b"], "y", "fold", {"n_neighbors": [3, 9], "weights": ["uniform", "distance"], "p": [1, 2]})
     assert len(found.rows) == 8 and max(r["mean_score"] for r in found.rows) > 0.7
+    scored = M.score_table(found.best, table.unionByName(table), ["id", "y"])
+    assert scored.count() == 240 and V.scores(scored, "y", "prediction").first()["f1"] > 0.7
+    M.save_model(found.best, str(tmp_path / "nearest"))
+    again = M.score_table(M.load_model(str(tmp_path / "nearest"), spark), table, ["id"])
+    assert sorted(again.collect()) == sorted(M.score_table(found.best, table, ["id"]).collect())
     other = M.Search("rf", [{"model": "rf", "params": {"max_depth": 3}, "mean_score": 0.1, "std_score": 0.0}])
     assert [r["model"] for r in M.summary(spark, [other, found]).collect()] == ["knn", "rf"]
 
@@ -105,6 +132,9 @@ def test_model_importance(spark, table, model):
     assert V.model_importance(spark, forest, NAMES).first()["feature"] == "a"
 
 
-def test_fill_most_frequent(spark):
+def test_most_frequent_is_fitted(spark):
     df = spark.createDataFrame([("x", 1), ("x", None), (None, 1), ("y", 2)], "c string, n int")
-    assert sorted(map(tuple, M.fill_most_frequent(df, ["c", "n"]).collect())) == [("x", 1), ("x", 1), ("x", 1), ("y", 2)]
+    fitted = M.MostFrequent(["c", "n"]).fit(df)
+    assert sorted(map(tuple, fitted.transform(df).collect())) == [("x", 1), ("x", 1), ("x", 1), ("y", 2)]
+    other = spark.createDataFrame([(None, None), ("z", 7), ("z", 7)], "c string, n int")
+    assert sorted(map(tuple, fitted.transform(other).collect())) == [("x", 1), ("z", 7), ("z", 7)]

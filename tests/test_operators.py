@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def test_attach_map(spark):
     parents = spark.createDataFrame([("d1",), ("d2",)], "d string")
     children = spark.createDataFrame([("d1", "INHIBITOR", ["p1"]), ("d1", "INHIBITOR", ["p1", "p2"]), ("d1", None, ["p3"])], "d string, a string, ids array<string>")
     out = {r["d"]: r["m"] for r in J.attach_map(parents, children, "d", "a", "ids", "m").collect()}
-    assert out == {"d1": {"INHIBITOR": ["p1", "p1", "p2"], "": ["p3"]}, "d2": None}
+    assert out == {"d1": {"INHIBITOR": [("p1", 2), ("p2", 1)], "": [("p3", 1)]}, "d2": None}
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -199,10 +200,9 @@ def test_pair_evidence_rules(spark):
     assert got == {"p": (["failNone", "success3", "success3"], "1999-05", "2020-01"), "q": ([], "9999", "0000"), "r": ([], "9999", "0000")}
 
 
-@pytest.mark.parametrize("small_group", [100_000, 10])
-def test_outcomes_from_rows_with_a_hot_key(spark, small_group):
+def test_outcomes_from_rows_with_a_hot_key(spark):
     data = [("hot", (i % 100) / 100) for i in range(3000)] + [("a", 0.01), ("a", 0.3), ("a", 0.4), ("b", None)]
-    got = {r["k"]: (round(r["median"], 6), r["outcome"], r["values"]) for r in R.outcomes_from_rows(spark.createDataFrame(data, "k string, p double"), "k", "p", small_group).collect()}
+    got = {r["k"]: (round(r["median"], 6), r["outcome"], r["values"]) for r in R.outcomes_from_rows(spark.createDataFrame(data, "k string, p double"), "k", "p").collect()}
     # Both have a significant value and more than half above 0.2: conflicting, hence unknown.
     assert got == {"hot": (0.495, "unknown", 3000), "a": (0.3, "unknown", 3)}
 
@@ -211,3 +211,57 @@ def test_first_dates(spark):
     pairs = spark.createDataFrame([("d", "x", "9999"), ("d", "y", "2004"), ("d", "y", "2003-01"), ("e", "x", "9999"), (None, "x", "1999")], "l string, r string, f string")
     years = spark.createDataFrame([("d", 1998.0), ("e", None)], "l string, y double")
     assert rows(R.first_dates(pairs, ["l", "r"], "f", years, "l", "y")) == [("d", "x", "1998"), ("d", "y", "2003-01"), ("e", "x", "0000")]
+
+
+def test_repeated_row_ids_are_mapped_apart(spark):
+    df = spark.createDataFrame([(1, ["x", "y"]), (1, ["z"]), (None, ["x"]), (2, None)], "id int, ids array<string>")
+    mapping = spark.createDataFrame([("x", "X"), ("y", "Y"), ("z", "Z")], "f string, t string")
+    got = [(r["id"], r["out"]) for r in J.map_elements(df, "id", "ids", mapping, "f", "t", "out").collect()]
+    assert sorted(got, key=str) == sorted([(1, ["X", "Y"]), (1, ["Z"]), (None, ["X"]), (2, [])], key=str)
+
+
+def test_last_wins_breaks_ties(spark):
+    df = spark.createDataFrame([("a", 2, 7), ("a", 1, 7), ("a", 9, 3)], "k string, v int, o int")
+    assert J.last_wins(df, "k", "v", "o").first()["v"] == 1
+
+
+@pytest.mark.parametrize("k", [5, 1001])
+def test_top_k_with_map_columns(spark, k):
+    df = spark.range(1500).select((F.col("id") % 1).alias("g"), "id", F.create_map(F.lit("a"), "id").alias("m"))
+    got = [r["id"] for r in O.top_k(df, ["g"], k, F.desc("id")).collect()]
+    assert sorted(got) == list(range(1500 - k, 1500))
+
+
+def test_correlations_of_odd_columns(spark):
+    rows = [(1.0, 2.0, 0.1, None, float(i % 3)) for i in range(4)] + [(2.0, float("nan"), 0.1, 5.0, 1.0), (3.0, 7.0, 0.1, 6.0, None), (4.0, 1.0, 0.1, 5.5, 2.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a double, holes double, flat double, late double, mod double").repartition(3)
+    names = ["a", "holes", "flat", "late", "mod"]
+    got = {(r["feature"], r["other"]): r["r"] for r in G.correlations(df, names, names).collect()}
+    narrow = {(r["feature"], r["other"]): r["r"] for r in G.correlations(df, ["a"], names).collect()}
+    x = np.array([[np.nan if v is None else v for v in r] for r in rows], float)
+    for i, f in enumerate(names):
+        for j, o in enumerate(names):
+            known = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            u, v = x[known, i], x[known, j]
+            want = None if len(set(u)) < 2 or len(set(v)) < 2 else np.corrcoef(u, v)[0, 1]
+            assert got[f, o] == (want if want is None else pytest.approx(want)), (f, o)
+    assert all(got[key] == (value if value is None else pytest.approx(value)) for key, value in narrow.items())
+
+
+def test_constant_dates_are_dropped(spark):
+    df = spark.range(3).select("id", F.lit("2020-01-01").cast("date").alias("d"), F.lit("2020-01-01").cast("timestamp").alias("t"))
+    assert C.drop_invariant(df).columns == ["id"]
+
+
+def test_cut_tables_are_deleted_with_their_scope(spark, tmp_path):
+    from pathlib import Path
+
+    from pairloom.session import cut_lineage, lineage_scope, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    kept = cut_lineage(spark.range(3))
+    with lineage_scope(spark):
+        assert cut_lineage(spark.range(5)).count() == 5
+        assert len(set(folder.iterdir()) - before) == 2
+    assert len(set(folder.iterdir()) - before) == 1 and kept.count() == 3

@@ -14,13 +14,10 @@ def test_json_records(spark, tmp_path):
     assert sorted(r["k"] for r in records.flatten_pages(df, "refs").collect()) == [1, 2]
 
 
-def test_xml(spark, tmp_path):
-    (tmp_path / "a.xml").write_text("<rows><row><id>1</id><n>x</n></row><row><id>2</id><n>y</n></row></rows>")
-    assert markup.read_xml(spark, str(tmp_path / "a.xml"), "row", "id int, n string").count() == 2
 
 
 def test_html(spark):
-    page = '<html><body><p>MeSH Unique ID: <b>D001</b></p><ul><li><a class="x" href="/a">A</a><a href=\'http://o/b\'>B</a></ul></body></html>'
+    page = '<html><body><p>none</p><P class=x> MeSH Unique ID: old <b>D001</b></P><p>MeSH Unique ID: D2</p><ul><li><a class="x" href="/a">A</a><a href=\'http://o/b\'>B</a></ul></body></html>'
     df = spark.createDataFrame([("http://h/p", page), ("http://h/a", "<p>none</p>")], "url string, html string")
     assert {r[0] for r in df.select(markup.labelled_value("html", "MeSH Unique ID:")).collect()} == {"D001", ""}
     links = markup.page_links(df, "url", "html")
@@ -70,3 +67,26 @@ def test_exports(spark, tmp_path):
     edges = spark.createDataFrame([("d", "1", "in", "p", "2")], "src_kind string, src string, kind string, dst_kind string, dst string")
     tables.export_graph(nodes, edges, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/edges").filter(F.col("kind") == "in").count() == 1
+
+
+def test_links_in_every_form(spark):
+    page = "<A HREF=/up>1</A><a class=x href='q'>2</a><a data-href='no' href=\"//cdn/z\">3</a><abbr href='no'></abbr><a\nhref=#t>5</a><a href=mailto:x>6</a><a>7</a>"
+    df = spark.createDataFrame([("https://h/d/p?q=1#f", page), ("http://h", "<a href=r>x</a>")], "url string, html string")
+    got = {(r["from_url"][:8], r["to_url"]) for r in markup.page_links(df, "url", "html").collect()}
+    assert got == {
+        ("https://", "https://h/up"), ("https://", "https://h/d/q"), ("https://", "https://cdn/z"), ("https://", "https://h/d/p#t"), ("https://", "mailto:x"), ("http://h", "http://h/r"),
+    }
+
+
+def test_sections_and_labels_are_taken_literally(spark):
+    page = "<body>x</body><b>bold</b><p>a.b: first</p><p>aXb: second</p><h2>Some (list)</h2><ol></ol><ul><li>in</ul><ul>out</ul>"
+    row = spark.createDataFrame([(page,)], "html string").select(
+        markup.section("html", "b"), markup.section("html", "i"), markup.labelled_value("html", "a.b:"), markup.labelled_value("html", "a"), markup.after_heading("html", "Some (list)"),
+    ).first()
+    assert tuple(row) == ("bold", "", "first", "first", "<li>in")
+
+
+def test_xml(spark):
+    df = spark.createDataFrame([("<rows><row id='1'>x</row><row id='2'>y</row></rows>",), ("<rows/>",)], "x string")
+    got = markup.xpath_columns(df, "x", {"all": "//row/text()", "second": "//row[@id='2']/text()"}).collect()
+    assert [(r["all"], r["second"]) for r in got] == [(["x", "y"], ["y"]), ([], [])]
