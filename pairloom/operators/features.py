@@ -117,7 +117,10 @@ def truncated_svd(
     entries = cut_lineage(entries.select(row_id, column, F.col("weight").cast("double").alias("weight")))
     names = cut_lineage(entries.select(column).distinct())
     n = names.count()
-    size = min(k + extra, max(n, 1))
+    if not n:
+        none = F.array().cast("array<double>")
+        return entries.select(row_id, none.alias(out)), np.zeros(0), names.withColumn("v", none)
+    size = min(k + extra, n)
     if n <= size:
         rounds = 0  # any basis spans the whole space
     start = F.array(*[F.xxhash64(F.col(column), F.lit(j)) / F.lit(2.0**63) for j in range(size)])
