@@ -19,7 +19,7 @@ HEADLINE = [
     "yearly_stability", "duplicate_count", "feature_distribution", "corr_matrix", "child_outcome", "trial_flatten", "pair_label",
     "first_date_fallback", "feature_matrix", "condensed_pairs", "topk_group", "keep_first", "row_index", "time_split", "stratified_folds",
     "token_tfidf", "cosine_topk", "edges_tokens", "metapath_support", "hop_mean", "ranking_metrics", "case_correlations",
-    "nearest_euclidean", "svd_scores", "pca_scores", "rule_importance", "model_trees",
+    "nearest_euclidean", "svd_scores", "pca_scores", "rule_importance",
 ]
 
 
