@@ -79,13 +79,13 @@ def host_reputation(outcomes: DataFrame, z: float = 1.645, least: float = 1.0, m
     for level in LEVELS:
         above = {"suffix": [], "domain": ["suffix"], "host": ["suffix", "domain"]}[level]
         counts = hosts if level == "host" else hosts.groupBy(level, *above).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        joined = counts.crossJoin(F.broadcast(_strength(counts, least, most)))  # one row
+        strength, mean = _strength(counts, least, most).first()  # two numbers of the whole level
         if parent is None:
-            joined = joined.withColumn("prior", F.col("mean"))
+            joined = counts.withColumn("prior", F.lit(mean))
         else:
-            joined = joined.join(parent.select(parent_key, F.col("posterior").alias("prior")), parent_key)
-        total = F.col("n") + F.col("strength")
-        parent = joined.withColumn("posterior", (F.col("bad") + F.col("strength") * F.col("prior")) / total).withColumn("weight", total)
+            joined = counts.join(parent.select(parent_key, F.col("posterior").alias("prior")), parent_key)
+        total = F.col("n") + F.lit(strength)
+        parent = joined.withColumn("posterior", (F.col("bad") + strength * F.col("prior")) / total).withColumn("weight", total)
         parent_key = level
     sd = F.sqrt(F.col("posterior") * (1 - F.col("posterior")) / (F.col("weight") + 1))
     return parent.select("host", "suffix", "domain", "n", "bad", "prior", F.col("posterior").alias("mean"), (F.col("posterior") - z * sd).alias("bound"))
