@@ -27,29 +27,40 @@ def _spans(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda s: s["spans"])
 
 
+def _item(role: str = "role", text: str = "text") -> Column:
+    return F.struct("turn", F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
 def preference_examples(chosen: DataFrame, rejected: DataFrame, key: str = "pair_id") -> DataFrame:
-    """One row per pair from the turns (key, turn, role, text) of its chosen and its rejected conversation.
+    """One row per pair from the turns (key, turn, role, text) of its chosen and its rejected conversation, see ``examples``.
 
-    The longest run of opening turns that agree in role and text is rendered once as ``prompt``; what follows on either
-    side is rendered as ``chosen`` and ``rejected``. ``chosen_mask`` and ``rejected_mask`` list the character ranges of the
-    assistant texts in the completion, the only part a loss should count. Turns go by their number, ties by role and text;
-    a null role or text counts as empty. A pair that is missing on one side has an empty prompt and an empty completion
-    there; conversations that agree in full have empty completions. A conversation must fit in a cell, as its result does.
+    Turns go by their number, ties by role and text; a null role or text counts as empty. A pair that is missing on one side
+    has an empty conversation there.
     """
-    sides = []
-    for side, turns in (("chosen", chosen), ("rejected", rejected)):
-        clean = turns.select(F.col(key).alias("key"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        sides.append(clean.withColumn("side", F.lit(side)))
-    item = F.struct("turn", "role", "text")
+    sides = [
+        turns.select(F.col(key).alias("key"), F.lit(side).alias("side"), _item().alias("item"))
+        for side, turns in (("chosen", chosen), ("rejected", rejected))
+    ]
     both = sides[0].unionByName(sides[1]).groupBy("key").agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("side") == side, item))).alias(side) for side in ("chosen", "rejected")],
+        *[F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("item")))).alias(side) for side in ("chosen", "rejected")],
     )
+    return examples(both.withColumnRenamed("key", key), key)
+
+
+def examples(both: DataFrame, key: str) -> DataFrame:
+    """Prompt and completions of (key, chosen, rejected), the two conversations as arrays of turns (turn, role, text) in order.
+
+    The longest run of opening turns that agree in role and text is rendered once as ``prompt``; what follows on either
+    side is rendered as ``chosen`` and ``rejected``. ``chosen_mask`` and ``rejected_mask`` list the character ranges of the
+    assistant texts in the completion, the only part a loss should count. An empty conversation makes the prompt and its own
+    completion empty; conversations that agree in full have empty completions. A conversation must fit in a cell, as its result does.
+    """
     n = F.least(F.size("chosen"), F.size("rejected"))
     differs = F.filter(
         F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
         lambda i: (F.element_at("chosen", i)["role"] != F.element_at("rejected", i)["role"]) | (F.element_at("chosen", i)["text"] != F.element_at("rejected", i)["text"]),
     )
-    shared = both.withColumn("n_prompt", F.coalesce(F.array_min(differs) - 1, n))
+    shared = both.select(F.col(key).alias("key"), "chosen", "rejected", F.coalesce(F.array_min(differs) - 1, n).alias("n_prompt"))
     rest = {side: F.slice(side, F.col("n_prompt") + 1, F.greatest(F.size(side), F.lit(1))) for side in ("chosen", "rejected")}
     text = lambda turns: F.concat_ws("", F.transform(turns, render))
     return shared.select(
@@ -61,17 +72,33 @@ def preference_examples(chosen: DataFrame, rejected: DataFrame, key: str = "pair
 
 
 def swapped_replies(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Rejected sides for a table of single conversations: each keeps its turns but the last assistant text, which is
-    that of its neighbour (ids 2k and 2k + 1 are neighbours). Without a neighbour, or where the neighbour has no assistant turn,
-    the last assistant turn is left out.
+    """(key, chosen, rejected) for ``examples`` from single conversations: the rejected side has all turns but the last assistant
+    text, which is that of the neighbour (ids 2k and 2k + 1 are neighbours; ids are whole numbers).
+
+    Without a neighbour, or where the neighbour has no assistant turn, the last assistant turn is left out; turns under a null
+    id are one conversation with equal sides. Neighbours meet in one group, so every text is shuffled once.
     """
-    last = turns.where(F.col("role") == "assistant").groupBy(F.col(key).alias("key")).agg(
-        F.max("turn").alias("last"), F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))["text"].alias("reply"),
-    )
-    side = F.expr("CASE WHEN pmod(key, 2) = 0 THEN key + 1 ELSE key - 1 END")
-    given = last.select(F.col("key"), "last").join(last.select(side.alias("key"), "reply"), "key", "left")
-    joined = turns.select(F.col(key).alias("key"), "turn", "role", "text").join(given, "key", "left")
-    replaced = (F.col("role") == "assistant") & (F.col("turn") == F.col("last"))
-    return joined.where(~F.coalesce(replaced & F.col("reply").isNull(), F.lit(False))).select(
-        F.col("key").alias(key), "turn", "role", F.when(replaced, F.col("reply")).otherwise(F.col("text")).alias("text"),
+    number = F.col(key).cast("long")
+    odd = F.coalesce(F.pmod(number, F.lit(2)) == 1, F.lit(False))
+    pairs = turns.groupBy(F.shiftright(number, 1).alias("pair")).agg(
+        F.array_sort(F.collect_list(F.when(~odd, _item()))).alias("even"), F.array_sort(F.collect_list(F.when(odd, _item()))).alias("odd"),
     )
+
+    def assistant(side: str) -> Column:
+        return F.filter(side, lambda t: t["role"] == "assistant")
+
+    def one(side: str, other: str, place: int) -> Column:
+        return F.struct(
+            (F.col("pair") * 2 + place).alias("number"), F.col(side).alias("chosen"),
+            F.array_max(F.transform(assistant(side), lambda t: t["turn"])).alias("last"), F.try_element_at(assistant(other), F.lit(-1))["text"].alias("reply"),
+        )
+
+    def replaced(turn: Column) -> Column:
+        return F.coalesce((turn["role"] == "assistant") & (turn["turn"] == F.col("last")), F.lit(False))
+
+    def swapped(turn: Column) -> Column:
+        return F.struct(turn["turn"].alias("turn"), turn["role"].alias("role"), F.when(replaced(turn), F.col("reply")).otherwise(turn["text"]).alias("text"))
+
+    rejected = F.when(F.col("number").isNull(), F.col("chosen")).when(F.col("reply").isNull(), F.filter("chosen", lambda t: ~replaced(t))).otherwise(F.transform("chosen", swapped))
+    single = pairs.select(F.inline(F.array(one("even", "odd", 0), one("odd", "even", 1)))).where(F.size("chosen") > 0)
+    return single.select(F.col("number").cast(turns.schema[key].dataType).alias(key), "chosen", rejected.alias("rejected"))

@@ -118,8 +118,7 @@ FROM shared s LEFT JOIN spans USING (conv_id) GROUP BY ALL"""
 @query("op5_preference", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has single conversations, so the rejected side of each is made from its neighbour's last reply."""
-    turns = table(spark, sf_dir, "conversations")
-    return preference.preference_examples(turns, preference.swapped_replies(turns), "conv_id")
+    return preference.examples(preference.swapped_replies(table(spark, sf_dir, "conversations")), "conv_id")
 
 
 MIN_WORDS = 50

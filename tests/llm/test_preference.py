@@ -90,8 +90,17 @@ def test_swapped_replies(spark):
         (0, 0, "user", "q0"), (0, 1, "assistant", "first"), (0, 2, "assistant", "r0"), (1, 0, "assistant", None), (2, 0, "assistant", "alone"), (2, 1, "user", "end"),
         (4, 0, "user", "q4"), (5, 0, "assistant", "r5"), (None, 0, "assistant", "kept"),
     ]
-    got = preference.swapped_replies(spark.createDataFrame(turns, SCHEMA.replace("pair_id", "conv_id"))).collect()
+    rows = preference.swapped_replies(spark.createDataFrame(turns, SCHEMA.replace("pair_id", "conv_id"))).collect()
     want = {
         (0, 0, "user", "q0"), (0, 1, "assistant", "first"), (0, 2, "assistant", ""), (1, 0, "assistant", "r0"), (2, 1, "user", "end"), (4, 0, "user", "q4"), (None, 0, "assistant", "kept"),
     }
-    assert {(r["conv_id"], r["turn"], r["role"], r["text"] or ("" if r["conv_id"] == 0 else r["text"])) for r in got} == want and len(got) == len(want)
+    for side, found in (("chosen", {(*t[:3], t[3] or "") for t in turns}), ("rejected", want)):
+        got = [(r["conv_id"], *t) for r in rows for t in r[side]]
+        assert set(got) == found and len(got) == len(found)
+
+
+def test_neighbours_below_zero_and_ties(spark):
+    turns = [(-2, 0, "assistant", "m2"), (-1, 0, "assistant", "m1"), (-1, 0, "assistant", "m0"), (-1, 0, "user", "u")]
+    rows = preference.swapped_replies(spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")).collect()
+    got = {r["conv_id"]: [t["text"] for t in r["rejected"]] for r in rows}
+    assert got == {-2: ["m1"], -1: ["m2", "m2", "u"]}
