@@ -112,6 +112,13 @@ def test_hot_group_of_near_copies(spark, monkeypatch):
     assert brute({0: 1, 1: 1}, 0) == {0: 0, 1: 0}
 
 
+def test_documents_without_an_id_stay(spark):
+    rows = [(None, "some text that stands alone"), (None, "another text of five words"), (None, "some text that stands alone"), (1, "a third text, with an id"), (2, "a third text, with an id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = pipeline.keep_one_of_each_group(spark, docs, FOLDER).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, rows[1][1]), (0, rows[0][1]), (1, rows[3][1])]
+
+
 @pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES], ids=[n for n, _ in pipeline.STAGES])
 @pytest.mark.parametrize("docs", [empty, documents, lambda s: documents(s).unionByName(documents(s))], ids=["empty", "odd", "repeated"])
 def test_odd_tables(spark, stage, docs):
