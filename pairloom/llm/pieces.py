@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .words import BYTE_CODE, slices, span_hashes
 
-SLICE = 3 << 20
+SLICE = 1 << 20
 MAX_UNITS = 1 << 20
 PAIR_SLOTS = 1 << 22
 MARK = "▁"
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_col
     """id, ids (array of piece ids, without begin and end), and round_trip: whether decoding gives the text back.
 
     The ids are those of the library. A null or empty text has no ids. ``▁`` in a text reads as a space and is the one
-    character that does not come back. Texts are processed whole, in slices of about 3 MB; what is known of units and pairs is
+    character that does not come back. Texts are processed whole, in slices of about 1 MB; what is known of units and pairs is
     kept by the worker up to a fixed size. The model file must be readable on every executor.
     """
 
