@@ -106,3 +106,49 @@ def test_components(spark):
 
 def test_empty(spark):
     assert simhash.groups(simhash.fingerprints(empty(spark))).count() == 0
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def brute_similar(texts, least=0.8):
+    """Smallest reachable row, over all pairs of texts (with words) at least so similar."""
+    sets, root = [shingle_set(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and len(a & sets[j]) >= least * len(a | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+def near(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()}
+
+
+def test_true_copies_inside_a_family_of_strangers(spark):
+    """Lists of the same 40 lines in other orders share their words but few shingles; some have a true copy."""
+    r = np.random.default_rng(5)
+    lines = [" ".join(f"l{k}w{i}" for i in range(8)) for k in range(40)]
+    rows = []
+    for k in range(300):
+        order = r.permutation(40)
+        rows.append("\n".join(lines[i] for i in order))
+        if k % 3 == 0:
+            words = " ".join(lines[i] for i in order).split()
+            words[int(r.integers(10, 300))] = "new"
+            words[int(r.integers(10, 300))] = "other"
+            rows.append(" ".join(words))
+    # A family with one template: alike in 0.6 to 0.79, so nearly every two share keys, and copies at 0.9 among them.
+    base = [f"t{k}" for k in range(300)]
+    for k in range(60):
+        own = base[:240] + [f"own{k}x{i}" for i in range(30)] + base[270:]
+        rows.append(" ".join(own))
+        if k % 4 == 0:
+            rows.append(" ".join(own[:100] + ["swap"] + own[101:]))
+    want = brute_similar(rows)
+    assert sum(i != c for i, c in want.items()) >= 100
+    assert near(spark, rows) == want
