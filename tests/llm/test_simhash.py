@@ -152,3 +152,36 @@ def test_true_copies_inside_a_family_of_strangers(spark):
     want = brute_similar(rows)
     assert sum(i != c for i, c in want.items()) >= 100
     assert near(spark, rows) == want
+
+
+def block_edit(r, words, share, kind):
+    """A copy whose shingles are about ``share`` like those of ``words``: a block added in front, added inside, or cut off the end."""
+    extra = [f"x{r.integers(1 << 40)}" for _ in range(round(len(words) * (1 / share - 1)) - 4 * (kind == "inside"))]
+    at = int(r.integers(20, len(words) - 20))
+    return {"front": extra + words, "inside": words[:at] + extra + words[at:], "cut": words[: round(len(words) * share)]}[kind]
+
+
+def test_copies_with_a_block_added_or_cut(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for k in range(150):
+        words = [f"v{r.integers(5000)}" for _ in range(int(r.integers(100, 500)))]
+        rows += [" ".join(words), " ".join(block_edit(r, words, 0.815 + 0.09 * (k % 10) / 10, ("front", "inside", "cut")[k % 3]))]
+    want = brute_similar(rows)
+    assert sum(i != c for i, c in want.items()) >= 140
+    assert near(spark, rows) == want
+
+
+def test_equal_sets_are_one_class_and_equal_keys_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 20)
+    seen = []
+    monkeypatch.setattr(simhash, "verified", lambda star, *a, f=simhash.verified: (seen.append(star.count()), f(star, *a))[1])
+    monkeypatch.setattr(simhash, "likely_links", lambda apart, *a, f=simhash.likely_links: (seen.append(apart.count()), f(apart, *a))[1])
+    r = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(80)]
+    rows = [(" " * int(r.integers(1, 4))).join(w.upper() if r.random() < 0.5 else w for w in words) for _ in range(300)]
+    assert len(set(rows)) == 300 and near(spark, rows) == dict.fromkeys(range(300), 0)
+    assert seen == [0, 0]
+    same = spark.range(300).selectExpr("id AS node", "7L AS bucket")
+    sizes = [g["count"] for g in simhash._parted(same, "bucket", F.lit(15)).groupBy("group").count().collect()]
+    assert len(sizes) == 15 * 16 // 2 and max(sizes) <= 100
