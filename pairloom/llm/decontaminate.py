@@ -177,12 +177,12 @@ def compiled(ids: np.ndarray, texts: Texts, size: int = SHINGLE, radius: int = R
 
 def _portions(docs: DataFrame, benchmark: DataFrame, size: int, radius: int, item_column: str, item_text: str) -> Iterator[Broadcast]:
     """The compiled benchmark in portions of about ITEM_BYTES of text, each sent to the executors."""
-    items = benchmark.select(F.col(item_column).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")).where("item IS NOT NULL")
+    items = benchmark.select(F.col(item_column).cast("long").alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = int(total // ITEM_BYTES) + 1
     for k in range(passes):
-        portion = items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k).distinct().orderBy("item", "text").toArrow()
-        yield docs.sparkSession.sparkContext.broadcast(compiled(portion.column("item").to_numpy(), texts_of(portion.column("text").combine_chunks()), size, radius))
+        portion = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).distinct().orderBy("item", "text").toArrow()
+        yield docs.sparkSession.sparkContext.broadcast(compiled(np.array(portion.column("item").to_pylist(), object), texts_of(portion.column("text").combine_chunks()), size, radius))
 
 
 def leaks(
@@ -199,7 +199,7 @@ def leaks(
     default radius a window of similarity 0.8 differs in about 10 bits, so next to none is missed.
 
     Texts pass no shuffle. The benchmark is read in portions of about ITEM_BYTES of text, each searched in a pass over the texts. Null and
-    empty texts and items give no rows; item ids must be whole numbers; repeated rows give repeated results; of equal windows the first is returned.
+    empty texts and items give no rows; item ids must be whole numbers or null; repeated rows give repeated results; of equal windows the first is returned.
     """
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -218,7 +218,7 @@ def leaks(
                         keep[1:] = (text[best][1:] != text[best][:-1]) | (item[best][1:] != item[best][:-1])
                         best = best[keep]
                         yield pa.RecordBatch.from_arrays(
-                            [part.column("id").take(pa.array(text[best])), *[pa.array(c[best]) for c in (own.ids[item], similarity, bits, word, n)]],
+                            [part.column("id").take(pa.array(text[best])), pa.array(own.ids[item][best], pa.int64()), *[pa.array(c[best]) for c in (similarity, bits, word, n)]],
                             schema=pa.schema([("id", part.schema.field("id").type), ("item", pa.int64()), ("similarity", pa.float64()), ("bits", pa.int64()), ("first_word", pa.int64()), ("n_words", pa.int64())]),
                         )
 

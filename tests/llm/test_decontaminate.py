@@ -107,3 +107,11 @@ def test_odd_tables(spark):
     assert sorted(r["doc_id"] for r in decontaminate.leaks(documents(spark), bench).collect()) == [
         i for i, t in enumerate(ODD_TEXTS) if (t or "").lower() == "one two three four"
     ]
+
+
+def test_items_without_an_id(spark):
+    passages = [" ".join(f"{w}{k}" for k in range(30)) for w in "abc"]
+    docs = spark.createDataFrame([(i, f"before {p} after") for i, p in enumerate(passages)] + [(3, "clean text of five words")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, passages[0]), (None, passages[1]), (5, passages[2])], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, benchmark).collect()} == {(0, None), (1, None), (2, 5)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, benchmark).collect()] == [3]

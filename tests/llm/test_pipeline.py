@@ -119,6 +119,15 @@ def test_documents_without_an_id_stay(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, rows[1][1]), (0, rows[0][1]), (1, rows[3][1])]
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    copies = [" ".join(f"{w}{k}" for k in range(60)) for w in "abc"]
+    near = copies[0].replace("a30 ", "new ")
+    rows = [(7, copies[0]), (7, copies[1]), (3, near), (None, copies[1] + " end"), (None, copies[2]), (9, copies[2]), (9, copies[2]), (None, "stands alone")]
+    kept = pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    want = [(3, near), (7, copies[1]), (9, copies[2]), (None, "stands alone")]
+    assert sorted(map(str, kept)) == sorted(str(r) for r in spark.createDataFrame(want, "doc_id long, text string").collect())
+
+
 @pytest.mark.parametrize("stage", [s for _, s in pipeline.STAGES], ids=[n for n, _ in pipeline.STAGES])
 @pytest.mark.parametrize("docs", [empty, documents, lambda s: documents(s).unionByName(documents(s))], ids=["empty", "odd", "repeated"])
 def test_odd_tables(spark, stage, docs):
