@@ -75,12 +75,12 @@ def swapped_replies(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, chosen, rejected) for ``examples`` from single conversations: the rejected side has all turns but the last assistant
     text, which is that of the neighbour (ids 2k and 2k + 1 are neighbours; ids are whole numbers).
 
-    Without a neighbour, or where the neighbour has no assistant turn, the last assistant turn is left out; turns under a null
-    id are one conversation with equal sides. Neighbours meet in one group, so every text is shuffled once.
+    Without a neighbour, or where the neighbour has no assistant turn, the last assistant turn is left out. Every turn without
+    an id is a conversation of its own with equal sides and needs no group. Neighbours meet in one group, so every text is shuffled once.
     """
     number = F.col(key).cast("long")
     odd = F.coalesce(F.pmod(number, F.lit(2)) == 1, F.lit(False))
-    pairs = turns.groupBy(F.shiftright(number, 1).alias("pair")).agg(
+    pairs = turns.where(number.isNotNull()).groupBy(F.shiftright(number, 1).alias("pair")).agg(
         F.array_sort(F.collect_list(F.when(~odd, _item()))).alias("even"), F.array_sort(F.collect_list(F.when(odd, _item()))).alias("odd"),
     )
 
@@ -99,6 +99,7 @@ def swapped_replies(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     def swapped(turn: Column) -> Column:
         return F.struct(turn["turn"].alias("turn"), turn["role"].alias("role"), F.when(replaced(turn), F.col("reply")).otherwise(turn["text"]).alias("text"))
 
-    rejected = F.when(F.col("number").isNull(), F.col("chosen")).when(F.col("reply").isNull(), F.filter("chosen", lambda t: ~replaced(t))).otherwise(F.transform("chosen", swapped))
+    rejected = F.when(F.col("reply").isNull(), F.filter("chosen", lambda t: ~replaced(t))).otherwise(F.transform("chosen", swapped))
     single = pairs.select(F.inline(F.array(one("even", "odd", 0), one("odd", "even", 1)))).where(F.size("chosen") > 0)
-    return single.select(F.col("number").cast(turns.schema[key].dataType).alias(key), "chosen", rejected.alias("rejected"))
+    nameless = turns.where(number.isNull()).select(F.col(key), F.array(_item()).alias("chosen")).withColumn("rejected", F.col("chosen"))
+    return single.select(F.col("number").cast(turns.schema[key].dataType).alias(key), "chosen", rejected.alias("rejected")).unionByName(nameless)

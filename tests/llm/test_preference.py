@@ -104,3 +104,11 @@ def test_neighbours_below_zero_and_ties(spark):
     rows = preference.swapped_replies(spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")).collect()
     got = {r["conv_id"]: [t["text"] for t in r["rejected"]] for r in rows}
     assert got == {-2: ["m1"], -1: ["m2", "m2", "u"]}
+
+
+def test_turns_without_an_id_stand_alone(spark):
+    turns = [(None, k, "assistant", f"n{k}") for k in range(50)] + [(0, 0, "assistant", "r0"), (1, 0, "assistant", "r1")]
+    rows = preference.swapped_replies(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()
+    alone = [r for r in rows if r["conv_id"] is None]
+    assert len(alone) == 50 and all(len(r["chosen"]) == 1 and r["chosen"] == r["rejected"] for r in alone)
+    assert {r["conv_id"]: r["rejected"][0]["text"] for r in rows if r["conv_id"] is not None} == {0: "r1", 1: "r0"}
