@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, hosts, language, pieces, preference, quality, rules, sharding, simhash, tokens
+from . import decontaminate, hosts, interactions, language, mixing, pieces, preference, quality, rules, sharding, simhash, tokens
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -203,3 +203,62 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per leaked benchmark item and document."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SOURCE_WEIGHTS = (5, 2, 1)
+MIX_SHARE = 1.5
+MOST_COPIES = 2
+
+OP11_SQL = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':42'), 1, 15))::BIGINT AS tie FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS weight, 2 * source_size AS cap FROM s),
+levels AS (SELECT (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM w WINDOW before AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT max(level) FROM levels)) AS target FROM w),
+e AS (SELECT doc_id, size, tie, d.source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size * 16777216 + 0.5)::BIGINT ELSE 0 END AS ticks
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, (('0x' || substr(md5(coalesce(source, '') || ':42'), 1, 6))::BIGINT + sum(ticks) OVER (PARTITION BY source ORDER BY size, tie, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM e)
+SELECT doc_id, size, source_size, target, ((upto >> 24) - ((upto - ticks) >> 24)) * size AS taken, source, (upto >> 24) - ((upto - ticks) >> 24) AS copies FROM p"""
+
+
+@query("op11_mixing", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.copies_of(table(spark, sf_dir, "documents"), SOURCE_WEIGHTS, MIX_SHARE, MOST_COPIES)
+    return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
+
+
+def audit_conditions() -> list:
+    """Failures of the filters A to D on the column ``text``; E, the copies, comes after them."""
+    words = F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0))
+    n_capitals = F.length("text") - F.length(F.regexp_replace("text", "[A-Z]", ""))
+    return [
+        mixing.word_count(F.col("text")) < 50, 100 * F.size(F.array_distinct(words)) < 65 * F.size(words),
+        100 * n_capitals > 5 * F.length("text"), F.col("text").rlike(r"[#$%&*|]"),
+    ]
+
+
+OP12_SQL = r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+marks AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic,
+  (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+  + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+  + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask FROM d LEFT JOIN marks USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good)::BIGINT AS good, sum(toxic)::BIGINT AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, unnest([1, 2, 3, 4, 5])::INTEGER AS step, bits FROM o),
+g AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::BIGINT AS state FROM s),
+r AS (SELECT part, filter_order, step, bit,
+  sum(CASE WHEN mask & (state | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & state = 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & state > 0 AND mask & bit > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN mask & state = 0 AND mask & bit > 0 THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN mask & state = 0 AND mask & bit > 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, g GROUP BY ALL)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+
+@query("op12_interactions", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = interactions.failed_sets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), audit_conditions())
+    return interactions.audit(failed, "ABCDE")
