@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import decontaminate, hosts, interactions, language, mixing, pieces, preference, quality, rules, sharding, simhash, tokens
+from . import decontaminate, hosts, interactions, language, mixing, pieces, preference, quality, rules, sharding, simhash, spelling, tokens
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -262,3 +262,8 @@ SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = interactions.failed_sets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), audit_conditions())
     return interactions.audit(failed, "ABCDE")
+
+
+@query("op13_spelling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
