@@ -126,8 +126,8 @@ MIN_WORDS = 50
 
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.judged(table(spark, sf_dir, "documents"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    judged = rules.judged(table(spark, sf_dir, "documents"), learn_from=~failed)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"),
         F.round("p_good", 6).alias("p_good"), *[r.name for r in rules.rules()],

@@ -129,41 +129,68 @@ class Weights:
         return 1 / (1 + F.exp(-total))
 
 
-def fit(patterns: list[tuple[tuple[int | None, ...], int]], names: list[str], rounds: int = 100, start_bad: float = 0.1, least_good: float = 0.5) -> Weights:
-    """Expectation-maximisation over (votes, count): two classes, and for each rule and class how often a vote is good.
+#: Votes of either kind that every rule is given in both classes, so that no rate is 0.
+SMOOTH = 0.0001
+#: Share of every text's weight that stays with the belief at the start. Where a single rule tells the classes apart, many splits are
+#: equally likely and the votes alone would let the estimate drift to one class that explains everything; this share then decides.
+ANCHOR = 0.0005
 
-    Abstaining is taken to say nothing about the class. It starts from the belief that a text with any bad vote is likely bad, so the
-    classes cannot swap. Counts are smoothed by one, and the prior of good stays at or above ``least_good``.
-    """
-    if not patterns:
-        return Weights(0.0, {name: (0.0, 0.0) for name in names})
-    votes = np.array([[np.nan if v is None else v for v in p] for p, _ in patterns], float)
-    count = np.array([n for _, n in patterns], float)
+
+def _estimate(votes: np.ndarray, count: np.ndarray, rounds: int, start_bad: float, least_good: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log odds of good before any vote, what a bad vote adds by rule, what a good vote adds)."""
     cast, good = ~np.isnan(votes), np.nan_to_num(votes)
-    belief = np.where((cast & (good == 0)).any(1), start_bad, 1 - start_bad)
+    belief = start = np.where((cast & (good == 0)).any(1), start_bad, 1 - start_bad)
     for _ in range(rounds):
         prior = min(max((count * belief).sum() / count.sum(), least_good), 1 - 1e-6)
         rates = []
         for weight in (count * (1 - belief), count * belief):
             cast_weight = weight[:, None] * cast
-            rates.append(((cast_weight * good).sum(0) + 1) / (cast_weight.sum(0) + 2))
+            rates.append(((cast_weight * good).sum(0) + SMOOTH) / (cast_weight.sum(0) + 2 * SMOOTH))
         for_good, for_bad = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
         odds = math.log(prior / (1 - prior)) + (cast * np.where(good == 1, for_good, for_bad)).sum(1)
-        belief, before = 1 / (1 + np.exp(-odds)), belief
+        belief, before = (1 - ANCHOR) / (1 + np.exp(-odds)) + ANCHOR * start, belief
         if np.abs(belief - before).max() < 1e-9:
             break
-    return Weights(math.log(prior / (1 - prior)), {name: (float(for_bad[j]), float(for_good[j])) for j, name in enumerate(names)})
+    return math.log(prior / (1 - prior)), for_bad, for_good
+
 
+#: A bad vote that adds more than this to the odds of good is taken to speak against its rule; smaller sums are chance.
+WRONG_SIGN = 0.1
 
-def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_from: float = 0.5) -> DataFrame:
+
+def fit(patterns: list[tuple[tuple[int | None, ...], int]], names: list[str], rounds: int = 100, start_bad: float = 0.1, least_good: float = 0.5) -> Weights:
+    """Expectation-maximisation over (votes, count): two classes, and for each rule and class how often a vote is good.
+
+    Abstaining is taken to say nothing about the class. It starts from the belief that a text with any bad vote is likely bad,
+    and ANCHOR of it stays.
+    Counts are smoothed by SMOOTH, and the prior of good stays at or above ``least_good``. If the classes that are found make a bad vote
+    of some rule speak for good, they do not tell good from bad for it: the rule with the largest such vote gets weight 0 and
+    the rest is estimated anew. So no bad vote raises the odds by more than WRONG_SIGN, and those within are set to 0.
+    """
+    weights = dict.fromkeys(names, (0.0, 0.0))
+    used = list(range(len(names)))
+    while patterns and used:
+        votes = np.array([[np.nan if p[j] is None else p[j] for j in used] for p, _ in patterns], float)
+        prior, for_bad, for_good = _estimate(votes, np.array([n for _, n in patterns], float), rounds, start_bad, least_good)
+        worst = int(np.argmax(for_bad))
+        if for_bad[worst] <= WRONG_SIGN:
+            return Weights(prior, weights | {names[j]: (min(float(for_bad[i]), 0.0), float(for_good[i])) for i, j in enumerate(used)})
+        del used[worst]
+    return Weights(0.0, weights)
+
+
+def judged(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_from: float = 0.5, learn_from: Column | None = None) -> DataFrame:
     """Counts, votes and posterior probability of good quality for every text; ``kept`` where it reaches ``keep_from``.
 
-    Accuracies are estimated from how often each pattern of votes occurs among all rows: at most 3 ** 6 patterns reach the driver,
-    whatever the number of rows. Texts without words get votes of shares that are 0. An empty table gives no rows.
+    Accuracies are estimated from how often each pattern of votes occurs among the rows where ``learn_from`` (a condition on the counts)
+    holds, by default all: texts that other rules reject anyway, such as very short ones, would be taken for the bad class, whatever
+    the votes. At most 3 ** 6 patterns reach the driver, whatever the number of rows. Texts without words get votes of shares that are 0; a
+    text's verdict depends on its votes alone, so equal texts share it and null or repeated ids do not matter. An empty table gives no rows.
     """
     used = rules()
     names = [r.name for r in used]
     voted = cut_lineage(text_counts(docs, id_column, text_column).withColumns({r.name: r.vote() for r in used}))
-    patterns = [(tuple(row[n] for n in names), row["n"]) for row in voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]
+    learnt = voted if learn_from is None else voted.where(learn_from)
+    patterns = [(tuple(row[n] for n in names), row["n"]) for row in learnt.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]
     weights = fit(sorted(patterns, key=str), names)
     return voted.withColumn("p_good", weights.posterior()).withColumn("kept", F.col("p_good") >= keep_from)
