@@ -8,6 +8,7 @@ sort whose partition sizes (one number per partition) are summed up.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .joins import hot_rows, salted_join
+from .selection import rows_at
 
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low 33 bits
 
@@ -120,40 +122,54 @@ def key_batches(df: DataFrame, key: str, size: int) -> DataFrame:
     return placed.groupBy(batch).agg(F.array_sort(F.collect_list(key)).alias("keys"))
 
 
+def _order_key(order: Sequence[Column | str]) -> Column:
+    return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"key{i}") for i, c in enumerate(order)])
+
+
 def time_split(df: DataFrame, *order: Column | str, train: float = 0.85) -> DataFrame:
-    """Mark the first ``floor(n * train)`` rows of an order as train, the rest as test."""
-    placed = row_index(df, *order, name="_i")
-    cut = F.floor(F.lit(placed.count()) * F.lit(train))
-    return placed.withColumn("part", F.when(F.col("_i") < cut, "train").otherwise("test")).drop("_i")
+    """Mark the first ``floor(n * train)`` rows of an ascending order as train, the rest as test.
+
+    The row at the cut is found by counting (see ``selection``) and every row is compared with it in place: nothing is sorted, shuffled or written.
+    """
+    cut = rows_at(df, None, [floor(df.count() * train)], order).first()
+    if cut is None:
+        return df.withColumn("part", F.lit("train"))
+    first_test = F.struct(*[F.lit(v).alias(f"key{i}") for i, v in enumerate(cut["key"])])
+    return df.withColumn("part", F.when(_order_key(order) < first_test, "train").otherwise("test"))
 
 
 def value_at(df: DataFrame, column: str, fraction: float, *order: Column | str) -> DataFrame:
-    """The value that stands at position ``floor(n * fraction)`` of an order."""
-    placed = row_index(df, *order, name="_i")
-    return placed.filter(F.col("_i") == F.floor(F.lit(placed.count()) * F.lit(fraction))).select(column)
+    """The value that stands at position ``floor(n * fraction)`` of an ascending order, found by counting."""
+    return rows_at(df, None, [floor(df.count() * fraction)], order, [column]).select(column)
 
 
-def _class_index(df: DataFrame, label: str, order: Sequence[Column | str]) -> DataFrame:
-    """Position of every row inside its class, with the class size; a class may hold any share of the rows.
+def _passed_cuts(df: DataFrame, label: str, cuts: Column, order: Sequence[Column | str], name: str) -> DataFrame:
+    """Add how many of its class's cuts each row has reached; ``cuts`` makes the positions from the class size ``_size``.
 
-    The join is planned from the size of the class table, which is small however many rows a class has.
+    The rows at the cuts are found by counting. Every row is compared with those of its class; the join is planned from the size of
+    the class table, which is small however many rows a class has.
     """
-    placed = row_index(df, F.col(label), *order, name="_i")
-    classes = placed.groupBy(label).agg(F.min("_i").alias("_first"), F.count("*").alias("_size"))
-    return placed.join(classes, label).withColumn("_k", F.col("_i") - F.col("_first")).drop("_i", "_first")
+    classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size")).select(label, F.posexplode(cuts).alias("slot", "position"))
+    found = rows_at(df, label, classes, order).groupBy(F.col(label).alias("_class")).agg(F.collect_list("key").alias("_cuts"))
+    joined = df.join(found, F.col(label).eqNullSafe(F.col("_class")), "left").withColumn("_key", _order_key(order))
+    passed = F.size(F.filter("_cuts", lambda c: F.col("_key") >= c))
+    return joined.withColumn(name, F.when(F.col("_cuts").isNull(), 0).otherwise(passed)).drop("_class", "_cuts", "_key")
 
 
 def stratified_split(df: DataFrame, label: str, row_id: str, train: float = 0.85, seed: int = 42) -> DataFrame:
     """Random split with the same share of every class: exactly ``floor(size * train)`` train rows per class."""
-    placed = _class_index(df, label, [shuffle_key(row_id, seed), F.col(row_id)])
-    part = F.when(F.col("_k") < F.floor(F.col("_size") * F.lit(train)), "train").otherwise("test")
-    return placed.withColumn("part", part).drop("_k", "_size")
+    at = F.array(F.floor(F.col("_size") * F.lit(train)))
+    placed = _passed_cuts(df, label, at, [shuffle_key(row_id, seed), F.col(row_id)], "_passed")
+    return placed.withColumn("part", F.when(F.col("_passed") == 0, "train").otherwise("test")).drop("_passed")
 
 
 def stratified_folds(df: DataFrame, label: str, folds: int, *order: Column | str, name: str = "fold") -> DataFrame:
-    """Fold number per row: contiguous blocks of each class in the given order, as equal in size as can be."""
-    placed = _class_index(df, label, order)
-    return placed.withColumn(name, F.floor(F.col("_k") * folds / F.col("_size")).cast("int")).drop("_k", "_size")
+    """Fold number per row: contiguous blocks of each class in the given ascending order, as equal in size as can be."""
+    # Position k of a class of n rows is in fold floor(k * folds / n), so fold f begins at the first k of at least f * n / folds.
+    at = F.transform(F.sequence(F.lit(1), F.lit(max(folds - 1, 1))), lambda f: F.ceil(f * F.col("_size") / F.lit(folds)))
+    if folds < 2:
+        return df.withColumn(name, F.lit(0))
+    return _passed_cuts(df, label, at, order, name)
 
 
 def rolling_mean(df: DataFrame, order: str, columns: Sequence[str], rows: int = 4) -> DataFrame:

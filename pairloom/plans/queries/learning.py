@@ -111,7 +111,7 @@ FOLDS = 5
 
 def folded(t) -> DataFrame:
     """Labelled documents with a fold each, written once, as every fit reads them."""
-    return cut_lineage(stratified_folds(document_features(t), "quality", FOLDS, "doc_id"))
+    return cut_lineage(stratified_folds(cut_lineage(document_features(t)), "quality", FOLDS, "doc_id"))
 
 
 @query("model_logreg", "M1 M2 M10 M11 O12 A18")
@@ -151,7 +151,7 @@ def model_knn(t) -> DataFrame:
 
 def fitted(t):
     """A logistic model fitted on the first 85% of the documents by id, and the rest."""
-    parts = cut_lineage(time_split(document_features(t), "doc_id"))
+    parts = cut_lineage(time_split(cut_lineage(document_features(t)), "doc_id"))
     train, test = parts.filter(F.col("part") == "train"), parts.filter(F.col("part") == "test")
     stages = [*M.preprocessing(FEATURES), *M.classifier("logreg", {"C": 1.0}, train.count(), "quality", "class_weight")]
     return Pipeline(stages=stages).fit(train), test
