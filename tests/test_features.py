@@ -67,6 +67,30 @@ def test_nearest_skips_far_rings(spark):
     assert share < 0.15, share
 
 
+def test_approximations_spare_most_full_distances(spark):
+    """Vectors spread evenly over 64 dimensions: rings rule out nothing, approximations most pairs; and nothing of the result is lost."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    for metric in ("euclidean", "cosine", "manhattan"):
+        q, p = (S._vectors(table, "vec_id", "embedding", metric, side) for side in "lr")
+        pairs = S._candidates(q, p, 5, metric, True, 6, 4, 128)
+        n = table.count()
+        assert pairs.count() < 0.05 * n * n and pairs.distinct().count() == pairs.count()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "manhattan"])
+def test_nearest_with_zeros_copies_and_far_values(spark, metric):
+    x = np.concatenate([np.zeros((5, 3)), rng(1).normal(size=(40, 3)), np.full((3, 3), 1e6), [[1e-9, 0, 0]] * 4, np.repeat(rng(2).normal(size=(1, 3)), 30, 0)])
+    if metric == "cosine":
+        a = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        d = np.round(1 - a @ a.T, 6)
+    else:
+        d = np.round(np.abs(x[:, None] - x[None]).sum(2), 6)
+    want = sorted((i, j) for i in range(len(x)) for _, j in sorted((d[i, j], j) for j in range(len(x)) if j != i)[:4])
+    df = vector_table(spark, x)
+    got = S.nearest(df, df.withColumnRenamed("id", "other"), "id", "other", "v", "v", 4, metric, exclude_same=True, pivots=3, block=11)
+    assert sorted((r["id"], r["other"]) for r in got.collect()) == want
+
+
 def test_nearest_with_few_or_no_points(spark):
     df = vector_table(spark, rng(1).normal(size=(3, 2)))
     other = df.withColumnRenamed("id", "other")
