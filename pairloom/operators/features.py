@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.ml.feature import CountVectorizerModel, Normalizer, PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -89,9 +90,55 @@ def _weighted_sums(entries: DataFrame, by: str, key: str, vectors: DataFrame) ->
     return joined.groupBy(by).agg(vector_to_array(Summarizer.sum(F.col("_x"))).alias("v"))
 
 
-def _gram_of(vectors: DataFrame, k: int) -> np.ndarray:
-    """Sum of v v' over all rows: k x k numbers."""
-    return _gram(vectors.select(array_to_vector("v").alias("x")), "x", np.zeros(k))
+#: Triangles that are put on top of each other in one step of the tree.
+FAN_IN = 32
+
+
+def _triangle(vectors: DataFrame, k: int) -> np.ndarray:
+    """The triangular factor of the table of vectors ``v``, one row each, by orthogonal reduction (k x k, fewer rows for a smaller table).
+
+    Every task reduces its own rows to a triangle, and triangles are stacked and reduced again, FAN_IN at a time. Unlike
+    the sum of products this does not square the numbers, so directions down to about 1e-15 of the largest are kept apart.
+    """
+
+    def reduced(stacks: Iterator[np.ndarray]) -> np.ndarray:
+        top = np.zeros((0, k))
+        for x in stacks:
+            top = np.linalg.qr(np.vstack([top, x]), mode="r")
+        return top
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top = reduced(np.stack(batch["v"].to_numpy()) for batch in batches if len(batch))
+        yield pd.DataFrame({"node": np.full(len(top), TaskContext.get().partitionId(), np.int64), "v": list(top)})
+
+    def joined(part: pd.DataFrame) -> pd.DataFrame:
+        top = reduced([np.stack(part["v"].to_numpy())])
+        return pd.DataFrame({"node": np.full(len(top), part["node"].iloc[0] // FAN_IN), "v": list(top)})
+
+    kind, parts = "node long, v array<double>", vectors.rdd.getNumPartitions()
+    level = vectors.select("v").mapInPandas(local, kind)
+    while parts > FAN_IN:
+        level = level.groupBy(F.floor(F.col("node") / FAN_IN)).applyInPandas(joined, kind)
+        parts = -(-parts // FAN_IN)
+    rows = level.select("v").collect()  # at most FAN_IN triangles
+    return reduced([np.array([r["v"] for r in rows])] if rows else [])
+
+
+def _directions(vectors: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values of the table of vectors, those that rounding leaves of others left out, and its right vectors as columns."""
+    _, values, axes = np.linalg.svd(_triangle(vectors, k))
+    used = values > max(values.max(initial=0.0), 0.0) * 1e-14 * max(k, 10)
+    return values[used], axes[: len(values)][used].T
+
+
+def _orthonormal(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
+    """Vectors with orthonormal columns that span the same, written once; if their lengths differ much, the first time leaves rounding errors
+    and it is done twice."""
+    while True:
+        values, axes = _directions(vectors, k)
+        vectors, k = cut_lineage(_times(vectors, axes / values)), len(values)
+        if not k or values.min() > 1e-4 * values.max():
+            return vectors, k
 
 
 def _times(vectors: DataFrame, matrix: np.ndarray) -> DataFrame:
@@ -110,46 +157,35 @@ def truncated_svd(
     """Uncentred SVD of a sparse matrix in long form (row_id, column, weight): scores per row, singular values, right vectors per column.
 
     Subspace iteration on k + ``extra`` vectors: rows times vectors and back are joins and sums, so neither side of the matrix
-    has to fit in memory; only k x k matrices reach the driver. It ends when the values no longer change, after ``rounds``
+    has to fit in memory; only triangles of k + ``extra`` rows reach the driver. Both sides are made orthonormal by a tree of QR steps, so
+    values down to about 1e-13 of the first are found. It ends when the first k values stay the same twice, after ``rounds``
     at most; up to k + extra columns the result is exact. Fewer components come back where the matrix has a smaller rank. The
     sign of a component is such that its largest sum over the columns is positive.
     """
     entries = cut_lineage(entries.select(row_id, column, F.col("weight").cast("double").alias("weight")))
     names = cut_lineage(entries.select(column).distinct())
     n = names.count()
-    if not n:
-        none = F.array().cast("array<double>")
-        return entries.select(row_id, none.alias(out)), np.zeros(0), names.withColumn("v", none)
+    none = F.array().cast("array<double>")
     size = min(k + extra, n)
-    if n <= size:
-        rounds = 0  # any basis spans the whole space
     start = F.array(*[F.xxhash64(F.col(column), F.lit(j)) / F.lit(2.0**63) for j in range(size)])
-    right = cut_lineage(names.withColumn("v", start))
-    before = None
-    for _ in range(rounds):
-        values, axes = np.linalg.eigh(_gram_of(right, size))
-        largest = np.sort(values)[-k:]
-        if before is not None and len(before) == len(largest) and np.allclose(before, largest, rtol=1e-10, atol=0):
-            break
-        before = largest
-        used = values > values.max() * 1e-13 if len(values) and values.max() > 0 else np.zeros(len(values), bool)
-        if not used.any():
+    right, size = _orthonormal(cut_lineage(names.withColumn("v", start)), size) if n else (names, 0)
+    before, same = None, 0
+    while size:
+        left = cut_lineage(_weighted_sums(entries, row_id, column, right))
+        values, axes = _directions(left, size)
+        largest = values[:k]
+        same = same + 1 if before is not None and len(before) == len(largest) and np.allclose(before, largest, rtol=1e-13, atol=1e-15 * max(values.max(initial=0.0), 1e-300)) else 0
+        if same == 2 or rounds <= 0 or n <= size or len(values) == 0:
             break
-        basis = _times(right, axes[:, used] / np.sqrt(values[used]))  # orthonormal columns
-        size = int(used.sum())
-        left = _weighted_sums(entries, row_id, column, basis)
-        right = cut_lineage(_weighted_sums(entries, column, row_id, left))
-    values, axes = np.linalg.eigh(_gram_of(right, size))
-    used = values > max(values.max(), 0) * 1e-13
-    right = cut_lineage(_times(right, axes[:, used] / np.sqrt(values[used])))
-    left = _weighted_sums(entries, row_id, column, right)
-    values, axes = np.linalg.eigh(_gram_of(left, int(used.sum())))
-    order = np.argsort(-values)[: min(k, len(values))]
-    turned = axes[:, order]
+        before, rounds = largest, rounds - 1
+        # The rows' side with orthonormal columns, then back to the columns' side.
+        right, size = _orthonormal(cut_lineage(_weighted_sums(entries, column, row_id, _times(left, axes / values))), len(values))
+    if not size or not len(values):
+        return entries.select(row_id, none.alias(out)).distinct(), np.zeros(0), names.withColumn("v", none)
+    turned = axes[:, :k]
     sums = right.select(Summarizer.sum(array_to_vector("v")).alias("s")).first()["s"]
-    if sums is not None:
-        turned = turned * np.where(sums.toArray() @ turned < 0, -1.0, 1.0)
-    return _times(left, turned).withColumnRenamed("v", out), np.sqrt(np.maximum(values[order], 0)), _times(right, turned)
+    turned = turned * np.where(sums.toArray() @ turned < 0, -1.0, 1.0)
+    return _times(left, turned).withColumnRenamed("v", out), values[:k], _times(right, turned)
 
 
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -157,7 +193,9 @@ def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> D
 
 
 def standardized(df: DataFrame, vector: str = "features", out: str = "scaled") -> DataFrame:
-    """Zero mean and unit population variance per dimension; a constant dimension becomes 0."""
+    """Zero mean and unit population variance per dimension; a constant dimension becomes 0, no rows stay none."""
+    if df.isEmpty():
+        return df.withColumn(out, F.col(vector))
     stats = df.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(vector)).alias("s")).first()["s"]
     mean, n = stats["mean"].toArray(), stats["count"]
     deviation = np.sqrt(stats["variance"].toArray() * (n - 1) / n)
@@ -238,7 +276,10 @@ def pls_axes(df: DataFrame, vector: str, target: str, k: int = 2, out: str = "pl
     All components follow from the Gram matrix of the standardized features and their products with the
     target, so the table is read twice however many components are asked for.
     """
-    p = len(df.select(vector).first()[0])
+    row = df.select(vector).first()
+    if row is None:
+        raise ValueError("no rows to fit the projection on")
+    p = len(row[0])
     with_y = df.withColumn("_z", F.concat(vector_to_array(vector), F.array(F.col(target).cast("double"))))
     with_y = with_y.withColumn("_z", array_to_vector("_z"))
     mean = with_y.select(Summarizer.mean(F.col("_z"))).first()[0].toArray()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def known_and(condition: Column) -> Column:
     """A condition that reads unknown as false, for use under ``~`` and ``|``."""
     return F.coalesce(condition, F.lit(False))
@@ -47,3 +48,17 @@ def overlapping(df: DataFrame, row_id: str, array: str, ids: DataFrame, id_colum
 def beyond(df: DataFrame, score: str, limit: float, name: str) -> DataFrame:
     """All rows of the entities that pass a score limit in at least one row (outliers back to their source)."""
     return members_of(df, name, df.filter(F.col(score) > limit).select(name))
+
+
+def in_ranges(df: DataFrame, ranges: Mapping[str, tuple[object | None, object | None]]) -> DataFrame:
+    """Rows whose value at every path (``struct.field`` to any depth) lies between two bounds, ends included; None is no bound.
+
+    A null anywhere on a path fails its range. Conditions name the fields themselves, so a nested file is read
+    only along the paths that are used, and skips row groups by the statistics of the fields.
+    """
+    for path, (low, high) in ranges.items():
+        if low is not None:
+            df = df.where(F.col(path) >= F.lit(low))
+        if high is not None:
+            df = df.where(F.col(path) <= F.lit(high))
+    return df

@@ -13,6 +13,7 @@ from ...operators import features as X
 from ...operators.columns import numbered
 from ...operators.filters import beyond
 from ...operators.sets import stacked
+from ...operators.setjoin import alike
 from ...operators.similarity import nearest
 from ...session import cut_lineage
 from ..registry import query
@@ -100,6 +101,21 @@ def svd_plane(t) -> DataFrame:
     return named.select(*keys, (F.round(F.get("latent", F.lit(0)), 5) + F.lit(0.0)).alias("first"), (F.round(F.abs(F.get("latent", F.lit(1))), 5) + F.lit(0.0)).alias("second"))
 
 
+@query("svd_spectrum", "X7", """
+WITH m AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, o_totalprice / 100000 * pow(0.8, datediff('month', DATE '1992-01-01', o_orderdate)) AS w FROM orders),
+v AS (SELECT month, sqrt(sum(w * w)) AS value, row_number() OVER (ORDER BY sum(w * w) DESC) AS component FROM m GROUP BY 1)
+SELECT o_orderkey, CAST(component AS INTEGER) AS component, round(w, 5) AS score, round(value, 5) AS value FROM m JOIN v USING (month) WHERE component <= 5""")
+def svd_spectrum(t) -> DataFrame:
+    """Every order weighs on its month alone: the columns are orthogonal, so the values are their lengths. There are more months than vectors
+    in the iteration, which has to find the first five."""
+    months = F.floor(F.months_between(F.trunc("o_orderdate", "month"), F.lit("1992-01-01").cast("date")))
+    entries = t.orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), (F.col("o_totalprice") / 100000 * F.pow(F.lit(0.8), months)).alias("weight"))
+    scores, values, _ = X.truncated_svd(entries, "o_orderkey", "month", 5)
+    cells = scores.select("o_orderkey", F.posexplode("latent").alias("at", "score")).where("abs(score) > 1e-9")
+    known = F.array(*[F.lit(float(v)) for v in values])
+    return cells.select("o_orderkey", (F.col("at") + 1).alias("component"), (F.round("score", 5) + F.lit(0.0)).alias("score"), F.round(F.get(known, "at"), 5).alias("value"))
+
+
 @query("explained_variance", "X8", """
 WITH r AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r, count(*) / (count(*) - 1.0::DOUBLE) AS f FROM lineitem)
 SELECT 1 AS component, round((1 + r) / 2, 6) AS ratio, round(sqrt(f * (1 + r) / 2), 6) AS loading, true AS strong FROM r
@@ -148,9 +164,9 @@ d AS (SELECT a.vec_id, b.vec_id AS other_id, round({distance}, 6) + 0.0 AS dista
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, other_id) AS INTEGER) AS rank FROM d) WHERE rank <= {k}"""
 
 
-def neighbours(t, k: int, metric: str) -> DataFrame:
+def neighbours(t, k: int, metric: str, **how) -> DataFrame:
     other = t.embeddings.withColumnRenamed("vec_id", "other_id")
-    return nearest(t.embeddings, other, "vec_id", "other_id", "embedding", "embedding", k, metric, exclude_same=True)
+    return nearest(t.embeddings, other, "vec_id", "other_id", "embedding", "embedding", k, metric, exclude_same=True, **how)
 
 
 @query("cosine_topk", "X10 J12 O4", nearest_sql("1 - list_cosine_similarity(a.v, b.v)", 5))
@@ -168,6 +184,12 @@ def nearest_manhattan(t) -> DataFrame:
     return neighbours(t, 7, "manhattan")
 
 
+@query("nearest_cells", "X12 X10 J12", nearest_sql("list_distance(a.v, b.v)", 3))
+def nearest_cells(t) -> DataFrame:
+    """Many cells, rings and blocks, as large tables have them: both rounds and every bound are at work."""
+    return neighbours(t, 3, "euclidean", pivots=16, block=64)
+
+
 @query("text_vectors", "X11", """
 WITH c AS (SELECT doc_id, list_transform(string_split(lower(text), ''), lambda x: unicode(x)) AS c FROM documents),
 g AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 256)) AS place FROM c WHERE len(c) >= 3),
@@ -192,6 +214,18 @@ def structure_bits(t) -> DataFrame:
     return made.where("set > 0").select("p_partkey", "bit")
 
 
+@query("tanimoto_pairs", "X13", """
+WITH c AS (SELECT p_partkey, list_transform(string_split(concat_ws(' ', p_name, p_type, p_brand), ''), lambda x: unicode(x)) AS c FROM part),
+s AS (SELECT p_partkey, list_sort(list_distinct(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 2048))) AS bits FROM c WHERE len(c) >= 3),
+d AS (SELECT min(p_partkey) AS k, count(*) AS n, bits FROM s GROUP BY bits),
+p AS (SELECT a.k AS "left", b.k AS "right", a.n AS n_left, b.n AS n_right, len(list_intersect(a.bits, b.bits))::INTEGER AS shared, len(a.bits) + len(b.bits) AS sizes
+  FROM d a JOIN d b ON a.k < b.k AND least(len(a.bits), len(b.bits)) >= 0.75 * greatest(len(a.bits), len(b.bits)))
+SELECT "left", "right", n_left, n_right, shared, round(shared / (sizes - shared)::DOUBLE, 6) AS similarity FROM p WHERE shared >= 0.75 * (sizes - shared)""")
+def tanimoto_pairs(t) -> DataFrame:
+    """All pairs of different fingerprints that share three quarters of their bits, each under its smallest part."""
+    return alike(structure_bits(t), "p_partkey", "bit", 0.75).withColumn("similarity", r6("similarity"))
+
+
 @query("fingerprint_components", "X13 X8 P10")
 def fingerprint_components(t) -> DataFrame:
     scored, _, _ = X.principal_components(X.fingerprints(structures(t), "text"), 100, vector="fingerprint")

@@ -166,16 +166,17 @@ def score_table(t) -> DataFrame:
 
 
 @query("nearest_scores", "M9 M12 M13", """
-WITH e AS (SELECT vec_id, CAST(label >= 5 AS INTEGER) AS side, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
-tr AS (SELECT * FROM e WHERE vec_id % 4 <> 0), s AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc FROM tr),
-z AS (SELECT vec_id, side, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c FROM e, s),
-d AS (SELECT q.vec_id, p.vec_id AS other, p.side, round(abs(q.a - p.a) + abs(q.b - p.b) + abs(q.c - p.c), 6) AS d FROM z q JOIN z p ON q.vec_id % 4 = 0 AND p.vec_id % 4 <> 0),
+WITH e AS (SELECT vec_id, CAST(label >= 5 AS INTEGER) AS side, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+s AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM e WHERE vec_id % 4 <> 0 GROUP BY i),
+z AS (SELECT vec_id, any_value(side) AS side, list((x - m) / s ORDER BY i) AS v FROM e JOIN s USING (i) GROUP BY vec_id),
+d AS (SELECT q.vec_id, p.vec_id AS other, p.side, round(list_sum(list_transform(list_zip(q.v, p.v), lambda c: abs(c[1] - c[2]))), 6) AS d FROM z q JOIN z p ON q.vec_id % 4 = 0 AND p.vec_id % 4 <> 0),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS place FROM d) WHERE place <= 5)
 SELECT vec_id, CAST(sum(side) >= 3 AS INTEGER) AS prediction, round(sum(side) / 5, 6) AS score FROM k GROUP BY 1""")
 def nearest_scores(t) -> DataFrame:
-    """A nearest-neighbour model fitted, saved, loaded and applied to other rows."""
-    rows = t.embeddings.select("vec_id", (F.col("label") >= 5).cast("int").alias("side"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate("abc")])
-    model = M.NearestModel.fit_on(rows.where("vec_id % 4 <> 0"), "vec_id", list("abc"), "side", 5, "uniform", 1)
+    """A nearest-neighbour model on all dimensions, fitted on three quarters of the vectors, saved, loaded and applied to the others."""
+    columns = [f"e{i}" for i in range(64)]
+    rows = cut_lineage(t.embeddings.select("vec_id", (F.col("label") >= 5).cast("int").alias("side"), *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns)]))
+    model = M.NearestModel.fit_on(rows.where("vec_id % 4 <> 0"), "vec_id", columns, "side", 5, "uniform", 1)
     path = f"{shared_dir(t.spark)}/nearest-{uuid.uuid4().hex}"
     M.save_model(model, path)
     found = M.score_table(M.load_model(path, t.spark), rows.where("vec_id % 4 = 0"), ["vec_id"])
@@ -198,7 +199,7 @@ def partial_dependence(t) -> DataFrame:
 def partial_dependence_2d(t) -> DataFrame:
     model, test = fitted(t)
     names = ("n_chars", "upper_share")
-    return V.partial_dependence_2d(model, test, names, tuple(V.dependence_grid(test, n, points=30) for n in names))
+    return V.partial_dependence_2d(model, test, names, tuple(V.dependence_grid(test, n) for n in names))
 
 
 @query("model_importance", "V11")

@@ -215,3 +215,34 @@ def test_pair_cosine(spark):
     for r in got.collect():
         a, b = x[r["l"]], x[r["r"]]
         assert r["similarity"] == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+
+
+def test_svd_iterates_and_keeps_small_values(spark, monkeypatch):
+    """More columns than vectors in the iteration, and values from 1 down to 1e-10 of the first: all are found."""
+    rounds = []
+    kept = X._orthonormal
+    monkeypatch.setattr(X, "_orthonormal", lambda v, k: rounds.append(k) or kept(v, k))
+    u, _ = np.linalg.qr(rng(1).normal(size=(60, 30)))
+    v, _ = np.linalg.qr(rng(2).normal(size=(30, 30)))
+    s = np.array([10.0 ** (-2.5 * i) for i in range(5)] + [0.0] * 25)
+    x = u * s @ v.T
+    long = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(60) for j in range(30)], "id int, term int, weight double")
+    _, sigma, _ = X.truncated_svd(long, "id", "term", 5, extra=3)
+    assert sigma == pytest.approx(s[:5], rel=1e-4)
+
+    s = 0.7 ** np.arange(30)
+    x = u * s @ v.T
+    long = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(60) for j in range(30)], "id int, term int, weight double")
+    rounds.clear()
+    scores, sigma, right = X.truncated_svd(long, "id", "term", 3, extra=5)
+    assert len(rounds) >= 4 and sigma == pytest.approx(s[:3], rel=1e-12)
+    assert np.abs(column(scores, "latent")) == pytest.approx(np.abs(u[:, :3] * s[:3]), abs=1e-6)
+
+
+def test_triangle_of_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(X, "FAN_IN", 2)
+    x = rng(3).normal(size=(50, 4)) * [1, 1e-4, 1e-8, 1e-12]
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(9)
+    assert np.linalg.svd(X._triangle(df, 4))[1] == pytest.approx(np.linalg.svd(x)[1], rel=1e-3)
+    assert X._triangle(df.limit(0), 4).shape == (0, 4) and X._triangle(df.limit(2), 4).shape[0] == 2
+    assert X.standardized(with_features(spark, x).limit(0)).count() == 0

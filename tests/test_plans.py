@@ -44,8 +44,9 @@ def test_limit_is_applied_before_the_shuffle(spark, name):
 def test_scan_reads_only_what_is_needed(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     text = plan(QUERIES["nested_range"].run(Tables(spark, FOLDER)))
-    assert "GreaterThanOrEqual(l_quantity,30.0)" in text and "LessThanOrEqual(l_extendedprice,30000.0)" in text
-    assert "l_shipdate" not in text
+    assert "GreaterThanOrEqual(line.amounts.l_quantity,30.0)" in text and "LessThanOrEqual(line.amounts.l_extendedprice,30000.0)" in text
+    read = re.search(r"ReadSchema: (.*)", text)[1]
+    assert "struct<l_quantity:double,l_extendedprice:double>" in read and "l_shipdate" not in read and "l_discount" not in read
     assert "p_name" not in plan(QUERIES["pair_evidence"].run(Tables(spark, FOLDER)))
 
 
