@@ -8,10 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Texts, keep_rows, slices
+from .words import Texts, first_rows, keep_rows, slices
 
 ORDER = 4
 UNKNOWN = "und"
@@ -80,14 +80,15 @@ class Model:
 def train_rows(docs: DataFrame, per_language: int, id_column: str = "doc_id", lang_column: str = "lang", text_column: str = "text") -> DataFrame:
     """A bounded sample of labelled rows (lang, text): of each language the ``per_language`` rows whose hashed ids are lowest.
 
-    The choice is made on ids and languages alone; texts are fetched for the chosen ids, at most ``per_language`` per language.
+    Ids are chosen first, by ids and languages alone; texts are fetched for the chosen ids. Where an id has several rows, these compete
+    by the hashes of their texts, so there are never more than ``per_language`` rows a language.
     """
     known = docs.where(F.col(lang_column).isNotNull())
     ids = known.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang")).distinct()
-    best = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = ids.withColumn("place", F.row_number().over(best)).where(F.col("place") <= per_language).select("id").distinct()
-    return known.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).join(
-        F.broadcast(chosen), "id", "left_semi").select("lang", "text")
+    chosen = first_rows(ids, "lang", per_language, F.xxhash64("id"), F.col("id"))
+    texts = known.select(F.col(id_column).alias("_id"), F.col(lang_column).alias("_lang"), F.col(text_column).alias("text"))
+    fetched = texts.join(F.broadcast(chosen), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_lang") == F.col("lang"))).select("id", "lang", "text")
+    return first_rows(fetched, "lang", per_language, F.xxhash64("id"), F.col("id"), F.xxhash64("text")).select("lang", "text")
 
 
 def fit(rows: DataFrame, order: int = ORDER) -> Model:
@@ -163,12 +164,23 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     return source.mapInArrow(score, f"id {kind}, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_column)
 
 
-def kept(docs: DataFrame, model: Model, least_score: float, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text has a language with at least ``least_score``."""
+#: A byte costs this much below the shortest context: texts that cost more have nothing of the language in them.
+RAW_BITS = 8.0
+#: So many bytes more are allowed, as the first bytes of a text say little.
+GRACE_BYTES = 4
+
+
+def kept(docs: DataFrame, model: Model, least_score: float, text_column: str = "text", most_bits: float = RAW_BITS) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with at least ``least_score``, and is known to it.
+
+    A score compares the learnt languages only, and some language always fits best. So a text also goes if its language needs more than
+    ``most_bits`` a byte for it: by default no less than bytes cost that were never learnt.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def sure(texts: Texts, letters: np.ndarray) -> np.ndarray:
-        names, share, _ = _judged(shared.value, texts, letters)
-        return (names != UNKNOWN) & (share >= least_score)
+        names, share, bits = _judged(shared.value, texts, letters)
+        size = np.diff(texts.bounds)
+        return (names != UNKNOWN) & (share >= least_score) & (bits * size <= most_bits * (size + GRACE_BYTES))
 
     return keep_rows(docs, text_column, sure, has_letter(F.col(text_column)))

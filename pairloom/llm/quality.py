@@ -9,10 +9,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import BYTE_CODE, SPACE, Texts, keep_rows, mix, slices, span_hashes
+from .words import BYTE_CODE, SPACE, Texts, first_rows, keep_rows, mix, slices, span_hashes
 
 DIMENSIONS = 1 << 20
 
@@ -99,7 +99,8 @@ def fit(docs: DataFrame, marks: DataFrame, how: Training = Training(), id_column
     """Train on the whole texts of a bounded sample of the labelled rows.
 
     ``marks`` has (id, label 0/1); an id with several labels takes the smallest, null labels do not count, and labels
-    of ids that ``docs`` lacks are ignored. Of each class the ``per_class`` ids with the lowest hashes are taken; the
+    of ids that ``docs`` lacks are ignored. Of each class the ``per_class`` ids with the lowest hashes are taken, and of the rows of these
+    ids, should some be repeated, again as many, by the hashes of their texts; the
     bias is then set to the class shares of all labelled rows. With one class or none the score is constant. The
     features of the sample, at most 2 * per_class texts, come to the driver.
     """
@@ -108,8 +109,7 @@ def fit(docs: DataFrame, marks: DataFrame, how: Training = Training(), id_column
     shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not shares.get(0) or not shares.get(1):
         return Classifier(np.zeros(DIMENSIONS, np.float32), math.log((shares.get(1, 0) + 0.5) / (shares.get(0, 0) + 0.5)))
-    best = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("place", F.row_number().over(best)).where(F.col("place") <= how.per_class).select("id", "label")
+    chosen = first_rows(known, "label", how.per_class, F.xxhash64("id"), F.col("id")).select("id", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
@@ -127,11 +127,13 @@ def fit(docs: DataFrame, marks: DataFrame, how: Training = Training(), id_column
             )
 
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    sample = texts.join(F.broadcast(chosen.withColumn("label", F.col("label").cast("int"))), "id")
+    fetched = texts.join(F.broadcast(chosen.withColumn("label", F.col("label").cast("int"))), "id")
+    sample = first_rows(fetched, "label", how.per_class, F.xxhash64("id"), F.col("id"), F.xxhash64("text"))
+    sample = sample.select("id", "text", "label")
     kind = texts.schema["id"].dataType.simpleString()
     found = sample.mapInArrow(extract, f"id {kind}, label int, index array<int>, value array<float>").withColumn("turn", F.xxhash64("id", F.lit(1))).toPandas()
     # The same order whatever the partitions; hashing mixes the classes.
-    found = found.sort_values(["turn", "id"], kind="stable")
+    found = found.assign(size=found["index"].map(len)).sort_values(["turn", "id", "size"], kind="stable")
     learnt = learn([(np.asarray(r.index_, np.int64), np.asarray(r.value, np.float64), r.label) for r in found.rename(columns={"index": "index_"}).itertuples(index=False)], how)
     taken = found["label"].value_counts()
     shift = math.log(shares[1] / shares[0]) - math.log(max(taken.get(1, 0), 1) / max(taken.get(0, 0), 1))

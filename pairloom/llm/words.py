@@ -13,7 +13,8 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 #: White space between words: space and 9 to 13.
@@ -173,3 +174,17 @@ def keep_rows(docs: DataFrame, text_column: str, keep: Callable[[Texts, np.ndarr
 
     source = docs if plain else docs.withColumn(name, extra)
     return source.mapInArrow(run, docs.schema)
+
+
+#: Parts that the rows of a group are thinned in before they meet.
+PARTS = 64
+
+
+def first_rows(rows: DataFrame, group: str, n: int, *order: Column) -> DataFrame:
+    """The first ``n`` rows of every group in the given order; of rows that agree in it any.
+
+    A hot group is thinned in PARTS parts first, so no task sorts it alone: at most PARTS * n rows of a group meet, whatever its share.
+    """
+    part = rows.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(PARTS)))
+    thin = part.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))).where(F.col("_place") <= n).drop("_part", "_place")
+    return thin.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_place") <= n).drop("_place")

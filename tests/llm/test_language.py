@@ -73,3 +73,28 @@ def test_odd_tables(spark):
     nothing = language.fit(language.train_rows(empty(spark), 3))
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
     assert language.predict(empty(spark), model).count() == 0
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """Two ids hold all rows, and one language most of them."""
+    docs = spark.range(4000).selectExpr("id % 2 AS doc_id", "IF(id % 9 = 0, 'de', 'en') AS lang", "concat('text ', id) AS text")
+    sizes = {r["lang"]: r["count"] for r in language.train_rows(docs, 3).groupBy("lang").count().collect()}
+    assert sizes == {"de": 3, "en": 3}
+    nameless = docs.withColumn("doc_id", docs["doc_id"].cast("string").substr(2, 1).try_cast("long"))
+    assert language.train_rows(nameless, 3).count() == 6
+    first = sorted(map(tuple, language.train_rows(docs, 3).collect()))
+    assert first == sorted(map(tuple, language.train_rows(docs.repartition(5), 3).collect()))
+
+
+FOREIGN = [
+    "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему.", "Wszystkie szczęśliwe rodziny są do siebie podobne, każda nieszczęśliwa rodzina jest nieszczęśliwa na swój sposób.",
+    "幸福な家庭はどれも似たものだが、不幸な家庭はいずれもそれぞれに不幸なものである。", "qZx7 vKq9w JjX2 0zQw Xk3Jq zzQ9 wWxK qJ8x Kq2Z xxVw 9QkZ jjXq W7zk qXv3 KwJz 8qZx", "привет",
+]
+
+
+def test_foreign_and_junk_texts_go(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = language.fit(language.train_rows(docs, 500))
+    found = language.kept(spark.createDataFrame([(t,) for t in FOREIGN], "text string"), model, 0.5)
+    assert found.count() == 0
+    assert language.kept(docs, model, 0.5).count() >= 0.99 * docs.count()
