@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .aggregates import class_weights
+from .boosting import staged_search
 from .sets import stacked
 from .similarity import nearest, vote_of_neighbours
 
@@ -209,12 +210,10 @@ def classifier(name: str, params: Mapping[str, object], rows: int, label: str, w
             **common, numTrees=int(p.get("n_estimators", 300)), maxDepth=int(p.get("max_depth") or DEEPEST),
             minInstancesPerNode=least, seed=seed,
         )]
-    if name in ("gb", "xgb"):
-        return [*first, GBTClassifier(
+    if name == "gb":
+        return [GBTClassifier(
             **common, maxIter=int(p.get("n_estimators", 300)), maxDepth=int(p.get("max_depth", 3)),
-            stepSize=float(p.get("learning_rate", 0.05)), subsamplingRate=float(p.get("subsample", 1.0)),
-            featureSubsetStrategy=str(p.get("colsample_bytree", "all")) if name == "xgb" and p.get("colsample_bytree", 1.0) != 1.0 else "all",
-            minInfoGain=float(p.get("gamma", 0.0)), seed=seed,
+            stepSize=float(p.get("learning_rate", 0.05)), subsamplingRate=float(p.get("subsample", 1.0)), seed=seed,
         )]
     raise ValueError(f"unknown model {name!r}")
 
@@ -255,7 +254,13 @@ def grid_search(
     train: DataFrame, name: str, columns: Sequence[str], label: str, fold: str, grid: Mapping[str, Sequence] | None = None,
     weight: str | None = "class_weight", parallelism: int = 4, seed: int = 42,
 ) -> Search:
-    """Cross-validated search on given folds, scored by F1 of class 1; the best choice is refitted on all of ``train``."""
+    """Cross-validated search on given folds, scored by F1 of class 1; the best choice is refitted on all of ``train``.
+
+    The trees of ``xgb`` grow side by side for all choices and folds (see ``boosting``); the other models are fitted one by one.
+    """
+    if name == "xgb":
+        rows, best, params = staged_search(train, None, columns, label, fold, GRIDS[name] if grid is None else grid, seed)
+        return Search(name, rows, PipelineModel([best]), params)
     tried = combinations(GRIDS[name] if grid is None else grid)
     rows = train.count()
     pipelines = [Pipeline(stages=[*preprocessing(columns), *classifier(name, p, rows, label, weight, seed)]) for p in tried]

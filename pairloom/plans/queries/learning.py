@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...operators import boosting as B
 from ...operators import evaluate as V
 from ...operators import graph as N
 from ...operators import models as M
@@ -131,6 +132,21 @@ def model_trees(t) -> DataFrame:
     ])
 
 
+CELL_ROUND = "SELECT x1, x2, n, pos, m - rate * (n / (1 + exp(-m)) - pos) / (n / (1 + exp(-m)) * (1 - 1 / (1 + exp(-m))) + 1) AS m, rate FROM "
+
+
+@query("boosted_cells", "M5", f"""
+WITH c AS (SELECT (l_extendedprice > 30000)::INT AS x1, (l_extendedprice > 60000)::INT AS x2, count(*) AS n, count(*) FILTER (l_quantity > 20) AS pos, 0.0::DOUBLE AS m, 0.5::DOUBLE AS rate FROM lineitem GROUP BY 1, 2),
+r1 AS ({CELL_ROUND} c), r2 AS ({CELL_ROUND} r1), r3 AS ({CELL_ROUND} r2)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(m, 6) AS margin FROM lineitem JOIN r3 ON x1 = (l_extendedprice > 30000)::INT AND x2 = (l_extendedprice > 60000)::INT""")
+def boosted_cells(t) -> DataFrame:
+    """Three trees of depth two on two 0/1 features: every combination ends in a leaf of its own, whose value has a closed form."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = cut_lineage(t.lineitem.select(*keys, (F.col("l_quantity") > 20).cast("int").alias("y"), *[(F.col("l_extendedprice") > at).cast("int").alias(f"x{i}") for i, at in ((1, 30000), (2, 60000))]))
+    model = B.grow(rows, None, ["x1", "x2"], "y", [B.Choice(trees=3, depth=2, rate=0.5, positive_weight=1.0)])[0]
+    return model.transform(rows).select(*keys, r6("margin").alias("margin"))
+
+
 @query("model_margins", "M6 M7 M8 M10")
 def model_margins(t) -> DataFrame:
     """A small grid of each kind of margin classifier; the published ones are ``models.GRIDS``."""
