@@ -114,6 +114,7 @@ def feature_summary(df: DataFrame, features: Sequence[str], by: str, accuracy: i
     )
 
 
+FEW_PAIRS = 32
 MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 CONSTANT = 1e-12  # a spread below this share of the sum of squares is rounding
 
@@ -121,12 +122,24 @@ CONSTANT = 1e-12  # a spread below this share of the sum of squares is rounding
 def correlations(df: DataFrame, rows: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of each row feature with each column feature, over the rows where both are known.
 
-    Null and NaN are unknown. A feature that is constant over the shared rows gives null. Sums of products are matrix products
-    inside each task, added up per pair, so the shuffle carries one small matrix per task; values are shifted by the column
-    means first to keep the sums of squares accurate.
+    Null and NaN are unknown. A feature that is constant over the shared rows gives null. Up to FEW_PAIRS pairs are one
+    aggregation on the JVM. For more, sums of products are matrix products inside each task, added up per pair, so the shuffle carries one
+    small matrix per task; values are shifted by the column means first to keep the sums of squares accurate.
     """
     names = list(dict.fromkeys([*rows, *columns]))
     cast = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in names])
+    asked = list(dict.fromkeys((r, c) for r in rows for c in columns))
+    different = list(dict.fromkeys(tuple(sorted(pair)) for pair in asked))
+    if len(different) <= FEW_PAIRS:
+        found = cast.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(different)])
+        number = {pair: i for i, pair in enumerate(different)}
+
+        def cell(r: str, c: str) -> Column:
+            value = F.col(f"r{number[tuple(sorted((r, c)))]}")
+            known = F.when(~F.isnan(value), F.lit(1.0) if r == c else value)  # without spread it is 0 / 0
+            return F.struct(F.lit(r).alias("feature"), F.lit(c).alias("other"), known.alias("r"))
+
+        return found.select(F.explode(F.array(*[cell(r, c) for r, c in asked])).alias("x")).select("x.*")
     means = cast.agg(*[F.avg(c).alias(c) for c in names]).first()
     shift = np.array([means[c] or 0.0 for c in names])
     at = {c: i for i, c in enumerate(names)}

@@ -77,17 +77,41 @@ def with_reverse(edges: DataFrame, prefix: str = "rev_") -> DataFrame:
     return edges.unionByName(turned)
 
 
+#: Tokens that an entity carries in one cell at most.
+LIGHT = 4096
+
+
 def metapath_support(pairs: DataFrame, src: str, dst: str, src_edges: DataFrame, dst_edges: DataFrame, out: str = "paths") -> DataFrame:
     """Number of entity-token-entity paths of each given pair.
 
-    Paths are counted for the pairs asked for: the tokens of the one end are kept where the other end has them too. Listing every
-    pair under a common token would square the token's degree.
+    Paths are counted for the pairs asked for; listing every pair under a common token would square the token's degree. An entity with at
+    most LIGHT tokens carries them as one sorted cell, so a pair of two such entities is one row throughout and its cells are
+    intersected. Of a pair with a heavier end, the tokens of the lighter one are looked up among those of the heavier.
     """
-    left = src_edges.select(F.col("src").alias(src), F.col("dst").alias("_t")).distinct()
-    right = dst_edges.select(F.col("src").alias(dst), F.col("dst").alias("_t")).distinct()
-    asked = pairs.select(src, dst).distinct()
-    counted = asked.join(left, src).join(right, [dst, "_t"]).groupBy(src, dst).agg(F.count("*").alias(out))
-    return pairs.join(counted, [src, dst], "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint"))
+    pairs_once = pairs.select(src, dst).distinct()
+
+    def side(edges: DataFrame, end: str, name: str) -> tuple[DataFrame, DataFrame]:
+        """(entity, cell or null for a heavy one, degree), and the tokens of heavy entities."""
+        tokens = edges.select(F.col("src").alias(end), F.col("dst").alias("_t")).distinct()
+        degree = tokens.groupBy(end).agg(F.count("*").alias(f"_n{name}"))
+        known = tokens.join(degree, end)
+        light = known.where(F.col(f"_n{name}") <= LIGHT).groupBy(end).agg(F.sort_array(F.collect_list("_t")).alias(f"_c{name}"), F.first(f"_n{name}").alias(f"_n{name}"))
+        heavy = known.where(F.col(f"_n{name}") > LIGHT)
+        marked = heavy.select(end, f"_n{name}").distinct().withColumn(f"_c{name}", F.lit(None).cast("array<string>"))
+        return light.withColumn(f"_c{name}", F.col(f"_c{name}").cast("array<string>")).unionByName(marked), heavy.select(end, "_t")
+
+    (left, heavy_left), (right, heavy_right) = side(src_edges, src, "l"), side(dst_edges, dst, "r")
+    met = pairs_once.join(left, src).join(right, dst)
+    both = F.col("_cl").isNotNull() & F.col("_cr").isNotNull()
+    counted = met.where(both).select(src, dst, F.size(F.array_intersect("_cl", "_cr")).cast("bigint").alias(out))
+    rest = met.where(~both)
+    # The side whose tokens are listed is light, or both are heavy and it is the left one.
+    by_right = rest.where(F.col("_cr").isNotNull()).select(src, dst, F.explode("_cr").alias("_t")).join(heavy_left, [src, "_t"])
+    by_left = rest.where(F.col("_cr").isNull() & F.col("_cl").isNotNull()).select(src, dst, F.explode("_cl").alias("_t")).join(heavy_right, [dst, "_t"])
+    by_both = rest.where(F.col("_cr").isNull() & F.col("_cl").isNull()).select(src, dst).join(heavy_left, src).join(heavy_right, [dst, "_t"])
+    listed = by_right.select(src, dst).unionByName(by_left.select(src, dst)).unionByName(by_both.select(src, dst))
+    summed = counted.unionByName(listed.groupBy(src, dst).agg(F.count("*").alias(out)))
+    return pairs.join(summed, [src, dst], "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint"))
 
 
 def similarity_edges(scored: DataFrame, src_kind: str, src: str, dst_kind: str, dst: str, score: str, k: int = 5, kind: str = "similar") -> DataFrame:

@@ -54,10 +54,13 @@ DEEPEST = 30
 
 
 class KernelFeatures(Estimator, HasInputCol, HasOutputCol, HasSeed):
-    """Random features of a vector column on which a linear model acts like one with a kernel, RBF or polynomial.
+    """Features of a vector column on which a linear model acts like one with a kernel, RBF or polynomial (Williams and Seeger, "Using the
+    Nystroem method to speed up kernel machines", 2000).
 
-    ``width`` is "auto" (1 / dimensions) or "scale" (1 / (dimensions * variance of all values)), as fitted on the training rows. All
-    dimensions enter every feature, whatever their number.
+    ``size`` rows serve as landmarks, those whose hashes are lowest, so equal rows are one. A row's features are its kernel values with
+    the landmarks times the inverse root of the landmarks' own kernel matrix: their products are the kernel's best
+    approximation from the landmarks, and the kernel itself between landmarks. ``width`` is "auto" (1 / dimensions) or "scale" (1 / (dimensions
+    * variance of all values)), as fitted on the training rows.
     """
 
     def __init__(self, inputCol: str, outputCol: str, kernel: str, degree: int = 3, width: str = "scale", size: int = 256, seed: int = 42):
@@ -65,46 +68,57 @@ class KernelFeatures(Estimator, HasInputCol, HasOutputCol, HasSeed):
         self._set(inputCol=inputCol, outputCol=outputCol, seed=seed)
         self.kernel, self.degree, self.width, self.size = kernel, degree, width, size
 
-    def _fit(self, dataset: DataFrame) -> RandomFeatures:
-        s = dataset.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(self.getInputCol())).alias("s")).first()["s"]
+    def _fit(self, dataset: DataFrame) -> LandmarkFeatures:
+        vectors = dataset.select(F.col(self.getInputCol()).alias("x"))
+        s = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("x")).alias("s")).first()["s"]
         mean, variance, n = s["mean"].toArray(), s["variance"].toArray(), s["count"]
         spread = float(np.mean(variance * (n - 1) / max(n, 1) + mean**2) - np.mean(mean) ** 2)
         gamma = 1.0 / len(mean) if self.width == "auto" or spread <= 0 else 1.0 / (len(mean) * spread)
-        return RandomFeatures(
-            inputCol=self.getInputCol(), outputCol=self.getOutputCol(), kernel=self.kernel, degree=self.degree, gamma=gamma, size=self.size, seed=self.getSeed(),
+        cells = vectors.select(vector_to_array("x").alias("v")).groupBy(F.xxhash64("v", F.lit(self.getSeed())).alias("h")).agg(F.min("v").alias("v"))
+        chosen = np.array([r["v"] for r in cells.orderBy("h").limit(self.size).collect()])
+        values, axes = np.linalg.eigh(kernel_matrix(chosen, chosen, self.kernel, gamma, self.degree))
+        used = values > values.max() * 1e-13
+        root = axes[:, used] / np.sqrt(values[used])
+        return LandmarkFeatures(
+            inputCol=self.getInputCol(), outputCol=self.getOutputCol(), kernel=self.kernel, degree=self.degree, gamma=gamma,
+            landmarks=chosen.ravel().tolist(), root=root.ravel().tolist(), rows=len(chosen),
         )
 
 
-class RandomFeatures(Model, HasInputCol, HasOutputCol, HasSeed, DefaultParamsReadable, DefaultParamsWritable):
-    """Random cosine features (RBF kernel), or products of ``degree`` random sign sums (polynomial kernel (gamma x.y)^degree)."""
+def kernel_matrix(a: np.ndarray, b: np.ndarray, kernel: str, gamma: float, degree: int) -> np.ndarray:
+    """exp(-gamma |x - y|^2) or (gamma x.y)^degree for all rows x of a and y of b."""
+    products = a @ b.T
+    if kernel == "poly":
+        return (gamma * products) ** degree
+    squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * products
+    return np.exp(-gamma * np.maximum(squared, 0.0))
+
+
+class LandmarkFeatures(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Kernel values with ``rows`` landmarks, times the inverse root of their own kernel matrix."""
 
-    size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
     gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
     degree = Param(Params._dummy(), "degree", "degree of the polynomial kernel", TypeConverters.toInt)
     kernel = Param(Params._dummy(), "kernel", "rbf or poly", TypeConverters.toString)
+    rows = Param(Params._dummy(), "rows", "number of landmarks", TypeConverters.toInt)
+    landmarks = Param(Params._dummy(), "landmarks", "their vectors, one after the other", TypeConverters.toListFloat)
+    root = Param(Params._dummy(), "root", "inverse root of their kernel matrix, row by row", TypeConverters.toListFloat)
 
     @keyword_only
-    def __init__(self, inputCol=None, outputCol=None, kernel="rbf", degree=3, gamma=1.0, size=256, seed=42):
+    def __init__(self, inputCol=None, outputCol=None, kernel="rbf", degree=3, gamma=1.0, landmarks=None, root=None, rows=0):
         super().__init__()
-        self._setDefault(kernel="rbf", degree=3, gamma=1.0, size=256, seed=42)
+        self._setDefault(kernel="rbf", degree=3, gamma=1.0, landmarks=[], root=[], rows=0)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        size, gamma, degree, kernel, seed = (self.getOrDefault(p) for p in ("size", "gamma", "degree", "kernel", "seed"))
-
-        def features(x: np.ndarray) -> np.ndarray:
-            rng = np.random.default_rng(seed)
-            if kernel == "rbf":
-                w = rng.normal(0.0, np.sqrt(2 * gamma), (x.shape[1], size))
-                return np.sqrt(2.0 / size) * np.cos(x @ w + rng.uniform(0, 2 * np.pi, size))
-            out = np.full((len(x), size), np.sqrt(gamma**degree / size))
-            for _ in range(degree):
-                out *= x @ rng.choice([-1.0, 1.0], (x.shape[1], size))
-            return out
+        rows, gamma, degree, kernel = (self.getOrDefault(p) for p in ("rows", "gamma", "degree", "kernel"))
+        landmarks, root = (np.array(self.getOrDefault(p)).reshape(rows, -1) for p in ("landmarks", "root"))
 
         @F.pandas_udf("array<double>")
         def mapped(vectors: pd.Series) -> pd.Series:
-            return pd.Series(list(features(np.stack(vectors.to_numpy()))))
+            if not len(vectors):
+                return pd.Series([], dtype=object)
+            return pd.Series(list(kernel_matrix(np.stack(vectors.to_numpy()), landmarks, kernel, gamma, degree) @ root))
 
         return dataset.withColumn(self.getOutputCol(), array_to_vector(mapped(vector_to_array(self.getInputCol()))))
 
@@ -203,7 +217,8 @@ def classifier(name: str, params: Mapping[str, object], rows: int, label: str, w
         return [*first, LinearSVC(**common, **svc)]
     if name in ("svm_poly", "svm_rbf"):
         mapped = KernelFeatures("features", "_kernel", "poly" if name == "svm_poly" else "rbf", int(p.get("degree", 3)), str(p.get("gamma", "scale")), seed=seed)
-        return [*first, mapped, LinearSVC(**{**common, "featuresCol": "_kernel"}, **svc)]
+        # Not scaled to equal spread: directions that the kernel hardly has would count as much as the others.
+        return [*first, mapped, LinearSVC(**{**common, "featuresCol": "_kernel"}, standardization=False, **svc)]
     if name == "rf":
         least = max(int(p.get("min_samples_leaf", 1)), -(-int(p.get("min_samples_split", 2)) // 2))
         return [*first, RandomForestClassifier(

@@ -70,3 +70,17 @@ def test_null_elements_do_not_count(spark, edges, width):
 def test_collapse_breaks_ties(spark):
     rows = spark.createDataFrame([("a", "1", "z", "b", "2", 5, 9), ("a", "1", "y", "b", "2", 5, 1)], "src_kind string, src string, kind string, dst_kind string, dst string, at int, w int")
     assert [(r["kind"], r["w"]) for r in N.collapse(rows, "at", "w").collect()] == [("y", 1)]
+
+
+@pytest.mark.parametrize("light", [0, 2, 4096])
+def test_metapaths_of_light_and_heavy_entities(spark, monkeypatch, light):
+    monkeypatch.setattr(N, "LIGHT", light)
+    left = {"a": "xyz", "b": "x", "c": "", "d": "wxyz"}
+    right = {"p": "xy", "q": "zwv", "r": "", "s": "vwxyz"}
+
+    def edges(sides):
+        return spark.createDataFrame([(e, t) for e, ts in sides.items() for t in ts * 2], "src string, dst string")
+
+    pairs = [(a, p) for a in left for p in right] + [("a", "p"), ("nobody", "p")]
+    got = N.metapath_support(spark.createDataFrame(pairs, "l string, r string"), "l", "r", edges(left), edges(right)).collect()
+    assert sorted(map(tuple, got)) == sorted((a, p, len(set(left.get(a, "")) & set(right[p]))) for a, p in pairs)

@@ -138,3 +138,29 @@ def test_most_frequent_is_fitted(spark):
     assert sorted(map(tuple, fitted.transform(df).collect())) == [("x", 1), ("x", 1), ("x", 1), ("y", 2)]
     other = spark.createDataFrame([(None, None), ("z", 7), ("z", 7)], "c string, n int")
     assert sorted(map(tuple, fitted.transform(other).collect())) == [("x", 1), ("z", 7), ("z", 7)]
+
+
+@pytest.mark.parametrize("kernel, degree", [("rbf", 3), ("poly", 2), ("poly", 3), ("poly", 4)])
+def test_landmark_features(spark, tmp_path, kernel, degree):
+    """Exact when all rows are landmarks, near it with some of them; copies of a row are one landmark; saved and loaded."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = np.random.default_rng(4).normal(size=(60, 3))
+    x[50:] = x[0]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, a array<double>").select("id", array_to_vector("a").alias("x")).repartition(3)
+
+    def products(model):
+        rows = model.transform(df).select("id", vector_to_array("k").alias("k")).orderBy("id").collect()
+        made = np.array([r["k"] for r in rows])
+        return made @ made.T
+
+    all_ = M.KernelFeatures("x", "k", kernel, degree, "scale").fit(df)
+    gamma = 1 / (3 * x.var())
+    exact = M.kernel_matrix(x, x, kernel, gamma, degree)
+    assert all_.getOrDefault("rows") == 50 and products(all_) == pytest.approx(exact, abs=1e-6)
+    some = M.KernelFeatures("x", "k", kernel, degree, "auto", size=35).fit(df)
+    exact = M.kernel_matrix(x, x, kernel, 1 / 3, degree)
+    assert some.getOrDefault("rows") == 35 and np.abs(products(some) - exact).mean() < 0.05 * np.abs(exact).mean()
+    M.save_model(some, str(tmp_path / "k"))
+    assert products(M.LandmarkFeatures.load(str(tmp_path / "k"))) == pytest.approx(products(some))
