@@ -19,6 +19,9 @@ from .words import BYTE_CODE, slices, span_hashes
 
 SLICE = 1 << 20
 MAX_UNITS = 1 << 20
+MAX_IDS = 1 << 23
+#: Text of units that is encoded at once.
+UNIT_BYTES = 1 << 17
 PAIR_SLOTS = 1 << 22
 MARK = "▁"
 SPACE_BYTE = 0x20
@@ -105,7 +108,7 @@ class Vocabulary:
 
 
 class Units:
-    """Encoded units by hash; starts anew when it holds MAX_UNITS."""
+    """Encoded units by hash; starts anew when it holds MAX_UNITS units or MAX_IDS ids."""
 
     def __init__(self):
         self.hashes, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -250,7 +253,7 @@ def encode_texts(vocabulary: Vocabulary, raw: bytes, bounds: np.ndarray) -> tupl
     ends = np.append(starts[1:], len(data))
     code, hashes = pd.factorize(span_hashes(BYTE_CODE[data], starts, ends))
     units = vocabulary.units
-    if len(units.hashes) + len(hashes) > MAX_UNITS:
+    if len(units.hashes) + len(hashes) > MAX_UNITS or len(units.pool) > MAX_IDS:
         units = vocabulary.units = Units()
     missing = np.flatnonzero(units.find(hashes) < 0)
     if len(missing):
@@ -258,10 +261,16 @@ def encode_texts(vocabulary: Vocabulary, raw: bytes, bounds: np.ndarray) -> tupl
         one[code[::-1]] = np.arange(len(code))[::-1]  # a unit of each hash
         one = one[missing]
         size = ends[one] - starts[one]
-        to = np.cumsum(size)
-        text = data[np.repeat(starts[one] - (to - size), size) + np.arange(to[-1])]
-        ids, n = encode_units(vocabulary, text, to - size, to)
-        units.add(hashes[missing], ids, n)
+        # An edge takes about a hundred bytes and a character has several, so units are encoded some at a time.
+        upto, at, found = np.cumsum(size), 0, []
+        while at < len(one):
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + UNIT_BYTES, "right")))
+            some, own = one[at:stop], size[at:stop]
+            to = np.cumsum(own)
+            text = data[np.repeat(starts[some] - (to - own), own) + np.arange(to[-1])]
+            found.append(encode_units(vocabulary, text, to - own, to))
+            at = stop
+        units.add(hashes[missing], *(np.concatenate(x) for x in zip(*found)))
     place = units.find(hashes)[code]
     n, at = units.n[place], units.at[place]
     to = np.cumsum(n)
