@@ -180,9 +180,11 @@ def partial_dependence_2d(model: Transformer, df: DataFrame, features: tuple[str
 
 
 def model_importance(spark, model: Transformer, features: Sequence[str]) -> DataFrame:
-    """Importance the model itself gives to its inputs: tree importances, or absolute coefficients."""
+    """Importance the model itself gives to its inputs: tree importances, how often boosted trees split on it, or absolute coefficients."""
     last = model.stages[-1] if hasattr(model, "stages") else model
-    if hasattr(last, "featureImportances"):
+    if hasattr(last, "importances"):
+        weights = np.array([last.importances()[f] for f in features], float)
+    elif hasattr(last, "featureImportances"):
         weights = last.featureImportances.toArray()
     else:
         weights = np.abs(last.coefficients.toArray())

@@ -11,7 +11,7 @@ from ...functions.arrays import norm
 from ...functions.text import joined
 from ...operators import features as X
 from ...operators.columns import numbered
-from ...operators.filters import beyond
+from ...operators.filters import beyond, members_of
 from ...operators.sets import stacked
 from ...operators.setjoin import alike
 from ...operators.similarity import nearest
@@ -147,6 +147,20 @@ def pca_outliers(t) -> DataFrame:
     return beyond(spread, "away", 2.5, "vec_id")
 
 
+@query("plane_outliers", "X16 X8 F14", """
+WITH s AS (SELECT l_suppkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1),
+z AS (SELECT l_suppkey, n, (n - avg(n) OVER ()) / stddev_pop(n) OVER () AS a, (q - avg(q) OVER ()) / stddev_pop(q) OVER () AS b FROM s),
+o AS (SELECT l_suppkey FROM z WHERE abs(a + (SELECT sign(corr(a, b)) FROM z) * b) / sqrt(2) > 1.5)
+SELECT l_suppkey, count(*) AS n_lines, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_suppkey IN (SELECT l_suppkey FROM o) GROUP BY 1""")
+def plane_outliers(t) -> DataFrame:
+    """Suppliers far out on the first axis of two standardized columns, whose direction is known, and their lines."""
+    sides = t.lineitem.groupBy("l_suppkey").agg(F.count("*").cast("double").alias("n"), F.sum("l_quantity").alias("q"))
+    scored, _, _ = X.principal_components(X.standardized(X.assembled(sides, ["n", "q"])), 1, vector="scaled")
+    far = scored.select("l_suppkey", F.abs(F.get("components", F.lit(0))).alias("away")).where("away > 1.5")
+    lines = members_of(t.lineitem.select("l_suppkey", "l_quantity"), "l_suppkey", far.select("l_suppkey"))
+    return lines.groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
 @query("standardize", "X9", """
 SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER (), 6) + 0.0 AS balance,
   round((c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER (), 6) + 0.0 AS nation FROM customer""")

@@ -122,6 +122,58 @@ def model_logreg(t) -> DataFrame:
     return M.summary(t.spark, [M.grid_search(folded(t), "logreg", FEATURES, "quality", "fold")])
 
 
+LIMITS = [200, 900, 2500, 9000]
+
+
+@query("rule_search", "M10 M11 O12 E24", """
+WITH r AS (SELECT l.doc_id, quality, n_chars, (row_number() OVER (PARTITION BY quality ORDER BY l.doc_id) - 1) * 5 // count(*) OVER (PARTITION BY quality) AS fold FROM labels l JOIN documents USING (doc_id)),
+c AS (SELECT least, fold, count(*) FILTER (quality = 1 AND n_chars >= least) AS tp, count(*) FILTER (quality = 0 AND n_chars >= least) AS fp, count(*) FILTER (quality = 1 AND n_chars < least) AS fn
+  FROM r, (SELECT unnest([200, 900, 2500, 9000]) AS least) GROUP BY ALL),
+m AS (SELECT least, avg(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)) AS m, stddev_pop(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0)) AS s FROM c GROUP BY 1)
+SELECT 'least = ' || least AS params, round(m, 6) AS mean_score, round(s, 6) AS std_score, m = max(m) OVER () AS best,
+  CASE WHEN m = max(m) OVER () THEN (SELECT count(*) FROM r WHERE n_chars >= least) END AS n_good FROM m""")
+def rule_search(t) -> DataFrame:
+    """The search over fixed rules in the place of models: folds, scores, means, deviations, the winner and what it predicts after the refit."""
+    rows = cut_lineage(t.labels.select("doc_id", F.col("quality").cast("double").alias("quality")).join(t.documents.select("doc_id", "n_chars"), "doc_id"))
+    train = cut_lineage(stratified_folds(rows, "quality", FOLDS, "doc_id"))
+    rules = [Pipeline(stages=[SQLTransformer(statement=f"SELECT *, CAST(n_chars >= {least} AS DOUBLE) AS prediction FROM __THIS__")]) for least in LIMITS]
+    found = M.search_pipelines(train, "logreg", [{"least": least} for least in LIMITS], rules, "quality", "fold")
+    best = M.summary(t.spark, [found]).select("params", F.lit(True).alias("best")).withColumn("n_good", F.lit(found.best.transform(train).where("prediction = 1").count()).cast("long"))
+    tried = t.spark.createDataFrame([(f"least = {r['params']['least']}", r["mean_score"], r["std_score"]) for r in found.rows], "params string, mean_score double, std_score double")
+    return tried.join(best, "params", "left").select("params", r6("mean_score").alias("mean_score"), r6("std_score").alias("std_score"), F.coalesce("best", F.lit(False)).alias("best"), "n_good")
+
+
+CELLS = """x AS (SELECT CASE WHEN l_extendedprice > 60000 THEN 'high' WHEN l_extendedprice > 30000 THEN 'mid' ELSE 'low' END AS price, (l_extendedprice * (1 - l_discount) + 1000 * l_quantity > 70000)::INT AS y FROM lineitem),
+n AS (SELECT count(*) AS n, sum(y) AS n1, stddev_samp((price = 'mid')::INT) AS s_mid, stddev_samp((price = 'high')::INT) AS s_high FROM x),
+g AS (SELECT price, count(*) AS k, sum(y) AS k1, sum(y) * (SELECT n / (2.0::DOUBLE * n1) FROM n) AS w1, (count(*) - sum(y)) * (SELECT n / (2.0::DOUBLE * (n - n1)) FROM n) AS w0 FROM x GROUP BY 1)"""
+
+
+def price_model(t):
+    """A logistic model with balanced classes and next to no penalty on three classes of prices, a column for all but the first."""
+    worth = F.col("l_extendedprice") * (1 - F.col("l_discount")) + 1000 * F.col("l_quantity")
+    price = F.when(F.col("l_extendedprice") > 60000, "high").when(F.col("l_extendedprice") > 30000, "mid").otherwise("low")
+    rows = t.lineitem.select((worth > 70000).cast("int").alias("y"), price.alias("price"))
+    rows = cut_lineage(rows.withColumns({c: (F.col("price") == c).cast("double") for c in ("mid", "high")}))
+    stages = [*M.preprocessing(["mid", "high"]), *M.classifier("logreg", {"C": 1e9}, rows.count(), "y", "class_weight")]
+    return Pipeline(stages=stages).fit(rows), rows
+
+
+@query("logit_cells", "M1 M2 A18", f"WITH {CELLS} SELECT price, k AS n, k1::BIGINT AS positives, round(w1 / (w1 + w0), 3) AS score FROM g")
+def logit_cells(t) -> DataFrame:
+    """One coefficient a class of prices, so the fitted chance of a class is its weighted share of positives: the optimum in closed form."""
+    model, rows = price_model(t)
+    scored = M.score_table(model, rows, ["price", "y"])
+    return scored.groupBy("price").agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.round(F.avg("score"), 3).alias("score"))
+
+
+@query("logit_importance", "V11", f"""WITH {CELLS}, o AS (SELECT max(ln(w1 / w0)) FILTER (price = 'low') AS low, max(ln(w1 / w0)) FILTER (price = 'mid') AS mid, max(ln(w1 / w0)) FILTER (price = 'high') AS high FROM g)
+SELECT 'mid' AS feature, round(abs(mid - low) * s_mid, 3) AS importance FROM o, n UNION ALL SELECT 'high', round(abs(high - low) * s_high, 3) FROM o, n""")
+def logit_importance(t) -> DataFrame:
+    """Absolute coefficients of standardized columns: differences of log odds between classes, times the columns' deviations."""
+    model, _ = price_model(t)
+    return V.model_importance(t.spark, model, ["mid", "high"]).select("feature", F.round("importance", 3).alias("importance"))
+
+
 @query("model_trees", "M3 M4 M5 M10 M11")
 def model_trees(t) -> DataFrame:
     """The published grids are ``models.GRIDS``: that of ``xgb`` in full but for the numbers of trees, small ones of the kinds that are fitted one by one."""
