@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -326,22 +327,48 @@ def fingerprints(df: DataFrame, text: str, bits: int = 2048, out: str = "fingerp
     return _counted(df, _buckets(F.coalesce(F.col(text), F.lit("")), bits), bits, True, out)
 
 
-def text_vectors(df: DataFrame, text: str, encoder: Callable[[Sequence[str]], np.ndarray] | None = None, out: str = "vector",
-                 size: int = 256) -> DataFrame:
-    """Text to unit vector (array<double>). ``encoder`` takes a batch of texts and returns a matrix; the default counts
-    the buckets of the character trigrams of the lower-cased text, on the JVM."""
-    if encoder is None:
-        counted = _counted(df, _buckets(F.lower(F.coalesce(F.col(text), F.lit(""))), size), size, False, "_tf")
-        unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counted)
-        return unit.withColumn(out, vector_to_array("_unit")).drop("_tf", "_unit")
+Encoder = Callable[[Sequence[str]], np.ndarray]
+# Encoders that this worker has built, by the name of the run they belong to.
+_BUILT: dict[str, Encoder] = {}
+
+
+def _built(name: str, factory: Callable[[], Encoder]) -> Encoder:
+    if name not in _BUILT:
+        _BUILT.clear()  # a worker serves one run after the other
+        _BUILT[name] = factory()
+    return _BUILT[name]
 
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            matrix = np.asarray(encoder(texts.str.lower().tolist()), dtype=float)
-            yield pd.Series(list(matrix))
 
-    return df.withColumn(out, encode(F.col(text)))
+def encoded_texts(df: DataFrame, text: str, factory: Callable[[], Encoder], out: str = "vector", batch: int = 256) -> DataFrame:
+    """Text to vector (array<double>) by an encoder that is dear to build, such as a model read from a file.
+
+    Only ``factory`` travels with the tasks; every worker process builds its encoder once and keeps it. Each different lower-cased text is encoded
+    once, ``batch`` at a time, and joined back; a null text reads as an empty one. The encoder returns one row a text.
+    """
+    name = uuid.uuid4().hex
+    key = F.lower(F.coalesce(F.col(text), F.lit("")))
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for at in range(0, len(part), batch):
+                texts = part["_text"].iloc[at : at + batch]
+                matrix = np.asarray(_built(name, factory)(texts.tolist()), float)
+                if len(matrix) != len(texts):
+                    raise ValueError(f"the encoder made {len(matrix)} rows of {len(texts)} texts")
+                yield pd.DataFrame({"_text": texts.to_numpy(), out: list(matrix)})
+
+    encoded = df.select(key.alias("_text")).distinct().mapInPandas(encode, f"_text string, {out} array<double>")
+    return df.withColumn("_text", key).join(encoded, "_text").drop("_text")
+
+
+def text_vectors(df: DataFrame, text: str, encoder: Callable[[], Encoder] | None = None, out: str = "vector", size: int = 256) -> DataFrame:
+    """Text to vector (array<double>). ``encoder`` makes a function from a batch of texts to a matrix, see ``encoded_texts``; the default
+    counts the buckets of the character trigrams of the lower-cased text, on the JVM, and brings them to unit length."""
+    if encoder is not None:
+        return encoded_texts(df, text, encoder, out)
+    counted = _counted(df, _buckets(F.lower(F.coalesce(F.col(text), F.lit(""))), size), size, False, "_tf")
+    unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counted)
+    return unit.withColumn(out, vector_to_array("_unit")).drop("_tf", "_unit")
 
 
 def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vector: str, right_vector: str,

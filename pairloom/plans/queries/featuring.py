@@ -214,6 +214,25 @@ def text_vectors(t) -> DataFrame:
     return made.select("doc_id", F.posexplode("vector").alias("place", "weight")).where("weight > 0").select("doc_id", "place", r6("weight").alias("weight"))
 
 
+class LetterCounts:
+    """An encoder that counts some letters and the length of a text."""
+
+    def __init__(self, letters: str = "aeo"):
+        self.letters = letters
+
+    def __call__(self, texts):
+        return [[*[text.count(c) for c in self.letters], len(text)] for text in texts]
+
+
+@query("encoded_names", "X11", """
+WITH x AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS x FROM part)
+SELECT p_partkey, (length(x) - length(replace(x, 'a', '')))::DOUBLE AS a, (length(x) - length(replace(x, 'e', '')))::DOUBLE AS e, (length(x) - length(replace(x, 'o', '')))::DOUBLE AS o, length(x)::DOUBLE AS size FROM x""")
+def encoded_names(t) -> DataFrame:
+    """An encoder of one's own, built once per worker; many parts share a text."""
+    made = X.text_vectors(t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text")), "text", LetterCounts)
+    return made.select("p_partkey", *[F.get("vector", F.lit(i)).alias(c) for i, c in enumerate(["a", "e", "o", "size"])])
+
+
 def structures(t) -> DataFrame:
     return t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
 

@@ -246,3 +246,41 @@ def test_triangle_of_a_tree(spark, monkeypatch):
     assert np.linalg.svd(X._triangle(df, 4))[1] == pytest.approx(np.linalg.svd(x)[1], rel=1e-3)
     assert X._triangle(df.limit(0), 4).shape == (0, 4) and X._triangle(df.limit(2), 4).shape[0] == 2
     assert X.standardized(with_features(spark, x).limit(0)).count() == 0
+
+
+class Slow:
+    """An encoder that leaves a mark in a folder whenever it is built, and another for every text it is given."""
+
+    def __init__(self, folder):
+        import os
+        import uuid
+
+        self.folder = folder
+        open(f"{folder}/built-{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+    def __call__(self, texts):
+        import uuid
+
+        for t in texts:
+            open(f"{self.folder}/text-{t}-{uuid.uuid4().hex}", "w").close()
+        return np.array([[len(t), t.count("a")] for t in texts], float)
+
+
+def test_encoder_is_built_once_a_worker(spark, tmp_path):
+    import os
+
+    folder = str(tmp_path)
+    cls = Slow
+
+    def factory():
+        return cls(folder)
+
+    df = spark.createDataFrame([(i, [None, "", "Banana", "banana", "kiwi"][i % 5]) for i in range(200)], "id int, t string").repartition(16)
+    got = {r["id"]: r["vector"] for r in X.text_vectors(df, "t", factory).collect()}
+    assert got == {i: [[0, 0], [0, 0], [6, 3], [6, 3], [4, 0]][i % 5] for i in range(200)}
+    marks = os.listdir(folder)
+    built = [m.split("-")[1] for m in marks if m.startswith("built")]
+    assert len(built) == len(set(built)) and built
+    assert sorted(m.split("-")[1] for m in marks if m.startswith("text")) == ["", "banana", "kiwi"]
+    with pytest.raises(Exception, match="the encoder made 1 rows"):
+        X.text_vectors(df, "t", lambda: lambda texts: np.zeros((1, 2))).collect()
