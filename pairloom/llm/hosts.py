@@ -12,6 +12,15 @@ from ..session import cut_lineage
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LEVELS = ("suffix", "domain", "host")
 
+# Public suffixes of two labels under which names are registered, the commoner ones of the Public Suffix List (publicsuffix.org)
+# as of 2024. Any other host is registered under its last label.
+TWO_LABEL_SUFFIXES = [
+    "ac.in", "ac.jp", "ac.nz", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn",
+    "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn",
+    "go.jp", "gov.au", "gov.br", "gov.cn", "gov.in", "gov.uk", "govt.nz", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.in", "net.pl", "net.uk", "or.id", "or.jp",
+    "or.kr", "org.au", "org.br", "org.cn", "org.il", "org.in", "org.nz", "org.pl", "org.tr", "org.tw", "org.uk", "org.za",
+]
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -42,8 +51,17 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
 
 
 def level_names(host: Column) -> dict[str, Column]:
-    """The names a host inherits from: its last label, its last two labels, and itself."""
-    return {"suffix": F.substring_index(host, ".", -1), "domain": F.substring_index(host, ".", -2), "host": host}
+    """The names a host inherits from: its public suffix, its registered domain (one label more), and itself.
+
+    User and port do not count for the first two; an address of numbers is its own suffix and domain.
+    """
+    site = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+    numbers, last_two = site.rlike(r"^([0-9.]+|\[.*)$"), F.substring_index(site, ".", -2)
+    two = last_two.isin(TWO_LABEL_SUFFIXES)
+    return {
+        "suffix": F.when(numbers, site).when(two, last_two).otherwise(F.substring_index(site, ".", -1)),
+        "domain": F.when(numbers, site).when(two, F.substring_index(site, ".", -3)).otherwise(last_two), "host": host,
+    }
 
 
 def _strength(counts: DataFrame, least: float, most: float) -> DataFrame:
@@ -67,9 +85,10 @@ def _strength(counts: DataFrame, least: float, most: float) -> DataFrame:
 def host_reputation(outcomes: DataFrame, z: float = 1.645, least: float = 1.0, most: float = 1000.0) -> DataFrame:
     """Posterior share of bad pages per host from (host, bad), where bad is 0, 1 or null (not labelled).
 
-    Counts are taken per host, then per registered domain (last two labels) and suffix (last label). The mean of all
+    Counts are taken per host, then per registered domain and public suffix (see ``level_names``). The mean of all
     pages is the prior of a suffix, the posterior mean of a suffix the prior of its domains, and that of a domain the
-    prior of its hosts; each level has its own strength. Returns host, suffix, domain, n, bad, prior, mean and ``bound``,
+    prior of its hosts; each level has its own strength. Where hosts differ no more than chance makes them, as in the given tables, the prior is worth
+    ``most`` pages and no host stands out; where they do, a few bad pages of a bad host are enough. Returns host, suffix, domain, n, bad, prior, mean and ``bound``,
     the mean less ``z`` standard deviations. Hosts without labels get the mean of their domain. A host of half of all
     pages is counted in parts before the shuffle. An empty table gives no rows.
     """

@@ -64,9 +64,10 @@ split AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCD
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
 marks AS (SELECT doc_id, max(1 - quality)::BIGINT AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 outcome AS (SELECT page_id, max(bad) AS bad FROM (SELECT page_id, try_cast(regexp_extract(path, '^/[^/]*/([0-9]{1,18})', 1) AS BIGINT) AS doc_id FROM split) JOIN marks USING (doc_id) GROUP BY page_id),
-hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad, list_extract(string_split(host, '.'), -1) AS suffix,
-  array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain
-  FROM split LEFT JOIN outcome USING (page_id) GROUP BY host),
+counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site,
+  string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS labels FROM split LEFT JOIN outcome USING (page_id) GROUP BY host),
+hosts AS (SELECT host, n, bad, CASE WHEN regexp_matches(site, '^([0-9.]+|\\[.*)$') THEN site WHEN array_to_string(labels[-2:], '.') IN TWO_LABEL_SUFFIXES THEN array_to_string(labels[-2:], '.') ELSE labels[-1] END AS suffix,
+  CASE WHEN regexp_matches(site, '^([0-9.]+|\\[.*)$') THEN site WHEN array_to_string(labels[-2:], '.') IN TWO_LABEL_SUFFIXES THEN array_to_string(labels[-3:], '.') ELSE array_to_string(labels[-2:], '.') END AS domain FROM counted),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 sums AS (SELECT 'host' AS level, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, count(*) FILTER (n > 0) AS k, sum(n * n)::DOUBLE AS n2, coalesce(sum(bad * bad / nullif(n, 0)::DOUBLE), 0) AS x2 FROM hosts
@@ -85,7 +86,7 @@ ruled AS (SELECT *, CASE
   WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM split JOIN bounds USING (host))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.25 THEN 'block' ELSE 'allow' END AS verdict,
-  n AS n_labelled, bad AS n_bad, round(bound, 6) AS bad_bound FROM ruled"""
+  n AS n_labelled, bad AS n_bad, round(bound, 6) AS bad_bound FROM ruled""".replace("TWO_LABEL_SUFFIXES", "(" + ", ".join(f"'{s}'" for s in hosts.TWO_LABEL_SUFFIXES) + ")")
 
 
 @query("op10_url_filter", OP10_SQL)

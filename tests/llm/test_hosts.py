@@ -41,6 +41,37 @@ def test_longest_rule_wins(spark):
     assert {r["rule"]: r["verdict"] for r in rows} == {r.name: r.verdict for r in RULES} | {None: None}
 
 
+def test_levels(spark):
+    want = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "www.x.com": ("com", "x.com"), "x.com:8080": ("com", "x.com"),
+        "me:pw@www.x.com:80": ("com", "x.com"), "192.168.0.1:80": ("192.168.0.1", "192.168.0.1"), "[::1]:80": ("[::1]", "[::1]"), "alone": ("alone", "alone"), "": ("", ""),
+    }
+    names = hosts.level_names(F.col("host"))
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select("host", names["suffix"].alias("suffix"), names["domain"].alias("domain")).collect()
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in rows} == want
+
+
+def test_bad_hosts_are_blocked_by_the_query(spark, tmp_path):
+    """Hosts that differ: the bad ones are blocked, also one with few labelled pages of a bad domain; its neighbours under co.uk are not."""
+    sites = {"a.co.uk": 9, "b.co.uk": 0, "www.spam.com": 9, "www.fine.com": 1, "10.0.0.1:80": 8, "x.net": 0, "new.spam.com": None}
+    pages, labels = [], []
+    for h, (host, bad) in enumerate(sites.items()):
+        for k in range(40):
+            i = h * 100 + k
+            pages.append((i, f"http://{host}/en/{i + 200000}", ""))
+            if bad is not None:
+                labels.append((i + 200000, int(k % 10 >= bad), 0))
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    rows = QUERIES["op10_url_filter"](spark, str(tmp_path)).collect()
+    blocked = {r["host"] for r in rows if r["verdict"] == "block"}
+    assert blocked == {"a.co.uk", "www.spam.com", "10.0.0.1:80", "new.spam.com"} and {r["host"] for r in rows if r["verdict"] == "allow"} == set(sites) - blocked
+    con = __import__("duckdb").connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert differences(QUERIES["op10_url_filter"](spark, str(tmp_path)), con, SQL["op10_url_filter"]) is None
+
+
 def plain_strength(counts, least=1.0, most=1000.0):
     n, bad, k = sum(a for a, _ in counts), sum(b for _, b in counts), sum(a > 0 for a, _ in counts)
     if not n:
