@@ -138,11 +138,10 @@ def hop(edges: DataFrame, features: DataFrame, width: int) -> DataFrame:
     sources = features.select(F.col("kind").alias("src_kind"), F.col("id").alias("src"), padded.alias("_v"))
     messages = edges.select(*ENDS).join(sources, ["src_kind", "src"])
     by_type = messages.groupBy("dst_kind", "dst", "src_kind", "kind")
-    known = array_to_vector(F.transform("_v", lambda x: x.isNotNull().cast("double")))
-    totals = by_type.agg(
-        Summarizer.sum(array_to_vector(F.transform("_v", lambda x: F.coalesce(x, F.lit(0.0))))).alias("_t"), Summarizer.sum(known).alias("_n"),
-    )
-    means = totals.withColumn("_m", array_to_vector(F.zip_with(vector_to_array("_t"), vector_to_array("_n"), lambda t, n: F.when(n > 0, t / n).otherwise(0.0))))
+    # Values and how many are known side by side, so that one vector is summed.
+    both = F.concat(F.transform("_v", lambda x: F.coalesce(x, F.lit(0.0))), F.transform("_v", lambda x: x.isNotNull().cast("double")))
+    totals = by_type.agg(vector_to_array(Summarizer.sum(array_to_vector(both))).alias("_s"))
+    means = totals.withColumn("_m", array_to_vector(F.zip_with(F.slice("_s", 1, width), F.slice("_s", width + 1, width), lambda t, n: F.when(n > 0, t / n).otherwise(0.0))))
     summed = means.groupBy("dst_kind", "dst").agg(Summarizer.sum(F.col("_m")).alias("_m")).withColumn("_m", vector_to_array("_m"))
     return summed.select(F.col("dst_kind").alias("kind"), F.col("dst").alias("id"), F.col("_m").alias("features"))
 

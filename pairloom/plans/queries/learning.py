@@ -158,11 +158,14 @@ def price_model(t):
     return Pipeline(stages=stages).fit(rows), rows
 
 
-@query("logit_cells", "M1 M2 A18", f"WITH {CELLS} SELECT price, k AS n, k1::BIGINT AS positives, round(w1 / (w1 + w0), 3) AS score FROM g")
+@query("logit_cells", "M1 M2 M12 M13 A18", f"WITH {CELLS} SELECT price, k AS n, k1::BIGINT AS positives, round(w1 / (w1 + w0), 3) AS score FROM g")
 def logit_cells(t) -> DataFrame:
-    """One coefficient a class of prices, so the fitted chance of a class is its weighted share of positives: the optimum in closed form."""
+    """One coefficient a class of prices, so the fitted chance of a class is its weighted share of positives: the optimum in closed form.
+    The model is saved and loaded in between."""
     model, rows = price_model(t)
-    scored = M.score_table(model, rows, ["price", "y"])
+    path = f"{shared_dir(t.spark)}/model-{uuid.uuid4().hex}"
+    M.save_model(model, path)
+    scored = M.score_table(M.load_model(path), rows, ["price", "y"])
     return scored.groupBy("price").agg(F.count("*").alias("n"), F.sum("y").alias("positives"), F.round(F.avg("score"), 3).alias("score"))
 
 
@@ -327,6 +330,28 @@ def link_classifier(t) -> DataFrame:
     return V.scores(M.score_table(model, test, ["success"]), "success", "prediction")
 
 
+@query("link_rule", "G10 G11 V2 O10", f"""
+WITH {PART_NATIONS}, {SUPPLIER_NATIONS}, p AS (SELECT p_partkey AS k, sqrt(p_size) AS a FROM part), s AS (SELECT s_suppkey AS k, sqrt(s_acctbal + 2000) AS a FROM supplier),
+n1 AS (SELECT nation, avg(a) AS a FROM part_nations JOIN p ON l_partkey = p.k GROUP BY 1), m1 AS (SELECT nation, avg(a) AS a FROM supplier_nations JOIN s ON l_suppkey = s.k GROUP BY 1),
+n AS (SELECT nation, coalesce(n1.a, 0) + coalesce(m1.a, 0) AS a FROM n1 FULL JOIN m1 USING (nation)),
+l AS (SELECT l_partkey, avg(a) AS second FROM part_nations JOIN n USING (nation) GROUP BY 1), r AS (SELECT l_suppkey, avg(a) AS second FROM supplier_nations JOIN n USING (nation) GROUP BY 1),
+q AS (SELECT l_partkey, l_suppkey, (max(l_quantity) > 30)::INT AS success FROM lineitem GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (PARTITION BY success ORDER BY md5(l_partkey || '-' || l_suppkey || ':42'), l_partkey || '-' || l_suppkey) - 1 AS i, count(*) OVER (PARTITION BY success) AS k FROM q),
+t AS (SELECT success, (round(l.second, 6) > round(r.second, 6))::INT AS predicted FROM i JOIN l USING (l_partkey) JOIN r USING (l_suppkey) WHERE i.i >= floor(k * 0.85::DOUBLE)),
+c AS (SELECT count(*) FILTER (success = 1 AND predicted = 1) AS tp, count(*) FILTER (success = 0 AND predicted = 1) AS fp, count(*) FILTER (success = 1 AND predicted = 0) AS fn, count(*) AS n, count(*) FILTER (success = predicted) AS ok FROM t)
+SELECT n, round(ok / n, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall FROM c""")
+def link_rule(t) -> DataFrame:
+    """The link model's way with a fixed rule in place of the fitted one: pairs split by class, vectors of both ends side by side, scores of the held-out pairs."""
+    pairs = t.lineitem.groupBy("l_partkey", "l_suppkey").agg((F.max("l_quantity") > 30).cast("int").alias("success"))
+    named = cut_lineage(pairs.withColumn("pair", F.concat_ws("-", "l_partkey", "l_suppkey")))
+    test = stratified_split(named, "success", "pair").where("part = 'test'")
+    ends = vector_to_array("features")
+    linked = N.link_features(test, "part", "l_partkey", "supplier", "l_suppkey", token_hops(t)).select("success", (r6(F.get(ends, F.lit(4))) > r6(F.get(ends, F.lit(10)))).cast("int").alias("predicted"))
+    linked = cut_lineage(linked)
+    found = V.scores(linked, "success", "predicted")
+    return found.select(F.lit(linked.count()).cast("long").alias("n"), *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall")])
+
+
 # A fixed scoring rule in the place of a fitted model, so that what is done with a model can be checked exactly.
 RULE_SCORE = "n_chars / (n_chars + 1500.0D) * (1.0D - 0.5D * toxic)"
 
