@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from .words import BYTE_CODE, slices, span_hashes
 
 SLICE = 1 << 20
-MAX_UNITS = 1 << 20
-MAX_IDS = 1 << 23
+MAX_UNITS = 1 << 18
+MAX_IDS = 1 << 21
 #: Text of units that is encoded at once.
 UNIT_BYTES = 1 << 17
-PAIR_SLOTS = 1 << 22
+PAIR_SLOTS = 1 << 20
 MARK = "▁"
 SPACE_BYTE = 0x20
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
+#: Of texts that are filtered in place: models and caches of several stages are in the worker then.
+KEEP_BYTES = 1 << 19
 #: White space between words: space and 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -165,7 +167,7 @@ def keep_rows(docs: DataFrame, text_column: str, keep: Callable[[Texts, np.ndarr
         name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, text_column):
+        for part, texts in slices(batches, text_column, KEEP_BYTES):
             if plain:
                 yield part.filter(pa.array(keep(texts, None)))
             else:
