@@ -131,13 +131,19 @@ def correlations(df: DataFrame, rows: Sequence[str], columns: Sequence[str]) ->
     asked = list(dict.fromkeys((r, c) for r in rows for c in columns))
     different = list(dict.fromkeys(tuple(sorted(pair)) for pair in asked))
     if len(different) <= FEW_PAIRS:
-        found = cast.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(different)])
+        def moments(i: int, a: str, b: str) -> list[Column]:
+            x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+            sides = [f(v).alias(f"{k}{n}{i}") for n, v in (("x", x), ("y", y)) for k, f in (("v", F.var_pop), ("s", lambda z: F.avg(z * z)))]
+            return [F.covar_pop(a, b).alias(f"c{i}"), *sides]
+
+        found = cast.agg(*[m for i, (a, b) in enumerate(different) for m in moments(i, a, b)])
         number = {pair: i for i, pair in enumerate(different)}
 
         def cell(r: str, c: str) -> Column:
-            value = F.col(f"r{number[tuple(sorted((r, c)))]}")
-            known = F.when(~F.isnan(value), F.lit(1.0) if r == c else value)  # without spread it is 0 / 0
-            return F.struct(F.lit(r).alias("feature"), F.lit(c).alias("other"), known.alias("r"))
+            i = number[tuple(sorted((r, c)))]
+            varies = (F.col(f"vx{i}") > CONSTANT * F.col(f"sx{i}")) & (F.col(f"vy{i}") > CONSTANT * F.col(f"sy{i}"))
+            value = F.lit(1.0) if r == c else F.try_divide(F.col(f"c{i}"), F.sqrt(F.col(f"vx{i}") * F.col(f"vy{i}")))
+            return F.struct(F.lit(r).alias("feature"), F.lit(c).alias("other"), F.when(varies, value).alias("r"))
 
         return found.select(F.explode(F.array(*[cell(r, c) for r, c in asked])).alias("x")).select("x.*")
     means = cast.agg(*[F.avg(c).alias(c) for c in names]).first()
