@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import features as X
 from pairloom.operators import similarity as S
+from pairloom.session import cut_lineage
 
 
 def rng(seed=0):
@@ -91,6 +92,29 @@ def test_nearest_with_zeros_copies_and_far_values(spark, metric):
     assert sorted((r["id"], r["other"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+def test_nearest_sends_few_copies_of_a_query(spark, metric, monkeypatch):
+    """Evenly spread vectors in many rings, of which every query has to look into nearly all: vectors are written a few times each, not once a ring; parts and
+    slabs of all sizes find the same."""
+    x = rng(5).normal(size=(400, 12))
+    written = []
+
+    def counted(df):
+        stored = cut_lineage(df)
+        if "lvec" in stored.columns:
+            written.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(S, "cut_lineage", counted)
+    monkeypatch.setattr(S, "LEAST", 90, raising=False)
+    monkeypatch.setattr(S, "PARTS", 3, raising=False)
+    monkeypatch.setattr(S, "SLAB", 150, raising=False)
+    df = vector_table(spark, x)
+    got = S.nearest(df, df.withColumnRenamed("id", "other"), "id", "other", "v", "v", 4, metric, exclude_same=True, pivots=9, block=16)
+    assert sorted((r["id"], r["other"]) for r in got.collect()) == sorted(r[:2] for r in brute(x, x, 4, metric, True))
+    assert sum(written) < 10 * len(x), written
+
+
 def test_nearest_with_few_or_no_points(spark):
     df = vector_table(spark, rng(1).normal(size=(3, 2)))
     other = df.withColumnRenamed("id", "other")
