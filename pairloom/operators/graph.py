@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .aggregates import vector_sums
 from .ordering import row_index, top_k
 from .sets import id_union, stacked
 
@@ -134,22 +135,20 @@ def hop(edges: DataFrame, features: DataFrame, width: int) -> DataFrame:
     Vectors narrower than ``width`` are padded with zeros; a null element does not count in its mean, and a mean over
     none is zero. Sums are built by partial aggregation, so a node with very many in-edges costs one partial sum per task.
     """
-    padded = F.slice(F.concat("features", F.array_repeat(F.lit(0.0), width)), 1, width)
-    sources = features.select(F.col("kind").alias("src_kind"), F.col("id").alias("src"), padded.alias("_v"))
+    sources = features.select(F.col("kind").alias("src_kind"), F.col("id").alias("src"), F.col("features").alias("_v"))
     messages = edges.select(*ENDS).join(sources, ["src_kind", "src"])
-    by_type = messages.groupBy("dst_kind", "dst", "src_kind", "kind")
-    # Values and how many are known side by side, so that one vector is summed.
-    both = F.concat(F.transform("_v", lambda x: F.coalesce(x, F.lit(0.0))), F.transform("_v", lambda x: x.isNotNull().cast("double")))
-    totals = by_type.agg(vector_to_array(Summarizer.sum(array_to_vector(both))).alias("_s"))
-    means = totals.withColumn("_m", array_to_vector(F.zip_with(F.slice("_s", 1, width), F.slice("_s", width + 1, width), lambda t, n: F.when(n > 0, t / n).otherwise(0.0))))
-    summed = means.groupBy("dst_kind", "dst").agg(Summarizer.sum(F.col("_m")).alias("_m")).withColumn("_m", vector_to_array("_m"))
-    return summed.select(F.col("dst_kind").alias("kind"), F.col("dst").alias("id"), F.col("_m").alias("features"))
+    value = lambda i: F.when(F.size("_v") > i, F.get("_v", F.lit(i))).when(F.col("_v").isNotNull(), 0.0).cast("double")
+    means = messages.groupBy("dst_kind", "dst", "src_kind", "kind").agg(*[F.coalesce(F.avg(value(i)), F.lit(0.0)).alias(f"_m{i}") for i in range(width)])
+    summed = vector_sums(means, ["dst_kind", "dst"], [F.col(f"_m{i}") for i in range(width)], "features")
+    return summed.select(F.col("dst_kind").alias("kind"), F.col("dst").alias("id"), "features")
 
 
 def propagate(edges: DataFrame, features: DataFrame, width: int, hops: int = 2) -> DataFrame:
-    """Own features followed by the aggregates of 1..hops rounds; a node without in-edges gets zeros."""
-    from ..session import cut_lineage
+    """Own features followed by the aggregates of 1..hops rounds; a node without in-edges gets zeros.
 
+    Edges are read once a round and therefore written once.
+    """
+    edges = cut_lineage(edges.select(*ENDS))
     base = F.slice(F.concat("features", F.array_repeat(F.lit(0.0), width)), 1, width)
     out = features.select("kind", "id", base.alias("features"))
     current = out

@@ -84,3 +84,9 @@ def test_metapaths_of_light_and_heavy_entities(spark, monkeypatch, light):
     pairs = [(a, p) for a in left for p in right] + [("a", "p"), ("nobody", "p")]
     got = N.metapath_support(spark.createDataFrame(pairs, "l string, r string"), "l", "r", edges(left), edges(right)).collect()
     assert sorted(map(tuple, got)) == sorted((a, p, len(set(left.get(a, "")) & set(right[p]))) for a, p in pairs)
+
+
+def test_sums_of_vectors_stay_plain_numbers(spark, edges, features):
+    """Sums of vectors as objects would leave the hash table after 128 groups a task and sort all messages."""
+    plan = N.hop(edges, features, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan
