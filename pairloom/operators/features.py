@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .aggregates import vector_sums
 from .joins import hot_rows, salted_join
 
 # Fixed value: what counts as a token of an id list or text.
@@ -84,11 +85,10 @@ def tfidf(counts: DataFrame, doc_id: str, n_docs: int | Column | None = None) ->
     return raw.select(doc_id, "term", "tf", "df", (F.col("raw") / length).alias("weight"))
 
 
-def _weighted_sums(entries: DataFrame, by: str, key: str, vectors: DataFrame) -> DataFrame:
-    """Per ``by``: the sum of weight times the vector of ``key``, as (by, v)."""
-    scaled = F.transform("v", lambda x: x * F.col("weight"))
-    joined = entries.join(vectors, key).select(by, array_to_vector(scaled).alias("_x"))
-    return joined.groupBy(by).agg(vector_to_array(Summarizer.sum(F.col("_x"))).alias("v"))
+def _weighted_sums(entries: DataFrame, by: str, key: str, vectors: DataFrame, size: int) -> DataFrame:
+    """Per ``by``: the sum of weight times the vector (of ``size``) of ``key``, as (by, v)."""
+    scaled = [F.get("v", F.lit(i)) * F.col("weight") for i in range(size)]
+    return vector_sums(entries.join(vectors, key), [by], scaled, "v")
 
 
 #: Triangles that are put on top of each other in one step of the tree.
@@ -172,7 +172,7 @@ def truncated_svd(
     right, size = _orthonormal(cut_lineage(names.withColumn("v", start)), size) if n else (names, 0)
     before, same = None, 0
     while size:
-        left = cut_lineage(_weighted_sums(entries, row_id, column, right))
+        left = cut_lineage(_weighted_sums(entries, row_id, column, right, size))
         values, axes = _directions(left, size)
         largest = values[:k]
         same = same + 1 if before is not None and len(before) == len(largest) and np.allclose(before, largest, rtol=1e-13, atol=1e-15 * max(values.max(initial=0.0), 1e-300)) else 0
@@ -180,7 +180,7 @@ def truncated_svd(
             break
         before, rounds = largest, rounds - 1
         # The rows' side with orthonormal columns, then back to the columns' side.
-        right, size = _orthonormal(cut_lineage(_weighted_sums(entries, column, row_id, _times(left, axes / values))), len(values))
+        right, size = _orthonormal(cut_lineage(_weighted_sums(entries, column, row_id, _times(left, axes / values), len(values))), len(values))
     if not size or not len(values):
         return entries.select(row_id, none.alias(out)).distinct(), np.zeros(0), names.withColumn("v", none)
     turned = axes[:, :k]

@@ -308,3 +308,13 @@ def test_encoder_is_built_once_a_worker(spark, tmp_path):
     assert sorted(m.split("-")[1] for m in marks if m.startswith("text")) == ["", "banana", "kiwi"]
     with pytest.raises(Exception, match="the encoder made 1 rows"):
         X.text_vectors(df, "t", lambda: lambda texts: np.zeros((1, 2))).collect()
+
+
+def test_weighted_sums_stay_plain_numbers(spark):
+    """Sums of vectors as objects would leave the hash table after 128 rows a task and sort all entries."""
+    entries = spark.createDataFrame([(1, "a", 2.0), (1, "b", 3.0), (2, "a", 1.0)], "row int, term string, weight double")
+    vectors = spark.createDataFrame([("a", [1.0, 0.5]), ("b", [2.0, -1.0])], "term string, v array<double>")
+    found = X._weighted_sums(entries, "row", "term", vectors, 2)
+    assert {r["row"]: r["v"] for r in found.collect()} == {1: [8.0, -2.0], 2: [1.0, 0.5]}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan
