@@ -1,4 +1,4 @@
-"""Near duplicates: SimHash fingerprints, the pairs within a few bits and the groups they form; and groups of similar shingle sets, by MinHash."""
+"""Near duplicates: SimHash fingerprints, the pairs within a few bits and the groups they form; and groups of similar shingle sets, by SimHash and then MinHash."""
 
 from __future__ import annotations
 
@@ -21,6 +21,8 @@ XXH_SEED = 42
 GROUP_ROWS = 4096
 #: Rows per key that the number of blocks aims at, see ``n_blocks``.
 AIM = 512
+#: Bits by which SimHash fingerprints of near copies differ at most.
+RADIUS = 4
 #: Bytes of shingle sets of one part in a task, see ``exact_links``.
 GROUP_BYTES = 16 << 20
 #: MinHash of ``near_groups``: keys, minima in each, and the odd factors that give the orders.
@@ -213,7 +215,8 @@ def least_agreeing(similarity: float) -> int:
 
 
 def sketches(rows: DataFrame, size: int) -> DataFrame:
-    """id, t, u and, from the set of shingles of the text: n (how many), h and g (128 bits of the set), buckets (a key per band) and sketch (8 bits of every minimum).
+    """id, t, u and, from the set of shingles of the text: n (how many), h and g (128 bits of the set), fingerprint (its SimHash),
+    buckets (a key per band) and sketch (8 bits of every minimum).
 
     A text without words has no h, g and buckets.
     """
@@ -233,12 +236,12 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
                 bucket = mix(bucket * np.uint64(BASE) + least[:, k::BAND_ROWS])
             kept = bucket[worded].ravel().view(np.int64)
             at = np.concatenate([[0], np.cumsum(worded * BANDS)]).astype(np.int32)
-            columns = [pa.array(n.astype(np.int64)), *[pa.array(k.view(np.int64), mask=~worded) for k in keys]]
+            columns = [pa.array(n.astype(np.int64)), *[pa.array(k.view(np.int64), mask=~worded) for k in keys], pa.array(majority(hashes, bounds).view(np.int64))]
             columns += [pa.ListArray.from_arrays(pa.array(at), pa.array(kept)), pa.array([r.tobytes() for r in least.astype(np.uint8)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "t", "u")], *columns], names=["id", "t", "u", "n", "h", "g", "buckets", "sketch"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "t", "u")], *columns], names=["id", "t", "u", "n", "h", "g", "fingerprint", "buckets", "sketch"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "t", "u", "text").mapInArrow(run, f"id {kind}, t long, u long, n long, h long, g long, buckets array<long>, sketch binary")
+    return rows.select("id", "t", "u", "text").mapInArrow(run, f"id {kind}, t long, u long, n long, h long, g long, fingerprint long, buckets array<long>, sketch binary")
 
 
 def verified(found: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -352,19 +355,24 @@ def near_rows(docs: DataFrame, size: int = 5, min_similarity: float = 0.8, id_co
     rows = docs.select(F.col(id_column).alias("id"), text.alias("text")).withColumns({"t": F.xxhash64("text"), "u": F.xxhash64(F.lit(1), "text")})
     sketched = cut_lineage(sketches(rows, size).withColumns({"h": F.coalesce("h", "t"), "g": F.coalesce("g", "u")}))
     order = F.struct(F.col("id").isNull().alias("nameless"), "id", "t", "u")
-    classes = sketched.groupBy("h", "g").agg(F.min(order).alias("row"), *[F.any_value(c).alias(c) for c in ("n", "buckets", "sketch")])
+    classes = sketched.groupBy("h", "g").agg(F.min(order).alias("row"), *[F.any_value(c).alias(c) for c in ("n", "fingerprint", "buckets", "sketch")])
     numbered = cut_lineage(row_index(classes, "row", "h", "g", name="node"))
 
     def texts(nodes: DataFrame) -> DataFrame:
         wanted = nodes.join(numbered.select("node", F.col("row.id").alias("own"), F.col("row.t").alias("t"), F.col("row.u").alias("u")), "node")
         return rows.join(wanted, (rows["t"] == wanted["t"]) & (rows["u"] == wanted["u"]) & rows["id"].eqNullSafe(wanted["own"])).select("node", "text").dropDuplicates(["node"])
 
-    # Buckets of one class tell nothing. The others link each class with the first class of the bucket they share most often.
+    # SimHash fingerprints within RADIUS bits of each other, found in the Gray-order index: one partner a class.
+    marked = numbered.where("n > 0").select("node", F.lit(0).alias("table"), F.col("fingerprint").alias("value"))
+    hashed = cut_lineage(links(marked, RADIUS).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")))
+
+    # What SimHash cannot see: buckets of one class tell nothing, the others link each class with the first class of the bucket they share most often.
     keyed = numbered.select("node", F.explode("buckets").alias("bucket"))
     many = keyed.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     shared = cut_lineage(keyed.join(many, "bucket"))
     heads = shared.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("times"))
-    star = cut_lineage(heads.groupBy("node").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("head")).select(F.col("node").alias("a"), F.col("head").alias("b")))
+    first = heads.groupBy("node").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("head"))
+    star = cut_lineage(hashed.join(first, "node", "full").select(F.col("node").alias("a"), F.coalesce("near", "head").alias("b")))
     sure = cut_lineage(verified(star, texts(star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()), size, min_similarity))
     joined = cut_lineage(components(sure).withColumnRenamed("component", "comp"))
 
@@ -386,10 +394,11 @@ def near_rows(docs: DataFrame, size: int = 5, min_similarity: float = 0.8, id_co
 def near_groups(docs: DataFrame, size: int = 5, min_similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id and ``component_id``, the smallest id reachable over near copies: texts whose sets of ``size`` lower-cased words are at least ``min_similarity`` similar.
 
-    SimHash plays no part here. Texts with equal sets (null as empty) are one class first, so copies, also in other case or spacing, cost one row
-    however many there are. Classes with words get MINIMA minima of their sets under random orders (MinHash), five of which make one of 25 keys; two
-    classes at similarity s agree in a key with chance 1 - (1 - s ** 5) ** 25, whatever the edit: 0.99995 at 0.8, more above. Every class is compared with the
-    first of the keys they share most; what is still apart is compared pair by pair with all it shares a key with, on the sets of whole texts. Pairs are passed over
+    Texts with equal sets (null as empty) are one class first, so copies, also in other case or spacing, cost one row however many there are. Classes with
+    words get a SimHash fingerprint of their set; the Gray-order index finds the pairs within RADIUS bits, which are verified on the sets. A block that is added
+    or cut moves more bits than that, so what SimHash leaves apart is searched further: classes get MINIMA minima of their sets under random orders (MinHash), five of which make one of 25 keys; two
+    classes at similarity s agree in a key with chance 1 - (1 - s ** 5) ** 25, whatever the edit: 0.99995 at 0.8, more above. Every class is compared with its partner by SimHash, or else
+    the first of the keys they share most; what is still apart is compared pair by pair with all it shares a key with, on the sets of whole texts. Pairs are passed over
     only if they are connected already or if their sizes or all minima rule them out (one in ten million at ``min_similarity``). What is linked is always verified.
     Texts without words are alike only if equal.
     """

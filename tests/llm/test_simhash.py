@@ -185,3 +185,14 @@ def test_equal_sets_are_one_class_and_equal_keys_are_cut(spark, monkeypatch):
     same = spark.range(300).selectExpr("id AS node", "7L AS bucket")
     sizes = [g["count"] for g in simhash._parted(same, "bucket", F.lit(15)).groupBy("group").count().collect()]
     assert len(sizes) == 15 * 16 // 2 and max(sizes) <= 100
+
+
+def test_near_groups_go_through_simhash(spark, monkeypatch):
+    """Near copies are found by their fingerprints in the Gray-order index first, here with MinHash keys that find none."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(f"x{i}" for i in range(300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketches = simhash.sketches
+    own = F.transform("buckets", lambda b: F.xxhash64(b, "id"))
+    monkeypatch.setattr(simhash, "sketches", lambda *given: sketches(*given).withColumn("buckets", own))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
