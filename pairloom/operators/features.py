@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from inspect import signature
 
 import numpy as np
 import pandas as pd
@@ -361,11 +362,17 @@ def encoded_texts(df: DataFrame, text: str, factory: Callable[[], Encoder], out:
     return df.withColumn("_text", key).join(encoded, "_text").drop("_text")
 
 
-def text_vectors(df: DataFrame, text: str, encoder: Callable[[], Encoder] | None = None, out: str = "vector", size: int = 256) -> DataFrame:
-    """Text to vector (array<double>). ``encoder`` makes a function from a batch of texts to a matrix, see ``encoded_texts``; the default
+def _factory(encoder: Encoder | Callable[[], Encoder]) -> Callable[[], Encoder]:
+    """What can be called without arguments makes encoders; anything else is an encoder."""
+    needed = [p for p in signature(encoder).parameters.values() if p.default is p.empty and p.kind not in (p.VAR_POSITIONAL, p.VAR_KEYWORD)]
+    return (lambda: encoder) if needed else encoder
+
+
+def text_vectors(df: DataFrame, text: str, encoder: Encoder | Callable[[], Encoder] | None = None, out: str = "vector", size: int = 256) -> DataFrame:
+    """Text to vector (array<double>). ``encoder`` is a function from a batch of texts to a matrix or makes one, see ``encoded_texts``; the default
     counts the buckets of the character trigrams of the lower-cased text, on the JVM, and brings them to unit length."""
     if encoder is not None:
-        return encoded_texts(df, text, encoder, out)
+        return encoded_texts(df, text, _factory(encoder), out)
     counted = _counted(df, _buckets(F.lower(F.coalesce(F.col(text), F.lit(""))), size), size, False, "_tf")
     unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counted)
     return unit.withColumn(out, vector_to_array("_unit")).drop("_tf", "_unit")
