@@ -78,6 +78,30 @@ def test_approximations_spare_most_full_distances(spark):
         assert pairs.count() < 0.05 * n * n and pairs.distinct().count() == pairs.count()
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+def test_nearest_sends_few_copies_of_a_point(spark, metric, monkeypatch):
+    """Many parts of the queries: points and queries of the second round are shuffled a few times each, and few pairs are written."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    written, sent, dealt = [], [], DataFrame.repartitionById
+
+    def counted(df):
+        stored = cut_lineage(df)
+        if "lower" in stored.columns:
+            written.append(stored.count())
+        return stored
+
+    monkeypatch.setattr(S, "cut_lineage", counted)
+    monkeypatch.setattr(S, "LEAST", 10)
+    monkeypatch.setattr(DataFrame, "repartitionById", lambda df, n, by: sent.append(df.count()) or dealt(df, n, by))
+    x = rng(7).uniform(-1, 1, size=(600, 16))
+    df = vector_table(spark, x)
+    got = S.nearest(df, df.withColumnRenamed("id", "other"), "id", "other", "v", "v", 3, metric, exclude_same=True)
+    assert sorted((r["id"], r["other"]) for r in got.collect()) == sorted(r[:2] for r in brute(x, x, 3, metric, True))
+    assert len(x) < sum(sent) <= 20 * len(x), sent
+    assert 3 * len(x) <= sum(written) < 6 * len(x), written
+
+
 @pytest.mark.parametrize("metric", ["cosine", "manhattan"])
 def test_nearest_with_zeros_copies_and_far_values(spark, metric):
     x = np.concatenate([np.zeros((5, 3)), rng(1).normal(size=(40, 3)), np.full((3, 3), 1e6), [[1e-9, 0, 0]] * 4, np.repeat(rng(2).normal(size=(1, 3)), 30, 0)])
