@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...session import dealt
+
+#: Rows of the tables of pairs, lines and orders that one task groups, sorts or joins.
+ROWS_A_TASK = 1 << 18
+
 
 def r6(c: Column | str) -> Column:
     """Rounded for comparison; adding 0.0 turns -0.0 into 0.0."""
@@ -13,7 +18,7 @@ def r6(c: Column | str) -> Column:
 
 def pairs(t) -> DataFrame:
     """Distinct (part, supplier) pairs."""
-    return t.lineitem.select("l_partkey", "l_suppkey").distinct()
+    return dealt(t.lineitem.select("l_partkey", "l_suppkey"), ROWS_A_TASK, "l_partkey", "l_suppkey").distinct()
 
 
 PAIRS = "pairs AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)"

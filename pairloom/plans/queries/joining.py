@@ -11,8 +11,9 @@ from ...operators import joins as J
 from ...operators import sets as U
 from ...operators.features import pair_cosine
 from ...operators.ordering import keep_first, top_k
+from ...session import dealt
 from ..registry import query
-from .common import PAIRS, PART_NATIONS, SUPPLIER_NATIONS, date_text, pairs, part_nations, r6, supplier_nations
+from .common import PAIRS, PART_NATIONS, ROWS_A_TASK, SUPPLIER_NATIONS, date_text, pairs, part_nations, r6, supplier_nations
 
 SET_SCORES = f"""{PAIRS}, {PART_NATIONS}, {SUPPLIER_NATIONS},
 a AS (SELECT l_partkey, list(nation) AS n FROM part_nations GROUP BY 1),
@@ -50,7 +51,8 @@ JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN m
 def star_join(t) -> DataFrame:
     left = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
     right = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    measures = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"))
+    lines = dealt(t.lineitem.select("l_partkey", "l_suppkey", "l_quantity"), ROWS_A_TASK, "l_partkey", "l_suppkey")
+    measures = lines.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"))
     return J.star_join(pairs(t), (left, "l_partkey"), (right, "l_suppkey"), (measures, ["l_partkey", "l_suppkey"]))
 
 

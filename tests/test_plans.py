@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.plans.registry import Tables, load_all
 
@@ -74,3 +75,39 @@ def test_hot_join_key_is_split(spark):
     finally:
         for k in lowered:
             spark.conf.unset(k)
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    """What one task groups, sorts or unfolds is bounded by rows, as small rows pass any bound in bytes."""
+    from types import SimpleNamespace
+
+    from pairloom.plans.queries import common, featuring, joining
+    from pairloom.session import dealt
+
+    assert [dealt(spark.range(n), 30, "id").rdd.getNumPartitions() for n in (0, 60, 100)] == [2, 2, 4]
+    monkeypatch.setattr(common, "ROWS_A_TASK", 100)
+    monkeypatch.setattr(joining, "ROWS_A_TASK", 100)
+    monkeypatch.setattr(featuring, "STRUCTURES_A_TASK", 100)
+    monkeypatch.setattr(featuring, "DOCUMENTS_A_TASK", 100)
+    rows = spark.range(450).select(
+        (F.col("id") % 7).alias("l_partkey"), (F.col("id") % 5).alias("l_suppkey"), F.lit(2.0).alias("l_quantity"), F.col("id").alias("doc_id"), F.lit("a b a").alias("text"),
+        (F.col("id") % 7).alias("p_partkey"), F.lit("x").alias("p_name"), F.lit("y").alias("p_type"), F.lit("z").alias("p_brand"), F.lit(1).alias("p_size"),
+        (F.col("id") % 5).alias("s_suppkey"), F.lit(3).alias("s_nationkey"))
+    t = SimpleNamespace(lineitem=rows, documents=rows, part=rows.where("id < 7"), supplier=rows.where("id < 5"))
+    found = joining.star_join(t)
+    assert plan(found).count("REPARTITION_BY_NUM") == 2 and re.search(r"hashpartitioning\(l_partkey#\d+L, l_suppkey#\d+L, 5\)", plan(found))
+    assert found.count() == 35 and found.agg(F.sum("n"), F.sum("quantity")).first() == (450, 900.0)
+    tokens = featuring.token_counts(t)
+    assert "SortAggregate" not in plan(tokens) and plan(tokens).count("Exchange") == 1
+    assert {tuple(r)[1:] for r in tokens.collect()} == {("a", 2), ("b", 1)} and tokens.count() == 900
+    assert featuring.structures(SimpleNamespace(part=rows)).rdd.getNumPartitions() == 5
+
+
+def test_links_are_dealt_to_the_given_tasks(spark):
+    from pairloom.operators import trials as R
+
+    links = spark.range(40).select((F.col("id") % 4).alias("pair"), F.col("id").alias("child"))
+    children = spark.range(40).selectExpr("id AS child", "'success' AS success", "2 AS phase", "'2001' AS first_date", "'2002' AS last_date")
+    made = R.pair_evidence(links, ["pair"], "child", children, tasks=7)
+    assert re.search(r"hashpartitioning\(child#\d+L, 7\), REPARTITION_BY_NUM", plan(made))
+    assert sorted((r["pair"], r["evidence"][0]["n"]) for r in made.collect()) == [(i, 10) for i in range(4)]
