@@ -74,15 +74,17 @@ def outcomes_from_rows(measures: DataFrame, key: str, p: str) -> DataFrame:
 
 def pair_evidence(
     links: DataFrame, pair: Sequence[str], child: str, children: DataFrame, outcome: str = "success", phase: str = "phase",
-    first: str = "first_date", last: str = "last_date",
+    first: str = "first_date", last: str = "last_date", tasks: int | None = None,
 ) -> DataFrame:
     """Evidence per pair from its linked child records.
 
     ``links`` holds one row per (pair, child); repeats count once. The result has the counts of every evidence
     tag (at most one entry per outcome and phase, however many children a pair has) and the earliest and latest
-    date with sentinels when there is none. A child that is not in ``children`` adds nothing.
+    date with sentinels when there is none. A child that is not in ``children`` adds nothing. ``tasks`` is how many tasks
+    the links are dealt out to by child; without it Spark plans them by bytes.
     """
-    linked = links.select(*pair, child).repartition(child).distinct()  # one shuffle serves this and the join
+    by_child = [tasks, child] if tasks else [child]
+    linked = links.select(*pair, child).repartition(*by_child).distinct()  # one shuffle serves this and the join
     known = children.select(child, outcome, phase, first, last)
     found = linked.join(known, child, "left")
     tags = found.groupBy(*pair, outcome, phase).agg(

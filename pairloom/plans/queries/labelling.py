@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ...operators import trials as R
 from ...operators.ordering import keep_first
 from ...operators.joins import repeated_items
+from ...session import dealt
 from ..registry import query
-from .common import PAIRS, PART_NATIONS, SUPPLIER_NATIONS, pairs, part_nations, r6, supplier_nations
+from .common import PAIRS, PART_NATIONS, ROWS_A_TASK, SUPPLIER_NATIONS, pairs, part_nations, r6, supplier_nations
 
 
 def outcome_sql(median: str, below: str, above: str, lowest: str) -> str:
@@ -68,7 +69,9 @@ def trial_records(t) -> DataFrame:
         measure(F.concat(F.lit("0."), text(F.col("o_orderkey") % 9, 1))),
         measure(F.lit("NS")),
     )
-    return t.orders.select(
+    # An order is a few bytes in its file, but much to write out and to parse.
+    orders = dealt(t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"), ROWS_A_TASK // 8)
+    return orders.select(
         (F.col("o_custkey") % 4 != 0).alias("hasResults"),
         F.struct(
             F.struct(F.concat(F.lit("NCT"), "o_orderkey").alias("nctId")).alias("identificationModule"), status.alias("statusModule"), design.alias("designModule")
@@ -100,8 +103,9 @@ def evidence(t) -> DataFrame:
     """Pairs of brand and supplier with the evidence of the orders that link them."""
     brands = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
     links = t.lineitem.select("l_partkey", "l_suppkey", F.concat(F.lit("NCT"), "l_orderkey").alias("nct_id")).join(brands, "l_partkey")
-    trials = keep_first(R.flatten_trials(trial_records(t)), ["nct_id"], "first_date", "status")
-    return R.pair_evidence(links, ["brand", "l_suppkey"], "nct_id", trials)
+    tasks = max(2, -(-t.lineitem.count() // ROWS_A_TASK))
+    trials = keep_first(R.flatten_trials(trial_records(t)).repartition(tasks, "nct_id"), ["nct_id"], "first_date", "status")
+    return R.pair_evidence(links, ["brand", "l_suppkey"], "nct_id", trials, tasks=tasks)
 
 
 @query("pair_evidence", "J13 A9 A10 B3 E6 E23 O7", f"WITH {EVIDENCE} SELECT brand, l_suppkey, evidence, first_date, last_date FROM evidence")
