@@ -15,7 +15,7 @@ from ...operators.filters import beyond, members_of
 from ...operators.sets import stacked
 from ...operators.setjoin import alike
 from ...operators.similarity import nearest
-from ...session import cut_lineage
+from ...session import cut_lineage, dealt
 from ..registry import query
 from .common import PAIRS, PART_NATIONS, SUPPLIER_NATIONS, pairs, part_nations, r6, supplier_nations
 
@@ -56,7 +56,12 @@ def one_hot_baseline(t) -> DataFrame:
 @query("token_counts", "X5", """
 SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_-]+')) AS term FROM documents) GROUP BY 1, 2""")
 def token_counts(t) -> DataFrame:
-    return X.token_counts(t.documents.select("doc_id", "text"), "doc_id", "text")
+    return X.token_counts(documents_by_id(t), "doc_id", "text")
+
+
+def documents_by_id(t) -> DataFrame:
+    """Texts are shuffled once instead of their tokens, which are then counted in place."""
+    return dealt(t.documents.select("doc_id", "text"), DOCUMENTS_A_TASK, "doc_id")
 
 
 @query("token_tfidf", "X5 X6 E5", """
@@ -66,7 +71,7 @@ r AS (SELECT doc_id, term, tf, df, tf * (ln((1 + (SELECT count(*) FROM documents
 SELECT doc_id, term, tf, df, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM r""")
 def token_tfidf(t) -> DataFrame:
     n = t.documents.agg(F.count("*")).scalar()
-    weights = X.tfidf(X.token_counts(t.documents.select("doc_id", "text"), "doc_id", "text"), "doc_id", n)
+    weights = X.tfidf(X.token_counts(documents_by_id(t), "doc_id", "text"), "doc_id", n)
     return weights.withColumn("weight", r6("weight"))
 
 
@@ -233,8 +238,14 @@ def encoded_names(t) -> DataFrame:
     return made.select("p_partkey", *[F.get("vector", F.lit(i)).alias(c) for i, c in enumerate(["a", "e", "o", "size"])])
 
 
+#: Structures whose fingerprints one task makes and unfolds.
+STRUCTURES_A_TASK = 1 << 14
+#: Documents whose tokens one task counts.
+DOCUMENTS_A_TASK = 1 << 12
+
+
 def structures(t) -> DataFrame:
-    return t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    return dealt(t.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")), STRUCTURES_A_TASK)
 
 
 @query("structure_bits", "X13", """
