@@ -8,7 +8,7 @@ from inspect import signature
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, Normalizer, PCA, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark import TaskContext
@@ -368,14 +368,46 @@ def _factory(encoder: Encoder | Callable[[], Encoder]) -> Callable[[], Encoder]:
     return (lambda: encoder) if needed else encoder
 
 
+def _trigram_units(texts: Sequence[str], size: int) -> np.ndarray:
+    """Counted buckets of the character trigrams of every text (see ``_buckets``), each row brought to unit length."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    lengths = np.array([len(t) for t in texts])
+    row = np.repeat(np.arange(len(texts)), lengths)
+    a, b, c = TRIGRAM_WEIGHTS
+    bucket = (codes[:-2] * a + codes[1:-1] * b + codes[2:] * c) % size
+    own = row[:-2] == row[2:]
+    counts = np.bincount(row[:-2][own] * size + bucket[own], minlength=len(texts) * size).reshape(-1, size).astype(float)
+    length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return np.divide(counts, length, out=counts, where=length > 0)
+
+
+#: Texts, and about how many characters of them, whose trigrams are counted at once.
+AT_ONCE = (1 << 10, 1 << 20)
+
+
+def _unit_vectors(size: int):
+    @F.pandas_udf("array<double>")
+    def units(texts: pd.Series) -> pd.Series:
+        out, part, held = [], [], 0
+        for text in texts:
+            part.append(text)
+            held += len(text)
+            if len(part) >= AT_ONCE[0] or held >= AT_ONCE[1]:
+                out.extend(_trigram_units(part, size))
+                part, held = [], 0
+        if part:
+            out.extend(_trigram_units(part, size))
+        return pd.Series(out, dtype=object)
+
+    return units
+
+
 def text_vectors(df: DataFrame, text: str, encoder: Encoder | Callable[[], Encoder] | None = None, out: str = "vector", size: int = 256) -> DataFrame:
     """Text to vector (array<double>). ``encoder`` is a function from a batch of texts to a matrix or makes one, see ``encoded_texts``; the default
-    counts the buckets of the character trigrams of the lower-cased text, on the JVM, and brings them to unit length."""
+    counts the buckets of the character trigrams of the lower-cased text and brings them to unit length."""
     if encoder is not None:
         return encoded_texts(df, text, _factory(encoder), out)
-    counted = _counted(df, _buckets(F.lower(F.coalesce(F.col(text), F.lit(""))), size), size, False, "_tf")
-    unit = Normalizer(p=2.0, inputCol="_tf", outputCol="_unit").transform(counted)
-    return unit.withColumn(out, vector_to_array("_unit")).drop("_tf", "_unit")
+    return df.withColumn(out, _unit_vectors(size)(F.lower(F.coalesce(F.col(text), F.lit("")))))
 
 
 def pair_cosine(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vector: str, right_vector: str,

@@ -255,6 +255,20 @@ def test_text_vectors_and_fingerprints(spark):
     assert set(np.unique([r["f"] for r in bits])) <= {0.0, 1.0}
 
 
+def test_trigrams_are_counted_in_batches(spark, monkeypatch):
+    """Not by a list of texts a character; texts of all lengths, letters and batches count the same."""
+    monkeypatch.setattr(X, "AT_ONCE", (3, 40), raising=False)
+    texts = [None, "", "a", "ab", "abc", "ABCabc", "Grüße, ß ñ \u4e2d\u6587 abc abc", "x" * 50, " \n\t\x00 end", "\u0130stanbul"] * 3
+    df = spark.createDataFrame([*enumerate(texts)], "id int, t string")
+    made = X.text_vectors(df, "t").withColumn("low", F.lower("t"))
+    for r in made.collect():
+        low, want = r["low"] or "", np.zeros(256)
+        for a, b, c in zip(low, low[1:], low[2:]):
+            want[(ord(a) * 961 + ord(b) * 31 + ord(c)) % 256] += 1
+        assert np.allclose(r["vector"], want / max(np.linalg.norm(want), 1), rtol=1e-14), low
+    assert "ArrowEvalPython" in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pair_cosine(spark):
     x = rng(11).normal(size=(6, 3))
     pairs = spark.createDataFrame([(0, 1), (2, 2), (5, 3)], "l bigint, r bigint")
