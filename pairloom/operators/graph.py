@@ -87,9 +87,8 @@ def metapath_support(pairs: DataFrame, src: str, dst: str, src_edges: DataFrame,
 
     Paths are counted for the pairs asked for; listing every pair under a common token would square the token's degree. An entity with at
     most LIGHT tokens carries them as one sorted cell, so a pair of two such entities is one row throughout and its cells are
-    intersected. Of a pair with a heavier end, the tokens of the lighter one are looked up among those of the heavier.
+    intersected; this is written once. Of a pair with a heavier end, the tokens of the lighter one are looked up among those of the heavier.
     """
-    pairs_once = pairs.select(src, dst).distinct()
 
     def side(edges: DataFrame, end: str, name: str) -> tuple[DataFrame, DataFrame]:
         """(entity, cell or null for a heavy one, degree), and the tokens of heavy entities."""
@@ -102,17 +101,18 @@ def metapath_support(pairs: DataFrame, src: str, dst: str, src_edges: DataFrame,
         return light.withColumn(f"_c{name}", F.col(f"_c{name}").cast("array<string>")).unionByName(marked), heavy.select(end, "_t")
 
     (left, heavy_left), (right, heavy_right) = side(src_edges, src, "l"), side(dst_edges, dst, "r")
-    met = pairs_once.join(left, src).join(right, dst)
     both = F.col("_cl").isNotNull() & F.col("_cr").isNotNull()
-    counted = met.where(both).select(src, dst, F.size(F.array_intersect("_cl", "_cr")).cast("bigint").alias(out))
-    rest = met.where(~both)
+    few = F.when(both, F.size(F.array_intersect("_cl", "_cr"))).when(F.col("_nl").isNull() | F.col("_nr").isNull(), 0).cast("bigint")
+    counted = cut_lineage(pairs.join(left, src, "left").join(right, dst, "left").select(*pairs.columns, few.alias(out)))
+    heavy = counted.where(F.col(out).isNull()).drop(out)
+    rest = heavy.select(src, dst).distinct().join(left, src).join(right, dst)
     # The side whose tokens are listed is light, or both are heavy and it is the left one.
     by_right = rest.where(F.col("_cr").isNotNull()).select(src, dst, F.explode("_cr").alias("_t")).join(heavy_left, [src, "_t"])
     by_left = rest.where(F.col("_cr").isNull() & F.col("_cl").isNotNull()).select(src, dst, F.explode("_cl").alias("_t")).join(heavy_right, [dst, "_t"])
     by_both = rest.where(F.col("_cr").isNull() & F.col("_cl").isNull()).select(src, dst).join(heavy_left, src).join(heavy_right, [dst, "_t"])
     listed = by_right.select(src, dst).unionByName(by_left.select(src, dst)).unionByName(by_both.select(src, dst))
-    summed = counted.unionByName(listed.groupBy(src, dst).agg(F.count("*").alias(out)))
-    return pairs.join(summed, [src, dst], "left").withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint"))
+    summed = heavy.join(listed.groupBy(src, dst).agg(F.count("*").alias(out)), [src, dst], "left")
+    return counted.where(F.col(out).isNotNull()).unionByName(summed.withColumn(out, F.coalesce(out, F.lit(0)).cast("bigint")))
 
 
 def similarity_edges(scored: DataFrame, src_kind: str, src: str, dst_kind: str, dst: str, score: str, k: int = 5, kind: str = "similar") -> DataFrame:

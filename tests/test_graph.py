@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import graph as N
+from pairloom.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -90,3 +91,14 @@ def test_sums_of_vectors_stay_plain_numbers(spark, edges, features):
     """Sums of vectors as objects would leave the hash table after 128 groups a task and sort all messages."""
     plan = N.hop(edges, features, 2)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan
+
+
+def test_cells_of_light_entities_meet_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(N, "cut_lineage", lambda df: written.append(df) or cut_lineage(df))
+    edges = spark.createDataFrame([("a", "x"), ("a", "y"), ("p", "y"), ("p", "x")], "src string, dst string")
+    pairs = spark.createDataFrame([("a", "p"), ("a", "p"), ("a", "q"), (None, "p")], "l string, r string")
+    got = N.metapath_support(pairs, "l", "r", edges, edges)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (*written, got)]
+    assert len(written) == 1 and [p.count("array_intersect") > 0 for p in plans] == [True, False]
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", "p", 2), ("a", "p", 2), ("a", "q", 0), (None, "p", 0)]
