@@ -11,6 +11,8 @@ from pairloom.session import configure, cut_lineage
 
 #: Rows that go to a Python worker at once: few, as workers that are kept from stage to stage hold the models of several.
 BATCH_ROWS = 2000
+#: Documents whose shuffled texts are written as one file at least, where there are more files than cores.
+DOCS_A_FILE = 4096
 #: A text stays if its best language holds at least this share among all languages.
 LEAST_SHARE = 0.5
 
@@ -46,7 +48,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), "t", "u")
     others = rows.where(~own.eqNullSafe(F.col("lead"))).select(F.col("doc_id").alias("_id"), "t", "u")
     same = keyed["doc_id"].eqNullSafe(others["_id"]) & (keyed["_t"] == others["t"]) & (keyed["_u"] == others["u"])
-    return keyed.join(others, same, "left_anti").dropDuplicates(["doc_id", "_t", "_u"]).drop("_t", "_u")
+    left = keyed.join(others, same, "left_anti").dropDuplicates(["doc_id", "_t", "_u"]).drop("_t", "_u")
+    return left.coalesce(max(spark.sparkContext.defaultParallelism, -(-docs.count() // DOCS_A_FILE)))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_slim
 
 
 def _towards_least(edges: DataFrame) -> DataFrame:
@@ -23,17 +23,18 @@ def _through_least(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("low").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): component is the least node that can be reached.
 
-    Each round writes its links to the shared folder. Links from a node to itself and repeated links do no harm; null ends
-    are ignored; nodes without links to others do not appear. The number of rounds grows with the logarithm of the longest path.
+    Each round writes its links to the shared folder, in files by number of links (at first by ``rows``, the number of nodes, if it is given).
+    Links from a node to itself and repeated links do no harm; null ends are ignored; nodes without links to others do not appear. The number of rounds grows with the logarithm of the longest path.
     """
-    edges = cut_lineage(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = cut_lineage(edges) if rows is None else cut_slim(edges, rows)
     digest = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")))
     before = edges.agg(*digest).first()
     while before[0]:
-        edges = cut_lineage(_through_least(_towards_least(edges)))
+        edges = cut_slim(_through_least(_towards_least(edges)), before[0])
         now = edges.agg(*digest).first()
         if now == before:
             break

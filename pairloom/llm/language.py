@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import Texts, first_rows, keep_rows, slices
+from .words import KEEP_BYTES, Texts, first_rows, keep_rows, slices
 
 ORDER = 4
 UNKNOWN = "und"
@@ -98,7 +98,7 @@ def fit(rows: DataFrame, order: int = ORDER) -> Model:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", KEEP_BYTES):
             langs = np.repeat(part.column("lang").to_numpy(zero_copy_only=False), np.diff(texts.bounds))
             found = pd.DataFrame({"lang": langs, "gram": grams(texts, order)}).groupby(["lang", "gram"], sort=False).size().reset_index(name="n")
             yield pa.RecordBatch.from_pandas(found, preserve_index=False)

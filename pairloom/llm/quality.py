@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import BYTE_CODE, SPACE, Texts, first_rows, keep_rows, mix, slices, span_hashes
+from .words import BYTE_CODE, KEEP_BYTES, SPACE, Texts, first_rows, keep_rows, mix, slices, span_hashes
 
 DIMENSIONS = 1 << 20
 
@@ -112,7 +112,7 @@ def fit(docs: DataFrame, marks: DataFrame, how: Training = Training(), id_column
     chosen = first_rows(known, "label", how.per_class, F.xxhash64("id"), F.col("id")).select("id", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", KEEP_BYTES):
             rows = []
             families = [(first, index, np.searchsorted(first, texts.word_bounds)) for first, index in features(texts)]
             for i in range(texts.n):

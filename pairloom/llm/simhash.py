@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import row_index
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_slim
 from . import graybits
 from .components import components
-from .words import BASE, Texts, mix, slices, texts_of
+from .words import BASE, KEEP_BYTES, Texts, mix, slices, texts_of
 
 XXH_SEED = 42
 #: Rows of one group in a task; larger groups are cut into parts that meet pair by pair.
@@ -29,6 +29,8 @@ GROUP_BYTES = 16 << 20
 BANDS, BAND_ROWS = 25, 5
 MINIMA = BANDS * BAND_ROWS
 ORDERS = np.random.default_rng(20240301).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows with a text or a set in a file of a table that is written on the way.
+TEXTS_A_FILE = 1 << 12
 #: Pairs whose sketches are compared at a time.
 PAIRS = 1 << 17
 
@@ -222,7 +224,7 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", KEEP_BYTES):
             hashes, bounds = shingle_sets(texts, size)
             n = np.diff(bounds)
             worded = n > 0
@@ -244,17 +246,17 @@ def sketches(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("id", "t", "u", "text").mapInArrow(run, f"id {kind}, t long, u long, n long, h long, g long, fingerprint long, buckets array<long>, sketch binary")
 
 
-def verified(found: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
-    """The links (a, b) whose texts (node, text) have shingle sets that are at least ``least`` similar.
+def verified(found: DataFrame, texts: DataFrame, size: int, least: float, rows: int) -> DataFrame:
+    """The links (a, b) whose texts (node, text), about ``rows`` of them, have shingle sets that are at least ``least`` similar.
 
     One text that has very many links is a hot key, which the adaptive skew join splits.
     """
-    wanted = cut_lineage(texts)
+    wanted = cut_slim(texts, rows, TEXTS_A_FILE)
     pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sides = pairs.join(wanted.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(wanted.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "left"):
+        for part, texts in slices(batches, "left", KEEP_BYTES):
             kept = pa.array(similarities(texts, texts_of(part.column("right")), size) >= least)
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(kept)
 
@@ -338,7 +340,7 @@ def _with_sets(rows: DataFrame, size: int) -> DataFrame:
     """(node, set) from (node, text): the hashes of the different shingles, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, "text"):
+        for part, texts in slices(batches, "text", KEEP_BYTES):
             hashes, bounds = shingle_sets(texts, size)
             sets = pa.array([hashes[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("node"), sets], names=["node", "set"])
@@ -356,36 +358,40 @@ def near_rows(docs: DataFrame, size: int = 5, min_similarity: float = 0.8, id_co
     sketched = cut_lineage(sketches(rows, size).withColumns({"h": F.coalesce("h", "t"), "g": F.coalesce("g", "u")}))
     order = F.struct(F.col("id").isNull().alias("nameless"), "id", "t", "u")
     classes = sketched.groupBy("h", "g").agg(F.min(order).alias("row"), *[F.any_value(c).alias(c) for c in ("n", "fingerprint", "buckets", "sketch")])
-    numbered = cut_lineage(row_index(classes, "row", "h", "g", name="node"))
+    rows_read = sketched.count()
+    placed = row_index(classes, "row", "h", "g", name="node", rows=rows_read)
+    numbered = cut_slim(placed, rows_read, TEXTS_A_FILE)
+    nodes = numbered.count()
 
-    def texts(nodes: DataFrame) -> DataFrame:
-        wanted = nodes.join(numbered.select("node", F.col("row.id").alias("own"), F.col("row.t").alias("t"), F.col("row.u").alias("u")), "node")
+    def texts(some: DataFrame) -> DataFrame:
+        wanted = some.join(numbered.select("node", F.col("row.id").alias("own"), F.col("row.t").alias("t"), F.col("row.u").alias("u")), "node")
         return rows.join(wanted, (rows["t"] == wanted["t"]) & (rows["u"] == wanted["u"]) & rows["id"].eqNullSafe(wanted["own"])).select("node", "text").dropDuplicates(["node"])
 
     # SimHash fingerprints within RADIUS bits of each other, found in the Gray-order index: one partner a class.
     marked = numbered.where("n > 0").select("node", F.lit(0).alias("table"), F.col("fingerprint").alias("value"))
-    hashed = cut_lineage(links(marked, RADIUS).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")))
+    hashed = cut_slim(links(marked, RADIUS).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")), nodes)
 
     # What SimHash cannot see: buckets of one class tell nothing, the others link each class with the first class of the bucket they share most often.
     keyed = numbered.select("node", F.explode("buckets").alias("bucket"))
     many = keyed.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    shared = cut_lineage(keyed.join(many, "bucket"))
+    shared = cut_slim(keyed.join(many, "bucket"), BANDS * nodes)
     heads = shared.where("node <> head").groupBy("node", "head").agg(F.count(F.lit(1)).alias("times"))
     first = heads.groupBy("node").agg(F.max_by("head", F.struct("times", -F.col("head"))).alias("head"))
-    star = cut_lineage(hashed.join(first, "node", "full").select(F.col("node").alias("a"), F.coalesce("near", "head").alias("b")))
-    sure = cut_lineage(verified(star, texts(star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()), size, min_similarity))
-    joined = cut_lineage(components(sure).withColumnRenamed("component", "comp"))
+    star = cut_slim(hashed.join(first, "node", "full").select(F.col("node").alias("a"), F.coalesce("near", "head").alias("b")), nodes)
+    wanted = texts(star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct())
+    sure = cut_slim(verified(star, wanted, size, min_similarity, nodes), nodes, heavy=True)
+    joined = cut_slim(components(sure, nodes).withColumnRenamed("component", "comp"), nodes)
 
     # What is still apart in a bucket: clusters of likely pairs, and inside them all pairs on their sets.
     known = shared.select("bucket", "node").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = known.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("rows")).where("low < high")
     apart = known.join(mixed.select("bucket", "rows"), "bucket").join(numbered.select("node", "n", "sketch"), "node")
-    clusters = cut_lineage(components(likely_links(apart, min_similarity)))
+    clusters = cut_slim(components(likely_links(apart, min_similarity), nodes), nodes)
     members = (
         clusters.withColumnRenamed("component", "cluster").join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         .join(numbered.select("node", "n", "sketch"), "node").join(_with_sets(texts(clusters.select("node")), size), "node")
     )
-    found = components(sure.unionByName(exact_links(cut_lineage(members), min_similarity)))
+    found = components(sure.unionByName(exact_links(cut_slim(members, nodes, TEXTS_A_FILE), min_similarity)), nodes)
     leads = found.join(numbered.select(F.col("node").alias("component"), F.col("row").alias("lead")), "component").select("node", "lead")
     named = numbered.join(leads, "node", "left").select("h", "g", F.coalesce("lead", "row").alias("lead"))
     return sketched.select("id", "t", "u", "h", "g").distinct().join(named, ["h", "g"]).select(F.col("id").alias(id_column), "t", "u", "lead")

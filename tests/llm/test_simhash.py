@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from pairloom import session
 from pairloom.llm import components, graybits, simhash
 from pairloom.llm.queries import QUERIES
 
@@ -196,3 +197,23 @@ def test_near_groups_go_through_simhash(spark, monkeypatch):
     own = F.transform("buckets", lambda b: F.xxhash64(b, "id"))
     monkeypatch.setattr(simhash, "sketches", lambda *given: sketches(*given).withColumn("buckets", own))
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_tables_on_the_way_are_few_files(spark):
+    """Rounds write small tables again and again: not in as many files as a shuffle has partitions, each of which costs an executor memory and time."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    words = [f"w{k}" for k in range(60)]
+    rows = [" ".join(words[: 60 - k % 3] + [f"x{k // 9}"]) for k in range(270)]
+    written = session._WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+    at = len(written)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = near(spark, rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_similar(rows)
+    files = [len(spark.read.parquet(path).inputFiles()) for path in written[at:]]
+    assert len(files) > 10 and max(files) <= spark.sparkContext.defaultParallelism
