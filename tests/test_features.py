@@ -1,6 +1,7 @@
 """Features and projections against numpy on small data."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -356,3 +357,46 @@ def test_weighted_sums_stay_plain_numbers(spark):
     assert {r["row"]: r["v"] for r in found.collect()} == {1: [8.0, -2.0], 2: [1.0, 0.5]}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan
+
+
+@pytest.mark.parametrize("metric, kind", [("euclidean", "spread"), ("euclidean", "far"), ("euclidean", "odd"), ("manhattan", "spread"), ("manhattan", "far"), ("manhattan", "odd"), ("cosine", "spread")])
+def test_sweep_measures_few_pairs_and_loses_none(metric, kind, monkeypatch):
+    """Bounds by short numbers and by steps: for vectors far from 0, next to each other, or with outliers."""
+    draw = np.random.default_rng(11)
+    points = draw.normal(size=(3000, 13))
+    if kind == "far":
+        points = points * 1e-3 + 5e4
+    if kind == "odd":
+        points[::500] *= 1e18
+    if metric == "cosine":
+        points /= np.linalg.norm(points, axis=1)[:, None]
+        points[7] = 0.0
+    queries, k = np.concatenate([points[:201], points[:1] + 0.5]), 4
+    whole = np.stack([np.abs(points - q).sum(1) if metric == "manhattan" else np.sqrt(((points - q) ** 2).sum(1)) for q in queries])
+    if metric == "cosine":
+        whole[:, 7] = whole[7] = S.RIGHT_ANGLE
+    sample = points[draw.permutation(3000)[:300]]
+    centres, ring = sample[:2], np.arange(3000) // 100
+    away = S.distances(points, centres[:1], metric)[:, 0]
+    rings = S.Rings(centres, np.zeros(30, int), np.full(30, 100), away.reshape(30, 100).min(1) - 1e-6, away.reshape(30, 100).max(1) + 1e-6, metric, 6)
+    rings.sieve = (S.Stairs if metric == "manhattan" else S.Sieve)(sample)
+    measured, apart = [0], S._apart
+    monkeypatch.setattr(S, "_apart", lambda a, b, m: measured.__setitem__(0, measured[0] + len(a)) or apart(a, b, m))
+    part = S._Part(rings, k, metric, True, 64)
+    lists = lambda v: pa.array([list(map(float, r)) for r in v], pa.list_(pa.float64()))
+    ids = np.append(np.arange(201), 9999)
+    part.ask(pa.RecordBatch.from_arrays([pa.array(ids), lists(queries), pa.array(np.sort(whole[:, :256], 1)[:, k] * (1 + 1e-6) + 1e-6)], names=["lid", "lvec", "reach"]))
+    for r in range(30):
+        part.look(r, pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(ring == r)), lists(points[ring == r])], names=["rid", "rvec"]))
+    found = [t for b in part.found() for t in zip(b.column("lid").to_pylist(), b.column("rid").to_pylist(), b.column("lower").to_pylist(), b.column("upper").to_pylist())]
+    best = {}
+    for left, right, low, high in found:
+        row = 201 if left == 9999 else left
+        assert left != right and low <= whole[row, right] * (1 + 1e-9) + 1e-9 and whole[row, right] <= high * (1 + 1e-9) + 1e-9
+        best.setdefault(left, set()).add(right)
+    for row, left in enumerate(ids):
+        others = [j for j in np.argsort(whole[row], kind="stable") if j != left]
+        if not (metric == "cosine" and left == 7):
+            assert set(others[:k]) <= best[left]
+    if kind != "odd":
+        assert measured[0] < 0.25 * whole.size
