@@ -371,7 +371,7 @@ def test_sweep_measures_few_pairs_and_loses_none(metric, kind, monkeypatch):
     if metric == "cosine":
         points /= np.linalg.norm(points, axis=1)[:, None]
         points[7] = 0.0
-    queries, k = np.concatenate([points[:201], points[:1] + 0.5]), 4
+    queries, k = np.concatenate([points[:201], points[:1] + 0.5 if metric != "cosine" else (points[:1] + points[1:2]) / np.linalg.norm(points[0] + points[1])]), 4
     whole = np.stack([np.abs(points - q).sum(1) if metric == "manhattan" else np.sqrt(((points - q) ** 2).sum(1)) for q in queries])
     if metric == "cosine":
         whole[:, 7] = whole[7] = S.RIGHT_ANGLE
